@@ -15,12 +15,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .graphs import components, link_pairs_within
+from .graphs import linked_components
 from .store import discard, materialize
 
 PERMUTATIONS, WORDS_PER_SHINGLE, BANDS = 128, 5, 32
@@ -83,47 +83,28 @@ def _rows(ids: list, texts: list[str], nexts: list[str]) -> pa.RecordBatch:
 
 
 def _successive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pair each row of a sorted partition with the one after it.
-
-    The first text and the last row of the partition come out whole as well (``edge``), for the neighbours on either side.
-    """
-    part = None
-    held: tuple | None = None
+    """Pair each row of a sorted partition with the one after it; the last row is left to ``_edges``."""
+    held: list[tuple] = []
     for batch in batches:
-        if part is None:
-            from pyspark import TaskContext
-
-            part = TaskContext.get().partitionId()
-        ids, texts = batch.column(0), pc.fill_null(batch.column(1), "")
+        ids, texts = batch.column(0), batch.column(1)
         _, offsets = K.utf8_rows(texts)
         for i, j in K.blocks(offsets):
-            chunk = list(zip(ids.slice(i, j - i).to_pylist(), texts.slice(i, j - i).to_pylist()))
-            if held is None:
-                yield _edge(part, 0, chunk[0])
-                rows = chunk
-            else:
-                rows = [held, *chunk]
-            held = rows[-1]
+            rows = [*held, *zip(ids.slice(i, j - i).to_pylist(), texts.slice(i, j - i).to_pylist())]
+            held = rows[-1:]
             if len(rows) > 1:
-                done = _rows([r[0] for r in rows[:-1]], [r[1] for r in rows[:-1]], [r[1] for r in rows[1:]])
-                yield _plain(done)
-    if held is not None:
-        yield _edge(part, 1, held)
-
-
-def _plain(done: pa.RecordBatch) -> pa.RecordBatch:
-    n = done.num_rows
-    return pa.RecordBatch.from_arrays(
-        [*done.columns, pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.string())], names=[*done.schema.names, "part", "edge", "text"]
-    )
+                yield _rows([r[0] for r in rows[:-1]], [r[1] for r in rows[:-1]], [r[1] for r in rows[1:]])
 
 
-def _edge(part: int, edge: int, row: tuple) -> pa.RecordBatch:
-    blank = [pa.nulls(1, pa.int64()), *[pa.nulls(1, pa.string())] * 3, *[pa.nulls(1, pa.float64())] * 2]
-    return pa.RecordBatch.from_arrays(
-        [pa.array([row[0]], pa.int64()), *blank, pa.array([part], pa.int32()), pa.array([edge], pa.int32()), pa.array([row[1]])],
-        names=[*(f.split()[0] for f in FIELDS.split(", ")), "part", "edge", "text"],
-    )
+def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row of a sorted partition: its number, its last row, its first text."""
+    first = last = None
+    for batch in batches:
+        if batch.num_rows:
+            first = batch.slice(0, 1) if first is None else first
+            last = batch.slice(batch.num_rows - 1)
+    if first is not None:
+        part = pa.array([TaskContext.get().partitionId()], pa.int32())
+        yield pa.RecordBatch.from_arrays([part, last.column(0), last.column(1), first.column(1)], names=["part", "doc_id", "text", "first_text"])
 
 
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,20 +123,12 @@ def fingerprint_successions(docs: DataFrame, key: str = "doc_id", text: str = "t
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     order = [F.col("doc_id").desc_nulls_last(), F.col("text").asc()]
-    both, path = materialize(
-        rows.repartitionByRange(parts, F.col("doc_id").desc_nulls_last()).sortWithinPartitions(*order).mapInArrow(_successive, FIELDS + ", part int, edge int, text string"),
-        "successions",
-    )
-    inner = both.where("edge is null").drop("part", "edge", "text")
-    firsts = both.where("edge = 0").select("part", F.col("text").alias("first_text"))
-    lasts = both.where("edge = 1").select("part", "doc_id", "text")
-    # one row per partition: which filled partition follows which
-    order_of = firsts.select("part").agg(F.array_sort(F.collect_set("part")).alias("all"))
-    follows = order_of.select(F.posexplode("all").alias("at", "part"), "all").select(
-        "part", F.get("all", F.when(F.col("at") + 1 < F.size("all"), F.col("at") + 1).otherwise(0)).alias("next_part")
-    )
-    pairs = lasts.join(follows, "part").join(firsts.withColumnRenamed("part", "next_part"), "next_part").select("doc_id", "text", "first_text")
-    return inner.unionByName(pairs.mapInArrow(_across, FIELDS))
+    dealt = rows.repartitionByRange(parts, F.col("doc_id").desc_nulls_last()).sortWithinPartitions(*order)
+    edges = dealt.mapInArrow(_edges, "part int, doc_id long, text string, first_text string")
+    # one row per partition, so one task takes them all: the first text of the next filled partition, or of the first
+    by_part = Window.orderBy("part")
+    pairs = edges.select("doc_id", "text", F.coalesce(F.lead("first_text").over(by_part), F.first("first_text").over(by_part)).alias("next_text"))
+    return dealt.mapInArrow(_successive, FIELDS).unionByName(pairs.mapInArrow(_across, FIELDS))
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,10 +154,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     similarity of their whole five-word shingle sets is at least ``percent`` hundredths.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    banded, path = materialize(rows.mapInArrow(_bands, "doc_id long, bands array<long>"), "bands")
-    buckets = banded.select("doc_id", F.explode("bands").alias("bucket"))
-    links, used = link_pairs_within(rows, buckets, WORDS_PER_SHINGLE, percent, K.ALNUM)
-    labels, more = components(links)
-    discard(spark, path, *used)
-    return rows.select("doc_id").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("class_id"))
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    same = [F.xxhash64("text").alias("h"), F.xxhash64(F.lit(1), "text").alias("g")]
+    classes, classes_path = materialize(rows.select("doc_id", *same).groupBy("h", "g").agg(F.min("doc_id").alias("node")), "classes")
+    banded, path = materialize(rows.mapInArrow(_bands, "doc_id long, bands array<long>").join(classes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi"), "bands")
+    zero = F.lit(0).cast("long")
+    buckets = banded.select(F.explode("bands").alias("bucket"), F.col("doc_id").alias("node"), zero.alias("rank"), zero.alias("n"))
+    labels, used = linked_components(rows, buckets, lambda l, r: F.lit(True), lambda pairs: pairs, WORDS_PER_SHINGLE, percent, K.ALNUM)
+    named, _ = materialize(classes.join(labels, "node", "left").select("h", "g", F.coalesce("component", "node").alias("class_id")), "named")
+    discard(spark, path, classes_path, *used)
+    return rows.select("doc_id", *same).join(named, ["h", "g"], "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
