@@ -31,6 +31,16 @@ def op7_minhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_successions(_table(spark, sf_dir, "documents"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .toxicity import learnable, score, train
+
+    docs = _table(spark, sf_dir, "documents")
+    scored = score(docs, train(docs, _table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", (~learnable(F.col("doc_id"))).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .jaccard import jaccard_components
 
