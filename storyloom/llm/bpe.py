@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 #: The pattern that splits text before the merges (a fixed value of byte-level BPE files).
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Characters pushed at a time; bytes of a longer piece merged at a time; pieces kept in the cache; longest cached piece.
-CHUNK, BLOCK, CACHED, CACHED_CHARS = 1 << 16, 1 << 12, 1 << 17, 48
+CHUNK, BLOCK, CACHED, CACHED_CHARS = 1 << 16, 1 << 12, 1 << 18, 48
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -54,7 +54,8 @@ class Merges:
         for pair in data["model"]["merges"]:
             x, y = pair.split(" ") if isinstance(pair, str) else pair
             self.pairs.append((vocab[x], vocab[y], vocab[x + y]))
-        self.rank = {(x, y): (r, z) for r, (x, y, z) in enumerate(self.pairs)}
+        self.rank = {(x, y): r for r, (x, y, _) in enumerate(self.pairs)}
+        self.made = [z for _, _, z in self.pairs]
         self.lookahead = sufficient_lookahead(self)
 
 
@@ -81,32 +82,41 @@ def sufficient_lookahead(m: Merges) -> int:
 def merge(m: Merges, data: bytes) -> list[int]:
     """Token ids of one piece: the pair of least rank first, the leftmost of equals."""
     ids = [m.byte_id[b] for b in data]
-    rank = m.rank
-    if len(ids) <= 24:
-        while len(ids) > 1:
-            found = [(rank[p][0], i) for i, p in enumerate(zip(ids, ids[1:])) if p in rank]
-            if not found:
+    rank, made, none = m.rank.get, m.made, len(m.made)
+    if len(ids) <= 64:
+        ranks = [rank(p, none) for p in zip(ids, ids[1:])]
+        while ranks:
+            r = min(ranks)
+            if r == none:
                 break
-            _, i = min(found)
-            ids[i : i + 2] = [rank[ids[i], ids[i + 1]][1]]
+            i = ranks.index(r)
+            ids[i] = z = made[r]
+            del ids[i + 1], ranks[i]
+            if i < len(ranks):
+                ranks[i] = rank((z, ids[i + 1]), none)
+            if i:
+                ranks[i - 1] = rank((ids[i - 1], z), none)
         return ids
     n = len(ids)
     before, after = list(range(-1, n - 1)), [*range(1, n), -1]
-    heap = [(rank[p][0], i, *p) for i, p in enumerate(zip(ids, ids[1:])) if p in rank]
+    heap = [(r, i, *p) for i, p in enumerate(zip(ids, ids[1:])) if (r := rank(p, none)) < none]
     heapq.heapify(heap)
     while heap:
-        _, i, x, y = heapq.heappop(heap)
+        r, i, x, y = heapq.heappop(heap)
         j = after[i] if ids[i] == x else -1
         if j < 0 or ids[j] != y:
             continue
-        ids[i], ids[j] = rank[x, y][1], -1
+        ids[i], ids[j] = made[r], -1
         after[i] = after[j]
         if after[i] >= 0:
             before[after[i]] = i
-            if (p := (ids[i], ids[after[i]])) in rank:
-                heapq.heappush(heap, (rank[p][0], i, *p))
-        if (h := before[i]) >= 0 and (p := (ids[h], ids[i])) in rank:
-            heapq.heappush(heap, (rank[p][0], h, *p))
+            p = ids[i], ids[after[i]]
+            if (r := rank(p, none)) < none:
+                heapq.heappush(heap, (r, i, *p))
+        if (h := before[i]) >= 0:
+            p = ids[h], ids[i]
+            if (r := rank(p, none)) < none:
+                heapq.heappush(heap, (r, h, *p))
     return [i for i in ids if i >= 0]
 
 
@@ -151,19 +161,17 @@ class Encoder:
         self.long: PieceStream | None = None  # a piece that outgrew the buffer, and the pattern of its characters
         self.kind = None
 
-    def _piece(self, piece: str) -> list[int]:
+    def _piece(self, piece: str) -> tuple[int, ...]:
         """Ids of a whole piece. Two generations of the cache: when the younger is full it becomes the older."""
         ids = self.older.get(piece)
         if ids is None:
             data = piece.encode()
             if len(data) <= 2 * BLOCK:
-                ids = merge(self.m, data)
+                ids = tuple(merge(self.m, data))
             else:
                 stream = PieceStream(self.m)
-                ids = stream.push(data) + stream.finish()
+                ids = (*stream.push(data), *stream.finish())
         if len(piece) <= CACHED_CHARS:
-            if len(self.cache) >= CACHED:
-                self.older, self.cache = self.cache, {}
             self.cache[piece] = ids
         return ids
 
@@ -190,8 +198,11 @@ class Encoder:
             while pieces and kept + len(pieces[-1]) < 3:
                 kept += len(pieces.pop())
             self.pending = text[len(text) - kept :] if kept else ""
+        if len(self.cache) >= CACHED:
+            self.older, self.cache = self.cache, {}
+        get = self.cache.get
         for p in pieces:
-            out += self.cache.get(p) or self._piece(p)
+            out += get(p) or self._piece(p)
         if len(self.pending) >= BLOCK and len(self.find(self.pending)) == 1:
             self.kind = next(k for k in self.kinds if k.match(self.pending, len(self.pending) - 1))
             self.long, text, self.pending = PieceStream(self.m), self.pending[:-1], self.pending[-1:]
