@@ -44,6 +44,27 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .pii import KINDS, find_personal_data
+
+    rows, spans = find_personal_data(_table(spark, sf_dir, "documents"))
+    rank = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))
+    by_row = spans.groupBy("doc_id", "text_hash").agg(
+        *(F.count_if((F.col("kind") == k) & F.col("base")).alias(f"n_{k}") for k in KINDS[:4]),
+        F.array_sort(F.collect_list(F.struct(rank.alias("rank"), "start", "end", "kind", "base"))).alias("all"),
+    )
+    said = lambda some: F.array_join(F.transform(some, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    joined = rows.join(by_row, (rows.doc_id.eqNullSafe(by_row.doc_id)) & (rows.text_hash == by_row.text_hash), "left")
+    return joined.select(
+        rows.doc_id,
+        *(F.coalesce(f"n_{k}", F.lit(0)).cast("long").alias(f"n_{k}") for k in KINDS[:4]),
+        F.sha2(F.coalesce(said(F.filter("all", lambda s: s["base"])), F.lit("")), 256).alias("base_sha256"),
+        F.coalesce(said(F.col("all")), F.lit("")).alias("spans"),
+    )
+
+
 def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
