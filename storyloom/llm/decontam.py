@@ -28,7 +28,7 @@ from .store import discard, materialize
 MASKS = ("110110101101", "111010011011", "101101110101")
 SPAN, PAD, JOINED, FEWEST = 12, 48, 64, 5
 NEEDED, IDENTITY, MISMATCH = 12, 0.8, 2.0
-BITS, SALTS = 23, 8
+BITS, SALTS = 26, 8
 
 
 def _places(mask: str) -> tuple[int, ...]:
