@@ -128,7 +128,7 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_ch
     """``doc_id, n_lines, n_dropped, text`` and the columns of ``keep``: each text without the lines a smaller id holds."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), *keep)
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.struct(F.lit(0).alias("__0"), *keep).alias("kept"))
     line = F.posexplode(F.split("text", "\n")).alias("line_no", "line")
     keyed = rows.where("doc_id IS NOT NULL").select("doc_id", F.xxhash64("text").alias("text_hash"), line).withColumn("key", line_key(F.col("line"))).where(F.length("key") >= min_chars)
     lines = keyed.select("doc_id", "text_hash", "line_no", F.xxhash64("key").alias("h"), F.xxhash64(F.lit(1), "key").alias("g"))
@@ -154,4 +154,4 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_ch
     left = F.array_except(F.sequence(F.lit(0), n - 1), F.col("lost"))
     text_left = F.when(F.col("lost").isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.get("pieces", i)), "\n"))
     dropped = F.when(F.col("lost").isNull(), 0).otherwise(F.size("lost"))
-    return joined.withColumn("pieces", pieces).select("doc_id", n.cast("long").alias("n_lines"), dropped.cast("long").alias("n_dropped"), text_left.alias("text"), *keep)
+    return joined.withColumn("pieces", pieces).select("doc_id", n.cast("long").alias("n_lines"), dropped.cast("long").alias("n_dropped"), text_left.alias("text"), *(F.col("kept").getField(c).alias(c) for c in keep))

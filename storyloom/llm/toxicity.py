@@ -161,3 +161,15 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     fields = [f for f in rows.schema.fields if f.name != "__text"]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", score double"
     return rows.mapInArrow(run, schema)
+
+
+def accepted(docs: DataFrame, model: Model, text: str = "text", threshold: float = 0.7) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose text scores less than ``threshold``."""
+    held, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            scores = held.value.score([t or "" for t in batch.column(at).to_pylist()])
+            yield batch.filter(pa.array(scores < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
