@@ -1 +1 @@
-
+"""Column functions: text, rules, vocabularies and similarity."""

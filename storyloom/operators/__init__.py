@@ -1 +1 @@
-
+"""Relational operators of the engine, DataFrame to DataFrame."""
