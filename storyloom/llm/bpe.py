@@ -25,10 +25,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .store import small_batches
+
 #: The pattern that splits text before the merges (a fixed value of byte-level BPE files).
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Characters pushed at a time; bytes of a longer piece merged at a time; pieces kept in the cache; longest cached piece.
-CHUNK, BLOCK, CACHED, CACHED_CHARS = 1 << 16, 1 << 12, 1 << 18, 48
+CHUNK, BLOCK, CACHED, CACHED_CHARS = 1 << 16, 1 << 12, 1 << 17, 32
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -161,6 +163,10 @@ class Encoder:
         self.long: PieceStream | None = None  # a piece that outgrew the buffer, and the pattern of its characters
         self.kind = None
 
+    def forget(self) -> None:
+        """Drop the cache."""
+        self.cache, self.older = {}, {}
+
     def _piece(self, piece: str) -> tuple[int, ...]:
         """Ids of a whole piece. Two generations of the cache: when the younger is full it becomes the older."""
         ids = self.older.get(piece)
@@ -267,6 +273,7 @@ def _tools(source: str) -> tuple[Merges, Encoder, dict[int, str]]:
 
 
 def _per_text(docs: DataFrame, source: str, key: str, text: str, one: Callable, schema: str) -> DataFrame:
+    small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(source)  # one vocabulary file
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,6 +284,7 @@ def _per_text(docs: DataFrame, source: str, key: str, text: str, one: Callable,
                 rows = [one(tools, t.as_py() or "") for t in texts]
                 names = list(rows[0])
                 yield pa.RecordBatch.from_arrays([ids, *(pa.array([r[c] for r in rows]) for c in names)], names=["doc_id", *names])
+        tools[1].forget()  # the worker serves other tasks
 
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)
 

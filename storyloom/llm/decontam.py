@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .store import discard, materialize
+from .store import discard, materialize, small_batches
 
 #: Masks of twelve words of which eight count, in which replaced words fall on different ignored places.
 MASKS = ("110110101101", "111010011011", "101101110101")
@@ -138,6 +138,7 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", t
     ``doc_id, item_id, matched_words, overlap_words, item_words, first_word`` (in the text, words from 0), ``item_first``.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     source = benchmark.select(F.col(item_key).cast("long").alias("item_id"), F.coalesce(F.col(item_text), F.lit("")).alias("text"))
     schema = "item_id long, item_words array<long>, seeds array<struct<gram: long, place: int>>"

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .graphs import linked_components
-from .store import discard, materialize
+from .store import discard, materialize, small_batches
 
 PERMUTATIONS, WORDS_PER_SHINGLE, BANDS = 128, 5, 32
 _rng = np.random.default_rng(7)
@@ -120,6 +120,7 @@ def fingerprint_successions(docs: DataFrame, key: str = "doc_id", text: str = "t
     Rows are dealt by range once, so each text crosses the network once; only the two edge rows of a partition are
     paired afterwards (as many rows as partitions). Ties in ``key`` follow the text; the last row's next is the first.
     """
+    small_batches(docs.sparkSession)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     order = [F.col("doc_id").desc_nulls_last(), F.col("text").asc()]
@@ -154,6 +155,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     similarity of their whole five-word shingle sets is at least ``percent`` hundredths.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     same = [F.xxhash64("text").alias("h"), F.xxhash64(F.lit(1), "text").alias("g")]
     classes, classes_path = materialize(rows.select("doc_id", *same).groupBy("h", "g").agg(F.min("doc_id").alias("node")), "classes")

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .graphs import linked_components
-from .store import discard, materialize
+from .store import discard, materialize, small_batches
 
 #: Cells of the sketch of document counts: 4 MB once merged, at any corpus size.
 CELLS = 1 << 22
@@ -108,6 +108,7 @@ def prefixes(rows: DataFrame, sketch: np.ndarray, k: int, percent: int, kept: np
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80, kept: np.ndarray = K.NON_SPACE) -> DataFrame:
     """``doc_id, n_shingles, component_id``: components of the links of Jaccard similarity >= percent / 100."""
     spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     sketch = document_counts(rows, k, kept)
     cut, cut_path = materialize(prefixes(rows, sketch, k, percent, kept), "prefixes")

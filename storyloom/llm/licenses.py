@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .graphs import id_filter, wanted
-from .store import discard, materialize
+from .store import discard, materialize, small_batches
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOWERED = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -120,6 +120,7 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", library: Libr
     """Two frames: ``doc_id, text_hash, n_words`` of every row, and the verified spans by ``doc_id, text_hash``:
     ``spans array<struct<label, phrase, start, end, share>>`` of texts that have any."""
     spark, library = docs.sparkSession, library or Library()
+    small_batches(spark)
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
     table = F.broadcast(spark.createDataFrame(library.positions(), "gram long, template int, place int"))  # the fixed library
     grams = rows.mapInArrow(_grams, "doc_id long, text_hash long, two array<long>, four array<long>")

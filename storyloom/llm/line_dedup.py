@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .graphs import id_filter, wanted
-from .store import discard, materialize
+from .store import discard, materialize, small_batches
 
 #: Keys of a shard on average at most; slots a key in the first level; levels before the rest is listed.
 SHARD_KEYS, SPREAD, LEVELS = 1 << 16, 2, 20
@@ -127,6 +127,7 @@ def _probe(lines: pa.Table, shard: pa.Table) -> pa.Table:
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = 10, keep: tuple[str, ...] = ()) -> DataFrame:
     """``doc_id, n_lines, n_dropped, text`` and the columns of ``keep``: each text without the lines a smaller id holds."""
     spark = docs.sparkSession
+    small_batches(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.struct(F.lit(0).alias("__0"), *keep).alias("kept"))
     line = F.posexplode(F.split("text", "\n")).alias("line_no", "line")

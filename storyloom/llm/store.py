@@ -20,6 +20,17 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+#: Rows of an Arrow batch. Spark's own 10,000 would put hundreds of MB of long texts into one batch, on both sides.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batch size where it is at its default; operators on whole texts call this first."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing else uses; it is deleted when the program ends."""
     path = f"{shared_root(spark)}/tables/{name}-{uuid.uuid4().hex}"

@@ -20,8 +20,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
+from .store import small_batches
 
-ORDERS, BITS, FEATURES = (3, 4, 5, 6), 20, 1 << 13
+ORDERS, BITS, FEATURES = (3, 4, 5, 6), 20, 1 << 12
 BLOCK_CHARS = 1 << 18
 
 
@@ -86,7 +87,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(out, -30, 30)))
 
 
-def fit(texts: list[str], labels: np.ndarray, prior: float | None = None, alpha: float = 1.0, ridge: float = 0.3, rounds: int = 150) -> Model:
+def fit(texts: list[str], labels: np.ndarray, prior: float | None = None, alpha: float = 1.0, ridge: float = 0.3, rounds: int = 100) -> Model:
     """Fit the classifier; rows weigh so that ``prior`` (the share of toxic rows where these were drawn) holds."""
     labels = np.asarray(labels, float)
     n, toxic = len(labels), labels.sum()
@@ -110,17 +111,23 @@ def fit(texts: list[str], labels: np.ndarray, prior: float | None = None, alpha:
         return Model(np.zeros(0, np.int64), np.zeros(0, np.float32), float(np.log(prior / (1 - prior))))
     kept = np.zeros(1 << BITS, bool)
     kept[chosen] = True
-    pairs = [(owner + i, np.searchsorted(chosen, cells)) for i, j in _blocks(texts) for owner, cells in [_presence(texts[i:j], kept)]]
-    rows, cols = (np.concatenate(x) for x in zip(*pairs))
+    # the pairs of a block at a time: (its rows, row in the block, feature), in six bytes a pair
+    parts = []
+    for i, j in _blocks(texts):
+        owner, cells = _presence(texts[i:j], kept)
+        parts.append((slice(i, j), owner.astype(np.int32), np.searchsorted(chosen, cells).astype(np.uint16)))
     scaled = r[chosen]
     w, base = np.zeros(len(chosen)), float(np.log(prior / (1 - prior)))
     # gradient steps scaled by their own running moments
     moment, moment_b, sq, sq_b = np.zeros_like(w), 0.0, np.zeros_like(w), 0.0
     for t in range(1, rounds + 1):
-        z = base + np.bincount(rows, (w * scaled)[cols], minlength=n)
-        g = weigh * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels)
-        gw = scaled * np.bincount(cols, g[rows], minlength=len(w)) + ridge * w
-        gb = g.sum()
+        folded, gw, gb = w * scaled, np.zeros_like(w), 0.0
+        for rows, owner, feature in parts:
+            z = base + np.bincount(owner, folded[feature], minlength=rows.stop - rows.start)
+            g = weigh[rows] * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels[rows])
+            gw += np.bincount(feature, g[owner], minlength=len(w))
+            gb += g.sum()
+        gw = scaled * gw + ridge * w
         moment, moment_b = 0.9 * moment + 0.1 * gw, 0.9 * moment_b + 0.1 * gb
         sq, sq_b = 0.99 * sq + 0.01 * gw**2, 0.99 * sq_b + 0.01 * gb**2
         rate = 0.1 * min(1.0, 30 / t)
@@ -148,6 +155,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """``doc_id``, the columns of ``keep`` and ``score`` (0 to 1) of every whole text."""
+    small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("__text"), *keep)
 
@@ -165,6 +173,7 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
 
 def accepted(docs: DataFrame, model: Model, text: str = "text", threshold: float = 0.7) -> DataFrame:
     """The rows of ``docs``, with all their columns, whose text scores less than ``threshold``."""
+    small_batches(docs.sparkSession)
     held, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
