@@ -9,12 +9,13 @@ import struct
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from .text import col
 
 
-@pandas_udf("double")
+@pandas_udf(T.DoubleType())
 def ratio(left: pd.Series, right: pd.Series) -> pd.Series:
     """The Ratcliff-Obershelp ratio of two texts; 0 if either is blank."""
 
@@ -53,7 +54,7 @@ def cosine(left: Column | str, right: Column | str) -> Column:
 def hash_embedding(dim: int = 384):
     """A function of token arrays: signed counts of hashed tokens, at unit length (an empty list gives zeros)."""
 
-    @pandas_udf("array<float>")
+    @pandas_udf(T.ArrayType(T.FloatType()))
     def embed(tokens: pd.Series) -> pd.Series:
         def one(words) -> list[float]:
             out = [0.0] * dim

@@ -12,26 +12,27 @@ from xml.etree import ElementTree
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import text_of
 
 SCRIPT = "array<struct<_id: string, title: string, subtitle: string, content: string>>"
 REFERENCE_FILES = "*.{docx,md,markdown,txt,json,jsonl}"
-HEADING = r"^\s*(\d+)?\s*[\.、．]?\s*(?i:(INT|EXT|内|外|内景|外景)(?:[\./](INT|EXT|内|外))?)?[\.\s]*(日|夜|晨|昏|晚|白天|夜晚|DAY|NIGHT|DAWN|DUSK)?[\.\s，,]*(.*?)\s*$"
+_IN = r"EXT\s*/\s*INT|INT\s*/\s*EXT|INT|EXT|内\s*/\s*外|外\s*/\s*内|内|外"
+_TIME = r"日\s*/\s*夜\s*/\s*无日夜|无日夜|日\s*/\s*夜|夜\s*/\s*日|日|夜|晨|晚|黄昏|清晨|白天|深夜"
+#: Number, inside or outside, time of day, location (a fixed value).
+HEADING = rf"(?i)^\s*(\d+)\s*[、.．]\s*({_IN})?\s*[.。]?\s*({_TIME})?\s*[.。]?\s*(.*)$"
 
 
 def parse_heading(title: Column | str) -> Column:
-    """``struct<number, interior_exterior, time_of_day, location_hint>``; without a number or mark the title is the location."""
+    """``struct<number, interior_exterior, time_of_day, location_hint>``; a title without a number is the location."""
     t = text_of(title)
-    group = lambda n: F.nullif(F.trim(F.regexp_extract(t, HEADING, n)), F.lit(""))
-    inside = F.upper(F.concat_ws("/", group(2), group(3)))
-    known = group(1).isNotNull() | group(2).isNotNull()
+    known = t.rlike(HEADING)
+    group = lambda n: F.when(known, F.nullif(F.regexp_replace(F.regexp_extract(t, HEADING, n), r"\s*/\s*", "/"), F.lit("")))
     return F.struct(
-        F.when(known, group(1).try_cast("int")).alias("number"),
-        F.when(known, F.nullif(inside, F.lit(""))).alias("interior_exterior"),
-        F.when(known, group(4)).alias("time_of_day"),
-        F.when(known, F.coalesce(group(5), F.lit(""))).otherwise(F.trim(t)).alias("location_hint"),
-    )
+        group(1).try_cast("int").alias("number"), F.upper(group(2)).alias("interior_exterior"), group(3).alias("time_of_day"),
+        F.when(known, F.trim(F.regexp_extract(t, HEADING, 4))).otherwise(F.trim(t)).alias("location_hint"),
+    )
 
 
 def read_script(spark: SparkSession, path: str, unit_type: str = "scene", unit_label: str = "scene") -> DataFrame:
@@ -160,7 +161,7 @@ def read_parsed(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path, multiLine=True).where("status = 'parsed'")
 
 
-@F.pandas_udf("ok boolean, data string, error string")
+@F.pandas_udf(T.StructType([T.StructField("ok", T.BooleanType()), T.StructField("data", T.StringType()), T.StructField("error", T.StringType())]))
 def model_json(texts: pd.Series) -> pd.DataFrame:
     """The JSON value in a model's answer: a fenced block, the whole text, or the outermost brackets; closing brackets too many are dropped."""
 
