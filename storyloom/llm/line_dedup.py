@@ -138,15 +138,15 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_ch
     keys, held = shared.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     shards = max(2 * parts, -(-keys // SHARD_KEYS))
     shard = F.pmod(F.shiftright("h", 7), F.lit(shards)).cast("int").alias("shard")
-    index, index_path = materialize(shared.select(shard, "h", "g", "n", "first").groupBy("shard").applyInArrow(_index, _SHARD), "shards")
+    index, _ = materialize(shared.select(shard, "h", "g", "n", "first").groupBy("shard").applyInArrow(_index, _SHARD), "shards")
     most = max(1024, held // (2 * parts))
     copies = index.select("shard", F.ceil(F.col("lines") / most).cast("int").alias("copies"))
     probes = wanted(lines, "h", id_filter(shared, "h")).select("*", shard).join(copies, "shard")
     probes = probes.withColumn("salt", F.pmod(F.xxhash64("doc_id", "line_no"), F.col("copies")).cast("int")).drop("copies")
     copied = index.join(copies, "shard").select(F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("salt"), *index.columns)
     out = "doc_id long, text_hash long, line_no int"
-    lost, _ = materialize(probes.groupBy("shard", "salt").cogroup(copied.groupBy("shard", "salt")).applyInArrow(lambda a, b: _probe(a, b), out), "lost-lines")
-    discard(spark, shared_path, index_path)
+    lost = probes.groupBy("shard", "salt").cogroup(copied.groupBy("shard", "salt")).applyInArrow(lambda a, b: _probe(a, b), out)
+    discard(spark, shared_path)  # the shards stay: the result reads them
     # a document's own line numbers; a repeated row has them twice
     by_doc = lost.groupBy("doc_id", "text_hash").agg(F.collect_set("line_no").alias("lost"))
     joined = rows.withColumn("text_hash", F.xxhash64("text")).join(by_doc, ["doc_id", "text_hash"], "left")
