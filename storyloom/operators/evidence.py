@@ -56,8 +56,8 @@ def exact_tiers(evidence: Column | str, fields: Sequence[str] = FIELDS) -> Colum
 
 
 def fold_with_offsets(text: str) -> tuple[str, list[int]]:
-    kept = [(c.lower(), i) for i, c in enumerate(text or "") if not _DROPPED.match(c.lower())]
-    return "".join(c for c, _ in kept), [i for i, _ in kept]
+    kept = [(low, i) for i, c in enumerate(text or "") if not _DROPPED.match(low := c.lower())]
+    return "".join(c for c, _ in kept), [i for c, i in kept for _ in c]
 
 
 def best_window(evidence: str, source: str) -> tuple[float, int, int] | None:
@@ -94,7 +94,7 @@ def best_window(evidence: str, source: str) -> tuple[float, int, int] | None:
             if better:
                 best = (score, at, at + size)
     score, start, end = best
-    return score, offsets[start], offsets[end - 1] + 1
+    return score, int(offsets[start]), int(offsets[end - 1]) + 1
 
 
 def locate(df: DataFrame, evidence: str = "evidence", fields: Sequence[str] = FIELDS, name: str = "evidence_at") -> DataFrame:
