@@ -74,7 +74,9 @@ def find_matches(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     placed = each.withColumn("end", so_far.cast("long")).withColumn("start", F.col("end") - F.length("match"))
     # a seed that fails its condition is known to be none: it speaks against its patterns
     kind = F.when(valid(F.col("kind"), F.col("match")), F.col("kind")).otherwise("none")
-    return placed.select("doc_id", "text_hash", kind.alias("kind"), "match", "start", "end", "before", "after")
+    # a number too short or too long for a card says nothing either way
+    digits = F.length(F.regexp_replace("match", "[ -]", ""))
+    return placed.where((F.col("kind") != "card") | digits.between(16, 19)).select("doc_id", "text_hash", kind.alias("kind"), "match", "start", "end", "before", "after")
 
 
 def contexts(matches: DataFrame) -> DataFrame:
@@ -110,10 +112,16 @@ def score_patterns(seen: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, st
 def find_personal_data(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """Two frames: ``doc_id, text_hash`` of every row; and ``doc_id, text_hash, kind, start, end, base`` of every span."""
     matches, matches_path = materialize(find_matches(docs, key, text), "matches")
-    seeds = matches.where("kind <> 'id'")
-    base = seeds.where("kind <> 'none'")
+    def apart(x: DataFrame, y: DataFrame) -> DataFrame:
+        """Rows of x that overlap no row of y in the same text."""
+        o, t = x.alias("o"), y.alias("t")
+        same = F.col("o.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("o.text_hash") == F.col("t.text_hash"))
+        return o.join(t, same & (F.col("o.start") < F.col("t.end")) & (F.col("t.start") < F.col("o.end")), "left_anti")
+
+    base, failed = matches.where("kind NOT IN ('id', 'none')"), matches.where("kind = 'none'")
+    seeds = base.unionByName(apart(failed, base))
     # an identifier-shaped string that touches a seed of its row, even a failed one, is no instance of its own
-    other = matches.where("kind = 'id'").alias("o").join(seeds.alias("b"), (F.col("o.doc_id").eqNullSafe(F.col("b.doc_id"))) & (F.col("o.text_hash") == F.col("b.text_hash")) & (F.col("o.start") < F.col("b.end")) & (F.col("b.start") < F.col("o.end")), "left_anti")
+    other = apart(matches.where("kind = 'id'"), matches.where("kind <> 'id'"))
     seen, seen_path = materialize(contexts(seeds.unionByName(other)).select("doc_id", "text_hash", "kind", "match", "start", "end", "pattern"), "seen")
     patterns, patterns_path = score_patterns(seen)
     good = patterns.where((F.col("confidence") >= CONFIDENT) & (F.col("seeds") >= FEWEST_SEEDS)).select("pattern")
