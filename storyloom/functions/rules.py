@@ -287,19 +287,24 @@ def text_risks(text: Column | str, phrases: Sequence[str] = vocab.THERAPY_PHRASE
     return F.concat(found("therapy_tone", phrases), found("unsupported_role", roles), found("future_leak", future))
 
 
-def environment_only(text: Column | str, participants: Column | str, terms: Sequence[str] = vocab.CG_CUES) -> Column:
-    """Whether an event has no participant but scenery (all of them match scenery terms, or there are none and the text does)."""
-    people = col(participants)
-    return F.when(F.size(people) > 0, F.forall(people, lambda p: contains_any(p, terms))).otherwise(contains_any(text_of(text), terms))
-
-
-def event_track(mode: Column, scene_role: Column, environment: Column) -> Column:
-    """plot, context, forecast, memory or hypothetical."""
+def environment_only(participants: Column | str, terms: Sequence[str] = vocab.ENVIRONMENT_TERMS) -> Column:
+    """Whether all participants are scenery; no participants count as that."""
+    people = F.filter(F.coalesce(col(participants), F.array().cast("array<string>")), lambda p: F.trim(text_of(p)) != "")
+    return F.forall(people, lambda p: contains_any(p, terms))
+
+
+def event_track(mode: Column, participants: Column | str, said: Column | str, scene_role: Column | str = "", explicit: Column | None = None) -> Column:
+    """plot, context, forecast, memory or hypothetical: an explicit track, else the mode, else whether only scenery takes part."""
+    role = text_of(scene_role) if not (isinstance(scene_role, str) and scene_role == "") else F.lit("")
+    scenery = environment_only(participants)
+    quiet = role.isin("visual_context", "montage") | (mode == "habitual") | contains_any(text_of(said), vocab.ENVIRONMENT_CONTEXT)
+    given = F.lit(None).cast("string") if explicit is None else F.lower(F.trim(text_of(explicit)))
     return (
-        F.when(mode.isin("future_plan", "prediction", "forecast"), F.lit("forecast"))
-        .when(mode.isin("flashback", "recollection", "past_reference"), F.lit("memory"))
-        .when(mode.isin("hypothetical", "imagined"), F.lit("hypothetical"))
-        .when(environment | (scene_role == "background"), F.lit("context"))
+        F.when(given.isin(*vocab.EVENT_TRACKS), given)
+        .when(mode == "future_anticipated", F.lit("forecast"))
+        .when(mode == "past_recalled", F.lit("memory"))
+        .when(mode == "hypothetical", F.lit("hypothetical"))
+        .when(scenery & quiet, F.lit("context"))
         .otherwise(F.lit("plot"))
     )
 

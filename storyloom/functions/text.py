@@ -260,7 +260,7 @@ def name_variants(name: Column | str, surnames: str = "", titles: Sequence[str]
     spaced = F.regexp_replace(clean, r"\s+", " ")
     bare = F.trim(F.regexp_replace(clean, r"[（(].*?[）)]", ""))
     compact = F.regexp_replace(clean, r"\s+", "")
-    given = F.when(F.length(compact).between(3, 4) & (F.locate(F.left(compact, F.lit(1)), F.lit(surnames)) > 0) & ~compact.rlike(f"(?:{'|'.join(vocab.ROLE_SUFFIXES)})$"), F.substr(compact, F.lit(2))) if surnames else F.lit(None).cast("string")
+    given = F.when(F.length(compact).between(3, 4) & (F.position(F.left(compact, F.lit(1)), F.lit(surnames)) > 0) & ~compact.rlike(f"(?:{'|'.join(vocab.ROLE_SUFFIXES)})$"), F.substr(compact, F.lit(2))) if surnames else F.lit(None).cast("string")
     parts = F.filter(F.split(clean, r"[\s,\-.]+"), lambda p: p != "")
     many = F.size(parts) >= 2
     first, last = F.try_element_at(parts, F.lit(1)), F.try_element_at(parts, F.lit(-1))

@@ -179,3 +179,14 @@ BEAT_ANSWERS = {
 }
 BEAT_ANSWERS_ELSE = ("information_probe", "silence_or_withholding", "physical_reaction")
 PROBLEM_FUNCTIONS = ("risky_operation", "safety_correction", "care_guidance", "value_resistance")
+
+# Story time.
+EVENT_MODES = ("present_scene", "past_recalled", "future_anticipated", "habitual", "hypothetical", "uncertain")
+EVENT_TRACKS = ("plot", "context", "forecast", "memory", "hypothetical", "unknown")
+GRANULARITIES = ("absolute_date", "year", "season", "day", "time_of_day", "scene_relative", "event_relative", "unknown")
+TEMPORAL_RELATIONS = ("before", "after", "overlaps", "same_time", "contains", "causes", "anticipates", "claims", "reveals_past", "uncertain")
+ENVIRONMENT_TERMS = ("太阳", "恒星", "冰川", "海啸", "山火", "旱灾", "灾难", "城市", "物种", "环境", "地球", "海洋", "风暴", "太阳风暴")
+ENVIRONMENT_CONTEXT = (
+    "蒙太奇", "画面", "字卡", "冰川", "海啸", "太阳", "恒星", "日珥", "黑子", "膨胀", "灾难", "山火", "旱灾", "物种", "城市", "爆炸",
+    "枪战", "硝烟", "废墟", "环境", "世界状态",
+)

@@ -60,6 +60,10 @@ def components(edges: DataFrame, source: str = "source", target: str = "target",
     return nodes.select("node").distinct().join(labels, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
+# Relations that order events (after is turned to before), and those that put them together.
+ORDERING, SYMMETRIC = ("before", "contains", "causes", "reveals_past"), ("overlaps", "same_time")
+
+
 def normalized_edges(edges: DataFrame, events: DataFrame, event_id: str = "event_id") -> DataFrame:
     """``after`` becomes ``before`` with its ends swapped; unknown or missing ends and rejected evidence make an edge unusable, with the reason."""
     known = events.select(F.col(event_id).alias("__id")).distinct()
@@ -73,14 +77,14 @@ def normalized_edges(edges: DataFrame, events: DataFrame, event_id: str = "event
         F.when(F.col("source_event_id").isNull() | F.col("target_event_id").isNull(), F.lit("missing_endpoint"))
         .when(F.col("__a").isNull() | F.col("__b").isNull(), F.lit("unknown_endpoint"))
         .when(~audited, F.lit("evidence_rejected"))
-        .when(~F.col("relation_type").isin("before", "causes", "enables", "same_time", "overlaps"), F.lit("not_an_ordering_relation"))
+        .when(~F.col("relation_type").isin(*ORDERING, *SYMMETRIC), F.lit("not_an_ordering_relation"))
     )
     return joined.withColumn("unusable_reason", reason).withColumn("usable_for_ordering", F.col("unusable_reason").isNull()).drop("__a", "__b")
 
 
 def pair_conflicts(edges: DataFrame, hard: float = 0.75) -> DataFrame:
     """Self edges and pairs that point both ways among usable edges of enough confidence: ``type, ids, relation_ids``."""
-    strong = edges.where(F.col("usable_for_ordering") & (F.col("confidence") >= hard)).select("relation_id", F.col("source_event_id").alias("s"), F.col("target_event_id").alias("t"))
+    strong = edges.where(F.col("usable_for_ordering") & F.col("relation_type").isin(*ORDERING) & (F.col("confidence") >= hard)).select("relation_id", F.col("source_event_id").alias("s"), F.col("target_event_id").alias("t"))
     own = strong.where("s = t").groupBy("s").agg(F.array_sort(F.collect_set("relation_id")).alias("relation_ids")).select(F.lit("self_ordering_edge").alias("type"), F.array("s").alias("ids"), "relation_ids")
     pairs = strong.where("s <> t").groupBy(F.least("s", "t").alias("a"), F.greatest("s", "t").alias("b")).agg(F.count_distinct(F.col("s") < F.col("t")).alias("ways"), F.array_sort(F.collect_set("relation_id")).alias("relation_ids"))
     return own.unionByName(pairs.where("ways = 2").select(F.lit("two_node_cycle").alias("type"), F.array("a", "b").alias("ids"), "relation_ids"))
@@ -110,7 +114,7 @@ def select_acyclic(edges: DataFrame, blocked: DataFrame | None = None) -> DataFr
     Edges go by falling confidence, then source (model before scene before discourse order), observed before inferred,
     then id; one that would close a cycle is skipped, so weak priors never cancel strong evidence.
     """
-    usable = edges.where("usable_for_ordering")
+    usable = edges.where(F.col("usable_for_ordering") & F.col("relation_type").isin(*ORDERING))
     blocked = usable.select("relation_id").limit(0) if blocked is None else blocked.select("relation_id").distinct()
     labels = components(usable, "source_event_id", "target_event_id")
     rows = usable.join(labels.withColumnRenamed("node", "source_event_id"), "source_event_id").join(blocked.withColumn("blocked", F.lit(True)), "relation_id", "left")

@@ -5,27 +5,32 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import vocab
 from ..functions.rules import clamp, event_track, one_of
 from ..functions.similarity import ratio
 from ..functions.text import text_of
 from .graphs import components
 
 SCENE_PRIOR, DISCOURSE_PRIOR, MIN_MATCH = 0.55, 0.35, 0.25
-MODES = ("current", "flashback", "recollection", "past_reference", "future_plan", "prediction", "forecast", "hypothetical", "imagined", "unknown")
 
 
-def normalize_events(events: DataFrame, modes: tuple[str, ...] = MODES) -> DataFrame:
-    """Default ids and repaired enums: ``event_id``, ``event_time_mode`` (current if unknown), ``confidence`` in 0..1, ``event_track``."""
+def normalize_events(events: DataFrame) -> DataFrame:
+    """Default ids and repaired enums of extracted events.
+
+    ``event_id`` is ``<scene>:event_001`` where missing and prefixed by its scene where local; an unknown mode is
+    present_scene, an unknown granularity unknown, a missing confidence 0.6 and any other within 0..1; the track follows
+    from mode, participants and text.
+    """
     w = Window.partitionBy("scene_id").orderBy("event_index")
-    mode = one_of(F.lower(F.trim(text_of("event_time_mode"))), modes, "current")
-    kept = [c for c in events.columns if c not in ("event_id", "event_time_mode", "confidence")]
-    return events.select(
-        *kept,
-        F.coalesce(F.nullif(F.trim(text_of("event_id")), F.lit("")), F.format_string("%s_event_%03d", F.col("scene_id"), F.row_number().over(w))).alias("event_id"),
-        mode.alias("event_time_mode"),
-        clamp(F.col("confidence").cast("string"), 0.5).alias("confidence"),
-        event_track(mode, F.coalesce(F.col("scene_temporal_role"), F.lit("")) if "scene_temporal_role" in events.columns else F.lit(""), F.lit(False)).alias("event_track"),
-    )
+    given = F.trim(text_of("event_id"))
+    local = F.concat_ws(":", "scene_id", F.regexp_replace(given, r"[^\p{L}\p{N}_-]+", "_"))
+    event_id = F.when(given == "", F.format_string("%s:event_%03d", F.col("scene_id"), F.row_number().over(w))).when(F.contains(given, F.lit(":")), given).otherwise(local)
+    mode = one_of(F.lower(F.trim(text_of("event_time_mode"))), vocab.EVENT_MODES, "present_scene")
+    has = lambda c: F.col(c) if c in events.columns else F.lit(None).cast("string")
+    said = F.concat_ws(" ", *(text_of(has(c)) for c in ("summary", "evidence", "location", "story_time_hint")))
+    people = F.col("participants") if "participants" in events.columns else F.array().cast("array<string>")
+    changed = {"event_id": event_id, "event_time_mode": mode, "granularity": one_of(F.lower(text_of(has("granularity"))), vocab.GRANULARITIES, "unknown"), "confidence": clamp(has("confidence").cast("string"), 0.6), "event_track": event_track(mode, people, said, has("scene_temporal_role"), has("event_track")), "is_reveal_of_past": mode == "past_recalled"}
+    return events.select(*[c for c in events.columns if c not in changed], *(v.alias(k) for k, v in changed.items()))
 
 
 def _edge(prefix: str, a: Column, b: Column, s: Column, t: Column, confidence: float) -> list[Column]:

@@ -52,7 +52,7 @@ def edge_normalisation(t) -> DataFrame:
 
 
 @query(f"""
-WITH {_REL}, h AS (SELECT * FROM n WHERE why IS NULL AND c >= 0.75), own AS (SELECT 'self_ordering_edge' AS type, s AS ids, count(*) AS relations FROM h WHERE s = t GROUP BY s),
+WITH {_REL}, h AS (SELECT * FROM n WHERE why IS NULL AND c >= 0.75 AND k <> 'same_time'), own AS (SELECT 'self_ordering_edge' AS type, s AS ids, count(*) AS relations FROM h WHERE s = t GROUP BY s),
 two AS (SELECT 'two_node_cycle' AS type, least(s, t) || ',' || greatest(s, t) AS ids, count(*) AS relations FROM h WHERE s <> t GROUP BY least(s, t), greatest(s, t) HAVING count(DISTINCT s < t) = 2)
 SELECT * FROM own UNION ALL SELECT * FROM two
 """)

@@ -175,13 +175,20 @@ def model_json(texts: pd.Series) -> pd.DataFrame:
     def one(text: str | None) -> tuple[bool, str | None, str | None]:
         text, error = (text or "").strip(), "empty output"
         for candidate in tries(text) if text else ():
-            for _ in range(4):
+            for _ in range(8):
                 try:
                     return True, json.dumps(json.loads(candidate), ensure_ascii=False), None
                 except json.JSONDecodeError as e:
-                    error = str(e)
-                    if e.msg != "Extra data" or not candidate[e.pos :].strip("}] \n\t"):
-                        candidate = candidate[: e.pos] if e.msg == "Extra data" else re.sub(r",\s*([}\]])", r"\1", candidate)
+                    error, at = str(e), e.pos
+                    before = candidate[:at].rstrip()
+                    if e.msg == "Extra data":
+                        candidate = before
+                    elif candidate[at : at + 1] == "," and re.match(r",\s*[}\]]", candidate[at:]):
+                        candidate = candidate[:at] + candidate[at + 1 :]
+                    elif before[-1:] == "," and candidate[at : at + 1] in ("}", "]"):
+                        candidate = before[:-1] + candidate[at:]
+                    elif candidate[at : at + 1] in ("}", "]"):
+                        candidate = candidate[:at] + candidate[at + 1 :]  # a closing sign too many
                     else:
                         break
         return False, None, error
