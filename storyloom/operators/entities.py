@@ -12,7 +12,7 @@ from ..functions.rules import entity_type
 from ..functions.similarity import ratio
 from ..functions.text import alias_key, code_tokens, match_key, name_key, name_variants, text_of, words_key
 from .graphs import components
-from .ranking import first_wins, top_per
+from .ranking import first_wins, stated, top_per
 
 
 def group_mentions(mentions: DataFrame, name: str = "name", scene: str = "scene_id", order: Sequence[Column] = (), by: Sequence[str] = ()) -> DataFrame:
@@ -72,7 +72,7 @@ def resolve_fuzzy(refs: DataFrame, aliases: DataFrame, ref: str = "ref", key: st
     """
     left = refs.select(F.col(ref), alias_key(ref).alias("qa"), match_key(ref).alias("q"), code_tokens(ref).alias("qc"))
     right = aliases.select(key, "alias", *extra, alias_key("alias").alias("aa"), match_key("alias").alias("a"), code_tokens("alias").alias("ac")).where("a <> ''")
-    pairs = right.join(F.broadcast(left))  # a caller's list against every alias
+    pairs = right.join(stated(left))
     short, long = F.least(F.length("q"), F.length("a")), F.greatest(F.length("q"), F.length("a"))
     exact, one = (F.col("qa") == F.col("aa")) | (F.col(ref) == F.col(key)), F.length("q") == 1
     code, inside = F.coalesce(F.arrays_overlap("qc", "ac"), F.lit(False)), F.contains("a", F.col("q")) | F.contains("q", F.col("a"))
@@ -129,4 +129,4 @@ def known_in_text(texts: DataFrame, aliases: DataFrame, text: str = "text", key:
     t = texts.select("*", match_key(text).alias("__t"), code_tokens(text).alias("__c"))
     a = aliases.select(key, "alias", match_key("alias").alias("__a"), code_tokens("alias").alias("__ac")).where("length(__a) >= 2")
     hit = F.contains(F.col("__t"), F.col("__a")) | F.coalesce(F.arrays_overlap("__c", "__ac"), F.lit(False))
-    return a.join(F.broadcast(t), hit).drop("__t", "__c", "__a", "__ac")
+    return a.join(stated(t), hit).drop("__t", "__c", "__a", "__ac")

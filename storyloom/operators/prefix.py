@@ -11,11 +11,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranking import numbered, running_sums
+
 
 def commit_order(operations: DataFrame, unit: str, order: str, project: str | None = None) -> DataFrame:
     """``unit, commit_index``: units by their least order, then id, numbered from 1 (within a project)."""
     by = [project] if project else []
     first = operations.groupBy(*by, unit).agg(F.min(order).alias("__o"))
+    if not by:
+        return numbered(first, [F.col("__o"), F.col(unit)], "commit_index").drop("__o")
     w = Window.partitionBy(*by).orderBy("__o", unit)
     return first.withColumn("commit_index", F.row_number().over(w)).drop("__o")
 
@@ -31,6 +35,10 @@ def snapshots(ops: DataFrame, by: Sequence[str], commit: str = "commit_index", v
     per = ops.groupBy(*by, commit).agg(
         F.count("*").alias("operations"), F.count_if(F.col("operation") == "create").alias("created"), *([F.sum(value).alias("total")] if value else [])
     )
+    if not by:
+        sums = {"operation_count": F.col("operations"), "entity_count": F.col("created")} | ({"total": F.col("total")} if value else {})
+        out = running_sums(per.withColumnRenamed("total", "__total") if value else per, [F.col(commit)], sums | ({"total": F.col("__total")} if value else {}))
+        return out.select(commit, "operation_count", "entity_count", *([F.round("total", 3).alias("total")] if value else []))
     w = Window.partitionBy(*by).orderBy(commit).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     out = per.select(*by, commit, F.sum("operations").over(w).alias("operation_count"), F.sum("created").over(w).alias("entity_count"), *([F.round(F.sum("total").over(w), 3).alias("total")] if value else []))
     return out

@@ -7,11 +7,43 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import cut_lineage
+
+#: Rows of a caller's list that may be broadcast.
+STATED_ROWS = 20_000
+
 
 def _columns(keys: Sequence[str | Column]) -> list[Column]:
     return [F.col(k) if isinstance(k, str) else k for k in keys]
 
 
+def stated(df: DataFrame, most: int = STATED_ROWS) -> DataFrame:
+    """A caller's list as the broadcast side of a join, behind a check of its size; a longer one is left to the planner."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def running_sums(df: DataFrame, order: Sequence[Column], sums: dict[str, Column]) -> DataFrame:
+    """Running sums over one global order, without sorting everything in one task.
+
+    Rows are dealt by ranges of the order; sums within a range add to the totals of the ranges before it, of which there
+    are as many as partitions. ``order`` must be total (ties by an id). Sums of one are row numbers.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    values = {f"__v{i}": c for i, c in enumerate(sums.values())}
+    dealt = cut_lineage(df.withColumns(values).repartitionByRange(parts, *order).withColumn("__range", F.spark_partition_id()))
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = dealt.groupBy("__range").agg(*(F.sum(v).alias(v) for v in values))
+    offsets = totals.select("__range", *(F.coalesce(F.sum(v).over(before), F.lit(0)).alias(f"{v}_before") for v in values))
+    upto = Window.partitionBy("__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = dealt.join(F.broadcast(offsets), "__range")  # one row a partition
+    return rows.select(*df.columns, *((F.sum(v).over(upto) + F.col(f"{v}_before")).alias(name) for name, v in zip(sums, values)))
+
+
+def numbered(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
+    """Number all rows from 1 in a global order."""
+    return running_sums(df, order, {name: F.lit(1)})
+
+
 def ranked(df: DataFrame, by: Sequence[str | Column], order: Sequence[Column], name: str = "rank") -> DataFrame:
     """Number the rows of each group from 1."""
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*_columns(by)).orderBy(*order)))

@@ -14,7 +14,7 @@ from ..functions import vocab
 from ..functions.rules import status_rank
 from ..functions.similarity import cosine, overlap_score
 from ..functions.text import context_tokens, order_before, text_of, token_set
-from .ranking import first_wins, top_per
+from .ranking import first_wins, stated, top_per
 
 
 def before(df: DataFrame, order: str, scene_id: str | None = None, bound: int | None = None, keep_null: bool = False) -> DataFrame:
@@ -43,7 +43,7 @@ def entity_memories(links: DataFrame, memories: DataFrame, entity: Column, bound
 
 def lexical(docs: DataFrame, queries: DataFrame, text: str = "text", query: str = "query", on: Column | None = None) -> DataFrame:
     """Scores of texts for a short list of queries by token overlap, coverage and density; rows without overlap go."""
-    q = F.broadcast(queries.withColumn("__q", token_set(query)))  # the caller's queries
+    q = stated(queries.withColumn("__q", token_set(query)))
     d = docs.withColumn("__t", token_set(text))
     pairs = d.join(q) if on is None else d.join(q, on)
     return pairs.withColumn("score", overlap_score("__q", "__t")).where("score > 0").drop("__q", "__t")
@@ -58,7 +58,7 @@ def namespace_rank(docs: DataFrame, query: str, weights: dict[str, float] = voca
 
 def vector_top(docs: DataFrame, queries: DataFrame, k: int, vector: str = "embedding", key: str = "vec_id", query: str = "query_id", on: Column | None = None) -> DataFrame:
     """The k nearest allowed vectors of each query (query_id, query_vector) by cosine; of equals the smaller key."""
-    q = F.broadcast(queries)  # the caller's queries
+    q = stated(queries)
     pairs = docs.join(q) if on is None else docs.join(q, on)
     scored = pairs.withColumn("score", F.round(cosine(vector, "query_vector"), 6)).where("score IS NOT NULL")
     return top_per(scored, [query], [F.col("score").desc(), F.col(key).asc()], k)

@@ -9,7 +9,9 @@ from ..functions import vocab
 from ..functions.rules import clamp, event_track, one_of
 from ..functions.similarity import ratio
 from ..functions.text import text_of
+from ..sources.scratch import cut_lineage
 from .graphs import components
+from .ranking import numbered
 
 SCENE_PRIOR, DISCOURSE_PRIOR, MIN_MATCH = 0.55, 0.35, 0.25
 
@@ -45,13 +47,15 @@ def scene_priors(events: DataFrame, scene: str, order: list[Column], event: str
 
 
 def discourse_priors(events: DataFrame, scene: str, order: list[Column], sort_key: Column, event: str = "event_id", confidence: float = DISCOURSE_PRIOR) -> DataFrame:
-    """The first event of each scene before the first of the next scene.
-
-    One row per scene is ordered; at scale the scenes of one project are one window partition.
-    """
+    """The first event of each scene before the first of the next scene, within a project if events have one."""
     first = events.withColumn("__n", F.row_number().over(Window.partitionBy(scene).orderBy(*order))).where("__n = 1").withColumn("__key", sort_key)
-    w = Window.partitionBy(*(["project_id"] if "project_id" in events.columns else [])).orderBy("__key", event)
-    paired = first.withColumn("__next", F.lead(event).over(w)).withColumn("__scene", F.lead(scene).over(w)).where("__next IS NOT NULL")
+    if "project_id" in events.columns:
+        w = Window.partitionBy("project_id").orderBy("__key", event)
+        paired = first.withColumn("__next", F.lead(event).over(w)).withColumn("__scene", F.lead(scene).over(w)).where("__next IS NOT NULL")
+    else:
+        rows = cut_lineage(numbered(first.select(scene, event, "__key"), [F.col("__key"), F.col(event)], "__at"))
+        after = rows.select((F.col("__at") - 1).alias("__at"), F.col(event).alias("__next"), F.col(scene).alias("__scene"))
+        paired = rows.join(after, "__at")
     return paired.select(F.col(scene).alias("scene_id"), *_edge("discourse_prior", F.col(scene), F.col("__scene"), F.col(event), F.col("__next"), confidence))
 
 
@@ -59,7 +63,8 @@ def buckets(order: DataFrame, symmetric: DataFrame) -> DataFrame:
     """``timeline_bucket, event_id, timeline_rank``: components over same-time edges, numbered by their first member's rank."""
     labels = components(symmetric, "source_event_id", "target_event_id", order.select(F.col("event_id").alias("node")))
     rows = order.join(labels.withColumnRenamed("node", "event_id"), "event_id")
-    first = rows.groupBy("component").agg(F.min("timeline_rank").alias("first")).withColumn("n", F.row_number().over(Window.orderBy("first")))
+    first = rows.groupBy("component").agg(F.min("timeline_rank").alias("first"))
+    first = numbered(first, [F.col("first"), F.col("component")], "n")
     return rows.join(first, "component").select(F.format_string("T%03d", F.col("n")).alias("timeline_bucket"), "event_id", "timeline_rank")
 
 

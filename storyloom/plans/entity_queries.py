@@ -10,7 +10,7 @@ from ..operators.entities import align_candidates, disambiguate, group_mentions,
 from ..operators.graphs import one_hop
 from ..operators.metrics import counters, deltas, judged, row_counts, weighted_mean
 from ..operators.prefix import parent_rollup
-from ..operators.ranking import batches, in_given_order, last_wins, neighbours
+from ..operators.ranking import batches, in_given_order, last_wins, neighbours, stated
 from ..operators.relations import clusters, fact_jobs, inverted_index, pseudo_relations, relationship_states, source_local_entities, source_local_relationships
 from .registry import query
 
@@ -117,7 +117,7 @@ SELECT n.n_nationkey AS ref, r.r_regionkey AS region, count(s_suppkey) AS suppli
 """)
 def entity_dimensions(t) -> DataFrame:
     """Entities with their dimension and the number of links, kept without links."""
-    n = t.nation.join(F.broadcast(t.region), F.col("n_regionkey") == F.col("r_regionkey"))
+    n = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
     return n.join(t.supplier, F.col("s_nationkey") == F.col("n_nationkey"), "left").groupBy(F.col("n_nationkey").alias("ref"), F.col("r_regionkey").alias("region")).agg(F.count("s_suppkey").alias("suppliers"))
 
 
@@ -172,7 +172,7 @@ def source_local_relation_rows(t) -> DataFrame:
     """Trade between nations as relations of a region, in unordered pairs."""
     l, o, c, s, n = t.lineitem, t.orders, t.customer, t.supplier, t.nation
     rows = l.join(o, l.l_orderkey == o.o_orderkey).join(c, o.o_custkey == c.c_custkey).join(s, l.l_suppkey == s.s_suppkey)
-    a, b = F.broadcast(n.select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_name").alias("src_id"), F.col("n_regionkey").alias("source_scope_id"))), F.broadcast(n.select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("tgt_id")))
+    a, b = stated(n.select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_name").alias("src_id"), F.col("n_regionkey").alias("source_scope_id"))), stated(n.select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("tgt_id")))
     rows = rows.join(a, "s_nationkey").join(b, "c_nationkey").select("source_scope_id", "src_id", "tgt_id", F.col("o_orderpriority").alias("keywords"), F.lit("trades with").alias("description"), F.col("l_discount").alias("weight"), F.col("o_orderkey").alias("timestamp"), F.col("l_linenumber").cast("string").alias("source_id"), F.col("o_orderkey").alias("source_doc_id"))
     return source_local_relationships(rows).select("source_scope_id", "a", "b", "weight", F.size(F.split("keywords", ", ")).alias("keyword_count"), F.size("source_doc_ids").alias("docs"))
 

@@ -13,7 +13,7 @@ from ..functions.text import alias_key, code_tokens, context_tokens, draft_check
 from ..operators.chunking import boundary_parts, chunk_documents, chunk_units, sections, segments
 from ..operators.evidence import audit, exact_tiers, locate
 from ..operators.retrieval import lexical
-from ..operators.ranking import top_per
+from ..operators.ranking import stated, top_per
 from .registry import query
 
 UNIT_SQL = r"[\x{4e00}-\x{9fff}]|[A-Za-z0-9]+(?:[.\-''][A-Za-z0-9]+)*"
@@ -210,7 +210,7 @@ FROM documents d JOIN benchmark b ON contains(d.text, b.text)
 """)
 def exact_evidence(t) -> DataFrame:
     """Where benchmark passages stand verbatim; the passages are the stated queries against all documents."""
-    quotes = F.broadcast(t.benchmark.select("item_id", F.col("text").alias("quote")))
+    quotes = stated(t.benchmark.select("item_id", F.col("text").alias("quote")))
     hits = t.documents.select("doc_id", "text").join(quotes, F.contains("text", F.col("quote")))
     at = exact_tiers("quote", ["text"])
     return hits.withColumn("at", at).select("doc_id", "item_id", F.col("at.start").cast("long").alias("evidence_start"), F.col("at.end").cast("long").alias("evidence_end"))
