@@ -139,7 +139,7 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_ch
     shards = max(2 * parts, -(-keys // SHARD_KEYS))
     shard = F.pmod(F.shiftright("h", 7), F.lit(shards)).cast("int").alias("shard")
     index, _ = materialize(shared.select(shard, "h", "g", "n", "first").groupBy("shard").applyInArrow(_index, _SHARD), "shards")
-    most = max(1024, held // (2 * parts))
+    most = max(256, held // (4 * parts))
     copies = index.select("shard", F.ceil(F.col("lines") / most).cast("int").alias("copies"))
     probes = wanted(lines, "h", id_filter(shared, "h")).select("*", shard).join(copies, "shard")
     probes = probes.withColumn("salt", F.pmod(F.xxhash64("doc_id", "line_no"), F.col("copies")).cast("int")).drop("copies")
