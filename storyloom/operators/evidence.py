@@ -93,6 +93,8 @@ def best_window(evidence: str, source: str) -> tuple[float, int, int] | None:
             better = best is None or score > best[0] or (score == best[0] and (at, size) < (best[1], best[2] - best[1]))
             if better:
                 best = (score, at, at + size)
+    if best is None:  # the source is shorter than any window
+        return None
     score, start, end = best
     return score, int(offsets[start]), int(offsets[end - 1]) + 1
 

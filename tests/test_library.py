@@ -281,3 +281,44 @@ def test_registered_queries_match_their_sql(spark):
             want = con.sql(sql[name]).df()
             assert sorted(got.columns) == sorted(want.columns), name
             assert len(got) == len(want), name
+
+
+def test_builders(spark):
+    from storyloom.operators import builders
+
+    units = spark.createDataFrame([("scene_0001", "t", "", "林远走进基地。他负责安全。", 1, ""), ("scene_0002", "u", "", "长" * 900, 2, "sum")], "scene_id string, title string, subtitle string, content string, discourse_index int, summary string")
+    parsed = spark.createDataFrame(
+        [("scene_0001", [("林远走进基地", "林远走进基地", "action"), ("编造", "完全没有的句子", "action")], [("林远", "基地", "guardian", "林远走进基地", "照顾"), ("a", "b", "speaks_to", "他负责安全", "")], [("乌鸦", "character", "", "", "", "x"), ("林远", "character", "", "", "", "林远"), ("那", "concept", "", "", "", "")])],
+        "scene_id string, memories array<struct<summary:string,evidence:string,memory_type:string>>, relationships array<struct<source_entity:string,target_entity:string,relation_type:string,evidence:string,status_or_change:string>>, entity_mentions array<struct<surface:string,entity_type:string,canonical_hint:string,role_in_unit:string,attributes_or_state:string,evidence:string>>",
+    )
+    made = builders.episodic_memories(parsed, units)
+    assert [(r.record_id, r.timeline_index, r.memory_temporal_scope) for r in made["memories"].collect()] == [("scene_0001_memory_001", "scene_0001:001", "temporal_episode")]
+    assert made["rejections"].count() == 1
+    assert [(r.relation_type, r.direction) for r in builders.relationship_observations(parsed, units).collect()] == [("care_commitment_to", "directed")]
+    kg = builders.kg_mentions(parsed)
+    assert {k: [r.surface for r in v.collect()] for k, v in kg.items()} == {"mentions": ["林远"], "scene_tags": ["乌鸦"], "unresolved": ["那"]}
+    prev = {r.scene_id: r.previous_context for r in builders.previous_context(units).collect()}
+    assert prev["scene_0001"] == "" and "Full text:" in prev["scene_0002"]
+    memories = spark.createDataFrame([("m1", "scene_0001", 1, 1, 1, "sum", "ev", "action")], "record_id string, scene_id string, scene_order int, chunk_index int, sequence_index int, summary string, evidence_text string, memory_type string")
+    links = spark.createDataFrame([("l1", "m1", "Lin Yuan", "actor", "ev"), ("l2", "m1", "nobody", "actor", "ev")], "record_id string, memory_record_id string, canonical_entity string, link_role string, evidence_text string")
+    aliases = spark.createDataFrame([("e1", "linyuan")], "entity_id string, normalized_alias string")
+    assert sorted(r.doc_id for r in builders.retrieval_documents(memories, links, aliases).collect()) == ["episodic_memory_entity:l1", "episodic_memory_global:m1"]
+
+
+def test_facades(spark, tmp_path):
+    from storyloom.operators.facades import ContextKernel, ExternalReferences
+
+    (tmp_path / "a.md").write_text("# Ships\nThe ship Aurora sails in 2058.\n\n# Crew\nAda King is the captain.", encoding="utf-8")
+    (tmp_path / "b.txt").write_text("Nothing of use here.", encoding="utf-8")
+    refs = ExternalReferences(spark)
+    refs.add(f"file://{tmp_path}")
+    assert refs.get_all().count() == 2
+    hits = refs.search("who is Ada King captain").orderBy("place").collect()
+    assert hits and "Ada King" in hits[0].statement and hits[0].ref_id == "C1"
+    log = spark.createDataFrame([("a", 1, "p", "conversation", "fact", "Ada", "Ada is captain", "active", 0.5, ["entity:ada"], 1, "t"), ("b", 1, "p", "external_reference", "timeline_doc", "ship", "Aurora of Ada in 2058", "active", 0.5, [], None, "t")], "item_id string, seq int, project_id string, source_type string, item_type string, subject string, statement string, status string, confidence double, entity_ids array<string>, unit_order int, updated_at string")
+    kernel = ContextKernel(log)
+    assert {(r.item_id, r.section) for r in kernel.packet("ada captain", "p").collect()} == {("a", "conversation_guidance"), ("b", "timeline_context")}
+    kernel.set_status(["a"], "rejected")
+    assert [r.item_id for r in kernel.search("ada", "p").collect()] == ["b"]
+    assert sorted(r.event for r in kernel.history().where("item_id = 'a'").collect()) == ["ADD", "REJECT", "UPDATE"]
+    assert [r.layer for r in kernel.entity_view("entity:ada").collect()] == []
