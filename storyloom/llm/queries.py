@@ -112,7 +112,7 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": OP2_SQL}
+    return {"op2_line_dedup": OP2_SQL, "op3_warc_conversion": OP3_SQL}
 
 
 _STRIP = r"'^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$'"
@@ -130,3 +130,14 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (lost) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (NOT lost), '')) AS kept_sha256
 FROM marked GROUP BY doc_id
 """
+
+# five bits at a time: two hexadecimal digits around them, shifted
+_HEX = "(strpos('0123456789abcdef', substr(h, {}, 1)) - 1)"
+OP3_SQL = f"""
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS h FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY h, n) AS first FROM p)
+SELECT page_id, n AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((({_HEX.format("(i * 5) // 4 + 1")} * 16 + {_HEX.format("(i * 5) // 4 + 2")}) >> (3 - (i * 5) % 4)) & 31)::INT + 1, 1)), '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+FROM f
+"""
