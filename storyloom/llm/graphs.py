@@ -107,7 +107,8 @@ def linked_components(rows: DataFrame, buckets: DataFrame, compatible, accept, k
     meets; ``accept(pairs)`` intersects further filters.
     """
     lead = buckets.groupBy("bucket").agg(F.min(F.struct("rank", "node", "n")).alias("l"), F.count("*").alias("size")).where("size > 1")
-    lead = lead.select("bucket", F.col("l.rank").alias("rank"), F.col("l.node").alias("node"), F.col("l.n").alias("n"), "size")
+    # written, as the tallies below, so that joins with them shuffle both sides and Spark can split a frequent bucket
+    lead, lead_path = materialize(lead.select("bucket", F.col("l.rank").alias("rank"), F.col("l.node").alias("node"), F.col("l.n").alias("n"), "size"), "leaders")
     shared, shared_path = materialize(buckets.join(lead.select("bucket"), "bucket", "left_semi"), "buckets")
     l, r = shared.alias("l"), lead.alias("r")
     first = l.join(r, "bucket").where("l.node <> r.node").where(compatible("l", "r"))
@@ -117,6 +118,7 @@ def linked_components(rows: DataFrame, buckets: DataFrame, compatible, accept, k
     owned = shared.join(labels, "node", "left").select("bucket", "node", "rank", "n", F.coalesce("component", "node").alias("comp"))
     owned, owned_path = materialize(owned, "owned")
     tally = owned.groupBy("bucket", "comp").agg(F.count("*").alias("c")).groupBy("bucket").agg(F.max(F.struct("c", "comp")).alias("m"), F.count("*").alias("comps")).where("comps > 1").select("bucket", F.col("m.comp").alias("main"))
+    tally, tally_path = materialize(tally, "tally")
     mixed, mixed_path = materialize(owned.join(tally, "bucket"), "mixed")
     l, r = mixed.where("comp <> main").alias("l"), mixed.alias("r")
     cross = l.join(r, "bucket").where("l.comp <> r.comp").where(compatible("l", "r"))
@@ -124,5 +126,5 @@ def linked_components(rows: DataFrame, buckets: DataFrame, compatible, accept, k
     more, used2 = verified(rows, accept(cross), k, percent, kept)
     discard(rows.sparkSession, path)
     labels, path = components(links.unionByName(more))
-    discard(rows.sparkSession, shared_path, owned_path, mixed_path, *used, *used2)
+    discard(rows.sparkSession, lead_path, tally_path, shared_path, owned_path, mixed_path, *used, *used2)
     return labels, [path]
