@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import token_set
-from ..operators.entities import align_candidates, disambiguate, group_mentions, majority_type, registry, resolve_exact, resolve_fuzzy, resolve_types
+from ..operators.entities import align_candidates, disambiguate, group_mentions, registry, resolve_exact, resolve_fuzzy, resolve_types
 from ..operators.graphs import one_hop
 from ..operators.metrics import counters, deltas, judged, row_counts, weighted_mean
 from ..operators.prefix import parent_rollup

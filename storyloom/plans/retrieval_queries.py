@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.similarity import hash_embedding
-from ..functions.text import high_level_keywords, low_level_keywords, retrieval_tokens, token_set
+from ..functions.text import high_level_keywords, low_level_keywords, retrieval_tokens
 from ..operators.context import packet
 from ..operators.fusion import budget, evidence_packet, fuse, memory_labels, passes
 from ..operators.ranking import binding_top, ranked, section_fill, top_per
