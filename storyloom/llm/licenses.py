@@ -81,7 +81,7 @@ class Library:
 
 
 def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every rolling hash of a text and its place: two- and four-word grams, as many of the latter padded by the former."""
+    """Every rolling hash of a text: its two-word grams and its four-word grams, each in text order."""
     for batch in batches:
         data, offsets = K.utf8_rows(batch.column(2))
         for i, j in K.blocks(offsets):

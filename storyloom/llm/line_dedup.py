@@ -12,7 +12,6 @@ every line and count for nothing. Extra columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa

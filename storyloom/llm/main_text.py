@@ -19,7 +19,7 @@ import random
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from html import escape, unescape
+from html import unescape
 
 import numpy as np
 import pyarrow as pa

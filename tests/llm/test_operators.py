@@ -9,7 +9,6 @@ from collections import defaultdict
 
 import pyarrow as pa
 import pytest
-from pyspark.sql import functions as F
 
 from storyloom.llm import kernels as K
 
