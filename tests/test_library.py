@@ -24,20 +24,20 @@ def test_text_functions(spark):
         order=text.unit_order(F.lit("scene_0012_chunk_3")),
         before=text.order_before(F.lit("scene_0001")),
         hint=text.timeline_hint(F.lit("in the year 2058 and 1999")),
-        codes=text.code_tokens(F.lit("J20C and UEG 7")),
+        codes=text.code_tokens(F.lit("K77B and ORB 7")),
         names=text.name_variants(F.lit("Dr. Ada King"), ""),
         zh=text.name_variants(F.lit("林远征"), "林王"),
         lows=text.low_level_keywords(F.lit("林远征和周明的关系是什么？")),
-        draft=text.draft_checks(F.lit("J20C 返航 M12"), ("J20C", "UEG")),
+        draft=text.draft_checks(F.lit("K77B 返航 M12"), ("K77B", "ORB")),
         sid=text.stable_id("x", F.lit("a"), F.lit(None)),
         units_of=text.narrative_units(F.lit("展现两人争执，为后文铺垫。通过动作表现急躁")),
     )
     assert (r.units, r.order, r.before, r.hint) == (7, 12, 0, "2058")
     assert r.tokens == ["a", "b", "x", "林", "b林", "林x"]
     assert sorted(r.runs) == sorted(["ab", "林远x", "林远", "远x"])
-    assert r.codes == ["j20c", "ueg", "7"] and "King, Ada" in r.names and "远征" in r.zh
+    assert r.codes == ["k77b", "orb", "7"] and "King, Ada" in r.names and "远征" in r.zh
     assert r.lows[:2] == ["林远征", "周明的"] or "林远征" in r.lows
-    assert (r.draft.anchors_present, r.draft.anchors_missing, r.draft.ref_ids) == (["J20C"], ["UEG"], ["M12"])
+    assert (r.draft.anchors_present, r.draft.anchors_missing, r.draft.ref_ids) == (["K77B"], ["ORB"], ["M12"])
     import hashlib
 
     assert r.sid == "x_" + hashlib.sha1(b"a\nNone").hexdigest()[:16]
