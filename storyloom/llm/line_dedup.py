@@ -91,9 +91,14 @@ def _combined(h: np.ndarray, g: np.ndarray) -> np.ndarray:
     return K.mix(h.view(K.U64)) ^ g.view(K.U64)
 
 
+def stripped(line: Column) -> Column:
+    return F.trim(line, F.lit(STRIPPED))
+
+
 def line_key(line: Column) -> Column:
     """The line without white space at its ends, A-Z lower-cased."""
-    return F.translate(F.trim(line, F.lit(STRIPPED)), UPPER, LOWER)
+    plain = F.octet_length(line) == F.length(line)  # of ASCII lines, the quick lower() does the same
+    return F.when(plain, F.lower(stripped(line))).otherwise(F.translate(stripped(line), UPPER, LOWER))
 
 
 _SHARD = "shard int, hash binary, fingerprints binary, counts binary, firsts binary, lines long"
@@ -130,7 +135,9 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_ch
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.struct(F.lit(0).alias("__0"), *keep).alias("kept"))
     line = F.posexplode(F.split("text", "\n")).alias("line_no", "line")
-    keyed = rows.where("doc_id IS NOT NULL").select("doc_id", F.xxhash64("text").alias("text_hash"), line).withColumn("key", line_key(F.col("line"))).where(F.length("key") >= min_chars)
+    keyed = rows.where("doc_id IS NOT NULL").select("doc_id", F.xxhash64("text").alias("text_hash"), line)
+    # lower-casing keeps the length, so short lines go before it
+    keyed = keyed.where(F.length(stripped(F.col("line"))) >= min_chars).withColumn("key", line_key(F.col("line")))
     lines = keyed.select("doc_id", "text_hash", "line_no", F.xxhash64("key").alias("h"), F.xxhash64(F.lit(1), "key").alias("g"))
     counted = lines.groupBy("h", "g").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
     shared, shared_path = materialize(counted.where("first < last").drop("last"), "shared-lines")
