@@ -45,3 +45,11 @@ def packet_markdown(title: str, items: DataFrame, sections: list[str]) -> str:
         own = [f"- {r.statement}" for r in rows if r.section == s]
         lines += [f"## {s.replace('_', ' ').title()}", *(own or ["- none"]), ""]
     return "\n".join(lines).rstrip() + "\n"
+
+
+def timeline_markdown(order: DataFrame, conflicts: DataFrame) -> str:
+    """A story order (timeline_rank, event_id, summary) and its conflicts (type, ids) as markdown."""
+    lines = ["# Timeline", ""]
+    lines += [f"{r.timeline_rank}. {r.event_id}: {r.summary or ''}".rstrip(": ") for r in order.orderBy("timeline_rank").toLocalIterator()]
+    lines += ["", "## Conflicts", *([f"- {r.type}: {', '.join(r.ids)}" for r in conflicts.orderBy("type", "ids").toLocalIterator()] or ["- none"])]
+    return "\n".join(lines) + "\n"

@@ -322,3 +322,14 @@ def test_facades(spark, tmp_path):
     assert [r.item_id for r in kernel.search("ada", "p").collect()] == ["b"]
     assert sorted(r.event for r in kernel.history().where("item_id = 'a'").collect()) == ["ADD", "REJECT", "UPDATE"]
     assert [r.layer for r in kernel.entity_view("entity:ada").collect()] == []
+
+
+def test_schemas(spark):
+    from storyloom import schemas
+    from storyloom.sources.writers import schema_json
+
+    made = {name: schemas.schema(name) for name in schemas.TABLES}
+    assert all(json.loads(text)["type"] == "struct" for text in schema_json(made).values())
+    assert spark.createDataFrame([], made["context_items"]).count() == 0
+    with pytest.raises(KeyError):
+        schemas.schema("nothing")
