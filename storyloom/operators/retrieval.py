@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 
 from ..functions import vocab
 from ..functions.rules import status_rank
-from ..functions.similarity import cosine, overlap_score
+from ..functions.similarity import cosine
 from ..functions.text import context_tokens, order_before, text_of, token_set
-from .ranking import first_wins, stated, top_per
+from .ranking import STATED_ROWS, first_wins, stated, top_per
 
 
 def before(df: DataFrame, order: str, scene_id: str | None = None, bound: int | None = None, keep_null: bool = False) -> DataFrame:
@@ -41,12 +41,19 @@ def entity_memories(links: DataFrame, memories: DataFrame, entity: Column, bound
     return near.join(memories if bound is None else memories.where(bound), "memory_id")
 
 
-def lexical(docs: DataFrame, queries: DataFrame, text: str = "text", query: str = "query", on: Column | None = None) -> DataFrame:
-    """Scores of texts for a short list of queries by token overlap, coverage and density; rows without overlap go."""
-    q = stated(queries.withColumn("__q", token_set(query)))
-    d = docs.withColumn("__t", token_set(text))
-    pairs = d.join(q) if on is None else d.join(q, on)
-    return pairs.withColumn("score", overlap_score("__q", "__t")).where("score > 0").drop("__q", "__t")
+def lexical(docs: DataFrame, queries: DataFrame, text: str = "text", query: str = "query", on: Column | None = None, key: str = "doc_id") -> DataFrame:
+    """Scores of texts for a short list of queries by token overlap, coverage and density; rows without overlap go.
+
+    Tokens of texts meet the queries' inverted index in an equi-join and are counted by text and query, so a pair costs
+    its common tokens only. ``key`` identifies a text.
+    """
+    q = queries.withColumn("__id", F.xxhash64(query)).withColumn("__q", token_set(query))
+    index = q.select("__id", F.size("__q").alias("__nq"), F.explode("__q").alias("__t")).distinct()
+    tokens = docs.select(key, token_set(text).alias("__d")).select(key, F.size("__d").alias("__nd"), F.explode("__d").alias("__t"))
+    counts = tokens.join(stated(index, 10 * STATED_ROWS), "__t").groupBy(key, "__nd", "__id", "__nq").agg(F.count("*").cast("double").alias("__n"))
+    scored = counts.select(key, "__id", F.round(F.col("__n") + F.col("__n") / F.col("__nq") + F.col("__n") / F.col("__nd"), 6).alias("score"))
+    out = scored.join(docs, key).join(stated(q.drop("__q")), "__id").drop("__id")
+    return out if on is None else out.where(on)
 
 
 def namespace_rank(docs: DataFrame, query: str, weights: dict[str, float] = vocab.NAMESPACE_WEIGHTS) -> DataFrame:
