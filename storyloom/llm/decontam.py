@@ -2,8 +2,8 @@
 
 A spaced seed is a fixed mask over successive words: some places count and the others are ignored, so a passage whose
 words were partly replaced still shares hashes with its original. Hashes of all benchmark items and of all texts are
-joined in Spark; around each hit the passage and the item are laid along their common diagonal and the best-scoring
-overlap (a match counts 1, a replaced word costs ``MISMATCH``) is verified.
+joined in Spark; at each hit the passage and the item are laid along their common diagonal, and the pair counts if any
+stretch of that diagonal has ``NEEDED`` matched words and an identity of ``IDENTITY`` percent. The longest is reported.
 
 Only text hashes in a fixed-size bit set of the benchmark's hashes leave the scan, together with the words around
 them; the bit set's false hits fall in the join. The join is salted, as one passage may be in a third of the texts.
@@ -26,8 +26,8 @@ from .store import discard, materialize, small_batches
 
 #: Masks of twelve words of which eight count, in which replaced words fall on different ignored places.
 MASKS = ("110110101101", "111010011011", "101101110101")
-SPAN, PAD, JOINED, FEWEST = 12, 48, 64, 5
-NEEDED, IDENTITY, MISMATCH = 12, 0.8, 2.0
+SPAN, FEWEST = 12, 5
+NEEDED, IDENTITY = 12, 80
 BITS, SALTS = 26, 8
 
 
@@ -69,8 +69,11 @@ def _bit_set(grams: DataFrame) -> np.ndarray:
     return out.view(np.uint64)
 
 
-def _segments(batches: Iterator[pa.RecordBatch], bits: np.ndarray, lengths: list[int]) -> Iterator[pa.RecordBatch]:
-    """Stretches of texts with possible hits: the words around them, and the hits (place in the text, gram)."""
+def _segments(batches: Iterator[pa.RecordBatch], bits: np.ndarray, lengths: list[int], pad: int) -> Iterator[pa.RecordBatch]:
+    """Stretches of texts with possible hits: ``pad`` words on either side of them, and the hits (place in the text, gram).
+
+    ``pad`` is the length of the longest item, so that every diagonal through a hit lies in one stretch.
+    """
     hit_kind = pa.list_(pa.struct([("at", pa.int32()), ("gram", pa.int64())]))
     for batch in batches:
         data, offsets = K.utf8_rows(batch.column(1))
@@ -88,13 +91,13 @@ def _segments(batches: Iterator[pa.RecordBatch], bits: np.ndarray, lengths: list
             order = np.argsort(places, kind="stable")
             grams, places = grams[order], places[order]
             rows = np.searchsorted(w.first, places, side="right") - 1
-            cuts = np.flatnonzero((np.diff(places) > JOINED) | (np.diff(rows) > 0)) + 1
+            cuts = np.flatnonzero((np.diff(places) > 2 * pad) | (np.diff(rows) > 0)) + 1
             ids = batch.column(0).slice(i, j - i).to_pylist()
             out = [[], [], [], []]
             for s, e in zip([0, *cuts.tolist()], [*cuts.tolist(), len(places)]):
                 r = rows[s]
                 base = w.first[r]
-                lo, hi = max(base, places[s] - PAD), min(w.first[r + 1], places[e - 1] + SPAN + PAD)
+                lo, hi = max(base, places[s] - pad), min(w.first[r + 1], places[e - 1] + pad)
                 out[0].append(ids[r])
                 out[1].append(int(lo - base))
                 out[2].append(w.hashes[lo:hi].view(np.int64))
@@ -102,17 +105,30 @@ def _segments(batches: Iterator[pa.RecordBatch], bits: np.ndarray, lengths: list
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.list_(pa.int64())), pa.array(out[3], hit_kind)], names=["doc_id", "first", "words", "hits"])
 
 
-def best_overlap(text: np.ndarray, item: np.ndarray, shift: int) -> tuple[int, int, int, int]:
-    """Of the item laid on the text's words at ``shift``: matches, begin and end in the item, length of the best overlap."""
+def best_overlap(text: np.ndarray, item: np.ndarray, shift: int, needed: int = 1) -> tuple[int, int, int, int]:
+    """Of the item laid on the text's words at ``shift``: matches, begin and end in the item, length of the best overlap.
+
+    That is the longest stretch of at least ``needed`` matches and ``IDENTITY`` percent, from a matched word to a matched
+    word; of equal lengths the one with the most matches, then the first. Zeros if there is none.
+    """
     lo, hi = max(0, -shift), min(len(item), len(text) - shift)
     if hi <= lo:
         return 0, 0, 0, 0
     same = text[lo + shift : hi + shift] == item[lo:hi]
-    sums = np.concatenate([[0.0], np.cumsum(np.where(same, 1.0, -MISMATCH))])
-    gain = sums - np.minimum.accumulate(sums)
-    end = int(np.argmax(gain))
-    begin = int(np.flatnonzero(sums[: end + 1] == sums[: end + 1].min())[-1])
-    return int(same[begin:end].sum()), lo + begin, lo + end, end - begin
+    begins = np.flatnonzero(same)
+    if len(begins) < needed:
+        return 0, 0, 0, 0
+    # a stretch has the identity if its sum of these is not negative; the first begin of no larger sum is the best for an end
+    sums = np.concatenate([[0], np.cumsum(np.where(same, 100 - IDENTITY, -IDENTITY))])
+    ends = begins + 1
+    lows = np.minimum.accumulate(sums[begins])
+    first = np.searchsorted(-lows, -sums[ends], side="left")
+    matched = np.arange(1, len(ends) + 1) - first
+    length = np.where(matched >= needed, ends - begins[np.minimum(first, len(begins) - 1)], 0)
+    n = np.lexsort((-np.arange(len(ends)), matched, length))[-1]
+    if length[n] <= 0:
+        return 0, 0, 0, 0
+    return int(matched[n]), int(lo + begins[first[n]]), int(lo + ends[n]), int(length[n])
 
 
 _OUT = "doc_id long, item_id long, matched_words int, overlap_words int, item_words int, first_word int, item_first int"
@@ -125,8 +141,8 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, items, firsts, diagonals = (batch.column(c).to_pylist() for c in (0, 1, 2, 3))
         for r, (doc, item, first, diagonal) in enumerate(zip(ids, items, firsts, diagonals)):
             text, own = (np.asarray(batch.column(c)[r].values.to_numpy(zero_copy_only=False)) for c in (4, 5))
-            matched, begin, _, length = best_overlap(text, own, diagonal - first)
-            if matched >= min(NEEDED, len(own)) and matched >= IDENTITY * length:
+            matched, begin, _, length = best_overlap(text, own, diagonal - first, min(NEEDED, len(own)))
+            if matched:
                 for column, value in zip(found, (doc, item, matched, length, len(own), diagonal + begin, begin)):
                     column.append(value)
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if n in ("doc_id", "item_id") else pa.int32()) for c, n in zip(found, names)], names=names)
@@ -142,18 +158,22 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", t
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     source = benchmark.select(F.col(item_key).cast("long").alias("item_id"), F.coalesce(F.col(item_text), F.lit("")).alias("text"))
     schema = "item_id long, item_words array<long>, seeds array<struct<gram: long, place: int>>"
-    sizes = source.mapInArrow(lambda b: _items(b, []), schema).select(F.size("item_words").alias("n")).where(f"n >= {FEWEST} AND n < {SPAN}").distinct()
-    lengths = sorted(r.n for r in sizes.collect())  # at most SPAN - FEWEST numbers
+    sizes = source.mapInArrow(lambda b: _items(b, []), schema).select(F.size("item_words").alias("n"))
+    rows_of_sizes = sizes.groupBy(F.least("n", F.lit(SPAN)).alias("kind")).agg(F.max("n").alias("n")).collect()  # at most SPAN + 1
+    lengths = sorted(r.n for r in rows_of_sizes if FEWEST <= r.n < SPAN)
+    pad = max((r.n for r in rows_of_sizes), default=0)
     items, items_path = materialize(source.mapInArrow(lambda b: _items(b, lengths), schema), "items")
     seeds = items.select("item_id", F.explode("seeds").alias("s")).select("item_id", "s.gram", "s.place")
     bits = spark.sparkContext.broadcast(_bit_set(seeds).tobytes())
-    found = rows.mapInArrow(lambda b: _segments(b, np.frombuffer(bits.value, np.uint64), lengths), "doc_id long, first int, words array<long>, hits array<struct<at: int, gram: long>>")
+    found = rows.mapInArrow(lambda b: _segments(b, np.frombuffer(bits.value, np.uint64), lengths, pad), "doc_id long, first int, words array<long>, hits array<struct<at: int, gram: long>>")
     segments, segments_path = materialize(found.withColumn("segment", F.monotonically_increasing_id()), "segments")
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
     hits = segments.select("segment", F.explode("hits").alias("h")).select("segment", "h.at", "h.gram", F.pmod(F.xxhash64("segment"), F.lit(SALTS)).cast("int").alias("salt"))
     pairs = hits.join(seeds.select("*", salts), ["gram", "salt"]).select("segment", "item_id", (F.col("at") - F.col("place")).alias("diagonal"), "salt").distinct()
     laid = pairs.join(segments.select("segment", "doc_id", "first", "words"), "segment").join(items.select("item_id", "item_words", salts), ["item_id", "salt"])
-    verified = laid.select("doc_id", "item_id", "first", "diagonal", "words", "item_words").mapInArrow(_verify, _OUT)
+    skipped = F.greatest(F.col("diagonal") - F.col("first"), F.lit(0))
+    beside = F.slice("words", skipped + 1, F.greatest(F.size("item_words"), F.lit(1)))
+    verified = laid.select("doc_id", "item_id", (F.col("first") + skipped).alias("first"), "diagonal", beside.alias("words"), "item_words").mapInArrow(_verify, _OUT)
     fields = [f.split()[0] for f in _OUT.split(", ")][2:]
     best = verified.groupBy("doc_id", "item_id").agg(F.max(F.struct(*(F.col(f) if f != "first_word" else (-F.col(f)).alias(f) for f in fields))).alias("m"))
     out, _ = materialize(best.select("doc_id", "item_id", *((F.col(f"m.{f}") if f != "first_word" else -F.col(f"m.{f}")).alias(f) for f in fields)), "contaminations")

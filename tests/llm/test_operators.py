@@ -279,6 +279,43 @@ def test_decontamination(spark):
     assert best_overlap(np.array([9, 1, 2, 3]), np.array([1, 2, 3, 4]), 1) == (3, 0, 3, 3)
 
 
+def longest(same, needed):
+    """By all stretches: the most (length, matches) of those from match to match with the matches and identity needed."""
+    found = [(e - b, sum(same[b:e])) for b in range(len(same)) for e in range(b + 1, len(same) + 1) if same[b] and same[e - 1] and sum(same[b:e]) >= needed and 5 * sum(same[b:e]) >= 4 * (e - b)]
+    return max(found, default=(0, 0))
+
+
+def test_decontamination_takes_any_stretch_of_a_diagonal(spark):
+    import numpy as np
+
+    from storyloom.llm.decontam import best_overlap, contaminations
+
+    r = random.Random(8)
+    for _ in range(400):
+        n, share = r.randint(1, 70), r.uniform(0, 0.5)
+        same = [r.random() >= share for _ in range(n)]
+        item = np.arange(n)
+        matched, begin, end, length = best_overlap(np.concatenate([[-5] * 3, np.where(same, item, -1)]), item, 3, 12)
+        assert (length, matched) == longest(same, 12) and end - begin == length and sum(same[begin:end]) == matched
+    fresh = lambda n: ["".join(r.choices("abcdefghij", k=6)) for _ in range(n)]
+    items = [fresh(n) for n in (60, 100, 200, 92)]
+    rows, want = [], {}
+    for i, share in enumerate([0.22, 0.25, 0.28, 0.3] * 6):
+        x = i % 3
+        same = [r.random() >= share for _ in items[x]]
+        same[20:32] = [True] * 12
+        rows.append(" ".join(fresh(30) + [w if s else "other" for w, s in zip(items[x], same)] + fresh(30)))
+        want[i, x] = longest(same, 12)
+    # twelve words, then every fourth replaced: more copied text must not make the hit vanish
+    same = [k < 12 or k % 4 != 3 for k in range(92)]
+    for n in (52, 92):
+        want[len(rows), 3] = longest(same[:n], 12)
+        rows.append(" ".join(w if s else "other" for w, s in zip(items[3][:n], same)))
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    assert {(x.doc_id, x.item_id): (x.overlap_words, x.matched_words) for x in contaminations(docs, bench).collect()} == want
+
+
 def test_warc(spark):
     from storyloom.llm import warc as W
 
