@@ -1,15 +1,17 @@
 """Benchmark decontamination by spaced-seed hashing.
 
 A spaced seed is a fixed mask over successive words: some places count and the others are ignored, so a passage whose
-words were partly replaced still shares hashes with its original. Hashes of all benchmark items and of all texts are
+words were partly replaced still shares hashes with its original. The masks are such that every stretch that counts
+holds a seed, so no pair is missed. Hashes of all benchmark items and of all texts are
 joined in Spark; at each hit the passage and the item are laid along their common diagonal, and the pair counts if any
-stretch of that diagonal has ``NEEDED`` matched words and an identity of ``IDENTITY`` percent. The longest is reported.
+stretch of that diagonal has the matched words needed and an identity of ``IDENTITY`` percent. The longest is reported.
+Needed are ``NEEDED`` words, of a shorter item ``IDENTITY`` percent of its words.
 
 Only text hashes in a fixed-size bit set of the benchmark's hashes leave the scan, together with the words around
 them; the bit set's false hits fall in the join. The join is salted, as one passage may be in a third of the texts.
 
-Defined results: null or empty texts, texts without hits and items of fewer than ``FEWEST`` words give no rows; items
-shorter than a mask are looked for as a whole. Rows of equal id are one document. Extra columns are ignored.
+Defined results: null or empty texts, texts without hits and items of fewer than ``FEWEST`` words, which any text may
+hold by chance, give no rows. Rows of equal id are one document. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,10 +26,12 @@ from pyspark.sql import functions as F
 from . import kernels as K
 from .store import discard, materialize, small_batches
 
-#: Masks of twelve words of which eight count, in which replaced words fall on different ignored places.
-MASKS = ("110110101101", "111010011011", "101101110101")
-SPAN, FEWEST = 12, 5
-NEEDED, IDENTITY = 12, 80
+#: Four words running, and five around one replaced. A stretch of at least 80% with n = 5q + r words has at most q replaced,
+#: so a run of (4q + r) / (q + 1) matches or more: four, or, where q + r <= 3, runs of three (and one of two at most) with
+#: single replaced words between them. Runs of 2 and 3 or of 2 and 2 are all there is only in items of five or six words.
+MASKS = ("1111", "111011")
+SHORT = {5: ("11011", "11101", "10111"), 6: ("110111",)}
+FEWEST, NEEDED, IDENTITY = 5, 12, 80
 BITS, SALTS = 26, 8
 
 
@@ -35,11 +39,16 @@ def _places(mask: str) -> tuple[int, ...]:
     return tuple(i for i, c in enumerate(mask) if c == "1")
 
 
-def _seeds(w: K.Words, lengths: list[int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Hashes and places of every mask, and of all words at each of the ``lengths`` of short items."""
-    for n, places in enumerate([*map(_places, MASKS), *(tuple(range(x)) for x in lengths)]):
-        h, at = K.grams(w, places)
-        yield K.mix(h ^ K.U64(n + 1 if n < len(MASKS) else 1000 + len(places))), at
+def _seeds(w: K.Words, lengths: list[int]) -> Iterator[tuple[int | None, np.ndarray, np.ndarray]]:
+    """For every mask, and those of short items of the ``lengths``: the length it is for if any, hashes and places."""
+    for n, mask in [*((None, m) for m in MASKS), *((x, m) for x in lengths for m in SHORT[x])]:
+        h, at = K.grams(w, _places(mask))
+        yield n, K.mix(h ^ K.U64(int(mask, 2))), at
+
+
+def needed(words: int) -> int:
+    """Matched words that an overlap with an item of so many words must have."""
+    return min(NEEDED, -(-IDENTITY * words // 100))
 
 
 def _items(batches: Iterator[pa.RecordBatch], lengths: list[int]) -> Iterator[pa.RecordBatch]:
@@ -50,10 +59,10 @@ def _items(batches: Iterator[pa.RecordBatch], lengths: list[int]) -> Iterator[pa
             rows, sizes = K.row_of(w.first), np.diff(w.first)
             ids = batch.column(0).slice(i, j - i).to_pylist()
             seeds = [[] for _ in ids]
-            for n, (h, at) in enumerate(_seeds(w, lengths)):
+            for n, h, at in _seeds(w, lengths):
                 for x, p in zip(h.view(np.int64).tolist(), at.tolist()):
                     r = rows[p]
-                    if sizes[r] >= FEWEST and (n < len(MASKS) or sizes[r] == lengths[n - len(MASKS)]):
+                    if sizes[r] >= FEWEST and n in (None, sizes[r]):
                         seeds[r].append({"gram": x, "place": int(p - w.first[r])})
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids, pa.int64()), pa.array([w.hashes[a:b].view(np.int64) for a, b in zip(w.first[:-1], w.first[1:])], pa.list_(pa.int64())), pa.array(seeds, pa.list_(pa.struct([("gram", pa.int64()), ("place", pa.int32())])))],
@@ -80,7 +89,7 @@ def _segments(batches: Iterator[pa.RecordBatch], bits: np.ndarray, lengths: list
         for i, j in K.blocks(offsets):
             w = K.words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], K.ALNUM)
             grams, places = [], []
-            for h, at in _seeds(w, lengths):
+            for _, h, at in _seeds(w, lengths):
                 top = (h >> K.U64(64 - BITS)).astype(np.int64)
                 hit = ((bits[top >> 6] >> (top & 63).astype(K.U64)) & K.U64(1)).astype(bool)
                 grams.append(h[hit])
@@ -141,7 +150,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, items, firsts, diagonals = (batch.column(c).to_pylist() for c in (0, 1, 2, 3))
         for r, (doc, item, first, diagonal) in enumerate(zip(ids, items, firsts, diagonals)):
             text, own = (np.asarray(batch.column(c)[r].values.to_numpy(zero_copy_only=False)) for c in (4, 5))
-            matched, begin, _, length = best_overlap(text, own, diagonal - first, min(NEEDED, len(own)))
+            matched, begin, _, length = best_overlap(text, own, diagonal - first, needed(len(own)))
             if matched:
                 for column, value in zip(found, (doc, item, matched, length, len(own), diagonal + begin, begin)):
                     column.append(value)
@@ -159,8 +168,8 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", t
     source = benchmark.select(F.col(item_key).cast("long").alias("item_id"), F.coalesce(F.col(item_text), F.lit("")).alias("text"))
     schema = "item_id long, item_words array<long>, seeds array<struct<gram: long, place: int>>"
     sizes = source.mapInArrow(lambda b: _items(b, []), schema).select(F.size("item_words").alias("n"))
-    rows_of_sizes = sizes.groupBy(F.least("n", F.lit(SPAN)).alias("kind")).agg(F.max("n").alias("n")).collect()  # at most SPAN + 1
-    lengths = sorted(r.n for r in rows_of_sizes if FEWEST <= r.n < SPAN)
+    rows_of_sizes = sizes.groupBy(F.least("n", F.lit(max(SHORT) + 1)).alias("kind")).agg(F.max("n").alias("n")).collect()  # eight at most
+    lengths = sorted(r.n for r in rows_of_sizes if r.n in SHORT)
     pad = max((r.n for r in rows_of_sizes), default=0)
     items, items_path = materialize(source.mapInArrow(lambda b: _items(b, lengths), schema), "items")
     seeds = items.select("item_id", F.explode("seeds").alias("s")).select("item_id", "s.gram", "s.place")

@@ -316,6 +316,36 @@ def test_decontamination_takes_any_stretch_of_a_diagonal(spark):
     assert {(x.doc_id, x.item_id): (x.overlap_words, x.matched_words) for x in contaminations(docs, bench).collect()} == want
 
 
+def test_decontamination_seeds_every_stretch_that_counts(spark):
+    import itertools
+
+    from storyloom.llm.decontam import FEWEST, MASKS, SHORT, contaminations, needed
+
+    # every pattern of matched words in a whole item or, of longer ones, in a stretch
+    for n in range(FEWEST, 21):
+        masks = [[i for i, c in enumerate(m) if c == "1"] for m in (*MASKS, *SHORT.get(n, ()))]
+        for lost in range(n // 5 + 1):
+            for at in itertools.combinations(range(n), lost):
+                assert any(not {p + i for i in mask} & set(at) for mask in masks for p in range(n - mask[-1])), (n, at)
+    assert [needed(n) for n in (5, 6, 10, 12, 14, 15, 99)] == [4, 5, 8, 10, 12, 12, 12]
+    r = random.Random(9)
+    fresh = lambda n: ["".join(r.choices("abcdefghij", k=6)) for _ in range(n)]
+    items = [fresh(n) for n in range(1, 21)]
+    rows, want = [], {}
+    for x, item in enumerate(items):
+        for lost in range(len(item) // 5 + 2):
+            for _ in range(3):
+                at = set(r.sample(range(len(item)), min(lost, len(item))))
+                same = [k not in at for k in range(len(item))]
+                if len(item) >= FEWEST and longest(same, needed(len(item)))[0]:
+                    want[len(rows), x] = longest(same, needed(len(item)))
+                rows.append(" ".join(fresh(9) + [w if s else "other" for w, s in zip(item, same)] + fresh(9)))
+    assert {5, 12, 13, 16, 20} <= {len(items[x]) for (_, x), (n, m) in want.items() if m < n}
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    assert {(x.doc_id, x.item_id): (x.overlap_words, x.matched_words) for x in contaminations(docs, bench).collect()} == want
+
+
 def test_warc(spark):
     from storyloom.llm import warc as W
 
