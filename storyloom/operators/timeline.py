@@ -14,6 +14,8 @@ from .graphs import components
 from .ranking import numbered
 
 SCENE_PRIOR, DISCOURSE_PRIOR, MIN_MATCH = 0.55, 0.35, 0.25
+#: What Python's ``strip`` takes away.
+SPACES = "\t\n\v\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def normalize_events(events: DataFrame) -> DataFrame:
@@ -70,19 +72,36 @@ def buckets(order: DataFrame, symmetric: DataFrame) -> DataFrame:
 
 def match_score(memory_evidence: Column, event_evidence: Column, memory_summary: Column, event_summary: Column, same_sequence: Column, similarity=ratio) -> Column:
     """0.55 evidence + 0.35 summary + 0.10 sequence; equal evidence 1, contained 0.9, else the ratio."""
-    a, b = F.trim(text_of(memory_evidence)), F.trim(text_of(event_evidence))
+    a, b = (F.trim(text_of(c), F.lit(SPACES)) for c in (memory_evidence, event_evidence))
     evidence = F.when((a == "") | (b == ""), 0.0).when(a == b, 1.0).when(F.contains(a, b) | F.contains(b, a), 0.9).otherwise(similarity(a, b))
     return F.round(0.55 * evidence + 0.35 * similarity(memory_summary, event_summary) + 0.10 * F.coalesce(same_sequence, F.lit(False)).cast("double"), 4)
 
 
-def match_memories(memories: DataFrame, events: DataFrame, score: Column, time_bound: Column, min_score: float = MIN_MATCH) -> DataFrame:
+def match_bounds(memory_evidence: Column, event_evidence: Column, memory_summary: Column, event_summary: Column, same_sequence: Column) -> tuple[Column, Column]:
+    """The least and the most that ``match_score`` can be, without a ratio: equal texts have 1, others what their lengths allow."""
+
+    def near(a: Column, b: Column, least: bool) -> Column:
+        a, b = (F.trim(text_of(c), F.lit(SPACES)) for c in (a, b))
+        most = 2.0 * F.least(F.length(a), F.length(b)) / (F.length(a) + F.length(b))
+        return F.when((a == "") | (b == ""), 0.0).when(a == b, 1.0).otherwise(F.lit(0.0) if least else most)
+
+    return tuple(match_score(memory_evidence, event_evidence, memory_summary, event_summary, same_sequence, lambda a, b, n=n: near(a, b, n)) for n in (True, False))
+
+
+def match_memories(memories: DataFrame, events: DataFrame, score: Column, time_bound: Column, min_score: float = MIN_MATCH, bounds: tuple[Column, Column] | None = None) -> DataFrame:
     """Each memory with the best event of its scene (of equal scores the first): status, event, score.
 
     Status: matched, unmatched, no_scene_temporal_event, scope_not_story_time_bound.
     ``memories`` has record_id and scene_id, ``events`` event_id, scene_id and event_position; ``score`` reads both sides as m and e.
+    With ``bounds`` (the least and the most that the score can be) only pairs that may be the best are scored; the rows are the same.
     """
-    m, e = memories.alias("m"), events.alias("e")
-    pairs = m.where(time_bound).join(e, F.col("m.scene_id") == F.col("e.scene_id")).select(F.col("m.record_id").alias("record_id"), F.col("e.event_id").alias("event_id"), F.col("e.event_position").alias("at"), score.alias("score"))
+    bound, e, same_scene = memories.where(time_bound), events.alias("e"), F.col("m.scene_id") == F.col("e.scene_id")
+    if bounds is None:
+        tried = bound.alias("m").join(e, same_scene)
+    else:
+        least = bound.alias("m").join(e, same_scene).groupBy(F.col("m.record_id").alias("record_id")).agg(F.greatest(F.max(bounds[0]), F.lit(min_score)).alias("__least"))
+        tried = bound.join(least, "record_id").alias("m").join(e, same_scene).where(bounds[1] >= F.col("m.__least"))
+    pairs = tried.select(F.col("m.record_id").alias("record_id"), F.col("e.event_id").alias("event_id"), F.col("e.event_position").alias("at"), score.alias("score"))
     best = pairs.groupBy("record_id").agg(F.max(F.struct("score", (-F.col("at")).alias("at"), "event_id")).alias("b")).select("record_id", "b.score", "b.event_id")
     counts = events.groupBy("scene_id").agg(F.count("*").alias("candidate_count"))
     joined = memories.withColumn("__bound", time_bound).join(best, "record_id", "left").join(counts, "scene_id", "left")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators.graphs import components, cyclic_nodes, degrees, normalized_edges, pair_conflicts, select_acyclic, topological
 from ..operators.social import beat_sequences, merged_effects, pressure_edges
-from ..operators.timeline import buckets, discourse_priors, match_memories, match_score, scene_priors
+from ..operators.timeline import buckets, discourse_priors, match_bounds, match_memories, match_score, scene_priors
 from .registry import query
 
 
@@ -106,12 +106,12 @@ def cycle_members(t) -> DataFrame:
 
 @query()
 def memory_event_match(t) -> DataFrame:
-    """Turns as memories against the turns of the same place in the next conversation as events."""
+    """Turns as memories against all turns of their conversation as events, by their whole texts."""
     c = t.conversations
-    memories = c.select(F.concat_ws(":", "conv_id", "turn").alias("record_id"), F.col("conv_id").alias("scene_id"), F.left("text", F.lit(80)).alias("evidence_text"), "role", F.col("turn").alias("sequence_index"))
-    events = c.select(F.concat_ws(":", "conv_id", "turn").alias("event_id"), F.col("conv_id").alias("scene_id"), F.left("text", F.lit(60)).alias("evidence"), F.col("role").alias("summary"), F.col("turn").alias("event_position"))
-    score = match_score(F.col("m.evidence_text"), F.col("e.evidence"), F.col("m.role"), F.col("e.summary"), F.col("m.sequence_index") == F.col("e.event_position"))
-    return match_memories(memories, events, score, F.col("role") != "system").select("record_id", "memory_timeline_index_status", "story_event_id", "story_time_match_score", "candidate_event_count")
+    memories = c.select(F.concat_ws(":", "conv_id", "turn").alias("record_id"), F.col("conv_id").alias("scene_id"), F.col("text").alias("evidence_text"), "role", F.col("turn").alias("sequence_index"))
+    events = c.select(F.concat_ws(":", "conv_id", "turn").alias("event_id"), F.col("conv_id").alias("scene_id"), F.col("text").alias("evidence"), F.col("role").alias("summary"), F.col("turn").alias("event_position"))
+    sides = F.col("m.evidence_text"), F.col("e.evidence"), F.col("m.role"), F.col("e.summary"), F.col("m.sequence_index") == F.col("e.event_position")
+    return match_memories(memories, events, match_score(*sides), F.col("role") != "system", bounds=match_bounds(*sides)).select("record_id", "memory_timeline_index_status", "story_event_id", "story_time_match_score", "candidate_event_count")
 
 
 def _characters(t) -> DataFrame:

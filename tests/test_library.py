@@ -161,6 +161,49 @@ def test_timeline(spark):
     assert [(r.event_id, r.event_time_mode, r.confidence, r.event_track) for r in rows] == [("s1:event_001", "present_scene", 0.6, "plot"), ("s1:e9", "past_recalled", 1.0, "memory")]
 
 
+def test_memory_event_match_takes_whole_texts(spark, tmp_path):
+    import difflib
+    import random
+
+    from storyloom.plans import catalog
+
+    def ratio(a, b):
+        a, b = (a or "").strip(), (b or "").strip()
+        return difflib.SequenceMatcher(None, a, b).ratio() if a and b else 0.0
+
+    def near(a, b):
+        a, b = (a or "").strip(), (b or "").strip()
+        return 0.0 if not a or not b else 1.0 if a == b else 0.9 if a in b or b in a else ratio(a, b)
+
+    def expected(memories, events, least):
+        out = {}
+        for m, scene, text, said, at, bound in memories:
+            own = [(round(0.55 * near(text, e[2]) + 0.35 * ratio(said, e[3]) + 0.1 * (at == e[4]), 4), -e[4], e[0]) for e in events if e[1] == scene]
+            best = max(own, default=(0.0,))
+            hit = bound and best[0] >= least
+            out[m] = ("scope_not_story_time_bound" if not bound else "matched" if hit else "unmatched" if own else "no_scene_temporal_event", best[2] if hit else None, (best[0] if hit else 0.0) if bound else None, len(own))
+        return out
+
+    r = random.Random(3)
+    long = ["".join(r.choices("abc de", k=90)) for _ in range(2)]
+    text = lambda: r.choice([None, "", "\n", r.choice(long), r.choice(long) + "".join(r.choices("xyz \u3000", k=r.randint(1, 60))), "\n" + "".join(r.choices("abc de", k=r.randint(1, 30)))])
+    rows = [(c, n, r.choice(["user", "assistant", "system"]), text()) for c in range(12) for n in range(r.randint(1, 6))]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    turns.write.parquet(f"{tmp_path}/conversations.parquet")
+    sides = [(f"{c}:{n}", c, x, role, n) for c, n, role, x in rows]
+    want = expected([(*x, x[3] != "system") for x in sides], sides, 0.25)
+    assert {x[0]: tuple(x[1:]) for x in catalog.queries()["memory_event_match"](spark, str(tmp_path)).collect()} == want
+    # other texts as events, so that the best is seldom the memory itself; the bounds change nothing
+    events = [(f"e{x[0]}", x[1] % 9, text(), r.choice(["user", "usher"]), x[4] + 1) for x in sides]
+    m = spark.createDataFrame([(*x, x[3] != "system") for x in sides], "record_id string, scene_id long, evidence_text string, role string, at long, bound boolean")
+    e = spark.createDataFrame(events, "event_id string, scene_id long, evidence string, summary string, event_position long")
+    by = F.col("m.evidence_text"), F.col("e.evidence"), F.col("m.role"), F.col("e.summary"), F.col("m.at") == F.col("e.event_position")
+    want = expected([(*x, x[3] != "system") for x in sides], events, 0.5)
+    for bounds in (None, timeline.match_bounds(*by)):
+        got = timeline.match_memories(m, e, timeline.match_score(*by), F.col("bound"), 0.5, bounds)
+        assert {x[0]: tuple(x[1:]) for x in got.select("record_id", "memory_timeline_index_status", "story_event_id", "story_time_match_score", "candidate_event_count").collect()} == want
+
+
 def test_context_state(spark):
     log = spark.createDataFrame([("i", 1, "active"), ("i", 2, "rejected"), ("i", 3, "rejected"), ("j", 1, "active")], "item_id string, seq int, status string")
     events = sorted((r.item_id, r.seq, r.event) for r in context.status_history(log).collect())
