@@ -125,7 +125,7 @@ def to_warc(record: ArcRecord, archive: str, refers: tuple[str, int, str] | None
     url, block = record.fields["URL"], record.block
     head, payload = split_http(block)
     lines = [("WARC-Type", "response"), ("WARC-Record-ID", record_id(archive, record.offset)), ("WARC-Date", warc_date(record.fields["Archive-date"]))]
-    if url.startswith("filedesc:"):
+    if record.offset == 0 and url.startswith("filedesc:"):  # the version block; elsewhere it is a page's own url
         lines[0] = ("WARC-Type", "warcinfo")
         lines.append(("WARC-Filename", url[len("filedesc://") :]))
         block = f"software: storyloom\r\nformat: WARC File Format 1.1\r\nconverted-from: ARC {block[:1].decode()}\r\n".encode()

@@ -371,6 +371,14 @@ def test_warc(spark):
             list(W.read_arc(io.BytesIO(data[:-3])))
 
 
+def test_warc_keeps_pages_whose_url_is_a_filedesc(spark):
+    from storyloom.llm import warc as W
+
+    rows = [(1, "filedesc://mine.arc", "own payload"), (2, "filedesc:x", "other"), (3, "http://a", "other")]
+    got = {r.key: (r.payload_bytes, r.record_type, r.refers_to) for r in W.archive_round_trip(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {1: (11, "response", None), 2: (5, "response", None), 3: (5, "revisit", 2)}
+
+
 def test_main_text(spark):
     from storyloom.llm import main_text as M
 
