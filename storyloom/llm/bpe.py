@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import small_batches
+from .store import small_batches, tidied
 
 #: The pattern that splits text before the merges (a fixed value of byte-level BPE files).
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -286,7 +286,7 @@ def _per_text(docs: DataFrame, source: str, key: str, text: str, one: Callable,
                 yield pa.RecordBatch.from_arrays([ids, *(pa.array([r[c] for r in rows]) for c in names)], names=["doc_id", *names])
         tools[1].forget()  # the worker serves other tasks
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(lambda b: tidied(run(b)), schema)
 
 
 def _round_trip(tools: tuple, text: str) -> dict:

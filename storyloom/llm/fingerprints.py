@@ -6,7 +6,9 @@ equal bands in Spark and verifies the Jaccard similarity of the whole shingle se
 
 Defined results: a null or empty text, or one without words, has no shingles and the fingerprint of all ones; such
 texts are alike among themselves (1.0) and unlike all others. Texts of one to four words have one shingle of all
-their words. Equal texts have equal fingerprints. Extra columns are ignored.
+their words. Equal texts have equal fingerprints. Null ids come last in descending order; rows of equal or null id follow
+each other by text. Among near duplicates rows of equal id are one document, and a null id has no class of its own (null)
+unless its text equals a named one's. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .graphs import linked_components
-from .store import discard, materialize, small_batches
+from .store import discard, materialize, small_batches, tidied
 
 PERMUTATIONS, WORDS_PER_SHINGLE, BANDS = 128, 5, 32
 _rng = np.random.default_rng(7)
@@ -121,6 +123,8 @@ def fingerprint_successions(docs: DataFrame, key: str = "doc_id", text: str = "t
     paired afterwards (as many rows as partitions). Ties in ``key`` follow the text; the last row's next is the first.
     """
     small_batches(docs.sparkSession)
+    if docs.sparkSession.conf.get("spark.sql.exchange.reuse") != "true":
+        raise ValueError("spark.sql.exchange.reuse must be on: rows dealt twice by range could fall on other partitions")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     order = [F.col("doc_id").desc_nulls_last(), F.col("text").asc()]
@@ -129,7 +133,7 @@ def fingerprint_successions(docs: DataFrame, key: str = "doc_id", text: str = "t
     # one row per partition, so one task takes them all: the first text of the next filled partition, or of the first
     by_part = Window.orderBy("part")
     pairs = edges.select("doc_id", "text", F.coalesce(F.lead("first_text").over(by_part), F.first("first_text").over(by_part)).alias("next_text"))
-    return dealt.mapInArrow(_successive, FIELDS).unionByName(pairs.mapInArrow(_across, FIELDS))
+    return dealt.mapInArrow(lambda b: tidied(_successive(b)), FIELDS).unionByName(pairs.mapInArrow(_across, FIELDS))
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,7 +163,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     same = [F.xxhash64("text").alias("h"), F.xxhash64(F.lit(1), "text").alias("g")]
     classes, classes_path = materialize(rows.select("doc_id", *same).groupBy("h", "g").agg(F.min("doc_id").alias("node")), "classes")
-    banded, path = materialize(rows.mapInArrow(_bands, "doc_id long, bands array<long>").join(classes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi"), "bands")
+    banded, path = materialize(rows.mapInArrow(lambda b: tidied(_bands(b)), "doc_id long, bands array<long>").join(classes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi"), "bands")
     zero = F.lit(0).cast("long")
     buckets = banded.select(F.explode("bands").alias("bucket"), F.col("doc_id").alias("node"), zero.alias("rank"), zero.alias("n"))
     labels, used = linked_components(rows, buckets, lambda l, r: F.lit(True), lambda pairs: pairs, WORDS_PER_SHINGLE, percent, K.ALNUM)

@@ -10,10 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .store import discard, materialize
+from .store import discard, materialize, tidied
 
-#: Bits of the filter of wanted ids: its size is fixed, whatever the number of ids; false hits go in an exact join.
-FILTER_BITS = 1 << 23
+#: Bits of a filter of wanted ids, at least and at most (16 MB); false hits go in an exact join, so the bound costs time, never rows.
+FILTER_BITS, MOST_BITS = 1 << 23, 1 << 27
 
 
 def components(links: DataFrame) -> tuple[DataFrame, str]:
@@ -40,15 +40,26 @@ def components(links: DataFrame) -> tuple[DataFrame, str]:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()), path
 
 
-def id_filter(ids: DataFrame, column: str) -> np.ndarray:
-    """A bit set of ``FILTER_BITS`` bits with one bit of each id set, made by an aggregate of at most FILTER_BITS / 64 rows."""
-    bit = F.pmod(F.xxhash64(F.col(column)), F.lit(FILTER_BITS))
+def id_filter(ids: DataFrame, column: str, bits: int = FILTER_BITS) -> np.ndarray:
+    """A bit set of ``bits`` bits with one bit of each id set, made by an aggregate of at most bits / 64 rows."""
+    bit = F.pmod(F.xxhash64(F.col(column)), F.lit(bits))
     rows = ids.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(pmod(bit, 64) AS int)))").alias("bits")).toPandas()
-    out = np.zeros(FILTER_BITS // 64, np.int64)
+    out = np.zeros(bits // 64, np.int64)
     out[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64)
     return out
 
 
+def filter_bits(ids: int, most: int = MOST_BITS) -> int:
+    """Bits of a filter for so many ids: sixteen an id, a power of two from ``FILTER_BITS`` to ``most``."""
+    return min(most, max(FILTER_BITS, 1 << (16 * max(ids, 1) - 1).bit_length()))
+
+
+def _kept(bits: np.ndarray, at: pa.Array) -> pa.Array:
+    """Which rows' bits are set."""
+    places = at.to_numpy(zero_copy_only=False).astype(np.int64)
+    return pa.array(((bits[places >> 6] >> (places & 63).astype(np.uint64)) & np.uint64(1)).astype(bool))
+
+
 def wanted(df: DataFrame, key: str, bits: np.ndarray) -> DataFrame:
     """Rows of ``df`` whose key may be in the filter: a first sieve before an exact semi join."""
     held = df.sparkSession.sparkContext.broadcast(bits.tobytes())
@@ -56,27 +67,46 @@ def wanted(df: DataFrame, key: str, bits: np.ndarray) -> DataFrame:
     def sieve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = np.frombuffer(held.value, np.uint64)
         for batch in batches:
-            at = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            hit = (words[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(hit.astype(bool))) for c in batch.columns[1:]], names=batch.schema.names[1:])
+            keep = _kept(words, batch.column(0))
+            yield pa.RecordBatch.from_arrays([c.filter(keep) for c in batch.columns[1:]], names=batch.schema.names[1:])
 
-    rows = df.select(F.pmod(F.xxhash64(F.col(key)), F.lit(FILTER_BITS)).alias("__bit"), *df.columns)
-    return rows.mapInArrow(sieve, df.schema)
+    rows = df.select(F.pmod(F.xxhash64(F.col(key)), F.lit(64 * len(bits))).alias("__bit"), *df.columns)
+    return rows.mapInArrow(lambda b: tidied(sieve(b)), df.schema)
 
 
-def shingle_sets(rows: DataFrame, k: int, kept: np.ndarray) -> DataFrame:
-    """``doc_id, shingles``: each text's sorted set of distinct shingle hashes."""
+def spread_join(left: DataFrame, right: DataFrame, key: str, by: str, rows: int) -> DataFrame:
+    """The equi-join on ``key`` of a written table with a smaller one, no task of which gets much more than its share.
+
+    Keys with more than an even share of the ``rows`` of ``left`` (there are fewer such keys than partitions) are dealt to
+    as many salts as they hold shares, by the hash of ``by``, and the rows of ``right`` with these keys are copied as often.
+    """
+    share = max(1, rows // int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    hot = left.groupBy(key).agg(F.count("*").alias("__n")).where(F.col("__n") > share).select(key, F.ceil(F.col("__n") / share).cast("int").alias("__copies"))
+    hot = F.broadcast(hot)  # fewer rows than shuffle partitions
+    copies = F.coalesce("__copies", F.lit(1))
+    dealt = left.join(hot, key, "left").withColumn("__salt", F.pmod(F.xxhash64(by), copies).cast("int")).drop("__copies")
+    copied = right.join(hot, key, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), copies - 1))).drop("__copies")
+    return dealt.join(copied, [key, "__salt"]).drop("__salt")
+
+
+def shingle_sets(rows: DataFrame, k: int, kept: np.ndarray, bits: np.ndarray) -> DataFrame:
+    """``doc_id, shingles``: the sorted set of distinct shingle hashes of each text whose id may be in the filter."""
+    held = rows.sparkSession.sparkContext.broadcast(bits.tobytes())
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = np.frombuffer(held.value, np.uint64)
         for batch in batches:
-            data, offsets = K.utf8_rows(batch.column(1))
+            keep = _kept(words, batch.column(0))
+            ids, texts = batch.column(1).filter(keep), batch.column(2).filter(keep)
+            data, offsets = K.utf8_rows(texts)
             for i, j in K.blocks(offsets):
                 h, at = K.shingle_rows(K.words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], kept), k)
                 own = [np.unique(h[s:e]).view(np.int64) for s, e in zip(at[:-1], at[1:])]
                 ends = np.concatenate([[0], np.cumsum([len(x) for x in own])]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(own)))], names=["doc_id", "shingles"])
+                yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(own)))], names=["doc_id", "shingles"])
 
-    return rows.select("doc_id", "text").mapInArrow(sets, "doc_id long, shingles array<long>")
+    bit = F.pmod(F.xxhash64("doc_id"), F.lit(64 * len(bits))).alias("__bit")
+    return rows.select(bit, "doc_id", "text").mapInArrow(lambda b: tidied(sets(b)), "doc_id long, shingles array<long>")
 
 
 def verified(rows: DataFrame, pairs: DataFrame, k: int, percent: int, kept: np.ndarray) -> tuple[DataFrame, list[str]]:
@@ -87,8 +117,7 @@ def verified(rows: DataFrame, pairs: DataFrame, k: int, percent: int, kept: np.n
     spark = rows.sparkSession
     pairs, pairs_path = materialize(pairs, "pairs")
     nodes = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    some = wanted(rows.select("doc_id", "text"), "doc_id", id_filter(nodes, "doc_id"))
-    sets, sets_path = materialize(shingle_sets(some, k, kept).join(nodes, "doc_id", "left_semi"), "sets")
+    sets, sets_path = materialize(shingle_sets(rows, k, kept, id_filter(nodes, "doc_id")).join(nodes, "doc_id", "left_semi"), "sets")
     one, two = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
     both = F.size(F.array_intersect("x", "y")).cast("long")
     linked = pairs.join(one, "a").join(two, "b").where(F.lit(100) * both >= F.lit(percent) * (F.size("x") + F.size("y") - both)).select("a", "b").distinct()

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .graphs import linked_components
-from .store import discard, materialize, small_batches
+from .store import discard, materialize, small_batches, tidied
 
 #: Cells of the sketch of document counts: 4 MB once merged, at any corpus size.
 CELLS = 1 << 22
@@ -64,7 +64,7 @@ def document_counts(rows: DataFrame, k: int, kept: np.ndarray) -> np.ndarray:
             steps = np.minimum(255, 4 * np.log2(1.0 + total)).astype(np.uint8)
             yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([steps.tobytes()], pa.binary())], names=["part", "counts"])
 
-    parts = rows.select("doc_id", "text").mapInArrow(count, "part int, counts binary")
+    parts = rows.select("doc_id", "text").mapInArrow(lambda b: tidied(count(b)), "part int, counts binary")
     merged = parts.repartition(CELLS // _PART, "part").mapInArrow(merge, "part int, counts binary")
     out = np.zeros(CELLS, np.uint8)
     for p, c in merged.collect():
@@ -74,7 +74,7 @@ def document_counts(rows: DataFrame, k: int, kept: np.ndarray) -> np.ndarray:
 
 def prefixes(rows: DataFrame, sketch: np.ndarray, k: int, percent: int, kept: np.ndarray) -> DataFrame:
     """``doc_id, n, s1, s2`` (the set's size and 128-bit sum) and the prefixes ``one`` and ``two`` in their orders."""
-    held = rows.sparkSession.sparkContext.broadcast(sketch.tobytes())
+    held = rows.sparkSession.sparkContext.broadcast(sketch.tobytes())  # CELLS bytes
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.frombuffer(held.value, np.uint8)
@@ -102,7 +102,7 @@ def prefixes(rows: DataFrame, sketch: np.ndarray, k: int, percent: int, kept: np
                     names=["doc_id", "n", "s1", "s2", "one", "two"],
                 )
 
-    return rows.select("doc_id", "text").mapInArrow(cut, "doc_id long, n long, s1 long, s2 long, one array<long>, two array<long>")
+    return rows.select("doc_id", "text").mapInArrow(lambda b: tidied(cut(b)), "doc_id long, n long, s1 long, s2 long, one array<long>, two array<long>")
 
 
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80, kept: np.ndarray = K.NON_SPACE) -> DataFrame:

@@ -5,30 +5,46 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The shared folder; a local one is set only where the session has none (a single machine, as in tests)."""
+    """The shared folder that the session names. Without one, a local folder is set where the master is local; on a cluster,
+    where each executor would write to a disk of its own, ValueError is raised."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
         root = tempfile.mkdtemp(prefix="storyloom-")
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
 
 
-#: Rows of an Arrow batch. Spark's own 10,000 would put hundreds of MB of long texts into one batch, on both sides.
-BATCH_ROWS = 1000
+#: Bytes of an Arrow batch of texts, and Spark's own default of that setting.
+BATCH_BYTES, DEFAULT_BYTES = 4 << 20, "67108864b"
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Lower the session's Arrow batch size where it is at its default; operators on whole texts call this first."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(name) == "10000":
-        spark.conf.set(name, str(BATCH_ROWS))
+    """Bound the session's Arrow batches by bytes where that bound is at its default; operators on whole texts call this first.
+
+    A batch lies in both the JVM and the Python worker, in several copies; 64 MB of it, twice a task, would be most of a
+    small executor's memory. A bound that the user has set stays.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name) == DEFAULT_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
+def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches of a task; at its end the worker, which waits for other tasks, gives Arrow's free memory back."""
+    yield from batches
+    pa.default_memory_pool().release_unused()
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:

@@ -6,7 +6,9 @@ and r is folded into the weights. Only labelled rows, at most ``most_rows`` of e
 ever brought to one place; scoring reads whole texts in the workers.
 
 Defined results: a null or empty text has no features and the model's base score. Without labelled rows of both classes
-every score is the share of toxic ones (0.0 if there are none). Extra columns are ignored.
+every score is the share of toxic ones (0.0 if there are none). Rows with a null id are scored as any other; they have no
+label to learn from and belong to neither side of a hold-out (null). Repeated rows are scored each; of a repeated id one text
+is learned from. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -16,8 +18,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import kernels as K
 from .store import small_batches
@@ -148,37 +151,33 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     share = marks.agg(F.avg("y")).first()[0]
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     some = marks.where("y = 1").orderBy(*order).limit(most_rows).unionByName(marks.where("y = 0").orderBy(*order).limit(most_rows))
+    # of a repeated id the least text, so that no more rows come here than ids
     texts = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    rows = texts.join(F.broadcast(some), "doc_id").orderBy("doc_id", "text").collect()  # at most most_rows ids of a class
+    rows = texts.join(F.broadcast(some), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y")).orderBy("doc_id").collect()  # most_rows of a class
     return fit([r.text for r in rows], np.array([r.y for r in rows]), prior=share)
 
 
+def score_of(spark: SparkSession, model: Model, text: Column) -> Column:
+    """The score of a text column. Only the text goes to the Python worker and only the score comes back."""
+    held = spark.sparkContext.broadcast(model)  # FEATURES weights
+
+    @F.arrow_udf(T.DoubleType())
+    def scored(texts: pa.Array) -> pa.Array:
+        out = np.zeros(len(texts))
+        for i, j in K.blocks(K.utf8_rows(texts)[1]):
+            out[i:j] = held.value.score([t or "" for t in texts.slice(i, j - i).to_pylist()])
+        return pa.array(out, pa.float64())
+
+    return scored(F.coalesce(text, F.lit("")))
+
+
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """``doc_id``, the columns of ``keep`` and ``score`` (0 to 1) of every whole text."""
     small_batches(docs.sparkSession)
-    held = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("__text"), *keep)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            names = batch.schema.names
-            scores = held.value.score(batch.column(1).to_pylist())
-            others = [c for c in range(batch.num_columns) if c != 1]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in others), pa.array(scores, pa.float64())], names=[*(names[c] for c in others), "score"])
-
-    fields = [f for f in rows.schema.fields if f.name != "__text"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", score double"
-    return rows.mapInArrow(run, schema)
+    return docs.select(F.col(key).cast("long").alias("doc_id"), *keep, score_of(docs.sparkSession, model, F.col(text)).alias("score"))
 
 
 def accepted(docs: DataFrame, model: Model, text: str = "text", threshold: float = 0.7) -> DataFrame:
     """The rows of ``docs``, with all their columns, whose text scores less than ``threshold``."""
     small_batches(docs.sparkSession)
-    held, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            scores = held.value.score([t or "" for t in batch.column(at).to_pylist()])
-            yield batch.filter(pa.array(scores < threshold))
-
-    return docs.mapInArrow(run, docs.schema)
+    return docs.where(score_of(docs.sparkSession, model, F.col(text)) < threshold)
