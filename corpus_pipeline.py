@@ -2,7 +2,8 @@
 
 Toxic documents go; repeated lines stay only in the first document that holds them; of each group of near duplicates
 the document of the smallest id stays; documents that overlap a benchmark item go; what is left is encoded and
-decoded. Nulls, empty texts and repeated rows follow the operators' own definitions.
+decoded. Nulls, empty texts and repeated rows follow the operators' own definitions; documents without an id are told apart
+by their texts, so that one that is toxic, a near copy or contaminated goes alone, and of copies one with an id stays.
 """
 
 from __future__ import annotations
@@ -15,6 +16,17 @@ from storyloom.llm.store import discard, materialize
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """The documents with ``key``: their id or, where it is null, a number made of the text, above any usual id."""
+    made = F.shiftrightunsigned(F.xxhash64(F.coalesce("text", F.lit(""))), 2).bitwiseOR(F.lit(1 << 62))
+    return docs.select(*COLUMNS).withColumn("key", F.coalesce(F.col("doc_id").cast("long"), made))
+
+
+def without(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """The documents (with ``key``) whose key is not among ``keys`` (doc_id)."""
+    return docs.join(keys.select(F.col("doc_id").alias("key")).distinct(), "key", "left_anti").select(*COLUMNS)
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, trained on ``labels``, does not reject."""
     from storyloom.llm.toxicity import accepted, train
@@ -33,16 +45,16 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """The document of the smallest id of each group linked by a Jaccard similarity of 0.8 on five-word shingles."""
     from storyloom.llm.jaccard import jaccard_components
 
-    others = jaccard_components(docs, k=5, percent=80).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(others, "doc_id", "left_anti")
+    rows = keyed(docs)
+    return without(rows, jaccard_components(rows, key="key", k=5, percent=80).where("doc_id <> component_id"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a verified overlap with a benchmark item."""
     from storyloom.llm.decontam import contaminations
 
-    found = contaminations(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(found, "doc_id", "left_anti")
+    rows = keyed(docs)
+    return without(rows, contaminations(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), key="key"))
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
