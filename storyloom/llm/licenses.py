@@ -10,7 +10,7 @@ of their words in order.
 The template table comes from the fixed library below (some hundred positions), whatever the input: it is broadcast.
 
 Defined results: a null or empty text has no words, no places, null first and last word, empty labels and score 0.
-Rows of equal id are separate rows. Extra columns are ignored.
+Rows of equal or null id are separate rows, equal rows have equal results. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .graphs import id_filter, wanted
-from .store import discard, materialize, small_batches
+from .store import discard, materialize, small_batches, tidied
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOWERED = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -116,6 +116,12 @@ def verify_span(own: list[str], entry: tuple[str, list[str], bool], start: int,
     return (first, last, share) if share >= (COVERED if len(template) > SHORT else 1.0) else None
 
 
+def with_spans(rows: DataFrame, spans: DataFrame, how: str = "left") -> DataFrame:
+    """Rows (doc_id, text_hash) with their spans; null ids meet each other."""
+    named = spans.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "spans")
+    return rows.join(named, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash")), how).drop("__id", "__hash")
+
+
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", library: Library | None = None) -> tuple[DataFrame, DataFrame]:
     """Two frames: ``doc_id, text_hash, n_words`` of every row, and the verified spans by ``doc_id, text_hash``:
     ``spans array<struct<label, phrase, start, end, share>>`` of texts that have any."""
@@ -123,7 +129,7 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", library: Libr
     small_batches(spark)
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
     table = F.broadcast(spark.createDataFrame(library.positions(), "gram long, template int, place int"))  # the fixed library
-    grams = rows.mapInArrow(_grams, "doc_id long, text_hash long, two array<long>, four array<long>")
+    grams = rows.mapInArrow(lambda b: tidied(_grams(b)), "doc_id long, text_hash long, two array<long>, four array<long>")
     pairs = grams.select("doc_id", "text_hash", F.explode(F.array(F.struct(F.col("two").alias("g")), F.struct(F.col("four").alias("g")))).alias("k")).select("doc_id", "text_hash", F.posexplode("k.g").alias("at", "gram"))
     votes = pairs.join(table, "gram").select("doc_id", "text_hash", "template", (F.col("at") - F.col("place")).alias("diagonal"), "at")
     lines = votes.groupBy("doc_id", "text_hash", "template", "diagonal").agg(F.min("at").alias("start"), F.max("at").alias("end"), F.count_distinct("at").alias("votes"))
@@ -140,7 +146,8 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", library: Libr
     length = F.element_at(F.create_map(*[F.lit(x) for t, (_, w, _) in enumerate(library.entries) for x in (t, len(w))]), F.col("template"))
     held = spans.where(F.col("votes") >= enough).select("doc_id", "text_hash", F.struct("template", F.greatest("from", F.lit(0)).alias("start"), F.greatest(F.col("from") + length, F.col("end") + GRAM).alias("end")).alias("s"))
     wanted_rows, path = materialize(held.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set("s")).alias("spans")), "license-spans")
-    some = wanted(rows, "text_hash", id_filter(wanted_rows, "text_hash")).dropDuplicates(["doc_id", "text_hash"]).join(wanted_rows, ["doc_id", "text_hash"])
+    some = wanted(rows, "text_hash", id_filter(wanted_rows, "text_hash")).dropDuplicates(["doc_id", "text_hash"])
+    some = with_spans(some, wanted_rows, "inner")
     entries = library.entries
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,6 +163,6 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", library: Libr
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(r, 1), batch.column(1).slice(r, 1), pa.array([list(found.values())], kind)], names=["doc_id", "text_hash", "spans"])
 
     out = "doc_id long, text_hash long, spans array<struct<label: string, phrase: boolean, start: int, end: int, share: double>>"
-    verified, _ = materialize(some.select("doc_id", "text_hash", "text", "spans").mapInArrow(verify, out), "licenses")
+    verified, _ = materialize(some.select("doc_id", "text_hash", "text", "spans").mapInArrow(lambda b: tidied(verify(b)), out), "licenses")
     discard(spark, path)
     return rows.mapInArrow(_counts, "doc_id long, text_hash long, n_words long"), verified

@@ -32,13 +32,13 @@ def op3_warc_conversion(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
-    from .licenses import scan
+    from .licenses import scan, with_spans
 
     counts, spans = scan(_table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: s["phrase"])
     labels = lambda some: F.coalesce(F.array_join(F.array_sort(F.array_distinct(F.transform(some, lambda s: s["label"]))), ","), F.lit(""))
     starts = F.transform(base, lambda s: s["start"])
-    return counts.join(spans, ["doc_id", "text_hash"], "left").select(
+    return with_spans(counts, spans).select(
         "doc_id",
         "n_words",
         F.when(F.col("spans").isNull(), 0).otherwise(F.size(base)).cast("long").alias("n_base"),
