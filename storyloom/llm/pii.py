@@ -1,10 +1,14 @@
 """Personal data by bootstrapped contextual extraction, in DataFrame functions only.
 
-Seeds are the entities that four fixed patterns find (email, ip, card, phone). The words around every seed induce lexical
-patterns: the word before, the two words before, and the words on either side. Patterns and identifier-shaped strings
-form a graph; each round scores a pattern by the share of its instances (by weight) that are trusted, and an
-instance by its patterns. Patterns that stay confident and have enough different seeds then discover identifiers of
-other shapes in the same contexts.
+Seeds are the entities that four fixed patterns find (email, ip, card, phone); matches that fail their condition, and dates,
+are known to be none. Around seeds, nones and all other identifier-shaped strings the words induce lexical patterns: the
+word before, the two and the three words before, and the words on either side. Patterns and strings form a graph.
+
+A string of unknown nature is first trusted as far as strings of its coarse shape (with letters or not, long or not) are
+entities where that is known. Each round scores a pattern by the trust in its strings, by weight, and then a string by its
+shape and its patterns. So a pattern may become confident through seeds, or through strings that look like
+them, as a label before a key of letters and digits does. Strings that are trusted and stand in a confident pattern
+with enough trusted strings are new identifiers.
 
 Every step is an explode, an aggregate, a window or a join of match rows; texts are scanned where they lie. Patterns
 with a very large share of the matches are aggregated before they are joined, and the join's skew is Spark's to split.
@@ -32,7 +36,9 @@ SEEDS = {
 #: Identifier-shaped strings: at least eight characters, four digits of them.
 SHAPE = r"(?:\G|(?<![A-Za-z0-9._@+-]))(?=(?:[A-Za-z._@+-]*+[0-9]){4})[A-Za-z0-9][A-Za-z0-9._@+-]{6,}+(?<![._@+-])"
 _PART = r"0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
-ROUNDS, FEWEST_SEEDS, CONFIDENT = 3, 5, 0.8
+#: Dates, which are no identifiers.
+DATE = r"^(?:(?:19|20)[0-9]{2}[-._]?(?:0[1-9]|1[0-2])[-._]?(?:0[1-9]|[12][0-9]|3[01])|(?:0[1-9]|[12][0-9]|3[01])[-._](?:0[1-9]|1[0-2])[-._](?:19|20)[0-9]{2})$"
+ROUNDS, FEWEST, CONFIDENT, TRUSTED, LONG = 3, 5, 0.8, 0.5, 16
 
 
 def luhn(digits: Column) -> Column:
@@ -46,7 +52,7 @@ def valid(kind: Column, match: Column) -> Column:
     """Whether a seed's further condition holds."""
     plain, digits = F.regexp_replace(match, "[ -]", ""), F.length(F.regexp_replace(match, "[^0-9]", ""))
     card = F.when(F.length(plain).between(16, 19), luhn(plain)).otherwise(False)
-    return F.when(kind == "ip", match.rlike(rf"^{_PART}(?:\.{_PART}){{3}}$")).when(kind == "card", card).when(kind == "phone", digits.between(8, 15)).otherwise(True)
+    return F.when(kind == "ip", match.rlike(rf"^{_PART}(?:\.{_PART}){{3}}$")).when(kind == "card", card).when(kind == "phone", digits.between(8, 15)).when(kind == "id", ~match.rlike(DATE)).otherwise(True)
 
 
 def _described(kind: str) -> Column:
@@ -72,41 +78,51 @@ def find_matches(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     each = rows.select("doc_id", "text_hash", F.explode(F.flatten(F.array_compact(F.array(*parts)))).alias("m")).select("doc_id", "text_hash", "m.*").dropDuplicates(["doc_id", "text_hash", "kind", "i"])
     so_far = F.sum(F.col("gap") + F.length("match")).over(Window.partitionBy("doc_id", "text_hash", "kind").orderBy("i"))
     placed = each.withColumn("end", so_far.cast("long")).withColumn("start", F.col("end") - F.length("match"))
-    # a seed that fails its condition is known to be none: it speaks against its patterns
+    # a match that fails its condition, or a date, is known to be none: it speaks against its patterns
     kind = F.when(valid(F.col("kind"), F.col("match")), F.col("kind")).otherwise("none")
     # a number too short or too long for a card says nothing either way
     digits = F.length(F.regexp_replace("match", "[ -]", ""))
     return placed.where((F.col("kind") != "card") | digits.between(16, 19)).select("doc_id", "text_hash", kind.alias("kind"), "match", "start", "end", "before", "after")
 
 
+def shape(match: Column) -> Column:
+    """A string's coarse shape, one of four."""
+    return F.concat(F.when(match.rlike("[A-Za-z]"), "mixed ").otherwise("digits "), F.when(F.length(match) >= LONG, "long").otherwise("short"))
+
+
 def contexts(matches: DataFrame) -> DataFrame:
     """Match rows with their lexical ``pattern``, one row for each."""
     word = r"[^\s]+"
     left = F.regexp_extract_all(F.lower("before"), F.lit(word), F.lit(0))
-    one = F.when(F.size(left) > 0, F.element_at(left, -1))
-    two = F.when(F.size(left) > 1, F.concat_ws(" ", F.element_at(left, -2), F.element_at(left, -1)))
+    last = lambda n: F.when(F.size(left) >= n, F.concat(F.lit(f"L{n} "), F.array_join(F.slice(left, -n, n), " ")))
     right = F.nullif(F.regexp_extract(F.lower("after"), r"^\s*([^\s]+)", 1), F.lit(""))
-    patterns = F.array_compact(F.array(F.concat(F.lit("L1 "), one), F.concat(F.lit("L2 "), two), F.concat(F.lit("LR "), one, F.lit(" _ "), right)))
-    return matches.withColumn("pattern", F.explode(patterns))
+    sides = F.when(F.size(left) >= 1, F.concat(F.lit("LR "), F.element_at(left, -1), F.lit(" _ "), right))
+    return matches.withColumn("pattern", F.explode(F.array_compact(F.array(last(1), last(2), last(3), sides))))
+
 
+def score_graph(seen: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame, list[str]]:
+    """``pattern, confidence, support`` of patterns and ``instance, trust`` of strings after the rounds, and the written tables' paths.
 
-def score_patterns(seen: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, str]:
-    """Scores of patterns over their instances: ``pattern, confidence, seeds``; and the written table's path."""
+    ``seen``: kind, match, pattern. Support is the number of distinct strings of a pattern that are trusted.
+    """
     spark = seen.sparkSession
-    edges, edges_path = materialize(seen.groupBy("pattern", F.xxhash64("match").alias("instance")).agg(F.count("*").alias("w"), F.max((~F.col("kind").isin("id", "none")).cast("int")).alias("seed"), F.max((F.col("kind") == "none").cast("int")).alias("none")), "pattern-edges")
-    trust, trust_path = materialize(edges.groupBy("instance").agg(F.max("seed").cast("double").alias("trust")), "trust")
-    for n in range(rounds):
-        scored = edges.join(trust, "instance").groupBy("pattern").agg((F.sum(F.col("w") * F.col("trust")) / F.sum("w")).alias("confidence"), F.sum("seed").alias("seeds"))
+    known = F.when(F.col("kind") == "none", 0.0).when(F.col("kind") != "id", 1.0)
+    edges, edges_path = materialize(seen.groupBy("pattern", F.xxhash64("match").alias("instance")).agg(F.count("*").alias("w"), F.max(known).alias("known"), F.max(shape(F.col("match"))).alias("shape")), "pattern-edges")
+    strings = edges.groupBy("instance").agg(F.max("known").alias("known"), F.max("shape").alias("shape"))
+    # four rows: of the strings of a shape whose nature is known, the share of entities, where there are enough of these
+    shapes = strings.groupBy("shape").agg(F.when(F.count_if(F.col("known") == 1) >= FEWEST, F.avg("known")).otherwise(0.0).alias("likely"))
+    strings, strings_path = materialize(strings.join(F.broadcast(shapes), "shape").select("instance", "known", F.coalesce("likely", F.lit(0.0)).alias("likely")), "strings")
+    trust, used = strings.select("instance", F.coalesce("known", "likely").alias("trust")), []
+    for _ in range(rounds):
+        scored = edges.join(trust, "instance").groupBy("pattern").agg((F.sum(F.col("w") * F.col("trust")) / F.sum("w")).alias("confidence"), F.count_if(F.col("trust") >= TRUSTED).alias("support"))
         patterns, path = materialize(scored, "patterns")
-        if n == rounds - 1:
-            break
-        good = patterns.where(F.col("seeds") >= FEWEST_SEEDS).select("pattern", "confidence")
-        raised = edges.join(good, "pattern", "left").groupBy("instance").agg(F.greatest(F.max("seed").cast("double"), F.when(F.max("none") == 1, 0.0).otherwise(F.coalesce(F.sum(F.col("w") * F.coalesce("confidence", F.lit(0.0))) / F.sum("w"), F.lit(0.0)))).alias("trust"))
-        new, new_path = materialize(raised, "trust")
-        discard(spark, trust_path, path)
-        trust, trust_path = new, new_path
-    discard(spark, trust_path, edges_path)
-    return patterns, path
+        told = edges.where("known IS NULL").join(patterns.where(F.col("support") >= FEWEST), "pattern").groupBy("instance").agg((F.sum(F.col("w") * F.col("confidence")) / F.sum("w")).alias("said"))
+        raised = strings.join(told, "instance", "left").select("instance", F.coalesce("known", (F.col("likely") + F.coalesce("said", F.lit(0.0))) / 2).alias("trust"))
+        trust, trust_path = materialize(raised, "trust")
+        discard(spark, *used)
+        used = [path, trust_path]
+    discard(spark, edges_path, strings_path)
+    return patterns, trust, used
 
 
 def find_personal_data(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -123,10 +139,11 @@ def find_personal_data(docs: DataFrame, key: str = "doc_id", text: str = "text")
     # an identifier-shaped string that touches a seed of its row, even a failed one, is no instance of its own
     other = apart(matches.where("kind = 'id'"), matches.where("kind <> 'id'"))
     seen, seen_path = materialize(contexts(seeds.unionByName(other)).select("doc_id", "text_hash", "kind", "match", "start", "end", "pattern"), "seen")
-    patterns, patterns_path = score_patterns(seen)
-    good = patterns.where((F.col("confidence") >= CONFIDENT) & (F.col("seeds") >= FEWEST_SEEDS)).select("pattern")
-    found = seen.where("kind = 'id'").join(good, "pattern", "left_semi").select("doc_id", "text_hash", "kind", "start", "end").distinct()
+    patterns, trust, paths = score_graph(seen)
+    good = patterns.where((F.col("confidence") >= CONFIDENT) & (F.col("support") >= FEWEST)).select("pattern")
+    sure = trust.where(F.col("trust") >= TRUSTED).select("instance")
+    found = seen.where("kind = 'id'").withColumn("instance", F.xxhash64("match")).join(good, "pattern", "left_semi").join(sure, "instance", "left_semi").select("doc_id", "text_hash", "kind", "start", "end").distinct()
     spans, _ = materialize(base.select("doc_id", "text_hash", "kind", "start", "end").withColumn("base", F.lit(True)).unionByName(found.withColumn("base", F.lit(False))), "spans")
-    discard(docs.sparkSession, matches_path, seen_path, patterns_path)
+    discard(docs.sparkSession, matches_path, seen_path, *paths)
     every = docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("text_hash"))
     return every, spans

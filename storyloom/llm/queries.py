@@ -68,6 +68,8 @@ def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
         *(F.coalesce(f"n_{k}", F.lit(0)).cast("long").alias(f"n_{k}") for k in KINDS[:4]),
         F.sha2(F.coalesce(said(F.filter("all", lambda s: s["base"])), F.lit("")), 256).alias("base_sha256"),
         F.coalesce(said(F.col("all")), F.lit("")).alias("spans"),
+        F.when(F.col("all").isNull(), 0).otherwise(F.size("all")).cast("long").alias("n_spans"),
+        F.when(F.col("all").isNull(), 0).otherwise(F.size(F.filter("all", lambda s: ~s["base"]))).cast("long").alias("n_found"),
     )
 
 
@@ -85,6 +87,13 @@ def op7_minhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_successions(_table(spark, sf_dir, "documents"))
 
 
+def near_duplicate_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fingerprints' band join: classes of texts whose five-word shingles have a Jaccard similarity of 0.8 or more."""
+    from .fingerprints import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
@@ -108,7 +117,7 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
+    return {name: f for name, f in globals().items() if (name.startswith("op") or name == "near_duplicate_classes") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
