@@ -9,14 +9,16 @@ The labelled pages come from ``labelled_pages``: layouts of its own making with
 ships no corpus; other pages can be passed in. Training takes seconds and happens once on the driver.
 
 Defined results: null or empty html, or none that is main text, gives the empty text. Unclosed and stray tags are
-handled as browsers do in the common cases (implied ends of p, li, td and the like; unknown ends are ignored).
-Columns other than the key, the url and the html are ignored.
+handled as browsers do in the common cases (implied ends of p, li, td and the like; unknown ends are ignored). A comment or
+an element without text that nothing closes does not take the rest of the page with it, except script and style.
+Rows of equal or null id are separate rows. Columns other than the key, the url and the html are ignored.
 """
 
 from __future__ import annotations
 
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from html import unescape
@@ -26,20 +28,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import small_batches
+from .store import small_batches, tidied
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br".split())
-#: Elements whose content is never text of the page.
-RAW = "script|style|noscript|template|textarea|svg|math|iframe|object|canvas|audio|video|title|select"
+#: Elements whose content is never text of the page; those that a slash at the end of their tag makes empty; those that
+#: reach to the end of the page if nothing closes them (of others without an end only the tag goes).
+RAW = frozenset("script style noscript template textarea svg math iframe object canvas audio video title select".split())
+FOREIGN, TO_THE_END = ("svg", "math"), ("script", "style")
 #: A start tag of the key ends an open element of the value (up to a container).
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tr", "td", "th", "thead", "tbody"}, "tfoot": {"tr", "td", "th", "tbody"}}
 CONTAINERS = frozenset("html body div article main section aside nav header footer form table ul ol dl blockquote td th".split())
-_TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({RAW})\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+(?:/>|>.*?(?:</\1\s*>|\Z))|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[/!?a-zA-Z][^>]*(?:>|\Z)",
-    re.S | re.I,
-)
-_ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style|itemprop)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)|(?=[\s/]|$))""", re.I)
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
+#: Declarations, and tags that are cut short or have an open quote.
+_OTHER = re.compile(r"<[/!?a-zA-Z][^>]*+>?")
+_END = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)[^>]*+>?", re.I) for name in RAW}
+_ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role|hidden|aria-hidden|style|itemprop)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)|(?=[\s/]|$))""", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 _TAGS = frozenset("a article main section nav header footer aside form button label fieldset li ul ol dl dd table td th p h1 h2 h3 h4 h5 h6 blockquote pre figure figcaption address summary details dialog menu caption body head center".split())
 #: Attribute words with a feature of their own; others give none.
@@ -88,70 +92,115 @@ def _text_features(text: str, linked: int) -> list[str]:
     return out
 
 
+def tags(html: str) -> Iterator[tuple[int, int, str, bool, str]]:
+    """What is no text of a page, in order: its begin and end, and of tags the name, whether an end tag, and the attributes.
+
+    The name is empty for comments, declarations and whole elements that hold no text. Time is linear in the page: what is
+    once not found ahead is not looked for again.
+    """
+    at, missing = 0, set()
+    while (start := html.find("<", at)) >= 0:
+        if html.startswith("<!--", start):
+            close = -1 if "--" in missing else html.find("-->", start + 2)
+            if close < 0:  # a comment without an end goes as far as the next tag's
+                missing.add("--")
+                close = html.find(">", start)
+                at = len(html) if close < 0 else close + 1
+            else:
+                at = close + 3
+            yield start, at, "", False, ""
+        elif m := _TAG.match(html, start):
+            name, end = m[2].lower(), bool(m[1])
+            at = m.end()
+            if name not in RAW or end:
+                yield start, at, name, end, m[3]
+                continue
+            if not (name in FOREIGN and m[3].endswith("/")):
+                close = None if name in missing else _END[name].search(html, at)
+                if close:
+                    at = close.end()
+                else:
+                    missing.add(name)
+                    at = len(html) if name in TO_THE_END else at
+            yield start, at, "", False, ""
+        elif m := _OTHER.match(html, start):
+            at = m.end()
+            yield start, at, "", False, ""
+        else:
+            at = start + 1
+
+
 def blocks(html: str) -> list[Block]:
     """The leaf blocks of a page, in page order, each with its features."""
     out: list[Block] = []
-    stack: list[tuple[str, frozenset[str], bool]] = [("", frozenset(), False)]
+    # of each open element: its name, the features of its text, whether it is in a link, and the innermost p up to a container
+    stack: list[tuple[str, frozenset[str], bool, int]] = [("", frozenset(), False, 0)]
+    opened: Counter[str] = Counter()
     pieces: list[str] = []
     linked = at = 0
 
+    def put(piece: str) -> None:
+        nonlocal linked
+        pieces.append(unescape(piece) if "&" in piece else piece)
+        if stack[-1][2]:
+            linked += len(piece.strip())
+
     def flush() -> None:
         nonlocal linked
         if pieces:
-            text = "".join(pieces)
+            text = " ".join("".join(pieces).split())
             pieces.clear()
-            text = " ".join((unescape(text) if "&" in text else text).split())
             if text:
                 out.append(Block(text, (*stack[-1][1], *_text_features(text, linked))))
             linked = 0
 
-    for m in _TOKEN.finditer(html):
-        if m.start() > at:
-            piece = html[at : m.start()]
-            pieces.append(piece)
-            if stack[-1][2]:
-                linked += len(piece.strip())
-        at = m.end()
-        name = m[3]
-        if name is None:
+    def close(i: int) -> None:
+        opened.subtract(e[0] for e in stack[i:])
+        del stack[i:]
+
+    for start, end, name, closes, attributes in tags(html):
+        if start > at:
+            put(html[at:start])
+        at = end
+        if not name:
             continue
-        name = name.lower()
         inline = name in INLINE
         if not inline:
             flush()
         elif name == "br":
             pieces.append(" ")
-        if m[2]:
-            for i in range(len(stack) - 1, 0, -1):
+        if closes:
+            for i in range(len(stack) - 1 if opened[name] else 0, 0, -1):
                 if stack[i][0] == name:
-                    del stack[i:]
+                    close(i)
                     break
                 if inline and stack[i][0] in CONTAINERS:
                     break
             continue
-        if name in VOID or m[4].endswith("/"):
+        if name in VOID or attributes.endswith("/"):
             continue
-        if not inline:
-            ends = ENDS.get(name)
+        ends = ENDS.get(name)
+        if ends and (opened["p"] or any(opened[e] for e in ends)):
             for i in range(len(stack) - 1, 0, -1):
                 open_ = stack[i][0]
-                if open_ == "p" or (ends and open_ in ends):
-                    del stack[i:]
-                    if not ends:
-                        break
-                elif open_ in CONTAINERS and not (ends and open_ in ("td", "th")):
+                if open_ == "p" or open_ in ends:
+                    close(i)
+                elif open_ in CONTAINERS and open_ not in ("td", "th"):
                     break
-        _, above, link = stack[-1]
-        own = _attribute_features(m[4]) if m[4] else set()
+        elif not inline and not ends and stack[-1][3]:
+            close(stack[-1][3])
+        _, above, link, p = stack[-1]
+        own = _attribute_features(attributes) if attributes else set()
         if name in _TAGS:
             own.add(f"<{name}>")
         if own - above:
             above = (above | own) - {"within the text"}
             if above & _WITHIN and not above & _APART:
                 above |= {"within the text"}
-        stack.append((name, above, link or name == "a"))
+        opened[name] += 1
+        stack.append((name, above, link or name == "a", len(stack) if name == "p" else 0 if name in CONTAINERS else p))
     if at < len(html):
-        pieces.append(html[at:])
+        put(html[at:])
     flush()
     n = len(out)
     for i, b in enumerate(out):
@@ -410,4 +459,4 @@ def extract(pages: DataFrame, field: Field | None = None, key: str = "page_id",
                 texts = [main_text(h or "", held.value) for h in batch.column(2).slice(i, 64).to_pylist()]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 64), batch.column(1).slice(i, 64), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return pages.select(F.col(key).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.col(html).cast("string").alias("html")).mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return pages.select(F.col(key).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.col(html).cast("string").alias("html")).mapInArrow(lambda b: tidied(run(b)), "page_id long, url string, text string, n_chars long")
