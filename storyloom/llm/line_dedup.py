@@ -3,8 +3,9 @@
 A line's key is hashed to 128 bits in the JVM. Keys that several documents hold are counted once, dealt to shards of a
 bounded size, and each shard becomes a minimal perfect hash with three arrays in slot order: a 64-bit fingerprint, a
 count of lines, and the first document. Documents send line hashes, never lines, to the shard they probe; the
-fingerprint turns away keys that are not indexed (lines of one document alone). A fixed-size bit filter keeps most
-of those from travelling. Shards with many probes, as of one line in a third of the documents, are copied under salts.
+fingerprint turns away keys that are not indexed (lines of one document alone). A bit filter of a bounded size keeps most
+of those from travelling. Shards with many probes, as of one line in a third of the documents, are copied under salts, so
+that no probe has more than about ``PROBES`` lines at once.
 
 Defined results: a null or empty text is one empty line. Rows of equal id are one document. Rows with a null id keep
 every line and count for nothing. Extra columns are ignored.
@@ -12,18 +13,21 @@ every line and count for nothing. Extra columns are ignored.
 
 from __future__ import annotations
 
+import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .graphs import id_filter, wanted
+from .graphs import filter_bits, id_filter, wanted
 from .store import discard, materialize, small_batches
 
 #: Keys of a shard on average at most; slots a key in the first level; levels before the rest is listed.
 SHARD_KEYS, SPREAD, LEVELS = 1 << 16, 2, 20
+#: Lines that probe a copy of a shard in one group, some 10 MB of them.
+PROBES = 1 << 18
 STRIPPED = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -117,19 +121,23 @@ def _index(group: pa.Table) -> pa.Table:
 
 def _probe(lines: pa.Table, shard: pa.Table) -> pa.Table:
     """Lines that their document loses: indexed, and first held by a smaller id."""
-    none = lines.slice(0, 0).select(["doc_id", "text_hash", "line_no"])
+    names = ["doc_id", "text_hash", "line_no"]
     if not lines.num_rows or not shard.num_rows:
-        return none
+        return lines.slice(0, 0).select(names).append_column("held", pa.array([], pa.int32()))
     ph = PerfectHash.load(shard["hash"][0].as_py())
     prints, firsts = (np.frombuffer(shard[c][0].as_py(), np.int64) for c in ("fingerprints", "firsts"))
+    counts = np.frombuffer(shard["counts"][0].as_py(), np.int32)
     h, g, doc = (lines[c].to_numpy() for c in ("h", "g", "doc_id"))
     slot = ph.slots(_combined(h, g))
     lost = (slot >= 0) & (prints[slot] == g) & (firsts[slot] < doc)
-    return lines.select(["doc_id", "text_hash", "line_no"]).filter(pa.array(lost))
+    return lines.select(names).append_column("held", pa.array(counts[slot])).filter(pa.array(lost))
 
 
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = 10, keep: tuple[str, ...] = ()) -> DataFrame:
-    """``doc_id, n_lines, n_dropped, text`` and the columns of ``keep``: each text without the lines a smaller id holds."""
+    """``doc_id, n_lines, n_dropped, n_held, text`` and the columns of ``keep``: each text without the lines a smaller id holds.
+
+    ``n_held`` is how many lines of all documents have the dropped lines' keys, by the count arrays.
+    """
     spark = docs.sparkSession
     small_batches(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -140,25 +148,30 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_ch
     keyed = keyed.where(F.length(stripped(F.col("line"))) >= min_chars).withColumn("key", line_key(F.col("line")))
     lines = keyed.select("doc_id", "text_hash", "line_no", F.xxhash64("key").alias("h"), F.xxhash64(F.lit(1), "key").alias("g"))
     counted = lines.groupBy("h", "g").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+    seen = Observation()
+    counted = counted.observe(seen, F.coalesce(F.sum("n"), F.lit(0)).alias("lines"))
     shared, shared_path = materialize(counted.where("first < last").drop("last"), "shared-lines")
     keys, held = shared.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     shards = max(2 * parts, -(-keys // SHARD_KEYS))
     shard = F.pmod(F.shiftright("h", 7), F.lit(shards)).cast("int").alias("shard")
     index, _ = materialize(shared.select(shard, "h", "g", "n", "first").groupBy("shard").applyInArrow(_index, _SHARD), "shards")
-    most = max(256, held // (4 * parts))
-    copies = index.select("shard", F.ceil(F.col("lines") / most).cast("int").alias("copies"))
-    probes = wanted(lines, "h", id_filter(shared, "h")).select("*", shard).join(copies, "shard")
+    bits = filter_bits(keys)
+    # lines of one document alone that the filter lets through fall evenly on the shards
+    strays = int(-math.expm1(-keys / bits) * (seen.get["lines"] - held)) // shards
+    most = min(PROBES, max(256, held // (4 * parts)))
+    copies = index.select("shard", F.ceil((F.col("lines") + strays) / most).cast("int").alias("copies"))
+    probes = wanted(lines, "h", id_filter(shared, "h", bits)).select("*", shard).join(copies, "shard")
     probes = probes.withColumn("salt", F.pmod(F.xxhash64("doc_id", "line_no"), F.col("copies")).cast("int")).drop("copies")
     copied = index.join(copies, "shard").select(F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("salt"), *index.columns)
-    out = "doc_id long, text_hash long, line_no int"
+    out = "doc_id long, text_hash long, line_no int, held int"
     lost = probes.groupBy("shard", "salt").cogroup(copied.groupBy("shard", "salt")).applyInArrow(lambda a, b: _probe(a, b), out)
     discard(spark, shared_path)  # the shards stay: the result reads them
     # a document's own line numbers; a repeated row has them twice
-    by_doc = lost.groupBy("doc_id", "text_hash").agg(F.collect_set("line_no").alias("lost"))
+    by_doc = lost.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("line_no", "held")).alias("found")).select("doc_id", "text_hash", F.transform("found", lambda l: l["line_no"]).alias("lost"), F.aggregate("found", F.lit(0).cast("long"), lambda n, l: n + l["held"]).alias("held"))
     joined = rows.withColumn("text_hash", F.xxhash64("text")).join(by_doc, ["doc_id", "text_hash"], "left")
     pieces = F.split("text", "\n")
     n = F.size(pieces)
     left = F.array_except(F.sequence(F.lit(0), n - 1), F.col("lost"))
     text_left = F.when(F.col("lost").isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.get("pieces", i)), "\n"))
     dropped = F.when(F.col("lost").isNull(), 0).otherwise(F.size("lost"))
-    return joined.withColumn("pieces", pieces).select("doc_id", n.cast("long").alias("n_lines"), dropped.cast("long").alias("n_dropped"), text_left.alias("text"), *(F.col("kept").getField(c).alias(c) for c in keep))
+    return joined.withColumn("pieces", pieces).select("doc_id", n.cast("long").alias("n_lines"), dropped.cast("long").alias("n_dropped"), F.coalesce("held", F.lit(0)).cast("long").alias("n_held"), text_left.alias("text"), *(F.col("kept").getField(c).alias(c) for c in keep))
