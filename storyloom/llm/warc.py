@@ -1,9 +1,9 @@
 """Legacy archives to WARC: ARC files of version 1 or 2 are parsed by their header lines and declared lengths and
 rewritten as WARC records with synthesised identifiers, timestamps, types and digests.
 
-Archives are real files in a folder that Spark writes (gzip, one stream a file): the text writer puts a record's bytes
-and the format's record separator one after another. Archives hold at most ``ARCHIVE_RECORDS`` records, so reading one
-whole keeps memory bounded. Of records with equal payloads (same SHA-1 and length) the one of the smallest key stays a
+Archives are real files in a folder that Spark writes (gzip, one stream a file): a task puts records with the format's
+separator one after another and begins a new archive once ``ARCHIVE_BYTES`` are full, so reading one whole keeps memory
+bounded. Of records with equal payloads (same SHA-1 and length) the one of the smallest key stays a
 response and the others become revisits; only digests are shuffled for that, and hot digests are salted.
 
 Defined results: a null payload is empty; a null url is ``unknown:``; white space in a url is percent-encoded; a null
@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 
 from .store import discard, fresh_path, materialize
 
-ARCHIVE_RECORDS, SALTS = 2000, 16
+#: Bytes of an archive (the last record may go beyond), and copies of a digest that many records have.
+ARCHIVE_BYTES, SALTS = 8 << 20, 16
 #: Field names of the two versions' header lines (fixed values of the format).
 FIELDS = {
     1: "URL IP-address Archive-date Content-type Archive-length",
@@ -168,9 +169,9 @@ def _binary_rows(values: list[bytes]) -> pa.RecordBatch:
 
 
 def _write(rows: DataFrame, path: str, separator: str) -> None:
-    """One file a task and ``ARCHIVE_RECORDS`` + 1 rows, in the rows' order."""
+    """One file of each row, which is a whole archive."""
     text = rows.select(F.col("value").cast("string").alias("value"))
-    text.write.option("lineSep", separator).option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").option("maxRecordsPerFile", ARCHIVE_RECORDS + 1).text(path)
+    text.write.option("lineSep", separator).option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").option("maxRecordsPerFile", 1).text(path)
 
 
 def archives(spark: SparkSession, path: str) -> DataFrame:
@@ -183,20 +184,23 @@ def write_arcs(pages: DataFrame, path: str, key: str = "page_id", url: str = "ur
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        version, n = 1 + part % 2, 0
+        version, n, records, size = 1 + part % 2, 0, [], 0
         for batch in batches:
             for i in range(0, batch.num_rows, 64):
-                values = []
                 for k, u, data in zip(*(c.slice(i, 64).to_pylist() for c in batch.columns)):
-                    if n % ARCHIVE_RECORDS == 0:
-                        name = f"part-{part:05d}-{n // ARCHIVE_RECORDS:05d}.arc"
-                        values.append(arc_version_block(version, name, date))
-                    n += 1
+                    if not records:
+                        name = f"part-{part:05d}-{n:05d}.arc"
+                        records, n = [arc_version_block(version, name, date)], n + 1
                     data = data or b""
                     where = quote(u, safe="!#$%&'()*+,/:;=?@[]~") if u else "unknown:"
                     head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n{key_header}: {'' if k is None else k}\r\nContent-Length: {len(data)}\r\n\r\n".encode()
-                    values.append(arc_header(version, where, "0.0.0.0", date, "text/html", len(head) + len(data), name) + head + data)
-                yield _binary_rows(values)
+                    records.append(arc_header(version, where, "0.0.0.0", date, "text/html", len(head) + len(data), name) + head + data)
+                    size += len(records[-1])
+                    if size >= ARCHIVE_BYTES:
+                        yield _binary_rows([b"\n".join(records)])
+                        records, size = [], 0
+        if records:
+            yield _binary_rows([b"\n".join(records)])
 
     _write(pages.select(F.col(key).cast("long"), F.col(url).cast("string"), F.col(payload).cast("binary")).mapInArrow(run, "value binary"), path, "\n")
 
@@ -240,14 +244,8 @@ def convert(arcs: DataFrame, path: str, again: DataFrame | None = None, key_head
             for r in range(batch.num_rows):
                 name = batch.column(0)[r].as_py()
                 refers = {a["offset"]: (a["archive"], a["first"], "" if a["key"] is None else str(a["key"])) for a in batch.column(2)[r].as_py() or []}
-                values = []
-                for record in read_arc(unpacked(batch.column(1)[r].as_py())):
-                    values.append(to_warc(record, name, refers.get(record.offset), key_header))
-                    if len(values) == 64:
-                        yield _binary_rows(values)
-                        values = []
-                if values:
-                    yield _binary_rows(values)
+                records = [to_warc(record, name, refers.get(record.offset), key_header) for record in read_arc(unpacked(batch.column(1)[r].as_py()))]
+                yield _binary_rows([b"\r\n\r\n".join(records)])
 
     none = F.lit(None).cast("array<struct<offset: long, archive: string, first: long, key: long>>")
     rows = arcs.join(again, "archive", "left").select("archive", "content", "again") if again is not None else arcs.withColumn("again", none)
