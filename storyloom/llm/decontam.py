@@ -8,10 +8,11 @@ stretch of that diagonal has the matched words needed and an identity of ``IDENT
 Needed are ``NEEDED`` words, of a shorter item ``IDENTITY`` percent of its words.
 
 Only text hashes in a fixed-size bit set of the benchmark's hashes leave the scan, together with the words around
-them; the bit set's false hits fall in the join. The join is salted, as one passage may be in a third of the texts.
+them; the bit set's false hits fall in the join. Seeds and items that many texts hold, as of a passage in a third of them,
+are spread over as many tasks as they hold shares of all hits.
 
 Defined results: null or empty texts, texts without hits and items of fewer than ``FEWEST`` words, which any text may
-hold by chance, give no rows. Rows of equal id are one document. Extra columns are ignored.
+hold by chance, give no rows. Rows of equal id, also of null id, are one document. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,7 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .store import discard, materialize, small_batches
+from .graphs import spread_join
+from .store import discard, materialize, small_batches, tidied
 
 #: Four words running, and five around one replaced. A stretch of at least 80% with n = 5q + r words has at most q replaced,
 #: so a run of (4q + r) / (q + 1) matches or more: four, or, where q + r <= 3, runs of three (and one of two at most) with
@@ -32,7 +34,7 @@ from .store import discard, materialize, small_batches
 MASKS = ("1111", "111011")
 SHORT = {5: ("11011", "11101", "10111"), 6: ("110111",)}
 FEWEST, NEEDED, IDENTITY = 5, 12, 80
-BITS, SALTS = 26, 8
+BITS = 26
 
 
 def _places(mask: str) -> tuple[int, ...]:
@@ -174,17 +176,19 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", t
     items, items_path = materialize(source.mapInArrow(lambda b: _items(b, lengths), schema), "items")
     seeds = items.select("item_id", F.explode("seeds").alias("s")).select("item_id", "s.gram", "s.place")
     bits = spark.sparkContext.broadcast(_bit_set(seeds).tobytes())
-    found = rows.mapInArrow(lambda b: _segments(b, np.frombuffer(bits.value, np.uint64), lengths, pad), "doc_id long, first int, words array<long>, hits array<struct<at: int, gram: long>>")
+    found = rows.mapInArrow(lambda b: tidied(_segments(b, np.frombuffer(bits.value, np.uint64), lengths, pad)), "doc_id long, first int, words array<long>, hits array<struct<at: int, gram: long>>")
     segments, segments_path = materialize(found.withColumn("segment", F.monotonically_increasing_id()), "segments")
-    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
-    hits = segments.select("segment", F.explode("hits").alias("h")).select("segment", "h.at", "h.gram", F.pmod(F.xxhash64("segment"), F.lit(SALTS)).cast("int").alias("salt"))
-    pairs = hits.join(seeds.select("*", salts), ["gram", "salt"]).select("segment", "item_id", (F.col("at") - F.col("place")).alias("diagonal"), "salt").distinct()
-    laid = pairs.join(segments.select("segment", "doc_id", "first", "words"), "segment").join(items.select("item_id", "item_words", salts), ["item_id", "salt"])
+    hits = segments.select("segment", F.explode("hits").alias("h")).select("segment", "h.at", "h.gram")
+    n_hits = segments.agg(F.coalesce(F.sum(F.size("hits")), F.lit(0))).first()[0]
+    met = spread_join(hits, seeds, "gram", "segment", n_hits).select("segment", "item_id", (F.col("at") - F.col("place")).alias("diagonal")).distinct()
+    pairs, pairs_path = materialize(met, "diagonals")
+    laid = spread_join(pairs, items.select("item_id", "item_words"), "item_id", "segment", pairs.count()).join(segments.select("segment", "doc_id", "first", "words"), "segment")
     skipped = F.greatest(F.col("diagonal") - F.col("first"), F.lit(0))
     beside = F.slice("words", skipped + 1, F.greatest(F.size("item_words"), F.lit(1)))
-    verified = laid.select("doc_id", "item_id", (F.col("first") + skipped).alias("first"), "diagonal", beside.alias("words"), "item_words").mapInArrow(_verify, _OUT)
+    verified = laid.select("doc_id", "item_id", (F.col("first") + skipped).alias("first"), "diagonal", beside.alias("words"), "item_words").mapInArrow(lambda b: tidied(_verify(b)), _OUT)
     fields = [f.split()[0] for f in _OUT.split(", ")][2:]
     best = verified.groupBy("doc_id", "item_id").agg(F.max(F.struct(*(F.col(f) if f != "first_word" else (-F.col(f)).alias(f) for f in fields))).alias("m"))
     out, _ = materialize(best.select("doc_id", "item_id", *((F.col(f"m.{f}") if f != "first_word" else -F.col(f"m.{f}")).alias(f) for f in fields)), "contaminations")
-    discard(spark, items_path, segments_path)
+    discard(spark, items_path, segments_path, pairs_path)
+    bits.unpersist()
     return out
