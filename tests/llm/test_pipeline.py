@@ -1,4 +1,4 @@
-"""The pipeline against a brute-force version of its stages, and the registered queries' columns."""
+"""The pipeline against a brute-force version of its stages, and on odd tables."""
 
 import random
 
@@ -61,3 +61,35 @@ def test_stages_keep_the_columns(spark, folder):
     docs = spark.read.parquet(f"{folder[0]}/documents.parquet")
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, folder[0]).columns == list(corpus_pipeline.COLUMNS), name
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key long, score double, line string, component_id long"
+
+
+def test_pipeline_on_empty_tables(spark, tmp_path):
+    spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_pipeline_on_null_ids_repeated_rows_and_clashing_columns(spark, tmp_path):
+    r = random.Random(12)
+    fresh = lambda n: " ".join("".join(r.choices("abcdefghij", k=4)) for _ in range(n))
+    item, base, clean = fresh(30), fresh(60), fresh(40)
+    near = base.split()
+    near[30] = "changed"
+    rows = [(None, clean), (None, f"{fresh(9)} {item} {fresh(9)}"), (None, " ".join(near)), (1, base), (2, fresh(30)), (2, "another text of the same id " + fresh(9)), (3, f"{item} {fresh(5)}"), (None, None), (None, "")]
+    same = fresh(50)
+    rows += [(7, same), (7, same), (8, same), (None, same)]
+    spark.createDataFrame([(i, t, "en", "s", len(t or ""), 5, 0.5, "x", 1) for i, t in rows], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(2, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(0, item), (1, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    from collections import Counter
+
+    kept = Counter(x.doc_id for x in corpus_pipeline.run(spark, str(tmp_path)).collect())
+    # the clean text and the two empty ones stay, the contaminated, the near copy and the equal text go; id 8 loses its only line
+    assert kept == Counter({None: 3, 1: 1, 2: 2, 7: 2, 8: 1})
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs, str(tmp_path)).columns == list(corpus_pipeline.COLUMNS), name
