@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import vocab
-from .text import CJK, col, contains_any, count_contained, embedded_code, name_key, text_of
+from .text import CJK, col, contains_any, count_contained, embedded_code, name_key, once, text_of
 
 
 def lookup(value: Column, table: Mapping[str, str], default: Column | None = None) -> Column:
@@ -124,22 +124,22 @@ def scene_tag(surface: Column | str, kind: Column | str, role: Column | str, sta
     either = F.concat_ws(" ", role, state)
     tag = lambda name: F.lit(name)
     background = (
-        F.when((s == "太阳") & contains_any(said, ("太阳危机", "太阳氦闪")), tag(""))
-        .when(contains_any(s, ("弹痕", "残垣", "杂草", "积水", "水管", "巴士", "建筑", "栅栏门")), tag("background_element"))
+        F.when((s == "太阳") & contains_any(said, vocab.SUN_NAMES), tag(""))
+        .when(contains_any(s, vocab.BACKGROUND_PARTS), tag("background_element"))
         .when(s == "太阳", tag("atmosphere"))
         .when(t.isin("character", "object"), tag("minor_visual_detail"))
         .otherwise(tag("background_element"))
     )
-    listed = contains_any(s, ("山火", "旱灾", "物种", "城市")) & contains_any(said, ("一场", "一次", "一个", "一座", "，", "、"))
+    listed = contains_any(s, vocab.LISTED_DISASTERS) & contains_any(said, vocab.LISTING_WORDS)
     signal = (
         ((F.length(s) >= 6) & contains_any(s, vocab.OCCASION_LONG_SIGNALS))
         | ((F.length(s) >= 4) & contains_any(s, vocab.OCCASION_SHORT_SIGNALS))
-        | contains_any(role, ("named", "trackable", "recurring", "central", "planned", "operation"))
-        | contains_any(state, ("named", "trackable", "recurring", "central", "planned", "formal"))
-        | ((F.length(s) >= 4) & contains_any(said, (*vocab.OCCASION_LONG_SIGNALS, "氦闪", "事件")))
+        | contains_any(role, (*vocab.TRACKED_WORDS, "operation"))
+        | contains_any(state, (*vocab.TRACKED_WORDS, "formal"))
+        | ((F.length(s) >= 4) & contains_any(said, (*vocab.OCCASION_LONG_SIGNALS, *vocab.OCCASION_SHORT_SIGNALS[:2])))
     )
     occasion = (
-        F.when(_key_in(key, vocab.OCCASION_SURFACES), F.when(contains_any(s, ("山火", "旱灾", "灭绝", "消失")), tag("illustrative_example")).otherwise(tag("generic_activity")))
+        F.when(_key_in(key, vocab.OCCASION_SURFACES), F.when(contains_any(s, vocab.EXAMPLE_DISASTERS), tag("illustrative_example")).otherwise(tag("generic_activity")))
         .when(listed, tag("illustrative_example"))
         .when(~signal, tag("generic_activity"))
         .otherwise(tag(""))
@@ -150,9 +150,9 @@ def scene_tag(surface: Column | str, kind: Column | str, role: Column | str, sta
         .when(_key_in(key, vocab.BACKGROUND_SURFACES), background)
         .when((t == "occasion") & (occasion != ""), occasion)
         .when(thing & (F.contains(role, F.lit("background")) | F.contains(state, F.lit("background")) | F.contains(s, F.lit("背景"))), tag("background_element"))
-        .when(thing & contains_any(either, ("atmosphere", "mood")), tag("atmosphere"))
-        .when((t == "character") & contains_any(either, ("animal", "creature", "wildlife")), tag("minor_visual_detail"))
-        .when(t.isin("object", "location") & (contains_any(either, ("ruin", "wreckage", "debris", "environment", "scenery", "visual detail")) | contains_any(s, ("残垣", "弹痕", "废墟", "杂草", "积水"))), tag("background_element"))
+        .when(thing & contains_any(either, vocab.ATMOSPHERE_WORDS), tag("atmosphere"))
+        .when((t == "character") & contains_any(either, vocab.ANIMAL_WORDS), tag("minor_visual_detail"))
+        .when(t.isin("object", "location") & (contains_any(either, vocab.SCENERY_WORDS) | contains_any(s, vocab.SCENERY_PARTS)), tag("background_element"))
         .otherwise(tag(""))
     )
 
@@ -179,71 +179,95 @@ def temporal_scope(
 
     A durable state is blocked by the first ``blocking`` episode cues only.
     """
-    kind, low = F.lower(F.trim(text_of(memory_type))), F.lower(text_of(text))
+    kind = F.lower(F.trim(text_of(memory_type)))
     given = F.lit(None).cast("string") if explicit is None else F.trim(text_of(explicit))
     is_ = lambda scope, confidence: F.struct(F.lit(scope).alias("scope"), F.lit(confidence).alias("confidence"))
-    rule = lambda words: contains_any(low, [w.lower() for w in words])
-    return (
-        F.when(given.isin(*vocab.TEMPORAL_SCOPES), F.struct(given.alias("scope"), F.lit(0.95).alias("confidence")))
-        .when((kind.isin(*vocab.DURABLE_TYPES) | rule(durable)) & ~rule(episode[:blocking]), is_("durable_state", 0.72))
-        .when(kind.isin(*vocab.ATEMPORAL_TYPES) & rule(atemporal), is_("atemporal_fact", 0.78))
-        .when(kind.isin(*vocab.TIME_BOUND_TYPES) | rule(episode), is_("temporal_episode", 0.8))
-        .when(rule(atemporal), is_("atemporal_fact", 0.62))
-        .otherwise(is_("uncertain", 0.45))
-    )
+
+    def scoped(low: Column) -> Column:
+        rule = lambda words: contains_any(low, [w.lower() for w in words])
+        return (
+            F.when(given.isin(*vocab.TEMPORAL_SCOPES), F.struct(given.alias("scope"), F.lit(0.95).alias("confidence")))
+            .when((kind.isin(*vocab.DURABLE_TYPES) | rule(durable)) & ~rule(episode[:blocking]), is_("durable_state", 0.72))
+            .when(kind.isin(*vocab.ATEMPORAL_TYPES) & rule(atemporal), is_("atemporal_fact", 0.78))
+            .when(kind.isin(*vocab.TIME_BOUND_TYPES) | rule(episode), is_("temporal_episode", 0.8))
+            .when(rule(atemporal), is_("atemporal_fact", 0.62))
+            .otherwise(is_("uncertain", 0.45))
+        )
+
+    return once(F.lower(text_of(text)), scoped)
 
 
 def is_time_bound(scope: Column) -> Column:
     return scope.isin("temporal_episode", "uncertain")
 
 
-DIALOGUE = rf"[：:][“\"'‘（(]|[\w{CJK}]+\s*[：:]|[{CJK}A-Za-z0-9_（）()·]+[：:]"
+#: Speaker-like lines. A run of name characters is tried from its start only (or from the end of the last match) and never
+#: given back, as no later start or shorter run of it could match; so the scan is linear.
+DIALOGUE = rf"[：:][“\"'‘（(]|(?<![\w{CJK}])[\w{CJK}]++\s*+[：:]|(?:\G|(?<![{CJK}A-Za-z0-9_（）()·]))[{CJK}A-Za-z0-9_（）()·]++[：:]"
 VOICE_OVER = r"(?i)(解说|旁白|画外音|VO|V\.O\.|OS|O\.S\.)"
 
 
 def scene_class(title: Column | str, content: Column | str, cues: Mapping[str, Sequence[str]] | None = None) -> Column:
-    """A scene's type, policies, reasons and signals, by counts of cues.
+    """A scene's type, policies, reasons and signals, by counts of cues; every cue and pattern is counted once.
 
     ``cues`` may replace any of visual, cg, conflict, action, exposition, character, montage.
     """
     words = {"visual": vocab.VISUAL_CUES, "cg": vocab.CG_CUES, "conflict": vocab.CONFLICT_CUES, "action": vocab.ACTION_CUES, "exposition": vocab.EXPOSITION_CUES, "character": vocab.CHARACTER_CUES, "montage": vocab.MONTAGE_CUES} | dict(cues or {})
     body = text_of(content)
-    both = F.concat_ws("\n", text_of(title), body)
-    hits = {k: count_contained(both, w) for k, w in words.items()}
-    lines, size, voice = F.regexp_count(body, F.lit(DIALOGUE)), F.length(body), F.regexp_count(both, F.lit(VOICE_OVER))
-    talk, conflict, change = lines > 0, hits["conflict"] > 0, (hits["action"] > 0) | (hits["cg"] > 0)
-    heavy, montage = (hits["visual"] + hits["cg"] >= 3) & (lines <= 1), hits["montage"] > 0
-    told, still = (voice > 0) | (hits["exposition"] >= 2), (lines == 0) & (hits["conflict"] == 0) & (hits["action"] <= 1)
-    kind = (
-        F.when(size == 0, F.lit("empty"))
-        .when(montage, F.lit("montage_or_transition"))
-        .when(heavy, F.lit("pure_visual_vfx"))
-        .when(talk & conflict, F.lit("conflict_scene"))
-        .when(talk, F.lit("dialogue_scene"))
-        .when(conflict | (change & (hits["character"] > 0)), F.lit("character_action_scene"))
-        .when(told, F.lit("exposition_or_vo"))
-        .otherwise(F.lit("establishing_or_visual_description"))
-    )
-    out = kind.isin("empty", "pure_visual_vfx", "montage_or_transition", "establishing_or_visual_description") | heavy | montage | (still & ~conflict)
-    writing = F.when(out, F.lit("exclude")).when(kind.isin("conflict_scene", "dialogue_scene", "character_action_scene"), F.lit("include")).otherwise(F.lit("review"))
-    reasons = [
-        F.concat(F.lit("classified as "), kind),
-        F.when(talk, F.lit("contains dialogue or speaker-style lines")),
-        F.when(conflict, F.lit("contains decision/conflict signals")),
-        F.when(change, F.lit("contains action/state-change or world-state signals")),
-        F.when(heavy, F.lit("visual/CG-heavy with low dialogue density")),
-        F.when(montage, F.lit("contains transition, montage, subtitle, or flashback signals")),
-        F.when(told, F.lit("contains VO/exposition/world-rule signals")),
-        F.when(still, F.lit("low character decision/action density")),
-    ]
-    return F.struct(
-        kind.alias("unit_type"),
-        F.when(size > 0, F.lit("include")).otherwise(F.lit("exclude")).alias("memory_policy"),
-        writing.alias("writing_eval_policy"),
-        F.when(change | talk | told, F.lit("include")).otherwise(F.lit("exclude")).alias("audit_eval_policy"),
-        F.array_compact(F.array(*reasons)).alias("reasons"),
-        F.struct(size.alias("content_char_count"), lines.alias("dialogue_count"), *(hits[k].alias(f"{k}_hit_count") for k in words), voice.alias("vo_hit_count"), talk.alias("has_dialogue"), ((hits["character"] > 0) | talk).alias("has_named_character"), change.alias("has_state_change"), conflict.alias("has_decision_or_conflict"), heavy.alias("is_visual_or_cg_heavy"), montage.alias("is_transition_or_montage"), told.alias("is_vo_or_exposition"), still.alias("low_character_action_density")).alias("signals"),
-    )
+    texts = F.struct(body.alias("body"), F.concat_ws("\n", text_of(title), body).alias("both"))
+
+    def counted(t: Column) -> Column:
+        size, lines = F.length(t["body"]), F.regexp_count(t["body"], F.lit(DIALOGUE))
+        return F.struct(size.alias("size"), lines.alias("lines"), *(count_contained(t["both"], w).alias(k) for k, w in words.items()), F.regexp_count(t["both"], F.lit(VOICE_OVER)).alias("voice"))
+
+    def signalled(n: Column) -> Column:
+        return F.struct(
+            n["size"].alias("content_char_count"), n["lines"].alias("dialogue_count"), *(n[k].alias(f"{k}_hit_count") for k in words), n["voice"].alias("vo_hit_count"),
+            (n["lines"] > 0).alias("has_dialogue"), ((n["character"] > 0) | (n["lines"] > 0)).alias("has_named_character"), ((n["action"] > 0) | (n["cg"] > 0)).alias("has_state_change"), (n["conflict"] > 0).alias("has_decision_or_conflict"),
+            ((n["visual"] + n["cg"] >= 3) & (n["lines"] <= 1)).alias("is_visual_or_cg_heavy"), (n["montage"] > 0).alias("is_transition_or_montage"), ((n["voice"] > 0) | (n["exposition"] >= 2)).alias("is_vo_or_exposition"),
+            ((n["lines"] == 0) & (n["conflict"] == 0) & (n["action"] <= 1)).alias("low_character_action_density"),
+        )
+
+    def typed(s: Column) -> Column:
+        talk, conflict, change = s["has_dialogue"], s["has_decision_or_conflict"], s["has_state_change"]
+        kind = (
+            F.when(s["content_char_count"] == 0, F.lit("empty"))
+            .when(s["is_transition_or_montage"], F.lit("montage_or_transition"))
+            .when(s["is_visual_or_cg_heavy"], F.lit("pure_visual_vfx"))
+            .when(talk & conflict, F.lit("conflict_scene"))
+            .when(talk, F.lit("dialogue_scene"))
+            .when(conflict | (change & (s["character_hit_count"] > 0)), F.lit("character_action_scene"))
+            .when(s["is_vo_or_exposition"], F.lit("exposition_or_vo"))
+            .otherwise(F.lit("establishing_or_visual_description"))
+        )
+        return F.struct(kind.alias("kind"), s.alias("s"))
+
+    def judged(k: Column) -> Column:
+        kind, s = k["kind"], k["s"]
+        talk, conflict, change, told = s["has_dialogue"], s["has_decision_or_conflict"], s["has_state_change"], s["is_vo_or_exposition"]
+        heavy, montage, still = s["is_visual_or_cg_heavy"], s["is_transition_or_montage"], s["low_character_action_density"]
+        out = kind.isin("empty", "pure_visual_vfx", "montage_or_transition", "establishing_or_visual_description") | heavy | montage | (still & ~conflict)
+        writing = F.when(out, F.lit("exclude")).when(kind.isin("conflict_scene", "dialogue_scene", "character_action_scene"), F.lit("include")).otherwise(F.lit("review"))
+        reasons = [
+            F.concat(F.lit("classified as "), kind),
+            F.when(talk, F.lit("contains dialogue or speaker-style lines")),
+            F.when(conflict, F.lit("contains decision/conflict signals")),
+            F.when(change, F.lit("contains action/state-change or world-state signals")),
+            F.when(heavy, F.lit("visual/CG-heavy with low dialogue density")),
+            F.when(montage, F.lit("contains transition, montage, subtitle, or flashback signals")),
+            F.when(told, F.lit("contains VO/exposition/world-rule signals")),
+            F.when(still, F.lit("low character decision/action density")),
+        ]
+        return F.struct(
+            kind.alias("unit_type"),
+            F.when(s["content_char_count"] > 0, F.lit("include")).otherwise(F.lit("exclude")).alias("memory_policy"),
+            writing.alias("writing_eval_policy"),
+            F.when(change | talk | told, F.lit("include")).otherwise(F.lit("exclude")).alias("audit_eval_policy"),
+            F.array_compact(F.array(*reasons)).alias("reasons"),
+            s.alias("signals"),
+        )
+
+    return once(once(once(once(texts, counted), signalled), typed), judged)
 
 
 def statements(content: Column | str, cues: Mapping[str, Sequence[str]] | None = None, ends_asking: str = "吗") -> Column:
@@ -269,7 +293,7 @@ def subject(statement: Column | str) -> Column:
     """What a statement is about: a quoted name, else the name around a few verbs, else empty."""
     text = text_of(statement)
     name = rf"[{CJK}A-Za-z0-9_]{{2,12}}"
-    patterns = [r"[《“\"]([^”\"]{1,20})[”\"]", rf"把({name})写成", rf"写({name})时", rf"({name})不要", rf"({name})不应该", rf"({name})应该"]
+    patterns = [vocab.QUOTED, *(p.format(name=f"({name})") for p in vocab.SUBJECT_FRAMES)]
     return F.coalesce(*(F.nullif(F.trim(F.regexp_extract(text, p, 1)), F.lit("")) for p in patterns), F.lit(""))
 
 

@@ -6,10 +6,11 @@ involved, ``context_tokens`` only within runs that have one.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import vocab
 
@@ -28,6 +29,11 @@ def text_of(value: Column | str) -> Column:
     return F.coalesce(col(value).cast("string"), F.lit(""))
 
 
+def once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is computed once, however often ``then`` reads it; the optimizer inlines a plain alias into every use."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def contains_any(value: Column, words: Sequence[str]) -> Column:
     """Whether any of the words occurs in the value: one pass over an alternation of literals."""
     if not words:
@@ -158,6 +164,25 @@ def split_field(value: Column | str) -> Column:
     return F.filter(F.split(text_of(value), SEPARATOR), lambda p: p != "")
 
 
+def display_text(value: Column | str) -> Column:
+    """A text for display: the field separator becomes a full-width semicolon."""
+    return F.regexp_replace(text_of(value), rf"\s*{SEPARATOR}\s*", "；")
+
+
+def cleaned(value: Column | str, kind: T.DataType) -> Column:
+    """``display_text`` of every text in a value of any nesting: texts, lists, structs and map values; a null stays null."""
+    c = col(value)
+    if isinstance(kind, T.StringType):
+        return F.when(c.isNotNull(), display_text(c))
+    if isinstance(kind, T.ArrayType):
+        return F.transform(c, lambda v: cleaned(v, kind.elementType))
+    if isinstance(kind, T.MapType):
+        return F.transform_values(c, lambda k, v: cleaned(v, kind.valueType))
+    if isinstance(kind, T.StructType):
+        return F.when(c.isNotNull(), F.struct(*(cleaned(c[f.name], f.dataType).alias(f.name) for f in kind.fields)))
+    return c
+
+
 def narrative_units(intent: Column | str, limit: int = 6) -> Column:
     """Clauses of an intent, without lead verbs and purpose clauses; the intent itself if none is left."""
     text = text_of(intent)
@@ -226,7 +251,7 @@ def speaker_labels(value: Column | str) -> Column:
     """Labels before a colon at line starts, then acronyms; labels with remarks or punctuation are left out."""
     text = text_of(value)
     labels = F.transform(F.regexp_extract_all(text, F.lit(r"(?m)^([^\n：:]{1,20})[：:]"), F.lit(1)), F.trim)
-    labels = F.filter(labels, lambda t: ~contains_any(t, ("注释", "备注", "（", "(", "，", "。", "、")))
+    labels = F.filter(labels, lambda t: ~contains_any(t, vocab.NO_SPEAKER))
     return ordered_distinct(F.concat(labels, F.regexp_extract_all(text, F.lit(r"\b([A-Z][A-Z0-9-]{1,20})\b"), F.lit(1))))
 
 

@@ -24,6 +24,17 @@ COUNTDOWN_TERMS = ("氦闪", "危机", "灾难", "事件", "事故", "计划", "
 OCCASION_LONG_SIGNALS = ("计划", "行动", "工程", "会议", "实验", "事故", "灾难", "危机", "项目", "任务")
 OCCASION_SHORT_SIGNALS = ("氦闪", "事件", "事故", "灾难", "危机")
 
+SUN_NAMES = ("太阳危机", "太阳氦闪")
+BACKGROUND_PARTS = ("弹痕", "残垣", "杂草", "积水", "水管", "巴士", "建筑", "栅栏门")
+LISTED_DISASTERS = ("山火", "旱灾", "物种", "城市")
+LISTING_WORDS = ("一场", "一次", "一个", "一座", "，", "、")
+EXAMPLE_DISASTERS = ("山火", "旱灾", "灭绝", "消失")
+TRACKED_WORDS = ("named", "trackable", "recurring", "central", "planned")
+ATMOSPHERE_WORDS = ("atmosphere", "mood")
+ANIMAL_WORDS = ("animal", "creature", "wildlife")
+SCENERY_WORDS = ("ruin", "wreckage", "debris", "environment", "scenery", "visual detail")
+SCENERY_PARTS = ("残垣", "弹痕", "废墟", "杂草", "积水")
+
 # Relation types.
 DURABLE_RELATIONS = (
     "ally", "alliance", "enemy", "hostile_to", "rival", "kinship", "family", "parent_of", "child_of", "sibling_of", "spouse_of",
@@ -98,6 +109,9 @@ STATEMENT_CUES = {
     "style": ("风格", "口吻", "对白", "叙述", "节奏", "语气"),
     "asked": ("是不是", "如何", "怎么处理", "要不要"),
 }
+QUOTED = "[《“\"]([^”\"]{1,20})[”\"]"
+SUBJECT_FRAMES = ("把{name}写成", "写{name}时", "{name}不要", "{name}不应该", "{name}应该")
+NO_SPEAKER = ("注释", "备注", "（", "(", "，", "。", "、")
 SUBJECT_STOPWORDS = ("不要", "不能", "应该", "写成", "角色", "设定", "用户", "明确", "希望", "作为", "正式")
 
 # Context items.
@@ -145,6 +159,8 @@ NO_RELATION = (
     "not mentioned", "not state", "not stated", "no direct relation", "no direct relationship", "no relationship",
 )
 TITLES = ("Dr.", "Dr", "Mr.", "Mr", "Mrs.", "Mrs", "Ms.", "Ms")
+ROLE_LEADS = ("为首的", "那位", "这位", "一个", "一位", "几位", "多位", "那个", "这个")
+ROLE_NAMES = ("印度科学家", "科学家", "科研人员", "研究人员")
 ROLE_SUFFIXES = ("人员", "观众", "设备")
 
 # Terms of the social model.
