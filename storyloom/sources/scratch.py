@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint to the session's shared folder; a local one is set only where the session has none, as in tests."""
+    """Checkpoint to the session's shared folder. Without one, a local folder is set where the master is local; on a cluster ValueError is raised."""
     spark = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="storyloom-"))
+        folder, master = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.master
+        if not folder and not (master == "local" or master.startswith("local[")):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
+        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="storyloom-"))
     return df.checkpoint(eager=True)
