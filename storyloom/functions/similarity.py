@@ -26,6 +26,13 @@ def ratio(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series([one(a, b) for a, b in zip(left, right)], dtype="float64")
 
 
+def shared_letters(left: Column | str, right: Column | str) -> Column:
+    """How many characters two texts share, each as often as both have it: twice this over both lengths bounds the ratio from above."""
+    a, b = col(left), col(right)
+    count = lambda s, c: F.length(s) - F.length(F.replace(s, c, F.lit("")))
+    return F.aggregate(F.array_distinct(F.split(a, "")), F.lit(0), lambda n, c: n + F.when(c == "", 0).otherwise(F.least(count(a, c), count(b, c))))
+
+
 def overlap_score(query: Column | str, text: Column | str) -> Column:
     """Of two token sets: their overlap plus its share of each, rounded to six places; 0 if either is empty."""
     q, t = col(query), col(text)

@@ -16,6 +16,7 @@ from ..functions.rules import statements, subject, subject_entities
 from ..functions.similarity import jaccard
 from ..functions.text import contains_any, stable_id, text_of, timeline_hint, token_set
 from .ranking import first_wins, last_wins, top_per
+from .retrieval import context_top
 
 #: Status changes that write an event of their own beside the update.
 STATUS_EVENTS = {"superseded": "SUPERSEDE", "rejected": "REJECT", "archived": "ARCHIVE", "deleted": "DELETE"}
@@ -121,17 +122,27 @@ def section_of(source_type: Column, item_type: Column) -> Column:
     )
 
 
-def packet(scored: DataFrame, k: int = 12, with_simulation: bool = False) -> DataFrame:
-    """The k best hits of each source type in their sections; one pass instead of a search per source."""
+def packet_rows(docs: DataFrame, with_simulation: bool = False) -> DataFrame:
+    """The documents whose source and status a packet takes."""
     allowed = {"conversation": ("active", "canonical", "tentative"), "narrative_artifact": ("active", "canonical"), "external_reference": ("active", "canonical", "tentative"), "simulation": ("active", "tentative")}
     keep = F.lit(False)
     for source, statuses in allowed.items():
         if source != "simulation" or with_simulation:
             keep = keep | ((F.col("source_type") == source) & F.col("status").isin(*statuses))
-    hits = top_per(scored.where(keep), ["source_type"], [F.col("score").desc(), F.col("item_id").asc()], k)
+    return docs.where(keep)
+
+
+def packet(scored: DataFrame, k: int = 12, with_simulation: bool = False) -> DataFrame:
+    """The k best hits of each source type in their sections; one pass instead of a search per source."""
+    hits = top_per(packet_rows(scored, with_simulation), ["source_type"], [F.col("score").desc(), F.col("item_id").asc()], k)
     return hits.withColumn("section", section_of(F.col("source_type"), F.col("item_type")))
 
 
+def packets(docs: DataFrame, queries: DataFrame, k: int = 12, with_simulation: bool = False) -> DataFrame:
+    """A packet for every query (query_id, query) of a list."""
+    return context_top(packet_rows(docs, with_simulation), queries, k).withColumn("section", section_of(F.col("source_type"), F.col("item_type")))
+
+
 def entity_view(items: DataFrame, entity: str) -> DataFrame:
     """An entity's items by layer."""
     layers = {"narrative_artifact": "artifact_layer", "conversation": "conversation_layer", "external_reference": "external_layer", "simulation": "simulation_layer"}
@@ -139,13 +150,13 @@ def entity_view(items: DataFrame, entity: str) -> DataFrame:
     return own.withColumn("layer", F.try_element_at(F.create_map(*[F.lit(x) for kv in layers.items() for x in kv]), F.col("source_type"))).where("layer IS NOT NULL")
 
 
-def conversation_items(turns: DataFrame, project: Column | str, source: Column | str, cues: dict | None = None, roles: Sequence[str] = ("user", "human")) -> DataFrame:
+def conversation_items(turns: DataFrame, project: Column | str, source: Column | str, cues: dict | None = None, roles: Sequence[str] = ("user", "human"), ends_asking: str = "吗") -> DataFrame:
     """Items stated in the users' turns; of equal (source, type, subject, statement) the first.
 
     ``turns``: turn_id, role, content, order. ``project`` and ``source`` are columns (or literals given as F.lit).
     """
     said = turns.where(F.lower("role").isin(*roles)).select("turn_id", "order", F.trim("content").alias("content"), (F.lit(project) if isinstance(project, str) else project).alias("project_id"), (F.lit(source) if isinstance(source, str) else source).alias("source_id"))
-    rows = said.select("*", F.posexplode(statements("content", cues)).alias("at", "s")).withColumn("item_type", F.col("s.item_type")).withColumn("statement", F.col("s.statement")).withColumn("subject", subject("statement"))
+    rows = said.select("*", F.posexplode(statements("content", cues, ends_asking)).alias("at", "s")).withColumn("item_type", F.col("s.item_type")).withColumn("statement", F.col("s.statement")).withColumn("subject", subject("statement"))
     once = first_wins(rows, ["project_id", "source_id", "item_type", "subject", "statement"], [F.col("order").asc(), F.col("at").asc()])
     return once.select(
         stable_id("conv_item", "source_id", "turn_id", "item_type", "statement").alias("item_id"), "project_id", "source_id", F.col("turn_id").alias("unit_id"), F.lit("conversation").alias("source_type"), "item_type", "subject", "statement",

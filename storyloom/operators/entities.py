@@ -8,11 +8,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vocab
-from ..functions.rules import entity_type
-from ..functions.similarity import ratio
-from ..functions.text import alias_key, code_tokens, match_key, name_key, name_variants, text_of, words_key
+from ..functions.rules import entity_type, is_deictic
+from ..functions.similarity import ratio, shared_letters
+from ..functions.text import CJK, alias_key, code_tokens, embedded_code, match_key, name_key, name_variants, text_of, words_key
 from .graphs import components
-from .ranking import first_wins, stated, top_per
+from .ranking import first_wins, stated_blocks, top_per
 
 
 def group_mentions(mentions: DataFrame, name: str = "name", scene: str = "scene_id", order: Sequence[Column] = (), by: Sequence[str] = ()) -> DataFrame:
@@ -67,12 +67,15 @@ def resolve_exact(refs: DataFrame, entities: DataFrame, aliases: DataFrame, ref:
 def resolve_fuzzy(refs: DataFrame, aliases: DataFrame, ref: str = "ref", key: str = "entity_id", k: int = 3, min_score: float = 0.55, extra: Sequence[str] = ("mention_count", "first_seen_order")) -> DataFrame:
     """The best entities for each reference: exact alias 1, shared code 0.95, substring 0.72 + 0.22 * coverage, else the ratio.
 
-    ``refs`` is the caller's short list and is compared with every alias; references of one character only match exactly.
-    The ratio runs on pairs that pass its cheap upper bound by lengths.
+    ``refs`` is the caller's list and is compared with every alias, in blocks if it is long; references of one character
+    only match exactly. The ratio runs on pairs that pass its cheap upper bounds: by lengths, then by the letters they share.
     """
-    left = refs.select(F.col(ref), alias_key(ref).alias("qa"), match_key(ref).alias("q"), code_tokens(ref).alias("qc"))
+    left = refs.select(F.col(ref), alias_key(ref).alias("qa"), match_key(ref).alias("q"), code_tokens(ref).alias("qc")).distinct()
     right = aliases.select(key, "alias", *extra, alias_key("alias").alias("aa"), match_key("alias").alias("a"), code_tokens("alias").alias("ac")).where("a <> ''")
-    pairs = right.join(stated(left))
+    pairs = None
+    for block in stated_blocks(left):
+        part = right.join(block)
+        pairs = part if pairs is None else pairs.unionByName(part)
     short, long = F.least(F.length("q"), F.length("a")), F.greatest(F.length("q"), F.length("a"))
     exact, one = (F.col("qa") == F.col("aa")) | (F.col(ref) == F.col(key)), F.length("q") == 1
     code, inside = F.coalesce(F.arrays_overlap("qc", "ac"), F.lit(False)), F.contains("a", F.col("q")) | F.contains("q", F.col("a"))
@@ -80,7 +83,7 @@ def resolve_fuzzy(refs: DataFrame, aliases: DataFrame, ref: str = "ref", key: st
     how = F.when(exact, "exact_alias").when(one, "none").when(code, "code_token").when(inside & (F.col("q") != ""), "substring").otherwise("fuzzy")
     scored = pairs.withColumn("sure", sure).withColumn("match_type", how)
     known = scored.where("sure IS NOT NULL").withColumn("score", F.col("sure").cast("double"))
-    fuzzy = scored.where(F.col("sure").isNull() & (2.0 * short / (short + long) >= min_score)).withColumn("score", ratio("q", "a"))
+    fuzzy = scored.where(F.col("sure").isNull() & (2.0 * short / (short + long) >= min_score)).where(2.0 * shared_letters("q", "a") / (short + long) >= min_score).withColumn("score", ratio("q", "a"))
     every = known.unionByName(fuzzy).where(F.col("score") >= min_score)
     best = first_wins(every, [ref, key], [F.col("score").desc(), F.col("alias").asc()])
     tie = [F.col("mention_count").desc(), F.col("first_seen_order").asc()] if len(extra) == 2 else []
@@ -121,12 +124,60 @@ def disambiguate(names: DataFrame, name: str = "name", kind: str = "entity_type"
     return grouped.join(canon, "component").select("kind", "name", "canonical")
 
 
+#: Characters of an alias that a text is looked up by.
+ANCHOR = 6
+
+
 def known_in_text(texts: DataFrame, aliases: DataFrame, text: str = "text", key: str = "entity_id") -> DataFrame:
-    """Entities whose alias (two characters or more, by letters and digits) or code occurs in a short text.
+    """Entities whose alias (two characters or more, by letters and digits) or code occurs in a text: all columns of ``texts``, ``key, alias``.
 
-    ``texts`` is the caller's request or requests; the alias side streams past them.
+    Two equi-joins stand for the OR. An alias meets the texts that hold its first ``ANCHOR`` characters (all of a shorter
+    one), which are then searched for the whole of it, and a code meets the texts that hold it. Only hashes of rows
+    are joined before that. A row has each pair once; a repeated row has its pairs each time.
     """
-    t = texts.select("*", match_key(text).alias("__t"), code_tokens(text).alias("__c"))
-    a = aliases.select(key, "alias", match_key("alias").alias("__a"), code_tokens("alias").alias("__ac")).where("length(__a) >= 2")
-    hit = F.contains(F.col("__t"), F.col("__a")) | F.coalesce(F.arrays_overlap("__c", "__ac"), F.lit(False))
-    return a.join(stated(t), hit).drop("__t", "__c", "__a", "__ac")
+    columns = texts.columns
+    t = texts.withColumn("__h", F.xxhash64(*columns)).withColumn("__g", F.xxhash64(F.lit(1), *columns)).withColumn("__t", match_key(text))
+    a = aliases.select(key, "alias", match_key("alias").alias("__a"), code_tokens("alias").alias("__ac")).where("length(__a) >= 2").distinct()
+    a = a.withColumn("__n", F.least(F.length("__a"), F.lit(ANCHOR)))
+    lengths = [r["__n"] for r in a.select("__n").distinct().collect()]  # five at most
+    parts = F.flatten(F.array(*(F.regexp_extract_all("__t", F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in lengths))) if lengths else F.array().cast("array<string>")
+    anchors = a.select(key, "alias", "__a", F.xxhash64(F.left("__a", F.col("__n"))).alias("__x"))
+    held = t.select("__h", "__g", F.explode(F.array_distinct(parts)).alias("__p")).select("__h", "__g", F.xxhash64("__p").alias("__x")).join(anchors, "__x")
+    begins = t.join(held.select("__h", "__g", key, "alias", "__a").distinct(), ["__h", "__g"]).where(F.contains("__t", F.col("__a")))
+    coded = t.select("__h", "__g", F.explode(F.array_distinct(code_tokens(text))).alias("__c")).join(a.select(key, "alias", F.explode(F.array_distinct("__ac")).alias("__c")), "__c")
+    found = begins.select("__h", "__g", key, "alias").unionByName(coded.select("__h", "__g", key, "alias")).distinct()
+    return t.join(found, ["__h", "__g"]).select(*columns, key, "alias")
+
+
+def kg_actor(mentions: DataFrame, names: DataFrame) -> DataFrame:
+    """Characters and groups by a name that the canonical list lacks, from mentions whose surface or hint is that name.
+
+    ``mentions``: surface, canonical_hint, entity_type, scene_id, record_id; ``names``: name. One row per name that any
+    mention has: the first mention's hint (else surface), whether any is a character, all surfaces and hints, scenes.
+    """
+    rows = mentions.where(F.col("entity_type").isin("character", "group")).withColumn("__name", F.explode(F.array_distinct(F.array(alias_key("surface"), alias_key("canonical_hint"))))).where("__name <> ''")
+    found = rows.join(names.select("name", alias_key("name").alias("__name")).distinct(), "__name")
+    called = F.coalesce(F.nullif(F.trim(text_of("canonical_hint")), F.lit("")), F.col("surface"))
+    both = F.filter(F.array(F.col("surface"), F.col("canonical_hint")), lambda v: F.trim(text_of(v)) != "")
+    return found.groupBy("name").agg(
+        F.min_by(called, F.struct("scene_id", "record_id")).alias("canonical_name"),
+        F.when(F.max((F.col("entity_type") == "character").cast("int")) == 1, "character").otherwise("group").alias("entity_type"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set(both)))).alias("aliases"),
+        F.array_sort(F.collect_set("scene_id")).alias("scene_ids"),
+        F.count("*").alias("mention_count"),
+    )
+
+
+def mention_key(name: Column | str, kind: Column | str, scene: Column | str, source: Column | str, evidence: Column | str, surnames: str = "") -> Column:
+    """The key under which mentions are one entity: a deictic name only within its scene, source and evidence; an object by its code; a listed role by its name; else the least variant of the name."""
+    n, t = text_of(name), entity_type(kind)
+    base = F.coalesce(F.array_min(F.transform(name_variants(n, surnames), alias_key)), alias_key(n))
+    role = alias_key(F.regexp_replace(F.regexp_replace(F.trim(n), f"^({'|'.join(vocab.ROLE_LEADS)})", ""), "们$", ""))
+    deictic = F.concat(F.lit("deictic:"), base, F.lit(":"), F.concat_ws(":", text_of(scene), text_of(source), F.sha1(alias_key(evidence).cast("binary"))))
+    code = embedded_code(n)
+    return (
+        F.when(is_deictic(n), deictic)
+        .when((t == "object") & (code != ""), F.concat(F.lit("code:"), code))
+        .when(t.isin("character", "group") & n.rlike(f"[{CJK}]") & role.isin(*vocab.ROLE_NAMES), F.concat(F.lit("role:"), role))
+        .otherwise(base)
+    )

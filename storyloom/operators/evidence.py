@@ -15,14 +15,16 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import text_of
+from .ranking import STATED_ROWS, stated
 
 FIELDS = ("title", "subtitle", "content")
 DROPPED = r"[\s，。！？、,.!?；;：:“”\"'（）()\[\]【】…]"
 THRESHOLD, SLACK, SLACK_SHARE = 0.94, 2, 0.08
 _DROPPED = re.compile(DROPPED)
-RESULT = "status string, field string, start int, end int, aligned string, score double"
+RESULT = T.StructType([T.StructField("status", T.StringType()), T.StructField("field", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("aligned", T.StringType()), T.StructField("score", T.DoubleType())])
 
 
 def folded(text: Column | str) -> Column:
@@ -55,6 +57,56 @@ def exact_tiers(evidence: Column | str, fields: Sequence[str] = FIELDS) -> Colum
     return F.coalesce(*exact, *loose)
 
 
+#: Words of an anchor: so many successive words of a quote that a text must hold before it is searched for the quote.
+ANCHOR = 3
+
+
+def _words(text: Column | str) -> Column:
+    return F.split(text_of(text), " ")
+
+
+def _runs(words: Column, n: int) -> Column:
+    """Hashes of every n successive words."""
+    last = F.size(words) - n + 1
+    at = F.when(last > 0, F.sequence(F.lit(0), last - 1)).otherwise(F.array().cast("array<int>"))
+    return F.transform(at, lambda i: F.xxhash64(*(F.get(words, i + k) for k in range(n))))
+
+
+def verbatim(docs: DataFrame, quotes: DataFrame, text: str = "text", quote: str = "quote", key: str = "doc_id") -> DataFrame:
+    """Pairs of texts and quotes that stand in them as they are: ``key, text`` and all columns of ``quotes``.
+
+    What lies between the first and the last space of a quote is whole words of any text that holds it, so the longest run
+    of ``ANCHOR`` such words (of all there are, in a quote with fewer) is looked up among the runs of all texts in an
+    equi-join, and only texts that have it are searched. Quotes of one or two words have no such run: they are a stated
+    list that is compared with every text. Empty quotes stand nowhere. A repeated row has its pairs once each time.
+    """
+    q = stated(quotes.where(text_of(quote) != "").withColumn("__inner", F.size(_words(quote)) - 2).withColumn("__quote", F.xxhash64(quote)))
+    inner = F.slice(_words(quote), 2, F.greatest("__inner", F.lit(1)))
+    anchors, parts = None, []
+    for n in range(1, ANCHOR + 1):
+        own = q.where(F.col("__inner") >= n if n == ANCHOR else F.col("__inner") == n)
+        if own.isEmpty():
+            continue
+        at = F.sequence(F.lit(0), F.size("__words") - n)
+        longest = F.array_max(F.transform(at, lambda i: F.struct(F.length(F.array_join(F.slice("__words", i + 1, n), "")).alias("size"), (-i).alias("at"))))
+        run = own.withColumn("__words", inner).withColumn("__at", -longest["at"])
+        found = run.select("__quote", F.xxhash64(*(F.get("__words", F.col("__at") + k) for k in range(n))).alias("__run")).distinct()
+        anchors = found if anchors is None else anchors.unionByName(found)
+        parts.append(n)
+    rows = docs.select(F.col(key), F.col(text), F.xxhash64(text).alias("__text"))
+    if anchors is None:
+        pairs = rows.limit(0).join(q, F.col("__text") == F.col("__quote"))
+    else:
+        lists = F.flatten(F.array(*(_runs(F.col("__w"), n) for n in parts)))
+        runs = rows.select(key, "__text", _words(text).alias("__w")).select(key, "__text", F.explode(F.array_distinct(lists)).alias("__run"))
+        held = runs.join(stated(anchors), "__run").select(F.col(key).alias("__key"), F.col("__text").alias("__of"), "__quote").distinct()
+        pairs = rows.join(held, F.col(key).eqNullSafe(F.col("__key")) & (F.col("__text") == F.col("__of"))).drop("__key", "__of").join(q, "__quote")
+    short = q.where("__inner < 1")
+    if not short.isEmpty():
+        pairs = pairs.unionByName(rows.join(short, F.contains(text, F.col(quote))).select(*pairs.columns))
+    return pairs.where(F.contains(text, F.col(quote))).drop("__inner", "__quote", "__text")
+
+
 def fold_with_offsets(text: str) -> tuple[str, list[int]]:
     kept = [(low, i) for i, c in enumerate(text or "") if not _DROPPED.match(low := c.lower())]
     return "".join(c for c, _ in kept), [i for c, i in kept for _ in c]
@@ -124,6 +176,70 @@ def locate(df: DataFrame, evidence: str = "evidence", fields: Sequence[str] = FI
     return sure.unionByName(rest)
 
 
+#: Successive words, without case and punctuation, that a text and a quote must share before the text is searched.
+SHARED_RUN = 4
+_WORD_GAPS = re.compile(DROPPED + "+")
+
+
+def _plain_words(text: Column | str) -> Column:
+    return F.filter(F.split(F.lower(text_of(text)), DROPPED + "+"), lambda w: w != "")
+
+
+def near_windows(quote: str, text: str) -> list[tuple[int, int]]:
+    """Stretches of a text that a quote's length (and slack) around every shared run of words covers; the whole text if Python's word rules find none."""
+    spans, at = [], 0
+    for m in [*_WORD_GAPS.finditer(text), None]:
+        end = len(text) if m is None else m.start()
+        if end > at:
+            spans.append((at, end))
+        at = len(text) if m is None else m.end()
+    own = [w for w in _WORD_GAPS.split(quote.lower()) if w]
+    runs = {tuple(own[i : i + SHARED_RUN]) for i in range(len(own) - SHARED_RUN + 1)}
+    words = [text[a:b].lower() for a, b in spans]
+    reach, out = len(quote) + max(SLACK, round(len(quote) * SLACK_SHARE)) + SHARED_RUN, []
+    for i in range(len(words) - SHARED_RUN + 1):
+        if tuple(words[i : i + SHARED_RUN]) in runs:
+            a, b = max(0, spans[i][0] - reach), min(len(text), spans[i + SHARED_RUN - 1][1] + reach)
+            if out and a <= out[-1][1]:
+                out[-1] = (out[-1][0], b)
+            else:
+                out.append((a, b))
+    return out or [(0, len(text))]
+
+
+@F.pandas_udf(RESULT)
+def _near(quotes: pd.Series, texts: pd.Series) -> pd.DataFrame:
+    out = []
+    for q, t in zip(quotes, texts):
+        best = None
+        for a, b in near_windows(q or "", t or ""):
+            w = best_window(q or "", (t or "")[a:b])
+            if w and (best is None or w[0] > best[0]):
+                best = (w[0], a + w[1], a + w[2])
+        if best is None:
+            out.append(("rejected", None, None, None, "", 0.0))
+        else:
+            out.append(("fuzzy_aligned" if best[0] >= THRESHOLD else "rejected", "content", best[1], best[2], t[best[1] : best[2]], round(best[0], 4)))
+    return pd.DataFrame(out, columns=["status", "field", "start", "end", "aligned", "score"]).astype({"start": "Int32", "end": "Int32"})
+
+
+def locate_near(docs: DataFrame, quotes: DataFrame, text: str = "text", quote: str = "evidence", key: str = "doc_id", name: str = "evidence_at") -> DataFrame:
+    """Where a list of quotes stands in all texts, also changed: pairs that share ``SHARED_RUN`` words, with ``locate``'s struct.
+
+    Shared runs are found in an equi-join of hashes; the fuzzy window is searched around them only. Quotes with fewer words
+    have no such pairs.
+    """
+    q = stated(quotes.withColumn("__quote", F.xxhash64(quote)))
+    wanted = q.select("__quote", F.explode(F.array_distinct(_runs(_plain_words(quote), SHARED_RUN))).alias("__run")).distinct()
+    rows = docs.select(F.col(key), F.col(text).alias("content"), F.xxhash64(text).alias("__text"))
+    runs = rows.select(key, "__text", _plain_words("content").alias("__w")).select(key, "__text", F.explode(F.array_distinct(_runs(F.col("__w"), SHARED_RUN))).alias("__run"))
+    held = runs.join(stated(wanted, 50 * STATED_ROWS), "__run").select(F.col(key).alias("__key"), F.col("__text").alias("__of"), "__quote").distinct()
+    pairs = rows.join(held, F.col(key).eqNullSafe(F.col("__key")) & (F.col("__text") == F.col("__of"))).join(q, "__quote").drop("__key", "__of", "__quote", "__text")
+    tried = pairs.withColumn("__exact", exact_tiers(quote, ["content"]))
+    sure = tried.where("__exact IS NOT NULL").withColumnRenamed("__exact", name)
+    return sure.unionByName(tried.where("__exact IS NULL").drop("__exact").withColumn(name, _near(F.col(quote), F.col("content"))))
+
+
 def fill_gap(spans: Column | str, source: Column | str, most: int = 40) -> Column:
     """The text from the first to the second of exactly two spans of one field, in order, whose gap has at most ``most`` characters other than white space; null else."""
     s = F.col(spans) if isinstance(spans, str) else spans

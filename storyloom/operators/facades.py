@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,8 +38,14 @@ class ExternalReferences:
     def __init__(self, spark: SparkSession, documents: DataFrame | None = None, vectors: DataFrame | None = None):
         self.spark, self.documents, self.vectors = spark, documents, vectors
 
-    def add(self, path: str) -> DataFrame:
-        """Read files below ``path``, cut them into chunks, and make these searchable; returns the chunks."""
+    def reset(self) -> None:
+        """Forget all documents."""
+        self.documents = self.vectors = None
+
+    def add(self, path: str, reset: bool = False) -> DataFrame:
+        """Read files below ``path``, cut them into chunks, and make these searchable; returns the chunks. ``reset`` forgets what was there."""
+        if reset:
+            self.reset()
         docs = reference_documents(reference_files(self.spark, path))
         chunks = chunk_documents(docs.select("doc_id", "content")).join(docs.select("doc_id", "source_scope_id", "source_path", "title"), "doc_id")
         rows = chunks.select(F.concat(F.lit("chunks:"), "chunk_id").alias("vector_id"), F.lit("chunks").alias("vector_namespace"), F.col("chunk_id").alias("source_id"), "content", "doc_id", "source_scope_id", "source_path")
@@ -76,6 +82,19 @@ class ExternalReferences:
         kinds = F.create_map(*[F.lit(x) for kv in {"entities": "entity", "relations": "relation", "facts": "fact", "properties": "property", "chunks": "chunk"}.items() for x in kv])
         return chunk_support(packet.join(support, "vector_id").withColumn("kind", F.element_at(kinds, F.col("section"))))
 
+    def ask(self, question: str, profile: str = "standard", answer: Callable[[str], str] | None = None) -> dict:
+        """A question's hits with citations E1, E2 and so on, and an answer from them alone if a model is given."""
+        hits = [r.asDict() for r in self.search(question, profile).select("ref_id", "vector_id", "section", "statement", "score").orderBy(F.col("score").desc(), "vector_id").collect()]  # within the budget
+        items = [{"ref": f"E{i}", "item_id": h["vector_id"], "item_type": h["section"], "statement": h["statement"], "score": h["score"], "default_canon": False} for i, h in enumerate(hits, 1)]
+        prompt = "\n".join(["Answer only from these external reference records; do not treat them as canon.", f"Question: {question}", *(f"[{i['ref']}] {i['statement']}" for i in items)])
+        return {
+            "question": question,
+            "items": items,
+            "citations": [{k: i[k] for k in ("ref", "item_id", "item_type", "default_canon")} for i in items],
+            "answer": answer(prompt).strip() if answer else "",
+            "answer_mode": "source_grounded_llm" if answer else "source_grounded_retrieval_only",
+        }
+
     def get_all(self) -> DataFrame:
         """The documents, by id."""
         return self.documents.orderBy("doc_id")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vocab
+from ..functions.text import high_level_keywords, looks_temporal, low_level_keywords
 from .ranking import reference_labels, top_per
 
 
@@ -30,21 +31,37 @@ def passes(low: list[str], high: list[str], limits: dict[str, int]) -> list[dict
     return out
 
 
-def fuse(hits: DataFrame, key: str, limit: int, pass_no: str = "pass_no", pass_name: str = "pass_name", rank: str = "rank", score: str = "score") -> DataFrame:
-    """``key, score, passes``: hits of each key folded in the order of the passes.
+def fuse(hits: DataFrame, key: str, limit: int, pass_no: str = "pass_no", pass_name: str = "pass_name", rank: str = "rank", score: str = "score", by: tuple[str, ...] = ()) -> DataFrame:
+    """``by, key, score, passes``: hits of each key (of a query) folded in the order of the passes.
 
     A hit counts its score plus 0.001 for every place above the limit. If it beats the score so far, it replaces it; else
-    that grows by 0.025. The rank starts at 0. The order is score, number of passes, key, all descending.
+    that grows by 0.025. The rank starts at 0. The order is score, number of passes, key, all descending; ``limit`` keys
+    stay, for each query if ``by`` names one.
     """
     points = F.round(F.col(score) + F.greatest(F.lit(0.0), 0.001 * (F.lit(limit) - F.col(rank))), 6)
-    rows = hits.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(pass_no).alias("n"), F.col(rank).alias("r"), points.alias("p"), F.col(pass_name).alias("name")))).alias("seen"))
+    rows = hits.groupBy(*by, key).agg(F.array_sort(F.collect_list(F.struct(F.col(pass_no).alias("n"), F.col(rank).alias("r"), points.alias("p"), F.col(pass_name).alias("name")))).alias("seen"))
 
     def step(a: Column, h: Column) -> Column:
         first = a.isNull()
         return F.when(first, h["p"]).when(h["p"] > a, h["p"]).otherwise(F.round(a + 0.025, 6))
 
-    fused = rows.select(F.col(key), F.aggregate("seen", F.lit(None).cast("double"), step).alias("score"), F.array_distinct(F.transform("seen", lambda h: h["name"])).alias("passes"))
-    return fused.orderBy(F.col("score").desc(), F.size("passes").desc(), F.col(key).desc()).limit(limit)
+    fused = rows.select(*by, key, F.aggregate("seen", F.lit(None).cast("double"), step).alias("score"), F.array_distinct(F.transform("seen", lambda h: h["name"])).alias("passes"))
+    order = [F.col("score").desc(), F.size("passes").desc(), F.col(key).desc()]
+    return top_per(fused, list(by), order, limit, "place") if by else fused.orderBy(*order).limit(limit)
+
+
+def pass_texts(queries: DataFrame, limits: dict[str, int], text: str = "query") -> DataFrame:
+    """``query_id, pass_no, pass_name, query``: the texts of each query's passes, as ``passes`` names them: itself, its names, itself with its topics.
+
+    Passes without names or topics are left out.
+    """
+    if limits["top_k"] <= 0:
+        return queries.select("query_id", F.lit(0).alias("pass_no"), F.lit("base").alias("pass_name"), F.col(text).alias("query")).limit(0)
+    low = low_level_keywords(text)
+    rows = queries.select("query_id", F.col(text).alias("text"), low.alias("low")).withColumn("high", high_level_keywords("text", F.col("low")))
+    named = lambda n, name, said, cond: F.when(cond, F.struct(F.lit(n).alias("pass_no"), F.lit(name).alias("pass_name"), said.alias("query")))
+    every = [named(0, "base", F.col("text"), F.lit(True)), named(1, "low_level", F.array_join("low", " "), F.size("low") > 0), named(2, "high_level", F.concat_ws(" ", "text", F.array_join("high", " ")), F.size("high") > 0)]
+    return rows.select("query_id", F.explode(F.array_compact(F.array(*every))).alias("p")).select("query_id", "p.*")
 
 
 def relevant(items: DataFrame, terms: list[str], columns: tuple[str, ...]) -> DataFrame:
@@ -55,11 +72,11 @@ def relevant(items: DataFrame, terms: list[str], columns: tuple[str, ...]) -> Da
     return items.where(F.exists(F.array(*map(F.lit, terms)), lambda t: F.contains(hay, t)))
 
 
-def evidence_packet(items: DataFrame, limits: dict[str, int], key: str = "item_id") -> DataFrame:
-    """Items (section, rank) within a budget, labelled by section in order: F1, P1, R1, E1, C1 and so on."""
+def evidence_packet(items: DataFrame, limits: dict[str, int], key: str = "item_id", by: tuple[str, ...] = ()) -> DataFrame:
+    """Items (section, rank) within a budget, labelled by section in order: F1, P1, R1, E1, C1 and so on; a packet for each value of ``by``."""
     prefixes = {"facts": "F", "properties": "P", "relations": "R", "entities": "E", "chunks": "C", "insights": "G", "notes": "S"}
     most = F.create_map(*[F.lit(x) for s in prefixes for x in (s, limits[s])])
-    kept = top_per(items.where(F.col("section").isin(*prefixes)), ["section"], [F.col("rank").asc(), F.col(key).asc()], max(limits[s] for s in prefixes), "place")
+    kept = top_per(items.where(F.col("section").isin(*prefixes)), [*by, "section"], [F.col("rank").asc(), F.col(key).asc()], max(limits[s] for s in prefixes), "place")
     kept = kept.where(F.col("place") <= F.element_at(most, F.col("section")))
     label = F.concat(F.element_at(F.create_map(*[F.lit(x) for kv in prefixes.items() for x in kv]), F.col("section")), F.col("place").cast("string"))
     return kept.withColumn("ref_id", label)
@@ -78,6 +95,4 @@ def memory_labels(uses: DataFrame, key: str = "memory_id", order: tuple[str, ...
 def context_by_role(hits: DataFrame) -> DataFrame:
     """Reference hits as author and character knowledge, and timeline where they speak of time; the style part stays empty."""
     tagged = lambda role, cond: hits.where(cond).withColumn("role", F.lit(role))
-    from ..functions.text import looks_temporal
-
     return tagged("author", F.lit(True)).unionByName(tagged("character", F.col("item_type").isin("entity", "relation", "fact", "property"))).unionByName(tagged("timeline", looks_temporal("statement")))

@@ -1,20 +1,21 @@
 """Graph operators on node and edge frames.
 
 Components iterate to a fixpoint with each round written through the session's checkpoint folder. Greedy acyclic
-selection and first-in-first-out topological order are sequential by definition: they run per connected component,
-which the components step makes as small as it can be.
+selection and the search for cycles are sequential by definition: they run for each connected component and each project.
+The first-in-first-out topological order runs for each project in one task, and level by level over all tasks for
+projects too large for one.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict, deque
 
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.scratch import cut_lineage
+from .ranking import place_in
 
 
 def undirected(edges: DataFrame, source: str = "source", target: str = "target") -> DataFrame:
@@ -90,57 +91,131 @@ def pair_conflicts(edges: DataFrame, hard: float = 0.75) -> DataFrame:
     return own.unionByName(pairs.where("ways = 2").select(F.lit("two_node_cycle").alias("type"), F.array("a", "b").alias("ids"), "relation_ids"))
 
 
-def cyclic_nodes(edges: DataFrame, source: str = "source", target: str = "target") -> DataFrame:
-    """Nodes that lie on a cycle or between two cycles: what remains when sources and sinks are peeled off again and again."""
-    live = cut_lineage(edges.select(F.col(source).alias("s"), F.col(target).alias("t")).distinct())
+def cyclic_nodes(edges: DataFrame, source: str = "source", target: str = "target", by: str | None = None) -> DataFrame:
+    """Nodes that lie on a cycle or between two cycles: what remains when sources and sinks are peeled off again and again.
+
+    Each round is a job, as many as the longest chain that hangs on or off the cycles has edges.
+    """
+    own = [by] if by else []
+    live = cut_lineage(edges.select(*own, F.col(source).alias("s"), F.col(target).alias("t")).distinct())
     size = live.count()
     while size:
-        inner = live.join(live.select(F.col("t").alias("s")).distinct(), "s", "left_semi").join(live.select(F.col("s").alias("t")).distinct(), "t", "left_semi")
-        live = cut_lineage(inner.select("s", "t"))
+        inner = live.join(live.select(*own, F.col("t").alias("s")).distinct(), [*own, "s"], "left_semi").join(live.select(*own, F.col("s").alias("t")).distinct(), [*own, "t"], "left_semi")
+        live = cut_lineage(inner.select(*own, "s", "t"))
         left = live.count()
         if left == size:
             break
         size = left
-    return live.select(F.col("s").alias("node")).unionByName(live.select(F.col("t").alias("node"))).distinct()
+    return live.select(*own, F.col("s").alias("node")).unionByName(live.select(*own, F.col("t").alias("node"))).distinct()
+
+
+def first_cycles(links: list[tuple[str, str]]) -> list[list[str]]:
+    """The cycles that a depth-first walk closes, from node to node in sorted order: each as its nodes from the one it comes back to."""
+    after: dict[str, list[str]] = defaultdict(list)
+    for s, t in sorted(set(links)):
+        after[s].append(t)
+    done: set[str] = set()
+    out = []
+    for root in sorted(after):
+        if root in done:
+            continue
+        path, place, todo = [root], {root: 0}, [iter(after[root])]
+        done.add(root)
+        while todo:
+            t = next(todo[-1], None)
+            if t is None:
+                todo.pop()
+                del place[path.pop()]
+            elif t in place:
+                out.append(path[place[t] :])
+            elif t not in done:
+                done.add(t)
+                place[t] = len(path)
+                path.append(t)
+                todo.append(iter(after.get(t, ())))
+    return out
+
+
+def cycle_conflicts(edges: DataFrame, by: str, hard: float = 0.75) -> DataFrame:
+    """Cycles of any length among usable edges of enough confidence, one walk for each project: ``by, type, ids``.
+
+    ``ids`` is the cycle's path from the node it closes at; of cycles with the same nodes the first stays. They name no
+    relations, so they block none. Edges within a project only.
+    """
+    strong = edges.where(F.col("usable_for_ordering") & F.col("relation_type").isin(*ORDERING) & (F.col("confidence") >= hard)).select(by, F.col("source_event_id").cast("string").alias("s"), F.col("target_event_id").cast("string").alias("t")).distinct()
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        seen, rows = set(), []
+        for path in first_cycles(list(zip(pdf["s"], pdf["t"]))):
+            if (ids := tuple(sorted(path))) not in seen:
+                seen.add(ids)
+                rows.append((pdf[by].iloc[0], "cycle", path))
+        return pd.DataFrame(rows, columns=[by, "type", "ids"])
+
+    return strong.groupBy(by).applyInPandas(walk, f"{by} {edges.schema[by].dataType.simpleString()}, type string, ids array<string>")
 
 
 SELECTED = "component string, relation_id string, selected boolean, skip_reason string"
 PRIORITY = {"llm": 3, "scene_block_prior": 2, "discourse_prior": 1}
 
 
-def select_acyclic(edges: DataFrame, blocked: DataFrame | None = None) -> DataFrame:
-    """Greedy acyclic subset: ``component, relation_id, selected, skip_reason``.
+class GrowingOrder:
+    """A topological order that is mended as edges come in: an edge costs the nodes between its ends in that order only."""
+
+    def __init__(self):
+        self.place: dict[str, int] = {}
+        self.after: dict[str, set[str]] = defaultdict(set)
+        self.before: dict[str, set[str]] = defaultdict(set)
+
+    def _near(self, start: str, links: dict[str, set[str]], inside) -> set[str]:
+        seen, todo = {start}, [start]
+        while todo:
+            for n in links[todo.pop()]:
+                if n not in seen and inside(self.place[n]):
+                    seen.add(n)
+                    todo.append(n)
+        return seen
+
+    def add(self, s: str, t: str) -> bool:
+        """Add an edge; False, and nothing changed, if it would close a cycle."""
+        for n in (s, t):
+            self.place.setdefault(n, len(self.place))
+        low, high = self.place[t], self.place[s]
+        if low <= high:
+            later = self._near(t, self.after, lambda p: p <= high)
+            if s in later:
+                return False
+            earlier = self._near(s, self.before, lambda p: p >= low)
+            moved = sorted(earlier, key=self.place.get) + sorted(later, key=self.place.get)
+            for n, p in zip(moved, sorted(self.place[n] for n in moved)):
+                self.place[n] = p
+        self.after[s].add(t)
+        self.before[t].add(s)
+        return True
+
+
+def select_acyclic(edges: DataFrame, blocked: DataFrame | None = None, by: str | None = None) -> DataFrame:
+    """Greedy acyclic subset: ``component, relation_id, selected, skip_reason``, one group for each connected component, or for each value of ``by`` if edges lie within these.
 
     Edges go by falling confidence, then source (model before scene before discourse order), observed before inferred,
     then id; one that would close a cycle is skipped, so weak priors never cancel strong evidence.
     """
     usable = edges.where(F.col("usable_for_ordering") & F.col("relation_type").isin(*ORDERING))
     blocked = usable.select("relation_id").limit(0) if blocked is None else blocked.select("relation_id").distinct()
-    labels = components(usable, "source_event_id", "target_event_id")
-    rows = usable.join(labels.withColumnRenamed("node", "source_event_id"), "source_event_id").join(blocked.withColumn("blocked", F.lit(True)), "relation_id", "left")
+    if by:
+        labelled = usable.withColumn("component", F.col(by).cast("string"))
+    else:
+        labelled = usable.join(components(usable, "source_event_id", "target_event_id").withColumnRenamed("node", "source_event_id"), "source_event_id")
+    rows = labelled.join(blocked.withColumn("blocked", F.lit(True)), "relation_id", "left")
 
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.assign(p=pdf["source"].map(PRIORITY).fillna(0), w=pdf["is_inferred"].fillna(False).astype(bool), c=pdf["confidence"].fillna(0.0))
         pdf = pdf.sort_values(["c", "p", "w", "relation_id"], ascending=[False, False, True, True])
-        after: dict[str, set[str]] = defaultdict(set)
-
-        def reaches(a: str, b: str) -> bool:
-            seen, todo = {a}, [a]
-            while todo:
-                for n in after[todo.pop()]:
-                    if n == b:
-                        return True
-                    if n not in seen:
-                        seen.add(n)
-                        todo.append(n)
-            return False
-
+        graph = GrowingOrder()
         out = []
         for r in pdf.itertuples(index=False):
             s, t = r.source_event_id, r.target_event_id
-            reason = "hard_conflict" if r.blocked is True else "self_edge" if s == t else "would_create_cycle" if reaches(t, s) else None
-            if reason is None:
-                after[s].add(t)
+            reason = "hard_conflict" if r.blocked is True else "self_edge" if s == t else None if graph.add(s, t) else "would_create_cycle"
             out.append((r.component, r.relation_id, reason is None, reason))
         return pd.DataFrame(out, columns=["component", "relation_id", "selected", "skip_reason"])
 
@@ -148,24 +223,41 @@ def select_acyclic(edges: DataFrame, blocked: DataFrame | None = None) -> DataFr
     return rows.select(F.col("component").cast("string"), *fields[1:]).groupBy("component").applyInPandas(pick, SELECTED)
 
 
-def topological(events: DataFrame, edges: DataFrame, by: str, order: tuple[str, ...] = ("source_record_id", "discourse_index", "event_id")) -> DataFrame:
+#: Events and edges of a project up to which one task orders it.
+ONE_TASK = 1_000_000
+
+
+def topological(events: DataFrame, edges: DataFrame, by: str, order: tuple[str, ...] = ("source_record_id", "discourse_index", "event_id"), one_task: int = ONE_TASK) -> DataFrame:
     """``by, event_id, timeline_rank``: Kahn's order with a first-in-first-out queue, one graph per ``by``.
 
-    Nodes that become ready together follow ``order``; nodes on cycles come last in that order.
+    Nodes that become ready together follow ``order``; nodes on or behind cycles come last in that order. Projects of more
+    than ``one_task`` events and edges are ordered level by level instead, with the same result.
     """
-    nodes = events.select(by, *order).withColumn("t", F.lit(None).cast("string"))
-    links = edges.join(events.select(by, F.col("event_id").alias("source_event_id")), "source_event_id").select(by, *(F.lit(None).cast(events.schema[c].dataType).alias(c) if c != "event_id" else F.col("source_event_id").alias(c) for c in order), F.col("target_event_id").alias("t"))
+    nodes = events.select(by, *order)
+    own = events.select(F.col(by).alias("__by"), "event_id")
+    links = edges.select("source_event_id", "target_event_id").distinct().where("source_event_id <> target_event_id")
+    links = links.join(own.select(F.col("__by").alias(by), F.col("event_id").alias("source_event_id")), "source_event_id").join(own.select(F.col("__by").alias(by), F.col("event_id").alias("target_event_id")), [by, "target_event_id"]).select(by, "source_event_id", "target_event_id")
+    sizes = nodes.select(by).unionByName(links.select(by)).groupBy(by).agg(F.count("*").alias("__n")).where(F.col("__n") > one_task).select(by)
+    large = cut_lineage(sizes)
+    if large.isEmpty():
+        return _ordered_by_task(nodes, links, by, order)
+    apart = lambda df, how: df.join(large, by, how)
+    return _ordered_by_task(apart(nodes, "left_anti"), apart(links, "left_anti"), by, order).unionByName(_ordered_by_level(apart(nodes, "left_semi"), apart(links, "left_semi"), by, order))
+
+
+def _ordered_by_task(nodes: DataFrame, links: DataFrame, by: str, order: tuple[str, ...]) -> DataFrame:
+    rows = nodes.withColumn("t", F.lit(None).cast("string"))
+    ends = links.select(by, *(F.lit(None).cast(nodes.schema[c].dataType).alias(c) if c != "event_id" else F.col("source_event_id").alias(c) for c in order), F.col("target_event_id").alias("t"))
 
     def sort(pdf: pd.DataFrame) -> pd.DataFrame:
         own = pdf[pdf["t"].isna()].sort_values(list(order))
         ids = own["event_id"].tolist()
         place = {e: i for i, e in enumerate(ids)}
-        after: dict[str, set[str]] = defaultdict(set)
+        after: dict[str, list[str]] = defaultdict(list)
         waits = dict.fromkeys(ids, 0)
         for s, t in pdf[pdf["t"].notna()][["event_id", "t"]].itertuples(index=False):
-            if s in place and t in place and s != t and t not in after[s]:
-                after[s].add(t)
-                waits[t] += 1
+            after[s].append(t)
+            waits[t] += 1
         queue, out = deque(e for e in ids if not waits[e]), []
         while queue:
             e = queue.popleft()
@@ -176,6 +268,39 @@ def topological(events: DataFrame, edges: DataFrame, by: str, order: tuple[str,
                     queue.append(t)
         done = set(out)
         out += [e for e in ids if e not in done]
-        return pd.DataFrame({by: own[by].iloc[0] if len(own) else None, "event_id": out, "timeline_rank": range(1, len(out) + 1)})
+        return pd.DataFrame({by: own[by].iloc[0], "event_id": out, "timeline_rank": range(1, len(out) + 1)})
+
+    return rows.unionByName(ends).groupBy(by).applyInPandas(sort, f"{by} {nodes.schema[by].dataType.simpleString()}, event_id string, timeline_rank int")
+
+
+def _ordered_by_level(nodes: DataFrame, links: DataFrame, by: str, order: tuple[str, ...]) -> DataFrame:
+    """The same order over all tasks, a job for each level (the longest path has as many).
 
-    return nodes.unionByName(links).groupBy(by).applyInPandas(sort, f"{by} {events.schema[by].dataType.simpleString()}, event_id string, timeline_rank int")
+    The queue takes a level after the other, since a node is ready when the last of its predecessors is taken; within a
+    level nodes stand by that predecessor's place, then in ``order``.
+    """
+    key = [by, "event_id"]
+    nodes, waiting = cut_lineage(nodes), cut_lineage(links)
+    ready = nodes.join(waiting.select(by, F.col("target_event_id").alias("event_id")).distinct(), key, "left_anti").withColumn("__last", F.lit(0))
+    placed = None
+    while True:
+        level = place_in(ready, by, ["__last", *order], "__place")
+        if placed is None:
+            level = level.select(*key, F.col("__place").alias("timeline_rank"))
+        else:
+            taken = placed.groupBy(by).agg(F.max("timeline_rank").alias("__taken"))
+            level = level.join(taken, by).select(*key, (F.col("__place") + F.col("__taken")).alias("timeline_rank"))
+        level = cut_lineage(level)
+        if level.isEmpty():
+            break
+        placed = level if placed is None else cut_lineage(placed.unionByName(level))
+        front = level.select(by, F.col("event_id").alias("source_event_id"), "timeline_rank")
+        freed = waiting.join(front, [by, "source_event_id"]).groupBy(by, F.col("target_event_id").alias("event_id")).agg(F.max("timeline_rank").alias("__last"))
+        waiting = cut_lineage(waiting.join(front, [by, "source_event_id"], "left_anti"))
+        ready = nodes.join(freed, key).join(waiting.select(by, F.col("target_event_id").alias("event_id")).distinct(), key, "left_anti")
+    if placed is None:
+        placed = nodes.select(*key, F.lit(0).alias("timeline_rank")).limit(0)
+    rest = nodes.join(placed.select(*key), key, "left_anti")
+    taken = placed.groupBy(by).agg(F.max("timeline_rank").alias("__taken"))
+    last = place_in(rest, by, list(order), "__place").join(taken, by, "left").select(*key, (F.coalesce("__taken", F.lit(0)) + F.col("__place")).alias("timeline_rank"))
+    return placed.unionByName(last)

@@ -22,7 +22,20 @@ def stated(df: DataFrame, most: int = STATED_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
-def running_sums(df: DataFrame, order: Sequence[Column], sums: dict[str, Column]) -> DataFrame:
+def stated_blocks(df: DataFrame, most: int = STATED_ROWS) -> list[DataFrame]:
+    """A caller's list in blocks that may each be broadcast: one for a short list, more for a longer one."""
+    n = df.count()
+    if n <= most:
+        return [F.broadcast(df)]
+    parts = -(-2 * n // most)
+    rows = cut_lineage(df.withColumn("__block", F.pmod(F.xxhash64(*df.columns), F.lit(parts)).cast("int")))
+    sizes = [r["__block"] for r in rows.groupBy("__block").agg(F.count("*").alias("n")).where(F.col("n") > most).collect()]  # as many as blocks at most
+    if sizes:
+        raise ValueError("a list of queries repeats rows; make them distinct first")
+    return [F.broadcast(rows.where(F.col("__block") == i).drop("__block")) for i in range(parts)]
+
+
+def running_sums(df: DataFrame, order: Sequence[str | Column], sums: dict[str, Column]) -> DataFrame:
     """Running sums over one global order, without sorting everything in one task.
 
     Rows are dealt by ranges of the order; sums within a range add to the totals of the ranges before it, of which there
@@ -30,20 +43,27 @@ def running_sums(df: DataFrame, order: Sequence[Column], sums: dict[str, Column]
     """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     values = {f"__v{i}": c for i, c in enumerate(sums.values())}
-    dealt = cut_lineage(df.withColumns(values).repartitionByRange(parts, *order).withColumn("__range", F.spark_partition_id()))
+    dealt = cut_lineage(df.withColumns(values).repartitionByRange(parts, *_columns(order)).withColumn("__range", F.spark_partition_id()))
     before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     totals = dealt.groupBy("__range").agg(*(F.sum(v).alias(v) for v in values))
     offsets = totals.select("__range", *(F.coalesce(F.sum(v).over(before), F.lit(0)).alias(f"{v}_before") for v in values))
-    upto = Window.partitionBy("__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    upto = Window.partitionBy("__range").orderBy(*_columns(order)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = dealt.join(F.broadcast(offsets), "__range")  # one row a partition
     return rows.select(*df.columns, *((F.sum(v).over(upto) + F.col(f"{v}_before")).alias(name) for name, v in zip(sums, values)))
 
 
-def numbered(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
+def numbered(df: DataFrame, order: Sequence[str | Column], name: str) -> DataFrame:
     """Number all rows from 1 in a global order."""
     return running_sums(df, order, {name: F.lit(1)})
 
 
+def place_in(df: DataFrame, by: str, order: Sequence[str | Column], name: str) -> DataFrame:
+    """Number the rows of each group from 1 through one global order, so that a very large group is not one task's."""
+    rows = cut_lineage(numbered(df, [by, *order], name))
+    skipped = rows.groupBy(by).agg((F.min(name) - 1).alias("__skip"))
+    return rows.join(skipped, by).withColumn(name, (F.col(name) - F.col("__skip")).cast("int")).drop("__skip")
+
+
 def ranked(df: DataFrame, by: Sequence[str | Column], order: Sequence[Column], name: str = "rank") -> DataFrame:
     """Number the rows of each group from 1."""
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*_columns(by)).orderBy(*order)))
@@ -54,6 +74,13 @@ def top_per(df: DataFrame, by: Sequence[str | Column], order: Sequence[Column],
     return ranked(df, by, order, name).where(F.col(name) <= k)
 
 
+def suffix_order(value: Column | str) -> tuple[Column, Column]:
+    """Sort keys of ids: the number after the last underscore (ids without one last), then the id."""
+    v = F.col(value) if isinstance(value, str) else value
+    last = F.element_at(F.split(v, "_"), -1)
+    return F.when(last.rlike("^[0-9]+$"), last.try_cast("long")).asc_nulls_last(), v.asc()
+
+
 def first_wins(df: DataFrame, by: Sequence[str | Column], order: Sequence[Column]) -> DataFrame:
     """INSERT OR IGNORE: the first row of every key."""
     return top_per(df, by, order, 1, "__rank").drop("__rank")

@@ -83,13 +83,24 @@ def pseudo_relations(relations: DataFrame) -> DataFrame:
     return pair.groupBy("a", "b").agg(F.sum(F.coalesce("weight", F.lit(1.0))).alias("weight"), F.count("*").alias("member_count"), F.array_sort(F.collect_set("source_doc_id")).alias("source_doc_ids")).withColumn("pseudo_relation_id", stable_id("ref_pseudo_rel", "a", "b", separator="|", digits=None))
 
 
-def inverted_index(df: DataFrame, values: Column, key: str, name: str) -> DataFrame:
-    """``name, keys, n``: the sorted distinct keys that have each value of an array."""
-    return df.select(F.col(key), F.explode(values).alias(name)).groupBy(name).agg(F.array_sort(F.collect_set(key)).alias("keys"), F.count_distinct(key).alias("n"))
+def inverted_index(df: DataFrame, values: Column, key: str, name: str, block: Column) -> DataFrame:
+    """Posting lists in blocks: ``name, block, keys, n``, the sorted distinct keys that have each value of an array.
+
+    ``block`` is a function of the key (such as its range), so that a value that most rows have is many rows of a bounded
+    length and not one; a value's list is its blocks' lists, and its count the sum of theirs.
+    """
+    pairs = df.select(F.col(key).alias("__key"), block.alias("block"), F.explode(F.array_distinct(values)).alias(name))
+    return pairs.groupBy(name, "block").agg(F.array_sort(F.collect_set("__key")).alias("keys")).withColumn("n", F.size("keys").cast("long"))
 
 
 def source_scopes(docs: DataFrame, scope: str = "source_scope_id") -> DataFrame:
-    return docs.groupBy(scope).agg(F.min("source_scope_name").alias("source_scope_name"), F.count("*").alias("doc_count"), F.array_sort(F.collect_set("doc_id")).alias("doc_ids"), F.array_sort(F.collect_set("source_path")).alias("source_paths"))
+    """Scopes with their name, documents and paths counted, and the first and last document; ``scope_documents`` lists them."""
+    return docs.groupBy(scope).agg(F.min("source_scope_name").alias("source_scope_name"), F.count("*").alias("doc_count"), F.count_distinct("source_path").alias("path_count"), F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("last_doc_id"))
+
+
+def scope_documents(docs: DataFrame, scope: str = "source_scope_id") -> DataFrame:
+    """The documents and paths of every scope, one row each: a scope may have any number."""
+    return docs.select(scope, "doc_id", "source_path").distinct()
 
 
 def facts_from_descriptions(entities: DataFrame, subject: str = "entity_name") -> DataFrame:

@@ -14,7 +14,7 @@ from ..functions import vocab
 from ..functions.rules import status_rank
 from ..functions.similarity import cosine
 from ..functions.text import context_tokens, order_before, text_of, token_set
-from .ranking import STATED_ROWS, first_wins, stated, top_per
+from .ranking import STATED_ROWS, first_wins, stated, stated_blocks, top_per
 
 
 def before(df: DataFrame, order: str, scene_id: str | None = None, bound: int | None = None, keep_null: bool = False) -> DataFrame:
@@ -41,42 +41,94 @@ def entity_memories(links: DataFrame, memories: DataFrame, entity: Column, bound
     return near.join(memories if bound is None else memories.where(bound), "memory_id")
 
 
-def lexical(docs: DataFrame, queries: DataFrame, text: str = "text", query: str = "query", on: Column | None = None, key: str = "doc_id") -> DataFrame:
-    """Scores of texts for a short list of queries by token overlap, coverage and density; rows without overlap go.
+def _overlaps(rows: DataFrame, tokens: Column, queries: DataFrame, query_tokens: Column, keep: Sequence[str]) -> DataFrame:
+    """``__row, keep, __id, __nd, __nq, __n``: how many distinct tokens every row shares with every query (column ``__id``).
 
-    Tokens of texts meet the queries' inverted index in an equi-join and are counted by text and query, so a pair costs
-    its common tokens only. ``key`` identifies a text.
+    Tokens of rows meet the queries' inverted index in an equi-join and are counted by row and query, so a pair costs its
+    common tokens only, and only its key columns are shuffled. A row counts by its place in the scan, so that rows that
+    are alike stay apart.
     """
-    q = queries.withColumn("__id", F.xxhash64(query)).withColumn("__q", token_set(query))
-    index = q.select("__id", F.size("__q").alias("__nq"), F.explode("__q").alias("__t")).distinct()
-    tokens = docs.select(key, token_set(text).alias("__d")).select(key, F.size("__d").alias("__nd"), F.explode("__d").alias("__t"))
-    counts = tokens.join(stated(index, 10 * STATED_ROWS), "__t").groupBy(key, "__nd", "__id", "__nq").agg(F.count("*").cast("double").alias("__n"))
-    scored = counts.select(key, "__id", F.round(F.col("__n") + F.col("__n") / F.col("__nq") + F.col("__n") / F.col("__nd"), 6).alias("score"))
-    out = scored.join(docs, key).join(stated(q.drop("__q")), "__id").drop("__id")
+    q = queries.select("__id", query_tokens.alias("__q")).distinct()
+    index = q.select("__id", F.size("__q").alias("__nq"), F.explode("__q").alias("__t"))
+    own = rows.select(F.monotonically_increasing_id().alias("__row"), *keep, tokens.alias("__d"))
+    each = own.select("__row", *keep, F.size("__d").alias("__nd"), F.explode("__d").alias("__t"))
+    return each.join(stated(index, 10 * STATED_ROWS), "__t").groupBy("__row", *keep, "__nd", "__id", "__nq").agg(F.count("*").cast("double").alias("__n"))
+
+
+def lexical(docs: DataFrame, queries: DataFrame, text: str = "text", query: str = "query", on: Column | None = None, key: str = "doc_id", keep: Sequence[str] = ()) -> DataFrame:
+    """Scores of texts for a short list of queries by token overlap, coverage and density; pairs without overlap go.
+
+    The result has ``key``, the columns of ``keep``, all columns of ``queries`` and ``score``; a row of ``docs`` is scored once,
+    also where its key or text is repeated. Callers rank these rows first and fetch other columns for what is left.
+    """
+    q = queries.withColumn("__id", F.xxhash64(query))
+    counts = _overlaps(docs, token_set(text), q, token_set(query), [key, *keep])
+    scored = counts.select(key, *keep, "__id", F.round(F.col("__n") + F.col("__n") / F.col("__nq") + F.col("__n") / F.col("__nd"), 6).alias("score"))
+    out = scored.join(stated(q), "__id").drop("__id")
     return out if on is None else out.where(on)
 
 
+def overlap_top(docs: DataFrame, queries: DataFrame, tokens: Column, query_tokens: Column, static: Column, by: Sequence[str], k: int, key: str, query: str = "query_id", keep: Sequence[str] = (), digits: int = 4) -> DataFrame:
+    """The k best rows of each query and group by common tokens plus a score of their own; of equals the smaller key.
+
+    Rows that share nothing with a query come in the order of their own scores, so the first k of each group stand for
+    all of them: whatever is not among these has k rows before it for every query. Rows of equal key count once. A
+    query without tokens gets the rows' own order.
+    """
+    q = queries.withColumn("__id", F.xxhash64(query))
+    rows = docs.select(key, *by, *keep, tokens.alias("__tokens"), F.round(static, digits).alias("__own"), static.alias("__static"))
+    met = _overlaps(rows, F.col("__tokens"), q.withColumn("__words", query_tokens), F.col("__words"), [key, *by, *keep, "__static"])
+    met = met.select(key, *by, *keep, "__id", F.round(F.col("__n") + F.col("__static"), digits).alias("score"))
+    first = top_per(rows.drop("__tokens", "__static"), by, [F.col("__own").desc(), F.col(key).asc()], k, "__place").drop("__place")
+    rest = first.withColumnRenamed("__own", "score").join(stated(q.select("__id").distinct()))  # k rows a group for each stated query
+    once = first_wins(met.unionByName(rest), ["__id", key], [F.col("score").desc()])
+    best = top_per(once, ["__id", *by], [F.col("score").desc(), F.col(key).asc()], k)
+    return best.join(stated(q.select("__id", query).distinct()), "__id").drop("__id")
+
+
+def namespace_weight(weights: dict[str, float] = vocab.NAMESPACE_WEIGHTS) -> Column:
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in weights.items() for x in kv]), F.col("vector_namespace")), F.lit(0.0))
+
+
 def namespace_rank(docs: DataFrame, query: str, weights: dict[str, float] = vocab.NAMESPACE_WEIGHTS) -> DataFrame:
     """Overlap of tokens plus the namespace's weight: the order when no vectors are at hand."""
-    weight = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in weights.items() for x in kv]), F.col("vector_namespace")), F.lit(0.0))
     both = F.size(F.array_intersect(token_set("content"), token_set(F.lit(query))))
-    return docs.withColumn("score", F.round(both + weight, 4))
+    return docs.withColumn("score", F.round(both + namespace_weight(weights), 4))
+
+
+def namespace_top(docs: DataFrame, queries: DataFrame, k: int, weights: dict[str, float] = vocab.NAMESPACE_WEIGHTS, key: str = "vector_id", query: str = "query_id", text: str = "query") -> DataFrame:
+    """``namespace_rank`` for a list of queries: the k best of each namespace, ``query, vector_namespace, key, score, rank``."""
+    return overlap_top(docs, queries, token_set("content"), token_set(text), namespace_weight(weights), ["vector_namespace"], k, key, query)
 
 
 def vector_top(docs: DataFrame, queries: DataFrame, k: int, vector: str = "embedding", key: str = "vec_id", query: str = "query_id", on: Column | None = None) -> DataFrame:
-    """The k nearest allowed vectors of each query (query_id, query_vector) by cosine; of equals the smaller key."""
-    q = stated(queries)
-    pairs = docs.join(q) if on is None else docs.join(q, on)
-    scored = pairs.withColumn("score", F.round(cosine(vector, "query_vector"), 6)).where("score IS NOT NULL")
-    return top_per(scored, [query], [F.col("score").desc(), F.col(key).asc()], k)
+    """The k nearest allowed vectors of each query (query_id, query_vector) by cosine; of equals the smaller key.
+
+    The search is exact: a list of queries is held against all allowed rows, in blocks if it is long.
+    """
+    best = None
+    for q in stated_blocks(queries):
+        pairs = docs.join(q) if on is None else docs.join(q, on)
+        scored = pairs.withColumn("score", F.round(cosine(vector, "query_vector"), 6)).where("score IS NOT NULL")
+        part = top_per(scored, [query], [F.col("score").desc(), F.col(key).asc()], k)
+        best = part if best is None else best.unionByName(part)
+    return best
+
+
+def _context_text(docs: DataFrame) -> Column:
+    return F.concat_ws("\n", *(text_of(c) for c in ("subject", "statement", "text") if c in docs.columns))
+
+
+def context_static() -> Column:
+    """What a context document scores by itself: 0.2 confidence + 0.25 status rank + the source's bonus."""
+    bonus = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in vocab.SOURCE_BONUS.items() for x in kv]), F.col("source_type")), F.lit(0.0))
+    return F.coalesce("confidence", F.lit(0.0)) * 0.2 + status_rank("status") * 0.25 + bonus
 
 
 def context_score(docs: DataFrame, query: str, entities: Sequence[str] = ()) -> DataFrame:
-    """Overlap + 0.2 confidence + 0.25 status rank + the source's bonus; 2 more for a wanted entity."""
+    """Overlap + the document's own score; 2 more for a wanted entity."""
     terms = context_tokens(F.lit(query))
-    text = F.concat_ws("\n", *(text_of(c) for c in ("subject", "statement", "text") if c in docs.columns))
-    bonus = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in vocab.SOURCE_BONUS.items() for x in kv]), F.col("source_type")), F.lit(0.0))
-    base = F.size(F.array_intersect(terms, context_tokens(text))) + F.coalesce("confidence", F.lit(0.0)) * 0.2 + status_rank("status") * 0.25 + bonus
+    base = F.size(F.array_intersect(terms, context_tokens(_context_text(docs)))) + context_static()
     wanted = F.coalesce(F.arrays_overlap("entity_ids", F.array(*map(F.lit, entities))), F.lit(False)) if entities else F.lit(False)
     score = F.when(F.size(terms) > 0, base).otherwise(0.0) + F.when(wanted, 2.0).otherwise(0.0)
     out = docs.withColumn("score", F.round(score, 4)).withColumn("__has_terms", F.size(terms) > 0)
@@ -84,6 +136,12 @@ def context_score(docs: DataFrame, query: str, entities: Sequence[str] = ()) ->
     return out.drop("__has_terms")
 
 
+def context_top(docs: DataFrame, queries: DataFrame, k: int, query: str = "query_id", text: str = "query", keep: Sequence[str] = ("item_type", "status")) -> DataFrame:
+    """The k best context documents of each source type for a list of queries; scores of zero or less go."""
+    best = overlap_top(docs, queries, context_tokens(_context_text(docs)), context_tokens(text), context_static(), ["source_type"], k, "item_id", query, keep)
+    return best.where("score > 0")
+
+
 def context_search(
     docs: DataFrame, query: str, project: str, source_types: Sequence[str] = (), item_types: Sequence[str] = (), statuses: Sequence[str] = ("active", "canonical"),
     entities: Sequence[str] = (), visibility: Sequence[str] = (), bound: int | None = None, k: int = 10,
@@ -128,13 +186,20 @@ def bind(items: DataFrame, entities: DataFrame, score: Column, k: int, key: str
     return top_per(both, ["bound_to"], [F.col("score").desc(), F.col(key).desc()], k)
 
 
-def adaptive_memories(links: DataFrame, score: Column, by: str = "entity_id", all_up_to: int = 50, k: int = 12, order: Sequence[Column] = ()) -> DataFrame:
-    """All memories of an entity with few, else its k best by score; the count decides within the plan."""
-    w = Window.partitionBy(by)
-    rows = links.withColumn("memory_count", F.count("*").over(w)).withColumn("score", score)
-    rows = rows.withColumn("strategy", F.when(F.col("memory_count") <= all_up_to, "all_memories").otherwise("top_k"))
-    ranked = rows.withColumn("rank", F.row_number().over(w.orderBy(F.when(F.col("strategy") == "top_k", F.col("score")).desc_nulls_last(), *order)))
-    return ranked.where((F.col("strategy") == "all_memories") | (F.col("rank") <= k))
+def adaptive_memories(links: DataFrame, score: Column, by: str | Sequence[str] = "entity_id", all_up_to: int = 50, k: int = 12, order: Sequence[Column] = ()) -> DataFrame:
+    """All memories of an entity with few, else its k best by score; the count decides within the plan.
+
+    Counts are aggregated and joined, and only the memories of entities with many are ranked, so that Spark can cut them
+    to k a task and split the join of an entity that most memories are linked to.
+    """
+    keys = [by] if isinstance(by, str) else list(by)
+    counts = links.groupBy(*keys).agg(F.count("*").alias("memory_count"))
+    rows = links.join(counts, keys).withColumn("score", score)
+    few = rows.where(F.col("memory_count") <= all_up_to).withColumn("strategy", F.lit("all_memories"))
+    many = rows.where(F.col("memory_count") > all_up_to).withColumn("strategy", F.lit("top_k"))
+    w = Window.partitionBy(*keys)
+    few = few.withColumn("rank", F.row_number().over(w.orderBy(*(order or [F.col("score").desc_nulls_last()]))))
+    return few.unionByName(top_per(many, keys, [F.col("score").desc_nulls_last(), *order], k))
 
 
 def profile_memories(memories: DataFrame, by: str, is_profile: Column, order: Sequence[Column], k: int = 3) -> DataFrame:

@@ -54,57 +54,92 @@ VARIANTS = ("pressure_default", "relationship_first", "resistance_first", "score
 BEATS = "strategy string, score double, beat_no int, source string, target string, opener string, answer string, selected boolean"
 
 
-def _first_of(options: list[tuple], types: Sequence[str]) -> tuple | None:
-    known = [o for o in options if o[2] in types]
-    return min(known, key=lambda o: (types.index(o[2]), -o[3], o[0])) if known else None
+#: Kinds of actions that each cautious strategy prefers (fixed values).
+CARING, LOW = ("care_reframe", "safety_correction"), ("physical_reaction", "silence_or_withholding", "minimal_compliance")
 
 
-def sequence_score(beats: list[tuple], hard: int = 0, warnings: int = 0, supported: bool = True) -> float:
-    """Coverage 0.4, arc 0.3 (0.15), faithfulness 0.2, base 0.1, support 0.05, less 0.03 for each warning (0.2 at most)."""
+def _by_type(options: list[tuple], types: Sequence[str]) -> tuple | None:
+    """The option of the first type in the order given, of equals the best score; None if no option has such a type."""
+    return min((o for o in options if o[2] in types), key=lambda o: (types.index(o[2]), -o[3]), default=None)
+
+
+def _opener(options: list[tuple], source: str, kind: str, strategy: str) -> tuple:
+    """Who begins a beat: an action of the source by the strategy, else any of the source's, else one of the other's."""
+    mine = [o for o in options if o[1] == source]
+    if strategy == "score_first":
+        return (mine or options)[0]
+    if strategy in ("care_posture", "low_directive"):
+        wanted = [o for o in mine if o[2] in (CARING if strategy == "care_posture" else LOW)]
+        if wanted:
+            return max(wanted, key=lambda o: o[3])
+    return _by_type(mine, vocab.BEAT_OPENERS.get(kind, ())) or (mine or options)[0]
+
+
+def _answer(options: list[tuple], first: tuple, target: str, kind: str, strategy: str) -> tuple | None:
+    """What answers it, of the target's other actions."""
+    theirs = [o for o in options if o[1] == target and o[0] != first[0]]
+    if strategy == "low_directive":
+        return next((o for o in theirs if o[2] in LOW), None)
+    return _by_type(theirs, vocab.BEAT_ANSWERS.get(kind, vocab.BEAT_ANSWERS_ELSE)) or (theirs[0] if theirs else None)
+
+
+def sequence_score(beats: list[tuple], hard: int = 0, warnings: int = 0, supported: bool = True, style_risks: int = 0) -> float:
+    """Coverage 0.4, arc 0.3 (0.15), faithfulness 0.2, base 0.1, support 0.05, less 0.03 for each warning (0.2 at most) and 0.04 for each risk of style (0.15)."""
     if not beats:
         return 0.0
     covers = any(b[3] in vocab.PROBLEM_FUNCTIONS for b in beats)
     pairs = any(b[0] and b[1] for b in beats)
-    score = 0.4 * covers + (0.3 if pairs else 0.15) + 0.2 * (not hard) + 0.1 + 0.05 * supported - min(0.2, 0.03 * warnings)
+    score = 0.4 * covers + (0.3 if pairs else 0.15) + 0.2 * (not hard) + 0.1 + 0.05 * supported - min(0.2, 0.03 * warnings) - min(0.15, 0.04 * style_risks)
     return round(max(0.0, min(1.0, score)), 3)
 
 
+def beat_options(links: list[tuple], pool: list[tuple], most: int = 5) -> list[tuple]:
+    """Sequences of beats by all strategies, the best first: ``strategy, score, beats, picks``; repeats of the same actions go.
+
+    ``links``: source, target, strength, kind; ``pool``: id, actor, kind, score. A beat takes an action of either member of
+    its link and, if there is one, an answer of the target; no action opens two beats. Without links the three best
+    actions stand alone.
+    """
+    pool = sorted(pool, key=lambda o: (-o[3], o[0]))
+    if not links:
+        beats = [(o[1], None, o[3], o[2]) for o in pool[:3]]
+        return [("fallback_top_candidates", sequence_score(beats), beats, [(o[0], None) for o in pool[:3]])] if beats else []
+    links = sorted(links, key=lambda b: (-b[2], b[0], b[1]))
+    front = {"relationship_first": ("care_guidance", "safety_correction"), "resistance_first": ("value_resistance", "risky_operation")}
+    found: dict[tuple, tuple] = {}
+    for strategy in VARIANTS:
+        used: set[str] = set()
+        beats, picks = [], []
+        for b in sorted(links, key=lambda b: b[3] not in front.get(strategy, (b[3],)))[:most]:
+            options = [o for o in pool if o[1] in (b[0], b[1]) and o[0] not in used]
+            if not options:
+                continue
+            one = _opener(options, b[0], b[3], strategy)
+            two = _answer(options, one, b[1], b[3], strategy)
+            used |= {o[0] for o in (one, two) if o}
+            beats.append(b)
+            picks.append((one[0], two[0] if two else None))
+        if beats:
+            found.setdefault(tuple(picks), (strategy, sequence_score(beats), beats, picks))
+    return sorted(found.values(), key=lambda s: (-s[1], -sum(b[2] for b in s[2]), VARIANTS.index(s[0])))
+
+
 def beat_sequences(edges: DataFrame, actions: DataFrame, scene: str, most: int = 5) -> DataFrame:
     """Six orderings of a scene's edges, each covered greedily by actions; duplicates go; the best comes out selected.
 
-    A scene has few edges and actions and is one group. ``edges``: scene, source, target, kind, strength; ``actions``:
-    scene, action_id, actor, action_type, score.
+    A scene's cast and so its edges and actions are one small group. ``edges``: scene, source, target, kind, strength;
+    ``actions``: scene, action_id, actor, action_type, score.
     """
     e = edges.select(F.col(scene).cast("string").alias("scene"), "source", "target", "kind", F.col("strength").cast("double").alias("x"), F.lit(None).cast("string").alias("action_id"))
     a = actions.select(F.col(scene).cast("string").alias("scene"), F.col("actor").alias("source"), F.lit(None).cast("string").alias("target"), F.col("action_type").alias("kind"), F.col("score").cast("double").alias("x"), "action_id")
+    names = [f.split()[0] for f in BEATS.split(", ")]
 
     def plan(pdf: pd.DataFrame) -> pd.DataFrame:
-        pool = sorted(((r.action_id, r.source, r.kind, r.x) for r in pdf[pdf["action_id"].notna()].itertuples()), key=lambda o: (-o[3], o[0]))
-        links = sorted(((r.source, r.target, r.x, r.kind) for r in pdf[pdf["action_id"].isna()].itertuples()), key=lambda b: (-b[2], b[0], b[1]))
-        front = {"relationship_first": ("care_guidance", "safety_correction"), "resistance_first": ("value_resistance", "risky_operation")}
-        found: dict[tuple, tuple] = {}
-        for strategy in VARIANTS:
-            ordered = sorted(links, key=lambda b: b[3] not in front.get(strategy, (b[3],)))[:most]
-            used: set[str] = set()
-            beats, picks = [], []
-            for b in ordered:
-                mine = [o for o in pool if o[1] == b[0] and o[0] not in used]
-                openers = ("safety_correction", "care_reframe") if strategy == "care_posture" else ("information_probe", "silence_or_withholding", "physical_reaction") if strategy == "low_directive" else vocab.BEAT_OPENERS.get(b[3], ())
-                one = (mine[0] if mine else None) if strategy == "score_first" else _first_of(mine, openers) or (mine[0] if mine else None)
-                if one is None:
-                    continue
-                used.add(one[0])
-                theirs = [o for o in pool if o[1] == b[1] and o[0] not in used]
-                two = _first_of(theirs, vocab.BEAT_ANSWERS.get(b[3], vocab.BEAT_ANSWERS_ELSE)) or (theirs[0] if theirs else None)
-                if two is not None:
-                    used.add(two[0])
-                beats.append(b)
-                picks.append((one[0], two[0] if two else None))
-            if beats and tuple(picks) not in found:
-                found[tuple(picks)] = (strategy, sequence_score(beats), beats, picks)
-        best = sorted(found.values(), key=lambda s: (-s[1], -sum(b[2] for b in s[2]), VARIANTS.index(s[0])))
+        pool = [(r.action_id, r.source, r.kind, r.x) for r in pdf[pdf["action_id"].notna()].itertuples()]
+        links = [(r.source, r.target, r.x, r.kind) for r in pdf[pdf["action_id"].isna()].itertuples()]
+        best = beat_options(links, pool, most)
         rows = [(s[0], s[1], n, b[0], b[1], p[0], p[1], s is best[0]) for s in best for n, (b, p) in enumerate(zip(s[2], s[3]), 1)]
-        return pd.DataFrame(rows, columns=[f.split()[0] for f in BEATS.split(", ")]).assign(scene=pdf["scene"].iloc[0])[["scene", *(f.split()[0] for f in BEATS.split(", "))]]
+        return pd.DataFrame(rows, columns=names).assign(scene=pdf["scene"].iloc[0])[["scene", *names]]
 
     return e.unionByName(a).groupBy("scene").applyInPandas(plan, f"scene string, {BEATS}")
 

@@ -10,8 +10,8 @@ from ..functions.rules import clamp, event_track, one_of
 from ..functions.similarity import ratio
 from ..functions.text import text_of
 from ..sources.scratch import cut_lineage
-from .graphs import components
-from .ranking import numbered
+from .graphs import ORDERING, components
+from .ranking import numbered, place_in
 
 SCENE_PRIOR, DISCOURSE_PRIOR, MIN_MATCH = 0.55, 0.35, 0.25
 #: What Python's ``strip`` takes away.
@@ -61,13 +61,46 @@ def discourse_priors(events: DataFrame, scene: str, order: list[Column], sort_ke
     return paired.select(F.col(scene).alias("scene_id"), *_edge("discourse_prior", F.col(scene), F.col("__scene"), F.col(event), F.col("__next"), confidence))
 
 
-def buckets(order: DataFrame, symmetric: DataFrame) -> DataFrame:
-    """``timeline_bucket, event_id, timeline_rank``: components over same-time edges, numbered by their first member's rank."""
+def buckets(order: DataFrame, symmetric: DataFrame, by: str | None = None) -> DataFrame:
+    """``timeline_bucket, event_id, timeline_rank`` (and ``by``): components over same-time edges, numbered by their first member's rank (within a project)."""
     labels = components(symmetric, "source_event_id", "target_event_id", order.select(F.col("event_id").alias("node")))
     rows = order.join(labels.withColumnRenamed("node", "event_id"), "event_id")
-    first = rows.groupBy("component").agg(F.min("timeline_rank").alias("first"))
-    first = numbered(first, [F.col("first"), F.col("component")], "n")
-    return rows.join(first, "component").select(F.format_string("T%03d", F.col("n")).alias("timeline_bucket"), "event_id", "timeline_rank")
+    own = [by] if by else []
+    first = rows.groupBy(*own, "component").agg(F.min("timeline_rank").alias("first"))
+    first = place_in(first, by, ["first", "component"], "n") if by else numbered(first, ["first", "component"], "n")
+    return rows.join(first, [*own, "component"]).select(*own, F.format_string("T%03d", F.col("n")).alias("timeline_bucket"), "event_id", "timeline_rank")
+
+
+#: Ranks of what has no place in story time.
+NO_RANK = 10**9
+
+
+def story_order(rank: str = "timeline_rank", reveal: str = "reveal_order", key: str = "record_id") -> list[Column]:
+    """Sort keys of records in story time: rank, then the order of revelation, then id; what has none comes last."""
+    return [F.coalesce(F.col(rank), F.lit(NO_RANK)).asc(), F.coalesce(F.col(reveal), F.lit(NO_RANK)).asc(), F.col(key).asc()]
+
+
+def graph_counts(scenes: DataFrame, events: DataFrame, relations: DataFrame, conflicts: DataFrame, bucket_rows: DataFrame, main: tuple[str, ...] = ("plot", "memory", "unknown")) -> DataFrame:
+    """The twelve counts of a timeline graph as one row, each input read once.
+
+    ``events``: event_track; ``relations``: source, relation_type, usable_for_ordering, selected (null where it was not
+    a candidate); ``bucket_rows``: timeline_bucket.
+    """
+    n = lambda cond: F.count_if(F.coalesce(cond, F.lit(False)))
+    ordering = F.col("relation_type").isin(*ORDERING)
+    e = events.agg(F.count("*").alias("event_count"), n(F.coalesce("event_track", F.lit("unknown")).isin(*main)).alias("main_story_event_count"), n(F.col("event_track") == "context").alias("context_event_count"), n(F.col("event_track") == "forecast").alias("forecast_event_count"))
+    r = relations.agg(
+        n(F.col("source") == "llm").alias("llm_relation_count"),
+        n(ordering).alias("ordering_relation_count"),
+        n(F.col("selected")).alias("selected_ordering_relation_count"),
+        n(F.col("usable_for_ordering") & ordering & ~F.col("selected")).alias("skipped_ordering_relation_count"),
+        n(F.col("source") == "discourse_prior").alias("discourse_prior_relation_count"),
+    )
+    one = [scenes.agg(F.count("*").alias("scene_count")), e, r, conflicts.agg(F.count("*").alias("conflict_count")), bucket_rows.agg(F.count_distinct("timeline_bucket").alias("timeline_bucket_count"))]
+    out = one[0]
+    for other in one[1:]:
+        out = out.join(F.broadcast(other))  # one row each
+    return out
 
 
 def match_score(memory_evidence: Column, event_evidence: Column, memory_summary: Column, event_summary: Column, same_sequence: Column, similarity=ratio) -> Column:

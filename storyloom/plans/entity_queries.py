@@ -9,9 +9,10 @@ from ..functions.text import token_set
 from ..operators.entities import align_candidates, disambiguate, group_mentions, registry, resolve_exact, resolve_fuzzy, resolve_types
 from ..operators.graphs import one_hop
 from ..operators.metrics import counters, deltas, judged, row_counts, weighted_mean
-from ..operators.prefix import parent_rollup
+from ..operators.prefix import parent_rollup, visible_to
 from ..operators.ranking import batches, in_given_order, last_wins, neighbours, stated
-from ..operators.relations import clusters, fact_jobs, inverted_index, pseudo_relations, relationship_states, source_local_entities, source_local_relationships
+from ..operators.relations import attach_assets, attach_clusters, clusters, fact_jobs, inverted_index, pseudo_relations, relationship_states, source_local_entities, source_local_relationships, source_scopes
+from ..operators.retrieval import entity_memories
 from .registry import query
 
 TYPES = {"view": "device", "click": "event", "purchase": "group", "signup": "character", "error": "place"}
@@ -56,26 +57,23 @@ def type_resolution(t) -> DataFrame:
     return resolve_types(t.events.withColumn("entity_type", _kind()), ["user_id"])
 
 
-@query(rf"""
-WITH n AS (SELECT source, lang, count(*) AS n FROM documents GROUP BY ALL) SELECT source, lang, n AS docs, sum(n) OVER (PARTITION BY source)::BIGINT AS source_docs FROM n
+@query("""
+SELECT source AS source_scope_id, min(source) AS source_scope_name, count(*) AS doc_count, count(DISTINCT lang) AS path_count, min(doc_id) AS first_doc_id, max(doc_id) AS last_doc_id FROM documents GROUP BY source
 """)
 def source_scopes_by_language(t) -> DataFrame:
-    """Documents of each source by language, with the source's own count."""
-    from pyspark.sql import Window
-
-    rows = t.documents.groupBy("source", "lang").agg(F.count("*").alias("docs"))
-    return rows.withColumn("source_docs", F.sum("docs").over(Window.partitionBy("source")))
+    """Sources with their documents and languages counted."""
+    return source_scopes(t.documents.select(F.col("source").alias("source_scope_id"), F.col("source").alias("source_scope_name"), "doc_id", F.col("lang").alias("source_path")))
 
 
 @query("""
 SELECT l.l_suppkey AS entity_id, count(*) AS memories, count(DISTINCT o.o_orderkey) AS orders, min(o.o_orderdate) AS first_seen, max(o.o_orderdate) AS last_seen, round(sum(l.l_quantity), 3) AS quantity
-FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey WHERE o.o_orderdate < TIMESTAMP '1997-01-01' GROUP BY l.l_suppkey
+FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey WHERE o.o_orderdate < TIMESTAMP '1997-01-01' AND l_returnflag <> 'A' GROUP BY l.l_suppkey
 """)
 def entity_memories_before(t) -> DataFrame:
     """What each supplier is linked to before a date."""
-    links = t.lineitem.select(F.col("l_orderkey").alias("memory_id"), F.col("l_suppkey").alias("entity_id"), "l_quantity")
-    memories = t.orders.where("o_orderdate < TIMESTAMP '1997-01-01'").select(F.col("o_orderkey").alias("memory_id"), "o_orderdate")
-    joined = links.join(memories, "memory_id")
+    links = t.lineitem.select(F.col("l_orderkey").alias("memory_id"), F.col("l_suppkey").alias("entity_id"), "l_quantity", "l_returnflag")
+    memories = t.orders.select(F.col("o_orderkey").alias("memory_id"), "o_orderdate")
+    joined = entity_memories(links, memories, F.col("l_returnflag") != "A", F.col("o_orderdate") < F.lit("1997-01-01").cast("timestamp"))
     return joined.groupBy("entity_id").agg(F.count("*").alias("memories"), F.count_distinct("memory_id").alias("orders"), F.min("o_orderdate").alias("first_seen"), F.max("o_orderdate").alias("last_seen"), F.round(F.sum("l_quantity"), 3).alias("quantity"))
 
 
@@ -104,21 +102,35 @@ def ids_in_order(t) -> DataFrame:
 
 @query()
 def fuzzy_entity_refs(t) -> DataFrame:
-    """Misspelt, partial and code references to parts' names and brands."""
+    """The words of all benchmark texts as misspelt or partial references to parts' names and brands."""
     names = t.part.groupBy(F.col("p_name").alias("alias")).agg(F.min("p_partkey").alias("entity_id"), F.count("*").alias("mention_count"), F.min("p_partkey").alias("first_seen_order"))
     brands = t.part.groupBy(F.col("p_brand").alias("alias")).agg((-F.min("p_partkey") - 1).alias("entity_id"), F.count("*").alias("mention_count"), F.min("p_partkey").alias("first_seen_order"))
-    refs = t.spark.createDataFrame([("smal ring",), ("Ring",), ("brand 17",), ("red widgit",), ("x",), ("large brass bolt",)], "ref string")
+    refs = t.benchmark.select(F.explode(token_set("text")).alias("ref")).where("length(ref) >= 3").distinct()
     return resolve_fuzzy(refs, names.unionByName(brands).withColumn("entity_id", F.col("entity_id").cast("string")))
 
 
 @query("""
-WITH k AS (SELECT p_partkey, p_type || '|' || p_brand AS k FROM part), a AS (SELECT k, min(p_partkey) AS entity_id FROM k GROUP BY k)
-SELECT n.n_nationkey AS ref, r.r_regionkey AS region, count(s_suppkey) AS suppliers FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey LEFT JOIN supplier s ON s.s_nationkey = n.n_nationkey GROUP BY ALL
+WITH e AS (SELECT p_brand AS scope, p_name AS k, p_type AS c FROM part), s AS (SELECT scope, k, max(c) AS c1 FROM e GROUP BY ALL), u AS (SELECT k, min(c) AS c2 FROM e GROUP BY k HAVING count(DISTINCT c) = 1),
+r AS (SELECT p.p_partkey, p.p_brand AS scope, p.p_name AS s, q.p_name || CASE WHEN q.p_partkey % 3 = 0 THEN ' x' ELSE '' END AS t FROM part p JOIN part q ON q.p_partkey = p.p_partkey + 1)
+SELECT p_partkey, coalesce(s1.c1, u1.c2, '') AS src_cluster_id, coalesce(s2.c1, u2.c2, '') AS tgt_cluster_id FROM r LEFT JOIN s s1 ON s1.scope = r.scope AND s1.k = r.s LEFT JOIN u u1 ON u1.k = r.s LEFT JOIN s s2 ON s2.scope = r.scope AND s2.k = r.t LEFT JOIN u u2 ON u2.k = r.t
+""")
+def relation_clusters(t) -> DataFrame:
+    """Clusters of the two ends of relations between parts, by brand and name, else by a name of one type."""
+    p = t.part
+    entities = p.select(F.col("p_brand").alias("source_scope_id"), F.col("p_name").alias("entity_name"), F.col("p_type").alias("cluster_id"))
+    other = p.select((F.col("p_partkey") - 1).alias("p_partkey"), F.concat("p_name", F.when(F.col("p_partkey") % 3 == 0, " x").otherwise("")).alias("tgt_id"))
+    relations = p.select("p_partkey", F.col("p_brand").alias("source_scope_id"), F.col("p_name").alias("src_id")).join(other, "p_partkey")
+    return attach_clusters(relations, entities).select("p_partkey", "src_cluster_id", "tgt_cluster_id")
+
+
+@query("""
+WITH a AS (SELECT s_nationkey AS n_nationkey, list_sort(list_distinct(list('supplied by ' || s_name))) AS facts FROM supplier WHERE s_acctbal > 0 GROUP BY s_nationkey)
+SELECT n.n_nationkey, n_name, coalesce(len(facts), 0)::INT AS facts, coalesce(array_to_string(facts, '; '), '') AS said FROM nation n LEFT JOIN a USING (n_nationkey)
 """)
 def entity_dimensions(t) -> DataFrame:
-    """Entities with their dimension and the number of links, kept without links."""
-    n = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
-    return n.join(t.supplier, F.col("s_nationkey") == F.col("n_nationkey"), "left").groupBy(F.col("n_nationkey").alias("ref"), F.col("r_regionkey").alias("region")).agg(F.count("s_suppkey").alias("suppliers"))
+    """Nations with the statements that name them; those without any are kept."""
+    facts = t.supplier.where("s_acctbal > 0").select(F.col("s_nationkey").alias("n_nationkey"), F.concat(F.lit("supplied by "), "s_name").alias("statement"))
+    return attach_assets(t.nation.select("n_nationkey", "n_name"), facts, "n_nationkey", "facts").select("n_nationkey", "n_name", F.size("facts").alias("facts"), F.array_join("facts", "; ").alias("said"))
 
 
 @query("""
@@ -200,12 +212,12 @@ def pseudo_relation_rows(t) -> DataFrame:
 
 
 @query(r"""
-SELECT token, count(*) AS n, min(doc_id) AS first_doc, max(doc_id) AS last_doc FROM (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9_]+'))) AS token FROM documents) GROUP BY token
+SELECT token, doc_id // 1024 AS block, count(*) AS n, min(doc_id) AS first_doc, max(doc_id) AS last_doc FROM (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9_]+'))) AS token FROM documents) GROUP BY ALL
 """)
 def inverted_index_tokens(t) -> DataFrame:
-    """Documents of every token."""
-    rows = inverted_index(t.documents, token_set("text"), "doc_id", "token")
-    return rows.select("token", "n", F.get("keys", F.lit(0)).alias("first_doc"), F.element_at("keys", -1).alias("last_doc"))
+    """Documents of every token, in posting lists of 1,024 ids at most."""
+    rows = inverted_index(t.documents, token_set("text"), "doc_id", "token", F.floor(F.col("doc_id") / 1024).cast("long"))
+    return rows.select("token", "block", "n", F.get("keys", F.lit(0)).alias("first_doc"), F.element_at("keys", -1).alias("last_doc"))
 
 
 @query("""
@@ -266,8 +278,11 @@ def neighbour_units(t) -> DataFrame:
 SELECT d.doc_id, d.source FROM documents d WHERE EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND quality = 1) AND NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND toxic = 1)
 """)
 def visibility_semi_anti(t) -> DataFrame:
-    """Visible documents: labelled good and not hidden."""
-    return t.documents.select("doc_id", "source").join(t.labels.where("quality = 1").select("doc_id"), "doc_id", "left_semi").join(t.labels.where("toxic = 1").select("doc_id"), "doc_id", "left_anti")
+    """Documents that a reader may see: labelled good and not hidden."""
+    docs = t.documents.select(F.col("doc_id").alias("scene_id"), F.col("doc_id").alias("scene_order"), F.col("doc_id").alias("record_id"), "source")
+    mentions = t.labels.where("quality = 1").select(F.col("doc_id").alias("scene_id"), F.col("doc_id").alias("scene_order"), F.lit("reader").alias("name"))
+    hidden = t.labels.where("toxic = 1").select(F.col("doc_id").alias("record_id"), F.lit("reader").alias("hidden_from"))
+    return visible_to(docs, mentions, "reader", 2**62, hidden).select(F.col("record_id").alias("doc_id"), "source")
 
 
 @query("""

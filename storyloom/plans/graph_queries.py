@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.graphs import components, cyclic_nodes, degrees, normalized_edges, pair_conflicts, select_acyclic, topological
+from ..operators.graphs import components, cycle_conflicts, cyclic_nodes, degrees, normalized_edges, pair_conflicts, select_acyclic, topological
 from ..operators.social import beat_sequences, merged_effects, pressure_edges
-from ..operators.timeline import buckets, discourse_priors, match_bounds, match_memories, match_score, scene_priors
+from ..operators.timeline import buckets, discourse_priors, graph_counts, match_bounds, match_memories, match_score, scene_priors
 from .registry import query
 
 
@@ -25,30 +25,38 @@ def timeline_priors(t) -> DataFrame:
 
 
 def _relations(t) -> DataFrame:
-    """Parts as events and suppliers' sales as relations between them, some of them backwards or same-time."""
-    l = t.lineitem
-    kind = F.element_at(F.array(*map(F.lit, ("before", "after", "causes", "same_time"))), (F.col("l_linenumber") % 4 + 1).cast("int"))
-    return l.select(
-        F.concat_ws("_", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("relation_id"), F.concat(F.lit("e"), F.col("l_suppkey") % 50).alias("source_event_id"), F.concat(F.lit("e"), F.col("l_partkey") % 60).alias("target_event_id"), kind.alias("relation_type"),
-        (F.col("l_quantity") / 50).alias("confidence"), F.lit("llm").alias("source"), F.lit(False).alias("is_inferred"),
-    ).distinct()
+    """Relations between a user's events: to the next one (of a kind by its type), back to the third before it, to the one after next at the same time; every fiftieth to an event that is not there."""
+    w = Window.partitionBy("user_id").orderBy("event_id")
+    e = t.events.select("user_id", "event_id", "event_type", F.lead("event_id").over(w).alias("n1"), F.lead("event_id", 2).over(w).alias("n2"), F.lag("event_id", 3).over(w).alias("p3"))
+    kind = F.when(F.col("event_type") == "click", "after").when(F.col("event_type") == "purchase", "causes").when(F.col("event_type") == "signup", "same_time").otherwise("before")
+    edge = lambda tag, to, k, share: F.when(F.col(to).isNotNull(), F.struct(F.concat(F.lit(f"{tag}_"), "event_id").alias("relation_id"), F.concat(F.when(F.col("event_id") % 50 == 7, "x").otherwise("e"), to).alias("target_event_id"), k.alias("relation_type"), (F.col("event_id") * share % 100 / 100).alias("confidence")))
+    back, same = F.when(F.col("event_id") % 3 == 0, F.col("p3")), F.when(F.col("event_id") % 11 == 0, F.col("n2"))
+    e = e.withColumns({"p3": back, "n2": same})
+    rows = e.select("user_id", F.concat(F.lit("e"), "event_id").alias("source_event_id"), F.explode(F.array_compact(F.array(edge("r1", "n1", kind, 7), edge("r3", "p3", F.lit("before"), 13), edge("r2", "n2", F.lit("same_time"), 17)))).alias("r"))
+    return rows.select("user_id", "source_event_id", "r.*", F.lit("llm").alias("source"), F.lit(False).alias("is_inferred"))
 
 
 _REL = """
-r AS (SELECT DISTINCT l_orderkey || '_' || l_linenumber || '_' || l_partkey || '_' || l_suppkey AS relation_id, 'e' || (l_suppkey % 50) AS s0, 'e' || (l_partkey % 60) AS t0, ['before', 'after', 'causes', 'same_time'][(l_linenumber % 4) + 1] AS k, l_quantity / 50 AS c FROM lineitem),
-n AS (SELECT relation_id, CASE WHEN k = 'after' THEN t0 ELSE s0 END AS s, CASE WHEN k = 'after' THEN s0 ELSE t0 END AS t, CASE WHEN k = 'after' THEN 'before' ELSE k END AS k, c, CASE WHEN s0 IN (SELECT 'e' || range FROM range(0, 55)) AND t0 IN (SELECT 'e' || range FROM range(0, 55)) THEN NULL ELSE 'unknown_endpoint' END AS why FROM r)
+ev AS (SELECT event_id, user_id, event_type, lead(event_id) OVER w AS n1, lead(event_id, 2) OVER w AS n2, lag(event_id, 3) OVER w AS p3 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+r AS (SELECT user_id, 'r1_' || event_id AS relation_id, 'e' || event_id AS s0, CASE WHEN event_id % 50 = 7 THEN 'x' ELSE 'e' END || n1 AS t0, CASE event_type WHEN 'click' THEN 'after' WHEN 'purchase' THEN 'causes' WHEN 'signup' THEN 'same_time' ELSE 'before' END AS k, (event_id * 7 % 100) / 100 AS c FROM ev WHERE n1 IS NOT NULL
+  UNION ALL SELECT user_id, 'r3_' || event_id, 'e' || event_id, CASE WHEN event_id % 50 = 7 THEN 'x' ELSE 'e' END || p3, 'before', (event_id * 13 % 100) / 100 FROM ev WHERE p3 IS NOT NULL AND event_id % 3 = 0
+  UNION ALL SELECT user_id, 'r2_' || event_id, 'e' || event_id, CASE WHEN event_id % 50 = 7 THEN 'x' ELSE 'e' END || n2, 'same_time', (event_id * 17 % 100) / 100 FROM ev WHERE n2 IS NOT NULL AND event_id % 11 = 0),
+n AS (SELECT user_id, relation_id, CASE WHEN k = 'after' THEN t0 ELSE s0 END AS s, CASE WHEN k = 'after' THEN s0 ELSE t0 END AS t, CASE WHEN k = 'after' THEN 'before' ELSE k END AS k, c, CASE WHEN left(t0, 1) = 'x' THEN 'unknown_endpoint' END AS why FROM r)
 """
 
 
 def _events(t) -> DataFrame:
-    return t.spark.range(55).select(F.concat(F.lit("e"), F.col("id")).alias("event_id"), (F.col("id") % 7).alias("source_record_id"), F.col("id").alias("discourse_index"))
+    return t.events.select(F.concat(F.lit("e"), "event_id").alias("event_id"), "user_id", F.col("user_id").alias("source_record_id"), F.col("event_id").alias("discourse_index"))
+
+
+def _edges(t) -> DataFrame:
+    return normalized_edges(_relations(t), _events(t))
 
 
 @query(f"WITH {_REL} SELECT k AS relation_type, coalesce(why, 'usable') AS state, count(*) AS n, round(sum(c), 2) AS confidence FROM n GROUP BY ALL")
 def edge_normalisation(t) -> DataFrame:
     """Edges turned forward, with the reason for those that can't order events."""
-    rows = normalized_edges(_relations(t), _events(t))
-    return rows.groupBy("relation_type", F.coalesce("unusable_reason", F.lit("usable")).alias("state")).agg(F.count("*").alias("n"), F.round(F.sum("confidence"), 2).alias("confidence"))
+    return _edges(t).groupBy("relation_type", F.coalesce("unusable_reason", F.lit("usable")).alias("state")).agg(F.count("*").alias("n"), F.round(F.sum("confidence"), 2).alias("confidence"))
 
 
 @query(f"""
@@ -58,18 +66,28 @@ SELECT * FROM own UNION ALL SELECT * FROM two
 """)
 def timeline_conflicts(t) -> DataFrame:
     """Self edges and pairs that point both ways among confident edges."""
-    found = pair_conflicts(normalized_edges(_relations(t), _events(t)))
-    return found.select("type", F.array_join("ids", ",").alias("ids"), F.size("relation_ids").cast("long").alias("relations"))
+    return pair_conflicts(_edges(t)).select("type", F.array_join("ids", ",").alias("ids"), F.size("relation_ids").cast("long").alias("relations"))
 
 
-@query("""
-WITH RECURSIVE e AS (SELECT DISTINCT 's' || l_suppkey AS a, 'o' || l_orderkey AS b FROM lineitem WHERE l_quantity >= 50 AND l_discount >= 0.09), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
-w AS (SELECT a AS node, a AS label FROM u UNION SELECT u.b, w.label FROM w JOIN u ON u.a = w.node) SELECT node, min(label) AS component FROM w GROUP BY node
+@query()
+def timeline_cycles(t) -> DataFrame:
+    """Cycles of any length among confident edges, by user, each with its path."""
+    return cycle_conflicts(_edges(t), "user_id").select("user_id", "type", F.array_join("ids", ",").alias("ids"))
+
+
+#: Components in SQL: labels fall along the edges of ``u`` (a, b, both ways) until none changes.
+_COMPONENTS = """
+cc(node, label) USING KEY (node) AS (SELECT a, min(a) FROM u GROUP BY a UNION SELECT u.b, min(c.label) FROM cc c JOIN u ON u.a = c.node JOIN recurring.cc r ON r.node = u.b WHERE c.label < r.label GROUP BY u.b)
+"""
+
+
+@query(f"""
+WITH RECURSIVE e AS (SELECT DISTINCT 's' || l_suppkey AS a, 'o' || l_orderkey AS b FROM lineitem), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), {_COMPONENTS}
+SELECT node, label AS component FROM cc
 """)
 def connected_groups(t) -> DataFrame:
-    """Components of suppliers and large discounted orders."""
-    edges = t.lineitem.where("l_quantity >= 50 AND l_discount >= 0.09").select(F.concat(F.lit("s"), "l_suppkey").alias("source"), F.concat(F.lit("o"), "l_orderkey").alias("target")).distinct()
-    return components(edges)
+    """Components of suppliers and orders."""
+    return components(t.lineitem.select(F.concat(F.lit("s"), "l_suppkey").alias("source"), F.concat(F.lit("o"), "l_orderkey").alias("target")).distinct())
 
 
 @query("""
@@ -80,27 +98,49 @@ def node_degrees(t) -> DataFrame:
     return degrees(t.lineitem.select(F.col("l_suppkey").cast("long").alias("source"), (F.col("l_partkey") + 1000000).alias("target")))
 
 
-@query()
+@query(f"""
+WITH RECURSIVE {_REL}, e AS (SELECT DISTINCT s AS a, t AS b FROM n WHERE why IS NULL AND k = 'same_time' AND c >= 0.75 AND s <> t), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), {_COMPONENTS},
+m AS (SELECT event_id, user_id, coalesce(label, 'e' || event_id) AS component, min(event_id) OVER (PARTITION BY user_id, coalesce(label, 'e' || event_id)) AS first FROM events LEFT JOIN cc ON node = 'e' || event_id)
+SELECT user_id, printf('T%03d', dense_rank() OVER (PARTITION BY user_id ORDER BY first, component)) AS timeline_bucket, 'e' || event_id AS event_id FROM m
+""")
 def timeline_buckets(t) -> DataFrame:
-    """Buckets of events that happen at the same time, numbered by their first member."""
-    same = normalized_edges(_relations(t), _events(t)).where("usable_for_ordering AND relation_type = 'same_time' AND confidence >= 0.98")
-    order = _events(t).select("event_id", (F.col("discourse_index") + 1).cast("int").alias("timeline_rank"))
-    return buckets(order, same)
+    """Buckets of a user's events that happen at the same time, numbered by their first member."""
+    same = _edges(t).where("usable_for_ordering AND relation_type = 'same_time' AND confidence >= 0.75")
+    order = _events(t).select("event_id", "user_id", F.col("discourse_index").alias("timeline_rank"))
+    return buckets(order, same, "user_id").select("user_id", "timeline_bucket", "event_id")
+
+
+def _chosen(t) -> tuple[DataFrame, DataFrame]:
+    """Ordering edges with the verdict of the greedy choice, those in conflict blocked."""
+    edges = _edges(t).where("relation_type <> 'same_time'")
+    conflicts = pair_conflicts(edges).select(F.explode("relation_ids").alias("relation_id"))
+    return edges, select_acyclic(edges, conflicts, by="user_id")
 
 
 @query()
 def timeline_order(t) -> DataFrame:
-    """The story order of events over the greedily chosen acyclic edges."""
-    edges = normalized_edges(_relations(t), _events(t)).where("relation_type <> 'same_time'")
-    conflicts = pair_conflicts(edges).select(F.explode("relation_ids").alias("relation_id"))
-    chosen = edges.join(select_acyclic(edges, conflicts).where("selected").select("relation_id"), "relation_id")
-    return topological(_events(t).withColumn("project_id", F.lit("p")), chosen, "project_id")
+    """The story order of every user's events over the greedily chosen acyclic edges."""
+    edges, verdicts = _chosen(t)
+    return topological(_events(t), edges.join(verdicts.where("selected").select("relation_id"), "relation_id"), "user_id")
+
+
+@query()
+def timeline_counts(t) -> DataFrame:
+    """The counts of the whole timeline graph."""
+    edges, verdicts = _chosen(t)
+    relations = _edges(t).join(verdicts.select("relation_id", "selected"), "relation_id", "left")
+    track = F.when(F.col("discourse_index") % 10 == 0, "context").when(F.col("discourse_index") % 10 == 1, "forecast").when(F.col("discourse_index") % 10 < 9, "plot")
+    same = _edges(t).where("usable_for_ordering AND relation_type = 'same_time' AND confidence >= 0.75")
+    found = pair_conflicts(edges).select("type").unionByName(cycle_conflicts(edges, "user_id").select("type"))
+    order = _events(t).select("event_id", "user_id", F.col("discourse_index").alias("timeline_rank"))
+    numbered_buckets = buckets(order, same, "user_id").select(F.concat_ws(":", "user_id", "timeline_bucket").alias("timeline_bucket"))
+    return graph_counts(t.events.select("user_id").distinct(), _events(t).withColumn("event_track", track), relations, found, numbered_buckets)
 
 
 @query()
 def cycle_members(t) -> DataFrame:
-    """Events on or between cycles of usable edges."""
-    edges = normalized_edges(_relations(t), _events(t)).where("usable_for_ordering AND relation_type <> 'same_time' AND source_event_id <> target_event_id AND confidence >= 0.99")
+    """Events on or between cycles of confident edges."""
+    edges = _edges(t).where("usable_for_ordering AND relation_type <> 'same_time' AND source_event_id <> target_event_id AND confidence >= 0.75")
     return cyclic_nodes(edges, "source_event_id", "target_event_id")
 
 

@@ -8,12 +8,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.rules import clamp, required, scene_class, statements, temporal_scope
+from ..functions.rules import clamp, required, scene_class, temporal_scope
 from ..functions.text import alias_key, code_tokens, context_tokens, draft_checks, embedding_text, match_key, name_key, retrieval_tokens, stable_id, surface_refs, timeline_hint, unit_count, unit_order, words_key
 from ..operators.chunking import boundary_parts, chunk_documents, chunk_units, sections, segments
-from ..operators.evidence import audit, exact_tiers, locate
+from ..operators.context import conversation_items
+from ..operators.entities import known_in_text
+from ..operators.evidence import audit, locate_near, verbatim
+from ..operators.ranking import top_per
 from ..operators.retrieval import lexical
-from ..operators.ranking import stated, top_per
 from .registry import query
 
 UNIT_SQL = r"[\x{4e00}-\x{9fff}]|[A-Za-z0-9]+(?:[.\-''][A-Za-z0-9]+)*"
@@ -30,16 +32,15 @@ def overlap_sql(q: str, t: str) -> str:
 
 
 @query(f"""
-WITH q AS (SELECT list_distinct({tokens_sql('text')}) AS qt FROM benchmark WHERE item_id = 0),
+WITH q AS (SELECT item_id, list_distinct({tokens_sql('text')}) AS qt FROM benchmark),
 d AS (SELECT doc_id, source, list_distinct({tokens_sql('text')}) AS t FROM documents),
-s AS (SELECT source, doc_id, {overlap_sql('qt', 't')} AS score FROM d, q WHERE len(list_intersect(qt, t)) > 0)
-SELECT source, rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= 3
+s AS (SELECT item_id, source, doc_id, {overlap_sql('qt', 't')} AS score FROM d, q WHERE len(list_intersect(qt, t)) > 0)
+SELECT item_id, source, rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id, source ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= 3
 """)
 def minimum_slice(t) -> DataFrame:
-    """Per source, the best three documents for one query text."""
-    q = t.benchmark.where("item_id = 0").select(F.col("text").alias("query"))
-    scored = lexical(t.documents.select("doc_id", "source", "text"), q)
-    return top_per(scored, ["source"], [F.col("score").desc(), F.col("doc_id").asc()], 3).select("source", F.col("rank").cast("long").alias("rank"), "doc_id", "score")
+    """Per benchmark text and source, the best three documents."""
+    scored = lexical(t.documents, t.benchmark.select("item_id", F.col("text").alias("query")), keep=("source",))
+    return top_per(scored, ["item_id", "source"], [F.col("score").desc(), F.col("doc_id").asc()], 3).select("item_id", "source", F.col("rank").cast("long").alias("rank"), "doc_id", "score")
 
 
 @query(rf"""
@@ -121,18 +122,20 @@ _any = lambda c, words: "(" + " OR ".join(f"contains({c}, '{w}')" for w in words
 
 @query(rf"""
 WITH s AS (SELECT conv_id, turn, list_filter(list_transform(string_split_regex(trim(text), '[。！？!?\n]+'), lambda x: trim(x)), lambda x: x <> '') AS p FROM conversations),
-e AS (SELECT conv_id, turn, unnest(p) AS s FROM s),
-k AS (SELECT conv_id, turn, regexp_replace(s, '^[ ，,。；;]+|[ ，,。；;]+$', '', 'g') AS statement, CASE
+e AS (SELECT conv_id, turn, generate_subscripts(p, 1) AS pos, unnest(p) AS s FROM s),
+k AS (SELECT conv_id, turn, pos, regexp_replace(s, '^[ ，,。；;]+|[ ，,。；;]+$', '', 'g') AS statement, CASE
   WHEN {_any('s', CUES['negative'])} THEN CASE WHEN {_any('s', CUES['writing'])} THEN 'correction' ELSE 'story_constraint' END
   WHEN {_any('s', CUES['rejected'])} THEN 'rejected_option' WHEN {_any('s', CUES['decided'])} THEN 'creative_decision'
   WHEN {_any('s', CUES['wished'])} THEN CASE WHEN {_any('s', CUES['style'])} THEN 'style_preference' ELSE 'user_preference' END
-  WHEN suffix(s, 'en') OR {_any('s', CUES['asked'])} THEN 'open_question' END AS item_type FROM e)
-SELECT conv_id, item_type, statement, min(turn) AS first_turn, count(*) AS n FROM k WHERE item_type IS NOT NULL GROUP BY ALL
+  WHEN suffix(s, 'en') OR {_any('s', CUES['asked'])} THEN 'open_question' END AS item_type FROM e),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id, item_type, statement ORDER BY turn, pos) AS n FROM k WHERE item_type IS NOT NULL)
+SELECT 'conv_item_' || left(sha1('c' || conv_id || chr(10) || turn || chr(10) || item_type || chr(10) || statement), 16) AS item_id, conv_id, turn::VARCHAR AS unit_id, item_type, statement, CASE WHEN item_type = 'rejected_option' THEN 'rejected' ELSE 'active' END AS status FROM o WHERE n = 1
 """)
 def turn_statement_rules(t) -> DataFrame:
-    """Statements of turns by kind; equal ones of a conversation are one row with the first turn."""
-    rows = t.conversations.select("conv_id", "turn", F.explode(statements("text", CUES, ends_asking="en")).alias("s")).select("conv_id", "turn", "s.*")
-    return rows.groupBy("conv_id", "item_type", "statement").agg(F.min("turn").alias("first_turn"), F.count("*").alias("n"))
+    """Items stated in the turns of every conversation; of equal ones of a conversation the first."""
+    turns = t.conversations.select(F.col("turn").cast("string").alias("turn_id"), "role", F.col("text").alias("content"), F.col("turn").alias("order"), F.concat(F.lit("c"), "conv_id").alias("conv"))
+    items = conversation_items(turns, "p", F.col("conv"), CUES, ("user", "assistant", "system"), ends_asking="en")
+    return items.select("item_id", F.substr("source_id", F.lit(2)).cast("long").alias("conv_id"), "unit_id", "item_type", "statement", "status")
 
 
 DURABLE, ATEMPORAL, EPISODE = ("has", "ist ", "être"), ("rule", "ment", "ung"), ("enter", "aller", "ción", "thing")
@@ -209,15 +212,26 @@ SELECT d.doc_id, b.item_id, strpos(d.text, b.text) - 1 AS evidence_start, strpos
 FROM documents d JOIN benchmark b ON contains(d.text, b.text)
 """)
 def exact_evidence(t) -> DataFrame:
-    """Where benchmark passages stand verbatim; the passages are the stated queries against all documents."""
-    quotes = stated(t.benchmark.select("item_id", F.col("text").alias("quote")))
-    hits = t.documents.select("doc_id", "text").join(quotes, F.contains("text", F.col("quote")))
-    at = exact_tiers("quote", ["text"])
-    return hits.withColumn("at", at).select("doc_id", "item_id", F.col("at.start").cast("long").alias("evidence_start"), F.col("at.end").cast("long").alias("evidence_end"))
+    """Where benchmark passages stand verbatim in all documents."""
+    hits = verbatim(t.documents, t.benchmark.select("item_id", F.col("text").alias("quote")))
+    at = F.position(F.col("quote"), F.col("text")) - 1
+    return hits.select("doc_id", "item_id", at.cast("long").alias("evidence_start"), (at + F.length("quote")).cast("long").alias("evidence_end"))
 
 
 @query()
 def fuzzy_evidence(t) -> DataFrame:
-    """Passages with a changed first word against their originals: the folded and the fuzzy tier."""
-    rows = t.benchmark.select("item_id", F.col("text").alias("content"), F.regexp_replace("text", r"^(\S+) (\S+)", "$1, $2x").alias("evidence"))
-    return audit(locate(rows, "evidence", ["content"])).select("item_id", "evidence_at.status", "evidence_at.start", "evidence_at.end", "evidence_at.score", "audit_ordering_usable", "evidence_is_paraphrase")
+    """Benchmark passages with a changed word looked up in all documents: the folded and the fuzzy tier."""
+    quotes = t.benchmark.select("item_id", F.regexp_replace("text", r"^(\S+) (\S+)", "$1, $2x").alias("evidence"))
+    return audit(locate_near(t.documents, quotes)).select("doc_id", "item_id", "evidence_at.status", "evidence_at.start", "evidence_at.end", "evidence_at.score", "audit_ordering_usable", "evidence_is_paraphrase")
+
+
+@query("""
+WITH n AS (SELECT p_partkey, regexp_replace(lower(p_name), '[^\\p{L}\\p{N}]+', '', 'g') AS k, p_name FROM part), a AS (SELECT DISTINCT k, p_name AS alias FROM n WHERE length(k) >= 2),
+d AS (SELECT doc_id, regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', '', 'g') AS t FROM documents UNION ALL SELECT -1 - p_partkey, k || 'of' || reverse(k) FROM n WHERE p_partkey % 50 = 0)
+SELECT doc_id, alias FROM d JOIN a ON contains(t, k)
+""")
+def known_names(t) -> DataFrame:
+    """Part names that occur in documents, by letters and digits; some parts' own names stand for texts that hold them."""
+    names = t.part.select(F.col("p_name").alias("alias"), F.col("p_name").alias("entity_id"))
+    own = t.part.where("p_partkey % 50 = 0").select((-1 - F.col("p_partkey")).alias("doc_id"), F.concat(match_key("p_name"), F.lit(" of "), F.reverse(match_key("p_name"))).alias("text"))
+    return known_in_text(t.documents.select("doc_id", "text").unionByName(own), names).select("doc_id", "alias")

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.ranking import top_per
+
 
 class FakeModel:
     """Answers by fixed rules: a prompt that holds a key gets its answer, others the default."""
@@ -62,3 +64,29 @@ def embed(texts: DataFrame, make_client: Callable, batch_size: int = 32, key: st
             yield pd.DataFrame({key: b[key].tolist(), "embedding": vectors})
 
     return texts.select(key, text).mapInPandas(run, f"{key} {kind}, embedding array<float>")
+
+
+def rerank(hits: DataFrame, make_client: Callable | None = None, k: int = 10, by: tuple[str, ...] = ("query_id",), score: str = "score", key: str = "item_id") -> DataFrame:
+    """The k best hits of each query by a client's scores, or by their own without a client.
+
+    ``make_client`` returns an object with ``score(query, texts)``; ``hits`` has query and statement. Where a client fails, or gives
+    fewer scores than texts, a hit keeps its own score.
+    """
+    if make_client is None:
+        return top_per(hits.withColumn("rerank_score", F.col(score).cast("double")), list(by), [F.col("rerank_score").desc_nulls_last(), F.col(key).asc()], k)
+    kind = hits.schema[key].dataType.simpleString()
+    keys = ", ".join(f"{b} {hits.schema[b].dataType.simpleString()}" for b in by)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        own = pdf[score].astype(float).tolist()
+        try:
+            given = list(make_client().score(pdf["query"].iloc[0], pdf["statement"].fillna("").tolist()))
+        except Exception:  # a client's failure leaves the hits in their own order
+            given = []
+        scores = [given[i] if i < len(given) and given[i] is not None else own[i] for i in range(len(own))]
+        return pdf[[*by, key]].assign(rerank_score=[float(s) for s in scores])
+
+    # the best of each query only go to the client: as many as a first search returns
+    near = top_per(hits, list(by), [F.col(score).desc_nulls_last(), F.col(key).asc()], 10 * k, "__near").drop("__near")
+    scored = near.select(*by, key, "query", "statement", score).groupBy(*by).applyInPandas(run, f"{keys}, {key} {kind}, rerank_score double")
+    return top_per(near.join(scored, [*by, key]), list(by), [F.col("rerank_score").desc(), F.col(key).asc()], k)

@@ -212,12 +212,57 @@ def kg_records(raw: DataFrame, text: str = "raw_text") -> DataFrame:
     )
 
 
+_AUTHOR_LISTS = ("entities", "author_defined_entities", "characters")
+_AUTHOR_NAMES = {"canonical_name": ("canonical_name", "name", "surface", "entity", "id"), "entity_type": ("entity_type", "type"), "description": ("description", "bio", "profile", "summary")}
+
+
+def _author_records(text: str, path: str) -> list[dict]:
+    suffix = path.rsplit(".", 1)[-1].lower()
+    if suffix == "jsonl":
+        values = [json.loads(line) for line in text.splitlines() if line.strip()]
+    elif suffix in ("yaml", "yml"):
+        import yaml  # not part of every installation; a profile in YAML needs it
+
+        values = yaml.safe_load(text)
+    else:
+        values = json.loads(text)
+    if isinstance(values, dict):
+        values = next((values[k] for k in _AUTHOR_LISTS if isinstance(values.get(k), list)), [values])
+    return [v for v in values or [] if isinstance(v, dict)]
+
+
 def author_entities(spark: SparkSession, path: str) -> DataFrame:
-    """Author profiles of JSON lines: name, type, aliases, description, initial state."""
-    rows = spark.read.schema("name string, canonical_name string, entity_type string, type string, aliases array<string>, description string, profile map<string,string>, initial_state map<string,string>").json(path)
+    """Author profiles from JSON, JSON lines or YAML files: an object, a list, or a list under a known name.
+
+    ``canonical_name, entity_type, aliases, description, profile, initial_state, entity_id, source_path``; the type is character if
+    none is given, ``profile`` and ``initial_state`` are JSON texts. Records without a name go.
+    """
     from ..functions.rules import entity_type
 
-    return rows.select(F.trim(F.coalesce("canonical_name", "name")).alias("canonical_name"), entity_type(F.coalesce("entity_type", "type")).alias("entity_type"), F.coalesce("aliases", F.array().cast("array<string>")).alias("aliases"), F.coalesce("description", F.lit("")).alias("description"), "profile", "initial_state").where("canonical_name <> ''")
+    schema = "canonical_name string, entity_type string, aliases array<string>, description string, profile string, initial_state string, entity_id string, record_index int, source_path string"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for name, content in zip(batch["path"], batch["content"]):
+                for i, r in enumerate(_author_records(bytes(content).decode("utf-8"), name), 1):
+                    said = {f: next((v.strip() for k in keys if isinstance(v := r.get(k), str) and v.strip()), "") for f, keys in _AUTHOR_NAMES.items()}
+                    given = r.get("aliases") or r.get("alias") or r.get("names") or []
+                    aliases = [str(a).strip() for a in (given if isinstance(given, list) else [given]) if str(a).strip()]
+                    profile = next((r[k] for k in ("author_profile", "profile") if isinstance(r.get(k), dict)), {})
+                    state = r.get("initial_state") if isinstance(r.get("initial_state"), dict) else {}
+                    rows.append((said["canonical_name"], said["entity_type"] or "character", sorted({a for a in [said["canonical_name"], *aliases] if a}), said["description"], json.dumps(profile, ensure_ascii=False), json.dumps(state, ensure_ascii=False), str(r.get("entity_id") or r.get("id") or ""), i, name))
+            yield pd.DataFrame(rows, columns=[f.split()[0] for f in schema.split(", ")])
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{json,jsonl,yaml,yml}").load(path).select("path", "content")
+    rows = files.mapInPandas(run, schema).where("canonical_name <> ''").withColumn("entity_type", entity_type("entity_type"))
+    numbered_id = F.format_string("author_%s_%04d", F.col("entity_type"), F.col("record_index"))
+    return rows.withColumn("entity_id", F.coalesce(F.nullif("entity_id", F.lit("")), numbered_id)).drop("record_index")
+
+
+def author_mentions(entities: DataFrame) -> DataFrame:
+    """Author profiles as mentions, so that the registry takes them in: ``name, entity_type, scene_id, source``, one row an alias."""
+    return entities.select(F.explode("aliases").alias("name"), "entity_type", F.lit("").alias("scene_id"), F.lit("author_defined").alias("source"))
 
 
 def source_filter(docs: DataFrame, paths: list[str] = (), doc_ids: list[str] = (), scopes: list[str] = ()) -> DataFrame:
