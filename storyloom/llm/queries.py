@@ -121,7 +121,7 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": OP2_SQL, "op3_warc_conversion": OP3_SQL}
+    return {"op2_line_dedup": OP2_SQL, "op3_warc_conversion": OP3_SQL, "op9_benchmark_decontamination": OP9_SQL, "op10_ngram_jaccard_join": OP10_SQL}
 
 
 _STRIP = r"'^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$'"
@@ -150,3 +150,30 @@ SELECT page_id, n AS payload_bytes,
   CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
 FROM f
 """
+
+_LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = rf"regexp_extract_all({_LOW}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+#: Every matched word of every diagonal, and all stretches from match to match with the matches and identity needed.
+OP9_SQL = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents), b AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+i AS (SELECT item_id, len(w) AS n, least(12, -(-80 * len(w) // 100)) AS needed, unnest(w) AS x, generate_subscripts(w, 1) - 1 AS q FROM b WHERE len(w) >= 5),
+t AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) - 1 AS p FROM d),
+m AS (SELECT DISTINCT doc_id, item_id, n, needed, p - q AS shift, q FROM t JOIN i USING (x)),
+g AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id, shift ORDER BY q) AS r, count(*) OVER (PARTITION BY doc_id, item_id, shift) AS c FROM m),
+h AS (SELECT * FROM g WHERE c >= needed),
+s AS (SELECT a.doc_id, a.item_id, a.n, a.shift, a.q AS begin, z.r - a.r + 1 AS matched, z.q - a.q + 1 AS size FROM h a JOIN h z ON a.doc_id = z.doc_id AND a.item_id = z.item_id AND a.shift = z.shift AND z.r >= a.r + a.needed - 1 AND 100 * (z.r - a.r + 1) >= 80 * (z.q - a.q + 1)),
+l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id, shift ORDER BY size DESC, matched DESC, begin) AS k FROM s) WHERE k = 1)
+SELECT doc_id, item_id, matched::INT AS matched_words, size::INT AS overlap_words, n::INT AS item_words, (shift + begin)::INT AS first_word, begin::INT AS item_first
+FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY matched DESC, size DESC, shift + begin, begin DESC) AS k FROM l) WHERE k = 1
+"""
+#: Pairs that share a shingle, counted; labels fall along the links until none changes.
+OP10_SQL = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOW}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s FROM w),
+c AS (SELECT doc_id, len(s) AS n, list_sort(s) AS s FROM s), k AS (SELECT min(doc_id) AS node, n, s FROM c WHERE n > 0 GROUP BY n, s),
+g AS (SELECT node, n, unnest(s) AS x FROM k),
+p AS (SELECT a.node AS a, b.node AS b FROM g a JOIN g b ON a.x = b.x AND a.node < b.node AND 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n) GROUP BY a.node, b.node, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+u AS (SELECT a, b FROM p UNION SELECT b, a FROM p),
+cc(node, label) USING KEY (node) AS (SELECT a, least(a, min(b)) FROM u GROUP BY a UNION SELECT u.b, min(c.label) FROM cc c JOIN u ON u.a = c.node JOIN recurring.cc r ON r.node = u.b WHERE c.label < r.label GROUP BY u.b)
+SELECT c.doc_id, c.n AS n_shingles, coalesce(cc.label, k.node, c.doc_id) AS component_id FROM c LEFT JOIN k ON k.n = c.n AND k.s = c.s LEFT JOIN cc ON cc.node = k.node
+"""

@@ -428,3 +428,19 @@ def test_hot_keys_are_spread(spark):
     right = spark.range(3000).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
     got = spread_join(left, right, "k", "id", 3000)
     assert Counter(tuple(r) for r in got.select("k", "id", "v").collect()) == Counter(tuple(r) for r in left.join(right, "k").select("k", "id", "v").collect())
+
+
+def test_sql_equivalents(spark):
+    import os
+
+    duckdb = pytest.importorskip("duckdb")
+    from tests.test_library import canonical
+
+    root = "/root/testdata/sf0.001"
+    if not os.path.isdir(root):
+        pytest.skip("no test tables here")
+    con = duckdb.connect()
+    for t in ("documents", "pages", "benchmark"):
+        con.sql(f"create view {t} as select * from '{root}/{t}.parquet'")
+    for name, sql in Q.oracle_sql().items():
+        assert canonical(Q.queries()[name](spark, root).toPandas()) == canonical(con.sql(sql).df()), name
