@@ -140,7 +140,7 @@ def looks_temporal(value: Column | str) -> Column:
 
 
 def collapse_blank_lines(value: Column | str) -> Column:
-    return F.trim(F.regexp_replace(text_of(value), r"\n{3,}", "\n\n"))
+    return F.regexp_replace(F.regexp_replace(text_of(value), r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")
 
 
 def ordered_distinct(values: Column | str) -> Column:

@@ -12,7 +12,7 @@ from ..functions.rules import entity_type, is_deictic
 from ..functions.similarity import ratio, shared_letters
 from ..functions.text import CJK, alias_key, code_tokens, embedded_code, match_key, name_key, name_variants, text_of, words_key
 from .graphs import components
-from .ranking import first_wins, stated_blocks, top_per
+from .ranking import first_wins, place_in, stated_blocks, top_per
 
 
 def group_mentions(mentions: DataFrame, name: str = "name", scene: str = "scene_id", order: Sequence[Column] = (), by: Sequence[str] = ()) -> DataFrame:
@@ -181,3 +181,27 @@ def mention_key(name: Column | str, kind: Column | str, scene: Column | str, sou
         .when(t.isin("character", "group") & n.rlike(f"[{CJK}]") & role.isin(*vocab.ROLE_NAMES), F.concat(F.lit("role:"), role))
         .otherwise(base)
     )
+
+
+def resolution_artifacts(mentions: DataFrame, surnames: str = "") -> dict[str, DataFrame]:
+    """Entities, aliases and traces of mentions (record_id, name, entity_type, scene_id, source, evidence, description).
+
+    Mentions with one ``mention_key`` are one entity: its type by majority, its longest name that points at nothing else, all
+    variants of its names as aliases, its scenes, and its first five descriptions by scene. Ids number a type's keys in
+    order. A trace says which entity a mention became.
+    """
+    kind = F.when(text_of("source") == "author_defined", 0).otherwise(1)
+    keyed = mentions.withColumn("entity_key", mention_key("name", "entity_type", "scene_id", "source", "evidence", surnames))
+    name = F.struct(is_deictic("name").cast("int").alias("d"), (-F.length("name")).alias("l"), F.col("name").alias("n"))
+    said = F.regexp_replace(F.trim(text_of("description")), r"\s+", " ")
+    told = first_wins(keyed.withColumn("said", said).where("said <> ''").withColumn("__s", alias_key("said")), ["entity_key", "__s"], [kind.asc(), F.col("scene_id").asc(), F.col("record_id").asc()])
+    five = top_per(told, ["entity_key"], [F.col("scene_id").asc(), F.col("record_id").asc()], 5).groupBy("entity_key").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "said"))), lambda r: r["said"]).alias("descriptions"))
+    rows = keyed.groupBy("entity_key").agg(F.min(name)["n"].alias("canonical_name"), F.array_sort(F.collect_set("scene_id")).alias("scene_ids"), F.count("*").alias("mention_count")).join(majority_type(keyed, ["entity_key"]), "entity_key").join(five, "entity_key", "left")
+    numbered_rows = place_in(rows, "entity_type", ["entity_key"], "__n").withColumn("entity_id", F.format_string("%s_%04d", "entity_type", "__n")).drop("__n")
+    owned = keyed.join(numbered_rows.select("entity_key", "entity_id"), "entity_key")
+    variants = owned.where(~is_deictic("name")).select("entity_id", F.explode(name_variants("name", surnames)).alias("alias"), "source").withColumn("normalized_alias", alias_key("alias"))
+    return {
+        "entities": numbered_rows.withColumn("descriptions", F.coalesce("descriptions", F.array().cast("array<string>"))),
+        "aliases": first_wins(variants, ["entity_id", "normalized_alias"], [F.col("alias").asc(), F.col("source").asc()]),
+        "traces": owned.select("record_id", "name", "entity_key", "entity_id", "scene_id", "source"),
+    }

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vocab
-from ..functions.text import high_level_keywords, looks_temporal, low_level_keywords
+from ..functions.text import display_text, high_level_keywords, looks_temporal, low_level_keywords
 from .ranking import reference_labels, top_per
 
 
@@ -82,6 +84,31 @@ def evidence_packet(items: DataFrame, limits: dict[str, int], key: str = "item_i
     return kept.withColumn("ref_id", label)
 
 
+def statement_of(kind: Column | str, row: Column | str, fields: Sequence[str]) -> Column:
+    """What a packet says of an item, by its kind: ``row`` is a struct with any of the named fields.
+
+    relationship: ends and description; entity: name, type and description; property: entity.name and value; chunk: content;
+    graph_insight and source_note: the cluster's name with its degree or notice; else the statement.
+    """
+    r, k = (F.col(c) if isinstance(c, str) else c for c in (row, kind))
+    has = lambda f: F.trim(display_text(r[f])) if f in fields else F.lit("")
+    first = lambda *fs: F.coalesce(*(F.nullif(has(f), F.lit("")) for f in fs), F.lit(""))
+    joined = lambda label, text: F.when((label != "") & (text != ""), F.concat(label, F.lit(": "), text)).when(text != "", text).otherwise(label)
+    both = lambda sep, *parts: F.array_join(F.filter(F.array(*parts), lambda p: p != ""), sep)
+    name = first("entity_name", "canonical_entity_name")
+    label = F.when((name != "") & (has("entity_type") != ""), F.concat(name, F.lit(" ("), has("entity_type"), F.lit(")"))).otherwise(name)
+    cluster = first("canonical_display_name", "cluster_id")
+    return (
+        F.when(k == "relationship", joined(both(" - ", has("src_id"), has("tgt_id")), has("description")))
+        .when(k == "entity", joined(label, has("description")))
+        .when(k == "property", joined(both(".", has("entity_name"), has("property_name")), first("property_value", "statement")))
+        .when(k == "chunk", has("content"))
+        .when(k == "graph_insight", F.concat(cluster, F.lit(": graph degree="), has("global_pseudo_degree"), F.lit(", source coverage="), has("source_coverage")))
+        .when(k == "source_note", joined(cluster, has("notice")))
+        .otherwise(first("statement", "description", "content"))
+    )
+
+
 def pass_summary(hits: DataFrame) -> DataFrame:
     """How many hits each pass had in each section."""
     return hits.groupBy("pass_no", "pass_name", "section").agg(F.count("*").alias("n"))

@@ -115,6 +115,35 @@ def vector_top(docs: DataFrame, queries: DataFrame, k: int, vector: str = "embed
     return best
 
 
+def entity_vector_top(docs: DataFrame, links: DataFrame, queries: DataFrame, k: int, key: str = "doc_id") -> DataFrame:
+    """The k nearest documents of each query's own entity: the link filters before any vector is compared.
+
+    ``links``: entity_id, memory_id; ``docs``: memory_id, embedding; ``queries``: query_id, entity_id, query_vector.
+    """
+    own = stated(queries).join(links.select("entity_id", "memory_id").distinct(), "entity_id").join(docs, "memory_id")
+    scored = own.withColumn("score", F.round(cosine("embedding", "query_vector"), 6)).where("score IS NOT NULL")
+    return top_per(scored, ["query_id"], [F.col("score").desc(), F.col(key).asc()], k)
+
+
+def context_vector_top(docs: DataFrame, queries: DataFrame, k: int, project: str, source_types: Sequence[str] = (), statuses: Sequence[str] = ("active", "canonical"), entities: Sequence[str] = (), visibility: Sequence[str] = (), bound: int | None = None) -> DataFrame:
+    """The k nearest context documents of each query within a scope; a null unit order passes the bound."""
+    return vector_top(_scoped(docs, project, entities, bound, source_type=source_types, status=statuses, visibility=visibility), queries, k, key="item_id")
+
+
+def entity_list(entities: DataFrame, kind: str | None = None, bound: int | None = None) -> DataFrame:
+    """Entities of a type, first seen up to a bound, in the order in which they were first seen, then by name."""
+    rows = entities.where(F.col("entity_type") == kind) if kind else entities
+    return before(rows, "first_seen_order", bound=bound).orderBy(F.col("first_seen_order").asc_nulls_last(), "canonical_name")
+
+
+def _scoped(docs: DataFrame, project: str, entities: Sequence[str], bound: int | None, **allowed: Sequence[str]) -> DataFrame:
+    out = docs.where(F.col("project_id") == project)
+    for column, values in allowed.items():
+        out = out.where(F.col(column).isin(*values)) if values else out
+    out = out.where(F.arrays_overlap("entity_ids", F.array(*map(F.lit, entities)))) if entities else out
+    return before(out, "unit_order", bound=bound, keep_null=True)
+
+
 def _context_text(docs: DataFrame) -> Column:
     return F.concat_ws("\n", *(text_of(c) for c in ("subject", "statement", "text") if c in docs.columns))
 
@@ -147,10 +176,7 @@ def context_search(
     entities: Sequence[str] = (), visibility: Sequence[str] = (), bound: int | None = None, k: int = 10,
 ) -> DataFrame:
     """The best context documents of a project; a null unit order passes the bound. Ties: status, confidence, time, id, all descending but the id."""
-    out = docs.where(F.col("project_id") == project)
-    for column, allowed in (("source_type", source_types), ("item_type", item_types), ("status", statuses), ("visibility", visibility)):
-        out = out.where(F.col(column).isin(*allowed)) if allowed else out
-    out = before(out, "unit_order", bound=bound, keep_null=True)
+    out = _scoped(docs, project, (), bound, source_type=source_types, item_type=item_types, status=statuses, visibility=visibility)
     order = [F.col("score").desc(), status_rank("status").desc(), F.col("confidence").desc_nulls_last(), F.col("updated_at").desc_nulls_last(), F.col("item_id").asc()]
     return context_score(out, query, entities).orderBy(*order).limit(k)
 

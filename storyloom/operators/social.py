@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vocab
-from ..functions.text import count_contained, text_of
+from ..functions.rules import text_risks
+from ..functions.text import contains_any, count_contained, text_of
 
 
 def term_score(text: Column | str, terms: Sequence[str], default: float = 0.35) -> Column:
@@ -43,6 +44,118 @@ def pressure_edges(characters: DataFrame, scene: Sequence[str], intent_urgency:
     return pairs.where(F.col("strength") >= drop_below).withColumn("priority", F.when(F.col("strength") >= high, "high").otherwise("normal"))
 
 
+#: Default scores of a card's text by term group, with the terms (fixed values).
+STATE_TERMS = {
+    "resistance": (vocab.RESISTANCE_TERMS, 0.25), "arousal": (("紧张", "急", "压", "危险", "告警", "警报"), 0.45), "negative_valence": (("厌", "不美好", "废墟", "危险", "压抑"), 0.35),
+    "risk_tolerance": (("危险", "冒险", "低空", "快", "急", "不稳"), 0.35), "non_compliance": (vocab.RESISTANCE_TERMS, 0.35),
+}
+STANCE_TERMS = {"trust": (vocab.CARE_TERMS + vocab.RELATION_TERMS, 0.45), "resistance": (vocab.RESISTANCE_TERMS, 0.25), "care": (vocab.CARE_TERMS, 0.25)}
+RESISTING, STEADYING, PASSIVE = ("不美好", "地球", "抗拒", "不服", "冷硬", "向往", "想上去"), ("稳", "慢", "安全", "危险", "高度", "姿态", "告警", "警报"), ("受", "被", "接受")
+RISKY, TENSE, HASTY = ("偏快", "冒险", "危险行为", "不服", "抗拒", "不美好", "地球", "向往", "想上去", "急"), ("互动", "张力", "情绪", "抗拒", "劝"), ("急", "危险", "快")
+
+
+def state_graph(cards: DataFrame) -> DataFrame:
+    """Characters of scenes with the scores of their social state.
+
+    ``cards``: scene, name, intent (the scene's), texts (what the card and its simulation say), refs (memories that support
+    it). Adds ``text``, support_count, resistance, arousal, negative_valence, risk_tolerance, compliance.
+    """
+    said = cards.withColumn("text", F.array_join(F.coalesce("texts", F.array().cast("array<string>")), " "))
+    whole = F.concat_ws(" ", "text", "intent")
+    scored = said.select("scene", "name", "intent", "text", F.size(F.coalesce("refs", F.array().cast("array<string>"))).alias("support_count"), *(term_score(whole, terms, default).alias(n) for n, (terms, default) in STATE_TERMS.items()))
+    return scored.withColumn("compliance", 1.0 - F.col("non_compliance")).drop("non_compliance")
+
+
+def stances(cards: DataFrame) -> DataFrame:
+    """``scene, source, target, stance, refs, trust, resistance, care`` of every stance (target, text, refs) that a card has of someone."""
+    rows = cards.select("scene", F.col("name").alias("source"), F.explode("stances").alias("s")).where(F.trim(text_of("s.target")) != "")
+    return rows.select("scene", "source", F.trim("s.target").alias("target"), text_of("s.text").alias("stance"), F.col("s.refs").alias("refs"), *(term_score("s.text", terms, default).alias(n) for n, (terms, default) in STANCE_TERMS.items()))
+
+
+def pressure_type(source: Column, target: Column, stance: Column, intent: Column, carers: Sequence[str] = (), name: Column | None = None) -> Column:
+    """What kind of pressure one character puts on another, by cues in the order of their weight; ``carers`` are names that guide where others correct."""
+    cares = (stance != "") & ~contains_any(stance, PASSIVE) & contains_any(stance, vocab.CARE_TERMS)
+    every = F.concat_ws(" ", source, target, stance, intent)
+    guide = name.isin(*carers) if carers and name is not None else F.lit(False)
+    return (
+        F.when(cares, "care_guidance")
+        .when(contains_any(source, RESISTING), "value_resistance")
+        .when(contains_any(every, STEADYING), F.when(guide, "care_guidance").otherwise("safety_correction"))
+        .when(contains_any(every, vocab.RESISTANCE_TERMS), "value_resistance")
+        .when(stance != "", "care_guidance")
+        .otherwise("information_probe")
+    )
+
+
+def pressure_graph(states: DataFrame, known: DataFrame, carers: Sequence[str] = (), drop_below: float = 0.35, high: float = 0.75) -> DataFrame:
+    """Pressure edges among the characters of each scene from their states and stances: ``scene, source, target, kind, strength, priority, memory_supported``."""
+    s, t = states.alias("s"), states.alias("t")
+    pairs = s.join(t, (F.col("s.scene") == F.col("t.scene")) & (F.col("s.name") != F.col("t.name"))).select(F.col("s.scene").alias("scene"), F.col("s.name").alias("source"), F.col("t.name").alias("target"), F.col("s.intent").alias("intent"), F.col("s.text").alias("said"), F.col("t.text").alias("heard"), F.col("s.support_count").alias("support_count"), F.greatest("s.arousal", "t.arousal").alias("arousal"))
+    rows = pairs.join(known.select("scene", "source", "target", "stance", "trust", "care").dropDuplicates(["scene", "source", "target"]), ["scene", "source", "target"], "left")
+    stance = text_of("stance")
+    relevance = term_score(F.concat_ws(" ", "intent", "said", "heard"), vocab.SAFETY_TERMS + vocab.RESISTANCE_TERMS)
+    salience = F.when(F.col("stance").isNull(), 0.0).otherwise(F.greatest("care", "trust", F.lit(0.25)))
+    strength = pressure_strength(support_score(F.col("support_count")), relevance, salience, F.greatest("arousal", term_score("intent", vocab.SAFETY_TERMS)))
+    made = rows.select("scene", "source", "target", pressure_type(F.col("said"), F.col("heard"), stance, F.col("intent"), carers, F.col("source")).alias("kind"), strength.alias("strength"), (F.col("support_count") > 0).alias("memory_supported"))
+    return made.where(F.col("strength") >= drop_below).withColumn("priority", F.when(F.col("strength") >= high, "high").otherwise("normal"))
+
+
+def candidate_types(text: Column, intent: Column, out: Column, into: Column, most: int = 6) -> Column:
+    """Kinds of actions that a character may take, ``most`` at most, by its text and the kinds of pressure it gives (``out``) and takes (``into``)."""
+    both = F.concat_ws(" ", text, intent)
+    risky = F.array_contains(out, "value_resistance") | contains_any(text, RISKY)
+    gives = F.size(out) > 0
+    some = lambda cond, *kinds: F.when(cond, F.array(*map(F.lit, kinds))).otherwise(F.array().cast("array<string>"))
+    parts = [
+        some(risky, "risky_operation", "physical_reaction"),
+        some(F.arrays_overlap(out, F.array(F.lit("safety_correction"), F.lit("care_guidance"))), "safety_correction", "care_reframe"),
+        some(contains_any(both, vocab.RESISTANCE_TERMS), "value_resistance", "deflection", "minimal_compliance"),
+        some(gives, "information_probe"),
+        some(F.array_contains(into, "value_resistance") & ~risky, "safety_correction", "care_reframe", "physical_reaction"),
+        some(contains_any(intent, vocab.SAFETY_TERMS), "physical_reaction"),
+        some(F.lit(True), "silence_or_withholding"),
+    ]
+    return F.slice(F.array_distinct(F.concat(*parts)), 1, most)
+
+
+def action_candidates(states: DataFrame, edges: DataFrame, most: int = 6) -> DataFrame:
+    """``scene, action_id, actor, action_type, score`` of every action that the characters of a scene may take.
+
+    Score: 0.30 alignment with the intent, 0.25 motivation, 0.20 support, 0.10 productivity, 0.07, less 0.1 for each risk.
+    """
+    given = edges.groupBy("scene", F.col("source").alias("name")).agg(F.collect_set("kind").alias("out"), F.max("strength").alias("gives"))
+    taken = edges.groupBy("scene", F.col("target").alias("name")).agg(F.collect_set("kind").alias("into"), F.max("strength").alias("takes"))
+    none = F.array().cast("array<string>")
+    rows = states.join(given, ["scene", "name"], "left").join(taken, ["scene", "name"], "left").withColumns({"out": F.coalesce("out", none), "into": F.coalesce("into", none)})
+    rows = rows.withColumn("action_type", F.explode(candidate_types(F.col("text"), F.col("intent"), F.col("out"), F.col("into"), most)))
+    kind, text, intent = F.col("action_type"), F.col("text"), F.col("intent")
+    aligned = F.when(kind.isin("risky_operation", "safety_correction", "physical_reaction"), term_score(intent, vocab.SAFETY_TERMS, 0.45)).when(kind.isin("value_resistance", "deflection", "minimal_compliance"), term_score(intent, TENSE, 0.45)).when(kind == "care_reframe", term_score(intent, vocab.CARE_TERMS + TENSE[:2], 0.45)).otherwise(0.45)
+    moved = F.when(kind.isin("risky_operation", "value_resistance", "deflection"), term_score(text, vocab.RESISTANCE_TERMS + HASTY, 0.45)).when(kind.isin("safety_correction", "care_reframe"), F.greatest(F.coalesce("gives", F.lit(0.0)), term_score(text, vocab.CARE_TERMS, 0.45))).otherwise(term_score(text, vocab.RELATION_TERMS + vocab.SAFETY_TERMS, 0.45))
+    strongest = F.coalesce(F.greatest("gives", "takes"), F.lit(0.35))
+    useful = F.when(kind.isin("risky_operation", "safety_correction", "value_resistance", "care_reframe"), F.greatest(F.lit(0.65), strongest)).otherwise(F.greatest(F.lit(0.35), strongest - 0.1))
+    risks = F.size(F.filter(text_risks(text), lambda r: r["risk"] != "future_leak")) + kind.isin("value_resistance", "deflection").cast("int")
+    score = F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 0.30 * aligned + 0.25 * moved + 0.20 * support_score(F.col("support_count")) + 0.10 * useful + 0.10 * 0.7 - 0.1 * risks)), 3)
+    return rows.select("scene", F.concat_ws(":", "name", "action_type").alias("action_id"), F.col("name").alias("actor"), "action_type", score.alias("score"))
+
+
+def social_metrics(states: DataFrame, edges: DataFrame, actions: DataFrame, beats: DataFrame) -> DataFrame:
+    """Counts and scores of each scene's plan: characters, edges, candidates, sequences, chosen beats, best score and its margin."""
+    n = lambda df, name: df.groupBy(F.col("scene").cast("string").alias("scene")).agg(F.count("*").alias(name))
+    options = beats.select("scene", "strategy", "score", "selected").distinct()
+    best = options.groupBy("scene").agg(F.count("*").alias("candidate_sequence_count"), F.max(F.when(F.col("selected"), F.col("score"))).alias("selected_sequence_score"), F.max(F.when(~F.col("selected"), F.col("score"))).alias("__next"))
+    margin = F.round(F.col("selected_sequence_score") - F.coalesce("__next", F.lit(0.0)), 3)
+    out = n(states, "character_count").join(n(edges, "pressure_edge_count"), "scene", "left").join(n(actions, "candidate_action_count"), "scene", "left")
+    out = out.join(n(beats.where("selected"), "selected_beat_count"), "scene", "left").join(best.withColumn("score_margin", margin).drop("__next"), "scene", "left")
+    return out.na.fill(0)
+
+
+def writer_packet(beats: DataFrame, actions: DataFrame, guidance: Mapping[str, str] = {}) -> DataFrame:
+    """What a writer gets of the chosen beats, one row an action: ``scene, beat_no, step, actor, action_type, guidance``; never final dialogue."""
+    steps = beats.where("selected").select("scene", "beat_no", F.posexplode(F.array_compact(F.array("opener", "answer"))).alias("at", "action_id"))
+    told = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in guidance.items() for x in kv]), F.col("action_type")), F.col("action_type")) if guidance else F.col("action_type")
+    return steps.join(actions.select(F.col("scene").cast("string").alias("scene"), "action_id", "actor", "action_type"), ["scene", "action_id"]).select("scene", "beat_no", (F.col("at") + 1).alias("step"), "actor", "action_type", told.alias("guidance"))
+
+
 def merged_effects(actions: DataFrame, by: Sequence[str], kind: str = "action_type") -> DataFrame:
     """The summed effects of actions by effect name."""
     entries = [F.struct(F.lit(a).alias("a"), F.lit(e).alias("effect"), F.lit(v).alias("v")) for a, es in vocab.EFFECTS.items() for e, v in es.items()]
@@ -159,3 +272,17 @@ def demoted_roles(roles: Column | str, evidence: Column | str, formal: Sequence[
     r, said = (F.col(roles) if isinstance(roles, str) else roles), text_of(evidence)
     bad = lambda x: F.exists(F.array(*map(F.lit, formal)), lambda t: F.contains(x, t) & ~F.contains(said, t))
     return F.struct(F.filter(r, lambda x: ~bad(x)).alias("kept"), F.filter(r, bad).alias("demoted"))
+
+
+def verification(simulations: DataFrame, allowed: DataFrame) -> DataFrame:
+    """Each simulated character's verdict: ``scene, name, hard, soft, status``.
+
+    Hard: references (refs) that the scene does not have (``allowed``: scene, ref), and leaks of what comes later; soft: phrases
+    that ring false and formal roles. ``simulations``: scene, name, text, refs.
+    """
+    unknown = simulations.select("scene", "name", F.explode(F.array_distinct("refs")).alias("ref")).join(allowed.select("scene", "ref").distinct(), ["scene", "ref"], "left_anti").groupBy("scene", "name").agg(F.count("*").alias("unknown_refs"))
+    risks = text_risks("text")
+    n = lambda *kinds: F.size(F.filter("risks", lambda r: r["risk"].isin(*kinds)))
+    rows = simulations.select("scene", "name", risks.alias("risks")).join(unknown, ["scene", "name"], "left")
+    out = rows.select("scene", "name", (F.coalesce("unknown_refs", F.lit(0)) + n("future_leak")).alias("hard"), n("therapy_tone", "unsupported_role").alias("soft"))
+    return out.withColumn("status", verdict(F.col("hard"), F.col("soft")))

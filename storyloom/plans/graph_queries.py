@@ -137,7 +137,12 @@ def timeline_counts(t) -> DataFrame:
     return graph_counts(t.events.select("user_id").distinct(), _events(t).withColumn("event_track", track), relations, found, numbered_buckets)
 
 
-@query()
+@query(f"""
+WITH RECURSIVE {_REL}, h AS (SELECT DISTINCT s, t FROM n WHERE why IS NULL AND c >= 0.75 AND k <> 'same_time' AND s <> t),
+w AS (SELECT s, t FROM h UNION SELECT w.s, h.t FROM w JOIN h ON h.s = w.t), o AS (SELECT s AS c FROM w WHERE s = t),
+i AS (SELECT c AS node FROM o UNION SELECT t FROM w JOIN o ON c = s), f AS (SELECT c AS node FROM o UNION SELECT s FROM w JOIN o ON c = t)
+SELECT node FROM i INTERSECT SELECT node FROM f
+""")
 def cycle_members(t) -> DataFrame:
     """Events on or between cycles of confident edges."""
     edges = _edges(t).where("usable_for_ordering AND relation_type <> 'same_time' AND source_event_id <> target_event_id AND confidence >= 0.75")
@@ -155,16 +160,16 @@ def memory_event_match(t) -> DataFrame:
 
 
 def _characters(t) -> DataFrame:
-    return t.supplier.select(F.col("s_nationkey").alias("scene"), F.col("s_name").alias("name"), (F.col("s_suppkey") % 5).alias("support_count"), (F.col("s_suppkey") % 7 / 10 + 0.3).alias("relevance"), (F.col("s_suppkey") % 4 / 4).alias("care"), (F.col("s_suppkey") % 3 / 3).alias("trust"), (F.col("s_suppkey") % 11 / 11).alias("arousal"))
+    return t.supplier.select(F.concat_ws("-", "s_nationkey", F.floor(F.col("s_suppkey") / 250).cast("string")).alias("scene"), F.col("s_name").alias("name"), (F.col("s_suppkey") % 5).alias("support_count"), (F.col("s_suppkey") % 7 / 10 + 0.3).alias("relevance"), (F.col("s_suppkey") % 4 / 4).alias("care"), (F.col("s_suppkey") % 3 / 3).alias("trust"), (F.col("s_suppkey") % 11 / 11).alias("arousal"))
 
 
 @query("""
-WITH c AS (SELECT s_nationkey AS scene, s_name AS name, CASE WHEN s_suppkey % 5 > 0 THEN least(1.0, 0.45 + 0.15 * log2(s_suppkey % 5 + 1)) ELSE 0.2 END AS support, (s_suppkey % 7) / 10.0::DOUBLE + 0.3 AS relevance, (s_suppkey % 4) / 4.0::DOUBLE AS care, (s_suppkey % 3) / 3.0::DOUBLE AS trust, (s_suppkey % 11) / 11.0::DOUBLE AS arousal FROM supplier),
+WITH c AS (SELECT s_nationkey || '-' || (s_suppkey // 250) AS scene, s_name AS name, CASE WHEN s_suppkey % 5 > 0 THEN least(1.0, 0.45 + 0.15 * log2(s_suppkey % 5 + 1)) ELSE 0.2 END AS support, (s_suppkey % 7) / 10.0::DOUBLE + 0.3 AS relevance, (s_suppkey % 4) / 4.0::DOUBLE AS care, (s_suppkey % 3) / 3.0::DOUBLE AS trust, (s_suppkey % 11) / 11.0::DOUBLE AS arousal FROM supplier),
 p AS (SELECT a.scene, a.name AS source, b.name AS target, round(least(1.0, 0.35 * a.support + 0.25 * greatest(a.relevance, b.relevance) + 0.2 * greatest(a.care, a.trust) + 0.1 * 0.7 + 0.1 * greatest(a.arousal, b.arousal)), 3) AS strength FROM c a JOIN c b ON a.scene = b.scene AND a.name <> b.name)
 SELECT scene, source, target, strength, CASE WHEN strength >= 0.75 THEN 'high' ELSE 'normal' END AS priority FROM p WHERE strength >= 0.35
 """)
 def pressure_edge_rows(t) -> DataFrame:
-    """Pressure between the suppliers of a nation."""
+    """Pressure between the suppliers of a scene: of a nation, with neighbouring keys."""
     return pressure_edges(_characters(t), ["scene"])
 
 
@@ -180,7 +185,7 @@ def merged_effect_rows(t) -> DataFrame:
 
 @query()
 def beat_selection(t) -> DataFrame:
-    """The best covering sequence of beats of each nation's suppliers."""
+    """The best covering sequence of beats of each scene's suppliers."""
     kinds, acts = ("value_resistance", "care_guidance", "safety_correction"), ("risky_operation", "safety_correction", "minimal_compliance", "physical_reaction", "care_reframe")
     pick = lambda values, n: F.element_at(F.array(*map(F.lit, values)), (F.abs(n) % len(values) + 1).cast("int"))
     edges = pressure_edges(_characters(t), ["scene"]).withColumn("kind", pick(kinds, F.xxhash64("source", "target")))

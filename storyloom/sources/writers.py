@@ -30,6 +30,24 @@ def import_tables(tables: Mapping[str, DataFrame], root: str, partition: Mapping
     return out
 
 
+def import_declared(tables: Mapping[str, DataFrame], declared: Mapping[str, str], root: str, partition: Mapping[str, str] = ()) -> DataFrame:
+    """Write every declared table and return all counts: a table that is not given is written empty, columns that are not declared are left out.
+
+    ``declared``: DDL by name, such as ``schemas.UNITS`` of a run or ``schemas.REFERENCES`` of a reference library. An undeclared
+    table raises KeyError.
+    """
+    unknown = sorted(set(tables) - set(declared))
+    if unknown:
+        raise KeyError(f"not declared: {unknown}")
+    spark = next(iter(tables.values())).sparkSession
+    whole = {}
+    for name, ddl in declared.items():
+        kind = T.StructType.fromDDL(ddl)
+        given = tables.get(name)
+        whole[name] = spark.createDataFrame([], kind) if given is None else given.select(*((F.col(f.name) if f.name in given.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in kind.fields))
+    return import_tables(whole, root, partition)
+
+
 _JSON_TYPES = {T.StringType: "string", T.BooleanType: "boolean", T.DoubleType: "number", T.FloatType: "number", T.DecimalType: "number", T.IntegerType: "integer", T.LongType: "integer", T.ShortType: "integer", T.ByteType: "integer"}
 
 
