@@ -105,7 +105,7 @@ def fuzzy_entity_refs(t) -> DataFrame:
     """The words of all benchmark texts as misspelt or partial references to parts' names and brands."""
     names = t.part.groupBy(F.col("p_name").alias("alias")).agg(F.min("p_partkey").alias("entity_id"), F.count("*").alias("mention_count"), F.min("p_partkey").alias("first_seen_order"))
     brands = t.part.groupBy(F.col("p_brand").alias("alias")).agg((-F.min("p_partkey") - 1).alias("entity_id"), F.count("*").alias("mention_count"), F.min("p_partkey").alias("first_seen_order"))
-    refs = t.benchmark.select(F.explode(token_set("text")).alias("ref")).where("length(ref) >= 3").distinct()
+    refs = t.benchmark.select(F.explode(token_set("text")).alias("ref")).distinct()
     return resolve_fuzzy(refs, names.unionByName(brands).withColumn("entity_id", F.col("entity_id").cast("string")))
 
 

@@ -25,22 +25,22 @@ def timeline_priors(t) -> DataFrame:
 
 
 def _relations(t) -> DataFrame:
-    """Relations between a user's events: to the next one (of a kind by its type), back to the third before it, to the one after next at the same time; every fiftieth to an event that is not there."""
+    """Relations between a user's events: to the next one, of a kind by its type; from signups back to the one before and from errors to the one before that; from views to the one after next at the same time. Events of little value point at an event that is not there."""
     w = Window.partitionBy("user_id").orderBy("event_id")
-    e = t.events.select("user_id", "event_id", "event_type", F.lead("event_id").over(w).alias("n1"), F.lead("event_id", 2).over(w).alias("n2"), F.lag("event_id", 3).over(w).alias("p3"))
-    kind = F.when(F.col("event_type") == "click", "after").when(F.col("event_type") == "purchase", "causes").when(F.col("event_type") == "signup", "same_time").otherwise("before")
-    edge = lambda tag, to, k, share: F.when(F.col(to).isNotNull(), F.struct(F.concat(F.lit(f"{tag}_"), "event_id").alias("relation_id"), F.concat(F.when(F.col("event_id") % 50 == 7, "x").otherwise("e"), to).alias("target_event_id"), k.alias("relation_type"), (F.col("event_id") * share % 100 / 100).alias("confidence")))
-    back, same = F.when(F.col("event_id") % 3 == 0, F.col("p3")), F.when(F.col("event_id") % 11 == 0, F.col("n2"))
-    e = e.withColumns({"p3": back, "n2": same})
-    rows = e.select("user_id", F.concat(F.lit("e"), "event_id").alias("source_event_id"), F.explode(F.array_compact(F.array(edge("r1", "n1", kind, 7), edge("r3", "p3", F.lit("before"), 13), edge("r2", "n2", F.lit("same_time"), 17)))).alias("r"))
-    return rows.select("user_id", "source_event_id", "r.*", F.lit("llm").alias("source"), F.lit(False).alias("is_inferred"))
+    e = t.events.select("user_id", "event_id", "event_type", "value", (F.get_json_object("props", "$.k").try_cast("double") / 100).alias("confidence"), F.lead("event_id").over(w).alias("n1"), F.lead("event_id", 2).over(w).alias("n2"), F.lag("event_id").over(w).alias("p1"), F.lag("event_id", 2).over(w).alias("p2"))
+    of = lambda kind, to: F.when(F.col("event_type") == kind, F.col(to))
+    kind = F.when(F.col("event_type") == "click", "after").when(F.col("event_type") == "purchase", "causes").otherwise("before")
+    edge = lambda tag, to, k: F.when(to.isNotNull(), F.struct(F.concat(F.lit(f"{tag}_"), "event_id").alias("relation_id"), F.concat(F.when(F.col("value") < 1, "x").otherwise("e"), to).alias("target_event_id"), k.alias("relation_type")))
+    edges = [edge("next", F.col("n1"), kind), edge("back", F.coalesce(of("signup", "p1"), of("error", "p2")), F.lit("before")), edge("same", of("view", "n2"), F.lit("same_time"))]
+    rows = e.select("user_id", "confidence", F.concat(F.lit("e"), "event_id").alias("source_event_id"), F.explode(F.array_compact(F.array(*edges))).alias("r"))
+    return rows.select("user_id", "source_event_id", "confidence", "r.*", F.lit("llm").alias("source"), F.lit(False).alias("is_inferred"))
 
 
 _REL = """
-ev AS (SELECT event_id, user_id, event_type, lead(event_id) OVER w AS n1, lead(event_id, 2) OVER w AS n2, lag(event_id, 3) OVER w AS p3 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
-r AS (SELECT user_id, 'r1_' || event_id AS relation_id, 'e' || event_id AS s0, CASE WHEN event_id % 50 = 7 THEN 'x' ELSE 'e' END || n1 AS t0, CASE event_type WHEN 'click' THEN 'after' WHEN 'purchase' THEN 'causes' WHEN 'signup' THEN 'same_time' ELSE 'before' END AS k, (event_id * 7 % 100) / 100 AS c FROM ev WHERE n1 IS NOT NULL
-  UNION ALL SELECT user_id, 'r3_' || event_id, 'e' || event_id, CASE WHEN event_id % 50 = 7 THEN 'x' ELSE 'e' END || p3, 'before', (event_id * 13 % 100) / 100 FROM ev WHERE p3 IS NOT NULL AND event_id % 3 = 0
-  UNION ALL SELECT user_id, 'r2_' || event_id, 'e' || event_id, CASE WHEN event_id % 50 = 7 THEN 'x' ELSE 'e' END || n2, 'same_time', (event_id * 17 % 100) / 100 FROM ev WHERE n2 IS NOT NULL AND event_id % 11 = 0),
+ev AS (SELECT event_id, user_id, event_type, try_cast(json_extract_string(props, '$.k') AS DOUBLE) / 100 AS c, CASE WHEN value < 1 THEN 'x' ELSE 'e' END AS mark, lead(event_id) OVER w AS n1, lead(event_id, 2) OVER w AS n2, lag(event_id) OVER w AS p1, lag(event_id, 2) OVER w AS p2 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+r AS (SELECT user_id, 'next_' || event_id AS relation_id, 'e' || event_id AS s0, mark || n1 AS t0, CASE event_type WHEN 'click' THEN 'after' WHEN 'purchase' THEN 'causes' ELSE 'before' END AS k, c FROM ev WHERE n1 IS NOT NULL
+  UNION ALL SELECT user_id, 'back_' || event_id, 'e' || event_id, mark || coalesce(CASE WHEN event_type = 'signup' THEN p1 END, CASE WHEN event_type = 'error' THEN p2 END), 'before', c FROM ev WHERE (event_type = 'signup' AND p1 IS NOT NULL) OR (event_type = 'error' AND p2 IS NOT NULL)
+  UNION ALL SELECT user_id, 'same_' || event_id, 'e' || event_id, mark || n2, 'same_time', c FROM ev WHERE n2 IS NOT NULL AND event_type = 'view'),
 n AS (SELECT user_id, relation_id, CASE WHEN k = 'after' THEN t0 ELSE s0 END AS s, CASE WHEN k = 'after' THEN s0 ELSE t0 END AS t, CASE WHEN k = 'after' THEN 'before' ELSE k END AS k, c, CASE WHEN left(t0, 1) = 'x' THEN 'unknown_endpoint' END AS why FROM r)
 """
 
@@ -129,12 +129,12 @@ def timeline_counts(t) -> DataFrame:
     """The counts of the whole timeline graph."""
     edges, verdicts = _chosen(t)
     relations = _edges(t).join(verdicts.select("relation_id", "selected"), "relation_id", "left")
-    track = F.when(F.col("discourse_index") % 10 == 0, "context").when(F.col("discourse_index") % 10 == 1, "forecast").when(F.col("discourse_index") % 10 < 9, "plot")
+    track = F.try_element_at(F.create_map(*map(F.lit, ("view", "context", "click", "forecast", "purchase", "plot", "signup", "memory"))), F.col("event_type"))
     same = _edges(t).where("usable_for_ordering AND relation_type = 'same_time' AND confidence >= 0.75")
     found = pair_conflicts(edges).select("type").unionByName(cycle_conflicts(edges, "user_id").select("type"))
     order = _events(t).select("event_id", "user_id", F.col("discourse_index").alias("timeline_rank"))
     numbered_buckets = buckets(order, same, "user_id").select(F.concat_ws(":", "user_id", "timeline_bucket").alias("timeline_bucket"))
-    return graph_counts(t.events.select("user_id").distinct(), _events(t).withColumn("event_track", track), relations, found, numbered_buckets)
+    return graph_counts(t.events.select("user_id").distinct(), t.events.select(track.alias("event_track")), relations, found, numbered_buckets)
 
 
 @query(f"""

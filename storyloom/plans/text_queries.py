@@ -227,11 +227,11 @@ def fuzzy_evidence(t) -> DataFrame:
 
 @query("""
 WITH n AS (SELECT p_partkey, regexp_replace(lower(p_name), '[^\\p{L}\\p{N}]+', '', 'g') AS k, p_name FROM part), a AS (SELECT DISTINCT k, p_name AS alias FROM n WHERE length(k) >= 2),
-d AS (SELECT doc_id, regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', '', 'g') AS t FROM documents UNION ALL SELECT -1 - p_partkey, k || 'of' || reverse(k) FROM n WHERE p_partkey % 50 = 0)
+d AS (SELECT doc_id, regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', '', 'g') AS t FROM documents UNION ALL SELECT -1 - p_partkey, k || 'of' || reverse(k) FROM n)
 SELECT doc_id, alias FROM d JOIN a ON contains(t, k)
 """)
 def known_names(t) -> DataFrame:
-    """Part names that occur in documents, by letters and digits; some parts' own names stand for texts that hold them."""
+    """Part names that occur in documents, by letters and digits; parts' own names stand for texts that hold them."""
     names = t.part.select(F.col("p_name").alias("alias"), F.col("p_name").alias("entity_id"))
-    own = t.part.where("p_partkey % 50 = 0").select((-1 - F.col("p_partkey")).alias("doc_id"), F.concat(match_key("p_name"), F.lit(" of "), F.reverse(match_key("p_name"))).alias("text"))
+    own = t.part.select((-1 - F.col("p_partkey")).alias("doc_id"), F.concat(match_key("p_name"), F.lit(" of "), F.reverse(match_key("p_name"))).alias("text"))
     return known_in_text(t.documents.select("doc_id", "text").unionByName(own), names).select("doc_id", "alias")
