@@ -308,17 +308,17 @@ def test_streaming(spark, tmp_path):
 
 
 def canonical(df):
-    """Rows as sorted tuples of texts, columns by name; floats to six places."""
+    """Rows as sorted tuples of texts, columns by name; numbers to six places, as a column with nulls may be of either kind."""
     import math
 
     def text(v):
-        if v is None or v is pd.NaT or (isinstance(v, float) and math.isnan(v)):
+        if v is None or v is pd.NA or v is pd.NaT or (isinstance(v, float) and math.isnan(v)):
             return "~"
         if hasattr(v, "tolist") and not isinstance(v, (str, bytes)):
             v = v.tolist()
-        if isinstance(v, float):
-            return f"{v:.6f}"
-        return str(v)
+        if isinstance(v, bool):
+            return str(v)
+        return f"{v:.6f}" if isinstance(v, float) else f"{v}.000000" if isinstance(v, int) else str(v)
 
     names = sorted(df.columns)
     return names, sorted(tuple(text(v) for v in row) for row in df[names].itertuples(index=False, name=None))
