@@ -388,7 +388,7 @@ def test_schemas(spark):
     from storyloom.sources.writers import schema_json
 
     made = {name: schemas.schema(name) for name in schemas.TABLES}
-    assert all(json.loads(text)["type"] == "struct" for text in schema_json(made).values())
+    assert all(json.loads(text)["type"] == "object" for text in schema_json(made).values())
     assert spark.createDataFrame([], made["context_items"]).count() == 0
     with pytest.raises(KeyError):
         schemas.schema("nothing")
