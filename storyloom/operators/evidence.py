@@ -18,11 +18,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import text_of
+from ..sources.scratch import cut_lineage
 from .ranking import STATED_ROWS, stated
 
 FIELDS = ("title", "subtitle", "content")
 DROPPED = r"[\s，。！？、,.!?；;：:“”\"'（）()\[\]【】…]"
-THRESHOLD, SLACK, SLACK_SHARE = 0.94, 2, 0.08
+THRESHOLD, SLACK, SLACK_SHARE, PIECE = 0.94, 2, 0.08, 12
 _DROPPED = re.compile(DROPPED)
 RESULT = T.StructType([T.StructField("status", T.StringType()), T.StructField("field", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("aligned", T.StringType()), T.StructField("score", T.DoubleType())])
 
@@ -127,6 +128,12 @@ def best_window(evidence: str, source: str) -> tuple[float, int, int] | None:
     matcher.set_seq2(key)
     forward = difflib.SequenceMatcher(None, key)
     best: tuple[float, int, int] | None = None
+    # windows where a piece of the evidence stands as it is go first: a good score early rules out most of the others
+    whole = min(len(key), len(text))
+    for at in sorted({max(0, min(p - i, len(text) - whole)) for i in range(0, len(key), PIECE) if (p := text.find(key[i : i + PIECE])) >= 0}):
+        forward.set_seq2(text[at : at + whole])
+        if whole >= len(key) - slack and (best is None or forward.ratio() > best[0]):
+            best = (forward.ratio(), at, at + whole)
     for size in range(max(1, len(key) - slack), min(len(text), len(key) + slack) + 1):
         have = Counter(text[:size])
         shared = sum((have & wanted).values())
@@ -235,9 +242,12 @@ def locate_near(docs: DataFrame, quotes: DataFrame, text: str = "text", quote: s
     runs = rows.select(key, "__text", _plain_words("content").alias("__w")).select(key, "__text", F.explode(F.array_distinct(_runs(F.col("__w"), SHARED_RUN))).alias("__run"))
     held = runs.join(stated(wanted, 50 * STATED_ROWS), "__run").select(F.col(key).alias("__key"), F.col("__text").alias("__of"), "__quote").distinct()
     pairs = rows.join(held, F.col(key).eqNullSafe(F.col("__key")) & (F.col("__text") == F.col("__of"))).join(q, "__quote").drop("__key", "__of", "__quote", "__text")
-    tried = pairs.withColumn("__exact", exact_tiers(quote, ["content"]))
+    # written, as both tiers read the pairs, and finding them is a scan of all texts
+    tried = cut_lineage(pairs.withColumn("__exact", exact_tiers(quote, ["content"])))
     sure = tried.where("__exact IS NOT NULL").withColumnRenamed("__exact", name)
-    return sure.unionByName(tried.where("__exact IS NULL").drop("__exact").withColumn(name, _near(F.col(quote), F.col("content"))))
+    # few pairs, but dear ones: dealt to all tasks, whatever their size
+    rest = tried.where("__exact IS NULL").drop("__exact").repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return sure.unionByName(rest.withColumn(name, _near(F.col(quote), F.col("content"))))
 
 
 def fill_gap(spans: Column | str, source: Column | str, most: int = 40) -> Column:
