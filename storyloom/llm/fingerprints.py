@@ -25,7 +25,7 @@ from . import kernels as K
 from .graphs import linked_components
 from .store import discard, materialize, small_batches, tidied
 
-PERMUTATIONS, WORDS_PER_SHINGLE, BANDS = 128, 5, 32
+PERMUTATIONS, WORDS_PER_SHINGLE, BANDS = 128, 5, 16
 _rng = np.random.default_rng(7)
 _A = _rng.integers(0, 2**64, PERMUTATIONS, dtype=K.U64) | K.U64(1)
 _B = _rng.integers(0, 2**64, PERMUTATIONS, dtype=K.U64)
