@@ -74,6 +74,21 @@ def wanted(df: DataFrame, key: str, bits: np.ndarray) -> DataFrame:
     return rows.mapInArrow(lambda b: tidied(sieve(b)), df.schema)
 
 
+def hash_bits(hashes: DataFrame, column: str, bits: int) -> np.ndarray:
+    """A bit set of ``bits`` bits (a power of two) with the bit of each hash's leading bits set; see ``held_in``."""
+    bit = F.shiftrightunsigned(F.col(column), 64 - (bits.bit_length() - 1))
+    rows = hashes.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(pmod(bit, 64) AS int)))").alias("bits")).toPandas()
+    out = np.zeros(bits // 64, np.int64)
+    out[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64)
+    return out.view(np.uint64)
+
+
+def held_in(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which hashes may be in the set that ``hash_bits`` made."""
+    top = (hashes >> np.uint64(64 - (64 * len(bits)).bit_length() + 1)).astype(np.int64)
+    return ((bits[top >> 6] >> (top & 63).astype(np.uint64)) & np.uint64(1)).astype(bool)
+
+
 def spread_join(left: DataFrame, right: DataFrame, key: str, by: str, rows: int) -> DataFrame:
     """The equi-join on ``key`` of a written table with a smaller one, no task of which gets much more than its share.
 

@@ -90,7 +90,8 @@ def words(data: np.ndarray, offsets: np.ndarray, kept: np.ndarray, lower: bool =
     at = np.arange(len(chars)) - np.repeat(begins, lengths)
     values = _BYTE_AT[(chars << 6) | (at & 63)]
     if lengths.max() > 64:
-        values = values * (U64(2) * (at >> 6).astype(U64) + U64(1))
+        far = np.flatnonzero(at >= 64)  # mixed with their block of 64, so that blocks that trade bytes don't cancel
+        values[far] = mix(values[far] + (at[far] >> 6).astype(U64) * _PLACE[0])
     hashes = mix(np.add.reduceat(values, begins) + lengths.astype(U64))
     return Words(hashes, starts, ends, np.searchsorted(starts, offsets).astype(np.int64))
 

@@ -116,12 +116,40 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents"), k=3, percent=90)
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .variants import spelling_variants, word_counts
+
+    return spelling_variants(word_counts(_table(spark, sf_dir, "documents"), damaged=31))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ranked import ranked_search
+
+    return ranked_search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .substrings import dedup_substrings
+
+    return dedup_substrings(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if (name.startswith("op") or name == "near_duplicate_classes") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": OP2_SQL, "op3_warc_conversion": OP3_SQL, "op9_benchmark_decontamination": OP9_SQL, "op10_ngram_jaccard_join": OP10_SQL}
+    return {
+        "op2_line_dedup": OP2_SQL,
+        "op3_warc_conversion": OP3_SQL,
+        "op9_benchmark_decontamination": OP9_SQL,
+        "op10_ngram_jaccard_join": OP10_SQL,
+        "op11_spelling_variants": OP11_SQL,
+        "op12_ranked_search": OP12_SQL,
+        "op13_substring_dedup": OP13_SQL,
+    }
 
 
 _STRIP = r"'^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$'"
@@ -177,3 +205,43 @@ u AS (SELECT a, b FROM p UNION SELECT b, a FROM p),
 cc(node, label) USING KEY (node) AS (SELECT a, least(a, min(b)) FROM u GROUP BY a UNION SELECT u.b, min(c.label) FROM cc c JOIN u ON u.a = c.node JOIN recurring.cc r ON r.node = u.b WHERE c.label < r.label GROUP BY u.b)
 SELECT c.doc_id, c.n AS n_shingles, coalesce(cc.label, k.node, c.doc_id) AS component_id FROM c LEFT JOIN k ON k.n = c.n AND k.s = c.s LEFT JOIN cc ON cc.node = k.node
 """
+#: crc32 by a table of its 256 bytes; near words by joins on wildcards and deletions.
+OP11_SQL = r"""
+WITH RECURSIVE crc AS (SELECT list(list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) ORDER BY i) AS t FROM range(256) r(i)),
+runs AS (SELECT doc_id, unnest(list_transform(regexp_extract_all(text, '[A-Za-z\x{00C0}-\x{00FF}]+'), lambda x: translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'))) AS w FROM documents),
+tally AS (SELECT doc_id, w, count(*) AS n, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || w)) AS x FROM runs WHERE length(w) >= 7 GROUP BY doc_id, w),
+hashed AS (SELECT w, n, xor(list_reduce(list_transform(range(length(x) // 2), lambda j: ('0x' || substr(x, 2 * j + 1, 2))::BIGINT), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295), 4294967295) AS h FROM tally, crc),
+damaged AS (SELECT n, CASE WHEN h % 31 = 0 THEN substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word FROM hashed),
+words AS (SELECT word, sum(n)::BIGINT AS n FROM damaged GROUP BY word HAVING length(word) >= 7 AND sum(n) >= 2),
+wild AS (SELECT word, n, substr(word, 1, i) || '*' || substr(word, i + 2) AS k, substr(word, 1, i) || substr(word, i + 2) AS d FROM (SELECT word, n, unnest(range(length(word))) AS i FROM words)),
+pairs AS (SELECT a.word, b.word AS other, b.n FROM wild a JOIN wild b ON a.k = b.k AND a.word <> b.word UNION SELECT a.word, b.word, b.n FROM wild a JOIN words b ON a.d = b.word UNION SELECT b.word, a.word, a.n FROM wild a JOIN words b ON a.d = b.word),
+near AS (SELECT word, count(*) AS n_near, first(other ORDER BY n DESC, other) AS best, max(n) AS best_n FROM pairs GROUP BY word),
+formed AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN best_n >= 10 * w.n THEN best END AS form, CASE WHEN best_n >= 10 * w.n THEN best_n END AS form_n FROM words w LEFT JOIN near USING (word)),
+chain AS (SELECT word, form AS at FROM formed WHERE form IS NOT NULL UNION ALL SELECT c.word, f.form FROM chain c JOIN formed f ON f.word = c.at WHERE f.form IS NOT NULL),
+roots AS (SELECT c.word, c.at AS root FROM chain c JOIN formed f ON f.word = c.at WHERE f.form IS NULL)
+SELECT f.word, n, n_near, form, form_n, coalesce(root, f.word) AS root FROM formed f LEFT JOIN roots USING (word)
+"""
+
+_TERMS = r"regexp_extract_all({}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+#: The score of every document that shares a term with an item.
+OP12_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS id, doc_id, {_TERMS.format(_LOW)} AS w FROM documents),
+q AS (SELECT row_number() OVER () AS query, item_id, list_distinct({_TERMS.format(_LOW)}) AS w FROM benchmark),
+asked AS (SELECT query, item_id, unnest(w) AS x FROM q),
+totals AS (SELECT count(*) AS docs, sum(len(w))::BIGINT AS terms FROM d WHERE len(w) > 0),
+tf AS (SELECT id, x, count(*) AS tf FROM (SELECT id, unnest(w) AS x FROM d) WHERE x IN (SELECT x FROM asked) GROUP BY id, x),
+weight AS (SELECT x, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS w FROM (SELECT x, count(*) AS df FROM tf GROUP BY x), totals),
+impact AS (SELECT tf.id, d.doc_id, x, weight.w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + ((90 * len(d.w) * docs) // terms)))) AS s FROM tf JOIN d ON d.id = tf.id JOIN weight USING (x), totals),
+scored AS (SELECT query, item_id, id, doc_id, sum(s)::BIGINT AS score FROM asked JOIN impact USING (x) GROUP BY query, item_id, id, doc_id HAVING sum(s) > 0)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc_id) AS rank FROM scored) WHERE rank <= 10
+"""
+
+#: Every window of 50 words with its first document; a word goes if it lies in a window that a smaller id holds.
+OP13_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS id, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (SELECT id, doc_id, i, md5_number(array_to_string(w[i : i + 49], ' ')) AS h FROM (SELECT *, unnest(range(1, len(w) - 48)) AS i FROM d)),
+lost AS (SELECT id, i FROM windows JOIN (SELECT h, min(doc_id) AS first, max(doc_id) AS last FROM windows GROUP BY h HAVING min(doc_id) < max(doc_id)) USING (h) WHERE first < doc_id),
+gone AS (SELECT DISTINCT id, unnest(range(i, i + 50)) AS i FROM lost),
+kept AS (SELECT d.id, count(g.i) AS n_removed, coalesce(string_agg(x, ' ' ORDER BY d.i) FILTER (g.i IS NULL), '') AS kept FROM (SELECT id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i FROM d) d LEFT JOIN gone g ON g.id = d.id AND g.i = d.i GROUP BY d.id)
+SELECT doc_id, len(w) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (id)
+"""
