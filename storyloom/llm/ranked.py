@@ -215,7 +215,9 @@ class ClusteredIndex:
         some = forward.where(F.size("terms") > 0)
         # a sample of bounded size: rows by their number, and of each no more than CELLS cells
         cell = F.array_sort(F.array_distinct(F.transform("terms", lambda t: F.shiftrightunsigned(t, 64 - (CELLS.bit_length() - 1)).cast("int"))))
-        sample = some.select(F.xxhash64("row").alias("order"), cell.alias("cells")).orderBy("order").limit(SAMPLE).toArrow()["cells"]
+        order = F.pmod(F.xxhash64("row"), F.lit(1 << 40))
+        few = order < int((1 << 40) * min(1.0, 2 * SAMPLE / max(1, self.n_docs)))  # about twice the sample, however many tasks
+        sample = some.select(order.alias("order"), "row", cell.alias("cells")).where(few).orderBy("order", "row").limit(SAMPLE).toArrow()["cells"]
         self.tree = Bisection.fit([np.asarray(c.values) for c in sample], min(DEPTH, (-(-postings // POSTINGS) - 1).bit_length()))
         tree = spark.sparkContext.broadcast(self.tree)  # at most 2^DEPTH * CELLS weights
         routed, routed_path = materialize(some.mapInArrow(lambda b: tidied(_route(b, tree.value)), _ROUTED), "routed")

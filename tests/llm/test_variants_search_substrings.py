@@ -169,7 +169,10 @@ def without_windows(docs, size):
     return out
 
 
-def test_op13(spark, folder):
+@pytest.mark.parametrize("hot, bucket", [(1 << 12, 1 << 19), (3, 200), (0, 10)])
+def test_op13(spark, folder, monkeypatch, hot, bucket):
+    monkeypatch.setattr(S, "HOT", hot)
+    monkeypatch.setattr(S, "BUCKET", bucket)
     path, docs, _ = folder
     want = Counter()
     for (i, n, gone, text), c in without_windows(docs, 50).items():
@@ -179,10 +182,12 @@ def test_op13(spark, folder):
 
 
 @pytest.mark.parametrize("size", [2, 3, 7])
-def test_op13_branching_texts_of_few_words(spark, size):
+def test_op13_branching_texts_of_few_words(spark, monkeypatch, size):
+    monkeypatch.setattr(S, "HOT", 4 * size)
+    monkeypatch.setattr(S, "BUCKET", 20)
     r = random.Random(size)
     docs = [(r.randint(0, 25), " ".join(r.choices("abc", k=r.randint(0, 14)))) for _ in range(60)] + [(3, "a a a a a a a a"), (None, "a b c a b c a"), (2, None)]
-    df = spark.createDataFrame([(*d, "x", 1) for d in docs], "doc_id long, text string, path string, spans int")
+    df = spark.createDataFrame([(*d, "x", 1) for d in docs], "doc_id long, text string, path string, tag int")
     got = S.dedup_substrings(df, window=size, keep=("path",))
     assert got.columns == ["doc_id", "n_words", "n_removed", "text", "path"]
     assert rows_of(got, "doc_id", "n_words", "n_removed", "text") == without_windows(docs, size)
