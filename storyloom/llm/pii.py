@@ -13,7 +13,8 @@ with enough trusted strings are new identifiers.
 Every step is an explode, an aggregate, a window or a join of match rows; texts are scanned where they lie. Patterns
 with a very large share of the matches are aggregated before they are joined, and the join's skew is Spark's to split.
 
-Defined results: a null or empty text has no spans. Rows of equal id are separate rows, equal rows have equal results.
+Defined results: a null or empty text has no spans. Where strings touch, seeds come before failed matches and both before
+other strings; of one kind, the leftmost match. Patterns of equal score are all confident or none. Rows of equal id are separate rows, equal rows have equal results.
 Extra columns are ignored.
 """
 
@@ -33,8 +34,8 @@ SEEDS = {
     "card": r"[0-9](?:[ -]?[0-9])++",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
-#: Identifier-shaped strings: at least eight characters, four digits of them.
-SHAPE = r"(?:\G|(?<![A-Za-z0-9._@+-]))(?=(?:[A-Za-z._@+-]*+[0-9]){4})[A-Za-z0-9][A-Za-z0-9._@+-]{6,}+(?<![._@+-])"
+#: Identifier-shaped strings: at least seven characters, four digits of them; they end on a letter or digit, whatever mark follows.
+SHAPE = r"(?:\G|(?<![A-Za-z0-9._@+-]))(?=(?:[A-Za-z._@+-]*+[0-9]){4})[A-Za-z0-9][A-Za-z0-9._@+-]{5,}[A-Za-z0-9]"
 _PART = r"0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 #: Dates, which are no identifiers.
 DATE = r"^(?:(?:19|20)[0-9]{2}[-._]?(?:0[1-9]|1[0-2])[-._]?(?:0[1-9]|[12][0-9]|3[01])|(?:0[1-9]|[12][0-9]|3[01])[-._](?:0[1-9]|1[0-2])[-._](?:19|20)[0-9]{2})$"
@@ -128,11 +129,13 @@ def score_graph(seen: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataF
 def find_personal_data(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """Two frames: ``doc_id, text_hash`` of every row; and ``doc_id, text_hash, kind, start, end, base`` of every span."""
     matches, matches_path = materialize(find_matches(docs, key, text), "matches")
+
     def apart(x: DataFrame, y: DataFrame) -> DataFrame:
-        """Rows of x that overlap no row of y in the same text."""
-        o, t = x.alias("o"), y.alias("t")
-        same = F.col("o.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("o.text_hash") == F.col("t.text_hash"))
-        return o.join(t, same & (F.col("o.start") < F.col("t.end")) & (F.col("t.start") < F.col("o.end")), "left_anti")
+        """Rows of x that overlap no row of y in the same text: none that starts before their end reaches beyond their start."""
+        both = x.withColumn("at", F.col("end")).withColumn("other", F.lit(0)).unionByName(y.withColumn("at", F.col("start")).withColumn("other", F.lit(1)))
+        swept = Window.partitionBy("doc_id", "text_hash").orderBy("at", "other").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        reach = F.max(F.when(F.col("other") == 1, F.col("end"))).over(swept)
+        return both.withColumn("reach", reach).where((F.col("other") == 0) & (F.coalesce("reach", F.lit(0)) <= F.col("start"))).drop("at", "other", "reach")
 
     base, failed = matches.where("kind NOT IN ('id', 'none')"), matches.where("kind = 'none'")
     seeds = base.unionByName(apart(failed, base))

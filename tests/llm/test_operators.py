@@ -391,3 +391,14 @@ def test_main_text(spark):
     rows = [(1, "u", html, 0), (2, None, None, 0), (3, "u", "", 0), (4, "u", "<p" * 3000, 0), (5, "u", "<div>" * 3000 + "x", 0), (6, "u", "plain < text > only", 0)]
     got = {r.page_id: r for r in M.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text int")).collect()}
     assert got[2].text == got[3].text == "" and got[1].n_chars == len(got[1].text) and len(got) == 6
+
+
+def test_long_words_that_trade_bytes_between_blocks_differ(spark):
+    from storyloom.llm.jaccard import jaccard_components
+
+    one, two = ("".join(c + "m" * 63 for c in order) for order in ("xyyx", "yxxy"))
+    texts = [" ".join([w] * 6) for w in (one, two, one)]
+    got = {r.doc_id: r.component_id for r in jaccard_components(spark.createDataFrame(list(enumerate(texts, 1)), "doc_id long, text string"), k=3, percent=90).collect()}
+    assert got == {1: 1, 2: 2, 3: 1}
+    hashes = K.words(*K.utf8_rows(pa.array([" ".join("a" * n + c + "a" * (400 - n) for n in range(400) for c in "bc")])), K.NON_SPACE).hashes
+    assert len(set(hashes.tolist())) == 800

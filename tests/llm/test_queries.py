@@ -187,7 +187,7 @@ def test_op4(spark, folder):
         assert (r.score == 1) if r.n_base else True
 
 
-SHAPE = re.compile(r"(?<![A-Za-z0-9._@+-])(?=(?:[A-Za-z._@+-]*[0-9]){4})[A-Za-z0-9][A-Za-z0-9._@+-]{6,}(?<![._@+-])")
+SHAPE = re.compile(r"(?<![A-Za-z0-9._@+-])(?=(?:[A-Za-z._@+-]*[0-9]){4})[A-Za-z0-9][A-Za-z0-9._@+-]{6,}(?<![._@+-])")  # of a plain form
 
 
 def bootstrapped(docs):
@@ -444,3 +444,36 @@ def test_sql_equivalents(spark):
         con.sql(f"create view {t} as select * from '{root}/{t}.parquet'")
     for name, sql in Q.oracle_sql().items():
         assert canonical(Q.queries()[name](spark, root).toPandas()) == canonical(con.sql(sql).df()), name
+
+
+def test_op5_finds_keys_before_any_mark(spark):
+    from storyloom.llm import pii as P
+
+    r = random.Random(12)
+    marks = [". Then", ", and", "; so", ") we", '" is', "' is", "... Then", "-- x", "@ x", "", "\n", " end"]
+    before = "some words here, the api key: "
+    keys = ["".join(r.choices("abcdef0123456789", k=24)) + "7" for _ in range(50 * len(marks))]
+    docs = [(i, f"{before}{k}{marks[i // 50]}") for i, k in enumerate(keys)]
+    docs += [(1000 + i, f"write to x{i}@example.org and my api key: a{i}.b@example{i}.org now") for i in range(10)]
+    _, spans = P.find_personal_data(spark.createDataFrame(docs, "doc_id long, text string"))
+    got = {(s.doc_id, s.start, s.end) for s in spans.where("kind = 'id'").collect()}
+    for n, mark in enumerate(marks):
+        assert sum((i, len(before), len(before) + 25) in got for i in range(50 * n, 50 * n + 50)) >= 45, mark
+
+
+def test_op5_shapes_of_the_plain_form(spark):
+    from storyloom.llm import pii as P
+
+    r = random.Random(13)
+    texts = ["".join(r.choices("ab19._@+- \n", k=r.randint(0, 60))) for _ in range(400)] + ["1234......", "a1234.b", "12.34.5", "a.1" * 50 + "...", "x" * 9 + "1234."]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, t string").select("i", F.regexp_extract_all("t", F.lit(P.SHAPE), F.lit(0)).alias("m")).collect()
+    for x in got:
+        assert x.m == [m[0] for m in SHAPE.finditer(texts[x.i])], texts[x.i]
+
+
+def test_op5_one_text_of_many_numbers(spark):
+    from storyloom.llm import pii as P
+
+    numbers = " ".join(f"id-{100000 + i}" for i in range(40000)) + " and 4111111111111111 +1 234 555 1000"
+    _, spans = P.find_personal_data(spark.createDataFrame([(1, numbers)], "doc_id long, text string"))
+    assert {s.kind for s in spans.where("base").collect()} == {"card", "phone"}
