@@ -1,14 +1,17 @@
 """Main text of HTML pages by a linear-chain conditional random field over DOM leaf blocks.
 
 A page is cut into leaf blocks: the text between the starts and ends of block-level elements. A block's features are
-its ancestors' tags, the words of their class, id and role attributes, and the shape of its text. The field has two
+its ancestors' tags, the words of their class, id and role attributes, the shape of its text, what its innermost container
+holds as a whole (words, share of links, part of the page), and its neighbours. The field has two
 labels (main text or not) with weights for features, label pairs and the first label. It is trained by gradient ascent
 of the conditional likelihood (forward-backward) on labelled pages, and a page is decoded by Viterbi.
 
 The labelled pages come from ``labelled_pages``: layouts of its own making with the label of every block, as the engine
 ships no corpus; other pages can be passed in. Training takes seconds and happens once on the driver.
 
-Defined results: null or empty html, or none that is main text, gives the empty text. Unclosed and stray tags are
+Half of these pages tell nothing by their elements and names, so that the field does not need either.
+
+Defined results: null or empty html, or none that is main text, gives the empty text. Of equal scores a block stays out. Unclosed and stray tags are
 handled as browsers do in the common cases (implied ends of p, li, td and the like; unknown ends are ignored). A comment or
 an element without text that nothing closes does not take the rest of the page with it, except script and style.
 Rows of equal or null id are separate rows. Columns other than the key, the url and the html are ignored.
@@ -59,10 +62,50 @@ _WITHIN = frozenset("<article> <main> @article @articlebody @post @entry @story
 _APART = frozenset("<nav> <header> <footer> <aside> <form> <button> <dialog> <menu> @nav @navigation @navbar @menu @sidebar @side @widget @aside @ad @ads @advert @advertisement @promo @promotion @sponsor @sponsored @cookie @consent @notice @alert @gdpr @popup @modal @comment @comments @reply @replies @respond @discussion @share @social @related @recommended @newsletter @signup @login @form @search @breadcrumb @breadcrumbs @pagination @footer @masthead @banner @copyright @legal @invisible".split())
 
 
+#: Elements that group blocks: what a group holds as a whole says more than its markup.
+_GROUPS = CONTAINERS - {"td", "th"}
+_SIZES = (2, 5, 10, 20, 50)
+
+
 @dataclass
 class Block:
     text: str
     features: tuple[str, ...]
+    group: int = 0
+    linked: int = 0
+
+
+def _size(words: int) -> str:
+    return next((f"<{n}" for n in _SIZES if words < n), "50+")
+
+
+def _linked(share: float) -> str:
+    return "all" if share > 0.8 else "part" if share > 0.3 else "little" if share > 0 else "none"
+
+
+def _add_context(page: list[Block]) -> None:
+    """Features of the block's group (its innermost container, then that one's), of its neighbours, and of its place."""
+    n = len(page)
+    words = [b.text.count(" ") + 1 for b in page]
+    shares = [_linked(b.linked / len(b.text)) for b in page]
+    sums: dict[int, list[int]] = {}
+    for b, w in zip(page, words):
+        total = sums.setdefault(b.group, [0, 0, 0, 0])
+        for k, x in enumerate((1, w, b.linked, len(b.text))):
+            total[k] += x
+    plain = {g: t[1] * (1 - t[2] / t[3]) for g, t in sums.items()}
+    most = max(plain.values(), default=0)
+    for i, b in enumerate(page):
+        count, total, linked, chars = sums[b.group]
+        group = _linked(linked / chars)
+        size = "<15" if total < 15 else "<40" if total < 40 else "<100" if total < 100 else "<300" if total < 300 else "300+"
+        part = plain[b.group] / most if most else 0.0
+        rank = "most" if part == 1 else "much" if part > 0.4 else "some" if part > 0.1 else "few"
+        own = [f"group words {size}", f"group linked {group}", f"group holds {rank}", f"group of {'1' if count < 2 else '3' if count < 4 else '4+'}", f"{_size(words[i])} in {rank} {group}", f"{shares[i]} in {group} {rank}"]
+        for side, j in (("before", i - 1), ("after", i + 1)):
+            own.append(f"{side}: {_size(words[j])} {shares[j]} {'inside' if page[j].group == b.group else 'outside'}" if 0 <= j < n else f"{side}: none")
+        own += ["first tenth"] if i * 10 < n else ["last tenth"] if (n - 1 - i) * 10 < n else []
+        b.features += tuple(own)
 
 
 def _attribute_features(attributes: str) -> set[str]:
@@ -133,8 +176,9 @@ def tags(html: str) -> Iterator[tuple[int, int, str, bool, str]]:
 def blocks(html: str) -> list[Block]:
     """The leaf blocks of a page, in page order, each with its features."""
     out: list[Block] = []
-    # of each open element: its name, the features of its text, whether it is in a link, and the innermost p up to a container
-    stack: list[tuple[str, frozenset[str], bool, int]] = [("", frozenset(), False, 0)]
+    # of each open element: its name, the features of its text, whether it is in a link, the innermost p up to a container, its group
+    stack: list[tuple[str, frozenset[str], bool, int, int]] = [("", frozenset(), False, 0, 0)]
+    groups = 0
     opened: Counter[str] = Counter()
     pieces: list[str] = []
     linked = at = 0
@@ -151,7 +195,7 @@ def blocks(html: str) -> list[Block]:
             text = " ".join("".join(pieces).split())
             pieces.clear()
             if text:
-                out.append(Block(text, (*stack[-1][1], *_text_features(text, linked))))
+                out.append(Block(text, (*stack[-1][1], *_text_features(text, linked)), stack[-1][4], min(linked, len(text))))
             linked = 0
 
     def close(i: int) -> None:
@@ -189,22 +233,25 @@ def blocks(html: str) -> list[Block]:
                     break
         elif not inline and not ends and stack[-1][3]:
             close(stack[-1][3])
-        _, above, link, p = stack[-1]
+        _, above, link, p, group = stack[-1]
         own = _attribute_features(attributes) if attributes else set()
-        if name in _TAGS:
+        if name == "header" and above & _WITHIN and not above & _APART:
+            own = {"<inner header>"}  # an article's own, with its headline
+        elif name in _TAGS:
             own.add(f"<{name}>")
+        if name in _GROUPS:
+            groups += 1
+            group = groups
         if own - above:
             above = (above | own) - {"within the text"}
             if above & _WITHIN and not above & _APART:
                 above |= {"within the text"}
         opened[name] += 1
-        stack.append((name, above, link or name == "a", len(stack) if name == "p" else 0 if name in CONTAINERS else p))
+        stack.append((name, above, link or name == "a", len(stack) if name == "p" else 0 if name in CONTAINERS else p, group))
     if at < len(html):
         put(html[at:])
     flush()
-    n = len(out)
-    for i, b in enumerate(out):
-        b.features += ("first tenth",) if i * 10 < n else ("last tenth",) if (n - 1 - i) * 10 < n else ()
+    _add_context(out)
     return out
 
 
@@ -224,13 +271,16 @@ def _prose(r: random.Random, words: int, sentence: bool = True) -> str:
     return " ".join(own).title()
 
 
-def labelled_pages(seed: int = 11, count: int = 500) -> Iterator[tuple[str, list[int]]]:
+def labelled_pages(seed: int = 11, count: int = 700) -> Iterator[tuple[str, list[int]]]:
     """Pages of many layouts, each with the labels (1: main text) of its blocks in page order."""
     r = random.Random(seed)
     for _ in range(count):
         html: list[str] = []
         labels: list[int] = []
-        semantic, named = r.random() < 0.7, r.random() < 0.75
+        # half of the pages tell nothing by their elements and names: plain ones, or ones whose names are made by a program
+        telling = r.random() < 0.5
+        semantic, named = telling and r.random() < 0.7, telling and r.random() < 0.75
+        opaque = not telling and r.random() < 0.5
 
         def put(markup: str, label: int) -> None:
             html.append(markup)
@@ -239,7 +289,9 @@ def labelled_pages(seed: int = 11, count: int = 500) -> Iterator[tuple[str, list
         def wrap(tag: str, names: list[str], own: bool = True) -> str:
             use = tag if semantic and own else "div"
             role = f' role="{r.choice(["navigation", "banner", "contentinfo", "complementary"])}"' if tag in ("nav", "header", "footer", "aside") and r.random() < 0.1 else ""
-            kind = f' {r.choice(["class", "id"])}="{r.choice(names)}"' if names and (named or use == "div") and r.random() < 0.9 else ""
+            kind = f' {r.choice(["class", "id"])}="{r.choice(names)}"' if telling and names and (named or use == "div") and r.random() < 0.9 else ""
+            if opaque:
+                kind = f' class="{r.choice(["css", "sc", "x", "q"])}-{r.randrange(16**6):06x}"'
             html.append(f"<{use}{kind}{role}>")
             return f"</{use}>"
 
@@ -247,14 +299,16 @@ def labelled_pages(seed: int = 11, count: int = 500) -> Iterator[tuple[str, list
             form = r.choice(["li", "p", "div"])
             if form == "li":
                 html.append("<ul>")
+            long = r.random() < 0.4  # headlines of other pages
             for _ in range(n):
-                put(f'<{form}><a href="/{r.randint(1, 999)}">{_prose(r, r.randint(1, 4), False)}</a></{form}>', 0)
+                label = _prose(r, r.randint(4, 14), r.random() < 0.5) if long else _prose(r, r.randint(1, 4), False)
+                put(f'<{form}><a href="/{r.randint(1, 999)}">{label}{r.choice(["", "", "", "."]) if not long else ""}</a></{form}>', 0)
             if form == "li":
                 html.append("</ul>")
 
         def menu() -> None:
             end = wrap("nav", ["nav", "main-menu", "navbar", "menu", "breadcrumbs", "site-navigation"])
-            links(r.randint(2, 8))
+            links(r.randint(2, 12))
             html.append(end)
 
         def header() -> None:
@@ -277,17 +331,19 @@ def labelled_pages(seed: int = 11, count: int = 500) -> Iterator[tuple[str, list
             if r.random() < 0.6:
                 links(r.randint(2, 5))
             else:
-                put(f"<p>{_prose(r, r.randint(5, 40))}</p>", 0)
+                put(f"<p>{_prose(r, r.randint(5, 40 if telling else 14))}</p>", 0)
             html.append(end)
 
         def advert() -> None:
             end = wrap("div", ["ad", "ads", "advert", "promo", "sponsored", "ad-banner", "cookie-notice", "notice", "gdpr-consent", "newsletter-signup", "popup", "alert", "share-buttons", "social"], False)
-            text = _prose(r, r.randint(3, 45))
+            text = _prose(r, r.randint(3, 45 if telling else 16))
+            if not telling:
+                text = f'{text} <a href="/x">{_prose(r, r.randint(1, 4), False)}</a>'
             put(text if r.random() < 0.6 else f"<p>{text}</p>", 0)
             html.append(end)
 
         def form() -> None:
-            html.append(f'<form class="{r.choice(["search", "login", "contact", "signup"])}">')
+            html.append(f'<form class="{r.choice(["search", "login", "contact", "signup"])}">' if telling else "<form>")
             put(f"<label>{_prose(r, r.randint(1, 5), False)}</label>", 0)
             html.append("<input name=q>")
             put(f"<button>{_prose(r, 1, False)}</button>", 0)
@@ -306,9 +362,15 @@ def labelled_pages(seed: int = 11, count: int = 500) -> Iterator[tuple[str, list
         def article() -> None:
             outer = wrap("main", ["main", "page", "content-wrap"]) if r.random() < 0.4 else ""
             end = wrap("article", ["article", "post", "entry-content", "post-body", "content", "story", "articleBody"])
+            nested = 0 if telling else r.choice([0, 0, 1, 2])
+            html.append("<div>" * nested)
             if r.random() < 0.8:
-                put(f"<h1>{_prose(r, r.randint(1, 9), r.random() < 0.5)}</h1>", 1)
-            for _ in range(r.randint(1, 14)):
+                inner = telling and r.random() < 0.15
+                put(f"{'<header>' * inner}<h1>{_prose(r, r.randint(1, 9), r.random() < 0.5)}</h1>", 1)
+                if inner and r.random() < 0.5:
+                    put(f"<p>{_prose(r, r.randint(4, 20))}</p>", 1)
+                html.append("</header>" * inner)
+            for _ in range(r.randint(1 if telling else 3, 14)):
                 kind, words = r.random(), r.choice([r.randint(1, 8), r.randint(8, 40), r.randint(30, 120)])
                 text = _prose(r, words, r.random() < 0.9)
                 if kind < 0.06:
@@ -343,10 +405,11 @@ def labelled_pages(seed: int = 11, count: int = 500) -> Iterator[tuple[str, list
                     put(f"<p><b>{text}<br>", 1)
                 else:
                     put(f"<p>{text}" + r.choice(["</p>", "</p>", ""]), 1)
-            html.append(end + outer)
+            html.append("</div>" * nested + end + outer)
 
         before = r.sample([menu, header, advert, form, side], r.randint(0, 4))
-        after = r.sample([comments, side, advert, menu, form], r.randint(0, 3))
+        # without names, readers' comments look as the text does
+        after = r.sample([*([comments] if telling else []), side, advert, menu, form], r.randint(0, 3))
         for part in [*before, article, *after, *([footer] if r.random() < 0.8 else [])]:
             part()
         page = f"<!DOCTYPE html><html><head><title>t</title><style>p{{}}</style></head><body>{''.join(html)}" + r.choice(["</body></html>", ""])
