@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +12,7 @@ from ..functions import vocab
 from ..functions.rules import entity_type, is_deictic
 from ..functions.similarity import ratio, shared_letters
 from ..functions.text import CJK, alias_key, code_tokens, embedded_code, match_key, name_key, name_variants, text_of, words_key
+from .automaton import scan, shards
 from .graphs import components
 from .ranking import first_wins, place_in, stated_blocks, top_per
 
@@ -124,29 +126,38 @@ def disambiguate(names: DataFrame, name: str = "name", kind: str = "entity_type"
     return grouped.join(canon, "component").select("kind", "name", "canonical")
 
 
-#: Characters of an alias that a text is looked up by.
-ANCHOR = 6
+def _names_in(state: None, automaton, batch: pa.RecordBatch) -> pa.RecordBatch:
+    """The distinct strings (by number) that every text holds."""
+    rows, found = [], []
+    for i, t in enumerate(batch.column(2).to_pylist()):
+        own = {n for _, n in automaton.iter(t or "")}
+        rows += [i] * len(own)
+        found += own
+    at = pa.array(rows, pa.int64())
+    return pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(found, pa.int32())], names=["__h", "__g", "__n"])
 
 
 def known_in_text(texts: DataFrame, aliases: DataFrame, text: str = "text", key: str = "entity_id") -> DataFrame:
     """Entities whose alias (two characters or more, by letters and digits) or code occurs in a text: all columns of ``texts``, ``key, alias``.
 
-    Two equi-joins stand for the OR. An alias meets the texts that hold its first ``ANCHOR`` characters (all of a shorter
-    one), which are then searched for the whole of it, and a code meets the texts that hold it. Only hashes of rows
-    are joined before that. A row has each pair once; a repeated row has its pairs each time.
+    All aliases are looked up in one scan of the texts by an automaton (several, if they are many); only hashes of rows and
+    numbers of strings leave it. A code meets the texts that hold it in an equi-join. A row has each pair once; a
+    repeated row has its pairs each time.
     """
     columns = texts.columns
-    t = texts.withColumn("__h", F.xxhash64(*columns)).withColumn("__g", F.xxhash64(F.lit(1), *columns)).withColumn("__t", match_key(text))
+    t = texts.withColumn("__h", F.xxhash64(*columns)).withColumn("__g", F.xxhash64(F.lit(1), *columns))
     a = aliases.select(key, "alias", match_key("alias").alias("__a"), code_tokens("alias").alias("__ac")).where("length(__a) >= 2").distinct()
-    a = a.withColumn("__n", F.least(F.length("__a"), F.lit(ANCHOR)))
-    lengths = [r["__n"] for r in a.select("__n").distinct().collect()]  # five at most
-    parts = F.flatten(F.array(*(F.regexp_extract_all("__t", F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in lengths))) if lengths else F.array().cast("array<string>")
-    anchors = a.select(key, "alias", "__a", F.xxhash64(F.left("__a", F.col("__n"))).alias("__x"))
-    held = t.select("__h", "__g", F.explode(F.array_distinct(parts)).alias("__p")).select("__h", "__g", F.xxhash64("__p").alias("__x")).join(anchors, "__x")
-    begins = t.join(held.select("__h", "__g", key, "alias", "__a").distinct(), ["__h", "__g"]).where(F.contains("__t", F.col("__a")))
     coded = t.select("__h", "__g", F.explode(F.array_distinct(code_tokens(text))).alias("__c")).join(a.select(key, "alias", F.explode(F.array_distinct("__ac")).alias("__c")), "__c")
-    found = begins.select("__h", "__g", key, "alias").unionByName(coded.select("__h", "__g", key, "alias")).distinct()
-    return t.join(found, ["__h", "__g"]).select(*columns, key, "alias")
+    found = coded.select("__h", "__g", key, "alias")
+    keyed = t.select("__h", "__g", match_key(text).alias("__t"))
+    for shard in shards(a.select("__a").distinct(), F.octet_length("__a")):
+        strings = [r[0] for r in shard.collect()]  # bounded in bytes
+        if not strings:
+            continue
+        held = scan(keyed, strings, lambda own: (own, None), _names_in, "__h long, __g long, __n int")
+        numbers = texts.sparkSession.createDataFrame(list(enumerate(strings)), "__n int, __a string").join(a, "__a").select("__n", key, "alias")
+        found = found.unionByName(held.join(numbers, "__n").select("__h", "__g", key, "alias"))
+    return t.join(found.distinct(), ["__h", "__g"]).select(*columns, key, "alias")
 
 
 def kg_actor(mentions: DataFrame, names: DataFrame) -> DataFrame:

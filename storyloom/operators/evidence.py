@@ -11,6 +11,7 @@ import difflib
 import re
 from collections import Counter
 from collections.abc import Sequence
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -18,12 +19,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import text_of
-from ..sources.scratch import cut_lineage
-from .ranking import STATED_ROWS, stated
+from .ranking import stated
 
 FIELDS = ("title", "subtitle", "content")
 DROPPED = r"[\s，。！？、,.!?；;：:“”\"'（）()\[\]【】…]"
 THRESHOLD, SLACK, SLACK_SHARE, PIECE = 0.94, 2, 0.08, 12
+RUN = 4
 _DROPPED = re.compile(DROPPED)
 RESULT = T.StructType([T.StructField("status", T.StringType()), T.StructField("field", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("aligned", T.StringType()), T.StructField("score", T.DoubleType())])
 
@@ -113,10 +114,11 @@ def fold_with_offsets(text: str) -> tuple[str, list[int]]:
     return "".join(c for c, _ in kept), [i for c, i in kept for _ in c]
 
 
-def best_window(evidence: str, source: str) -> tuple[float, int, int] | None:
+def best_window(evidence: str, source: str, least: float = 0.0) -> tuple[float, int, int] | None:
     """The window of about the evidence's length with the highest ratio (of equals the first): score, start, end.
 
-    The letters that a window shares with the evidence bound its ratio; windows that can't beat the best are skipped.
+    The letters and the short runs of letters that a window shares with the evidence bound its ratio; windows that can't
+    beat the best, or can't reach ``least``, are skipped. If none can, the result is None or of a lower ratio.
     """
     key, _ = fold_with_offsets(evidence)
     text, offsets = fold_with_offsets(source)
@@ -124,6 +126,9 @@ def best_window(evidence: str, source: str) -> tuple[float, int, int] | None:
         return None
     slack = max(SLACK, round(len(key) * SLACK_SHARE))
     wanted = Counter(key)
+    # every unmatched character, and every place where matched stretches part, spoils RUN of the evidence's runs at most
+    runs = {key[i : i + RUN] for i in range(len(key) - RUN + 1)}
+    upto = [0, *accumulate(text[i : i + RUN] in runs for i in range(len(text) - RUN + 1))]
     matcher = difflib.SequenceMatcher(None)
     matcher.set_seq2(key)
     forward = difflib.SequenceMatcher(None, key)
@@ -145,7 +150,10 @@ def best_window(evidence: str, source: str) -> tuple[float, int, int] | None:
                 have[new] += 1
                 shared += have[new] <= wanted[new]
             bound = 2 * shared / (size + len(key))
-            if best is not None and (bound < best[0] or (bound == best[0] and at >= best[1])):
+            if bound < least or (best is not None and (bound < best[0] or (bound == best[0] and at >= best[1]))):
+                continue
+            unmatched = int((1 - max(least, best[0] if best else 0.0)) * (size + len(key)) + 1e-9)
+            if size >= RUN and upto[at + size - RUN + 1] - upto[at] < len(key) - RUN + 1 - RUN * unmatched:
                 continue
             forward.set_seq2(text[at : at + size])
             score = forward.ratio()
@@ -183,73 +191,6 @@ def locate(df: DataFrame, evidence: str = "evidence", fields: Sequence[str] = FI
     return sure.unionByName(rest)
 
 
-#: Successive words, without case and punctuation, that a text and a quote must share before the text is searched.
-SHARED_RUN = 4
-_WORD_GAPS = re.compile(DROPPED + "+")
-
-
-def _plain_words(text: Column | str) -> Column:
-    return F.filter(F.split(F.lower(text_of(text)), DROPPED + "+"), lambda w: w != "")
-
-
-def near_windows(quote: str, text: str) -> list[tuple[int, int]]:
-    """Stretches of a text that a quote's length (and slack) around every shared run of words covers; the whole text if Python's word rules find none."""
-    spans, at = [], 0
-    for m in [*_WORD_GAPS.finditer(text), None]:
-        end = len(text) if m is None else m.start()
-        if end > at:
-            spans.append((at, end))
-        at = len(text) if m is None else m.end()
-    own = [w for w in _WORD_GAPS.split(quote.lower()) if w]
-    runs = {tuple(own[i : i + SHARED_RUN]) for i in range(len(own) - SHARED_RUN + 1)}
-    words = [text[a:b].lower() for a, b in spans]
-    reach, out = len(quote) + max(SLACK, round(len(quote) * SLACK_SHARE)) + SHARED_RUN, []
-    for i in range(len(words) - SHARED_RUN + 1):
-        if tuple(words[i : i + SHARED_RUN]) in runs:
-            a, b = max(0, spans[i][0] - reach), min(len(text), spans[i + SHARED_RUN - 1][1] + reach)
-            if out and a <= out[-1][1]:
-                out[-1] = (out[-1][0], b)
-            else:
-                out.append((a, b))
-    return out or [(0, len(text))]
-
-
-@F.pandas_udf(RESULT)
-def _near(quotes: pd.Series, texts: pd.Series) -> pd.DataFrame:
-    out = []
-    for q, t in zip(quotes, texts):
-        best = None
-        for a, b in near_windows(q or "", t or ""):
-            w = best_window(q or "", (t or "")[a:b])
-            if w and (best is None or w[0] > best[0]):
-                best = (w[0], a + w[1], a + w[2])
-        if best is None:
-            out.append(("rejected", None, None, None, "", 0.0))
-        else:
-            out.append(("fuzzy_aligned" if best[0] >= THRESHOLD else "rejected", "content", best[1], best[2], t[best[1] : best[2]], round(best[0], 4)))
-    return pd.DataFrame(out, columns=["status", "field", "start", "end", "aligned", "score"]).astype({"start": "Int32", "end": "Int32"})
-
-
-def locate_near(docs: DataFrame, quotes: DataFrame, text: str = "text", quote: str = "evidence", key: str = "doc_id", name: str = "evidence_at") -> DataFrame:
-    """Where a list of quotes stands in all texts, also changed: pairs that share ``SHARED_RUN`` words, with ``locate``'s struct.
-
-    Shared runs are found in an equi-join of hashes; the fuzzy window is searched around them only. Quotes with fewer words
-    have no such pairs.
-    """
-    q = stated(quotes.withColumn("__quote", F.xxhash64(quote)))
-    wanted = q.select("__quote", F.explode(F.array_distinct(_runs(_plain_words(quote), SHARED_RUN))).alias("__run")).distinct()
-    rows = docs.select(F.col(key), F.col(text).alias("content"), F.xxhash64(text).alias("__text"))
-    runs = rows.select(key, "__text", _plain_words("content").alias("__w")).select(key, "__text", F.explode(F.array_distinct(_runs(F.col("__w"), SHARED_RUN))).alias("__run"))
-    held = runs.join(stated(wanted, 50 * STATED_ROWS), "__run").select(F.col(key).alias("__key"), F.col("__text").alias("__of"), "__quote").distinct()
-    pairs = rows.join(held, F.col(key).eqNullSafe(F.col("__key")) & (F.col("__text") == F.col("__of"))).join(q, "__quote").drop("__key", "__of", "__quote", "__text")
-    # written, as both tiers read the pairs, and finding them is a scan of all texts
-    tried = cut_lineage(pairs.withColumn("__exact", exact_tiers(quote, ["content"])))
-    sure = tried.where("__exact IS NOT NULL").withColumnRenamed("__exact", name)
-    # few pairs, but dear ones: dealt to all tasks, whatever their size
-    rest = tried.where("__exact IS NULL").drop("__exact").repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return sure.unionByName(rest.withColumn(name, _near(F.col(quote), F.col("content"))))
-
-
 def fill_gap(spans: Column | str, source: Column | str, most: int = 40) -> Column:
     """The text from the first to the second of exactly two spans of one field, in order, whose gap has at most ``most`` characters other than white space; null else."""
     s = F.col(spans) if isinstance(spans, str) else spans

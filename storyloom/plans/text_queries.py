@@ -13,7 +13,8 @@ from ..functions.text import alias_key, code_tokens, context_tokens, draft_check
 from ..operators.chunking import boundary_parts, chunk_documents, chunk_units, sections, segments
 from ..operators.context import conversation_items
 from ..operators.entities import known_in_text
-from ..operators.evidence import audit, locate_near, verbatim
+from ..operators.evidence import audit, verbatim
+from ..operators.near_quotes import locate_near
 from ..operators.ranking import top_per
 from ..operators.retrieval import lexical
 from .registry import query

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from storyloom.functions import rules, text
-from storyloom.operators import entities, evidence, extraction, fusion, graphs, layers, ordered, packet, prefix, ranking, relations, retrieval, social, timeline
+from storyloom.operators import entities, evidence, extraction, fusion, graphs, layers, near_quotes, ordered, packet, prefix, ranking, relations, retrieval, social, timeline
 from storyloom.sources import adapters, index, prompts, readers, writers
 
 
@@ -41,24 +41,60 @@ def test_verbatim_finds_every_quote(spark):
     assert evidence.verbatim(frame(spark, "doc_id long, text string", *texts), frame(spark, "item_id long, quote string")).count() == 0
 
 
+def changed(r, words):
+    """A quote with changed letters, words, insertions or deletions."""
+    own = list(words)
+    for _ in range(r.choice([0, 1, 1, 2, 3])):
+        i = r.randrange(len(own))
+        kind, w = r.randrange(6), own[i]
+        k = r.randrange(len(w)) if w else 0
+        if kind == 5 and len(own) > 3:
+            own[i : i + 1] = r.choice([[], ["then", w]])
+        else:
+            own[i] = [w[:k] + "z" + w[k + 1 :], w[:k] + w[k + 1 :], w[:k] + "y" + w[k:], w + w[-1:], w[:k] + " " + w[k:]][min(kind, 4)]
+    return " ".join(own)
+
+
 def test_locate_near_matches_the_search_of_whole_texts(spark):
     r = random.Random(2)
-    fresh = lambda n: ["".join(r.choices("abcdefgh", k=6)) for _ in range(n)]
-    quotes = [(i, " ".join(fresh(12))) for i in range(6)]
+    fresh = lambda n: ["".join(r.choices("abcdefgh", k=r.randint(2, 7))) for _ in range(n)]
+    sizes = [1, 1, 2, 3, 4, 5, 8, 12, 24, 40]
+    own = [fresh(n) for n in sizes] + ["captain wandered beyond frozenn mountains without permission".split(), list("他们在河边的老房子里住了很多年")]
+    quotes = [(i, " ".join(w)) for i, w in enumerate(own)] + [(90, ""), (91, None), (92, "...")]
     texts = []
-    for i in range(30):
-        own = quotes[i % 6][1].split()
-        for _ in range(i % 4):
-            own[r.randrange(12)] = "other"
-        texts.append((i, " ".join(fresh(r.randint(0, 15)) + own + fresh(5)).upper() + "."))
-    got = {(x.doc_id, x.item_id): x.evidence_at for x in evidence.locate_near(frame(spark, "doc_id long, text string", *texts), frame(spark, "item_id long, evidence string", *quotes)).collect()}
-    runs = lambda s: {tuple(s.lower().strip(".").split()[k : k + 4]) for k in range(len(s.split()) - 3)}
-    assert set(got) == {(d, q) for d, t in texts for q, s in quotes if runs(t) & runs(s)}
-    for (d, q), at in got.items():
-        score, start, end = evidence.best_window(quotes[q][1], texts[d][1])
+    for i in range(96):
+        text = " ".join(fresh(r.randint(0, 12))) + r.choice([" ", ", ", "。"]) + changed(r, own[i % len(own)]) + r.choice(["", ". ", "!"]) + " ".join(fresh(r.randint(0, 6)))
+        texts.append((i, r.choice([str, str.upper, str.title])(text)))
+    every = list(own[8])
+    for i in range(0, len(every), 4):
+        every[i] = every[i][:-1] + "q"
+    texts += [(200, " ".join(every)), (201, "captain wandered beyond frozen mountains without permission"), (202, None), (203, ""), (204, "ΑΣ " + quotes[7][1] + " İ"), (0, texts[0][1])]
+    got = near_quotes.locate_near(frame(spark, "doc_id long, text string", *texts), frame(spark, "item_id long, evidence string", *quotes)).collect()
+    want = Counter()
+    for d, t in texts:
+        for q, s in quotes:
+            w = evidence.best_window(s or "", t or "")
+            if w and w[0] >= evidence.THRESHOLD:
+                want[d, q, t] += 1
+    assert Counter((x.doc_id, x.item_id, x.content) for x in got) == want
+    assert sum(want.values()) > 80 and {q for _, q, _ in want} == set(range(12))
+    for x in got:
+        at, quote = x.evidence_at, dict(quotes)[x.item_id]
+        score, start, end = evidence.best_window(quote, x.content)
+        assert at.score == round(score, 4) and x.content[at.start : at.end] == at.aligned
         if at.score < 1:
-            assert (at.score, at.start, at.end) == (round(score, 4), start, end)
-        assert at.status == ("rejected" if at.score < evidence.THRESHOLD else "fuzzy_aligned") and texts[d][1][at.start : at.end] == at.aligned
+            assert (at.start, at.end, at.status) == (start, end, "fuzzy_aligned")
+
+
+def test_near_quotes_pieces_bound_every_ratio():
+    for n in range(1, 400):
+        own = "x" * n
+        parts = near_quotes.pieces(own)
+        assert "".join(p for _, p in parts) == own and len(parts) >= min(n, near_quotes.errors(n) + 1)
+        # no window of an allowed length with more unmatched characters reaches the threshold
+        for m in range(max(1, n - near_quotes.slack(n)), n + near_quotes.slack(n) + 1):
+            unmatched = next(u for u in range(n + m + 1) if (n + m - u) % 2 == 0 and u > near_quotes.errors(n))
+            assert (n + m - unmatched) / (n + m) < evidence.THRESHOLD or unmatched < abs(n - m)
 
 
 def test_known_in_text(spark):
