@@ -12,6 +12,7 @@ from ..operators.fusion import budget, evidence_packet, fuse, memory_labels, pas
 from ..operators.packet import PacketLimits, memory_packet
 from ..operators.ranking import binding_top, ranked, section_fill, top_per
 from ..operators.retrieval import adaptive_memories, bind, chunk_support, lexical, merge_hits, namespace_top, profile_memories, scan, vector_top
+from ..operators.vector_index import VectorIndex
 from .registry import query
 from .text_queries import overlap_sql, tokens_sql
 
@@ -60,6 +61,24 @@ def vector_search_filtered(t) -> DataFrame:
     return vector_top(t.embeddings, first, 5, on=F.col("label") != F.col("query_id")).select("query_id", "vec_id", "score")
 
 
+@query("""
+WITH q AS (SELECT label, vec_id AS query_id, embedding AS qv FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS r FROM embeddings) WHERE r = 1),
+s AS (SELECT query_id, vec_id, round(list_cosine_similarity(e.embedding::DOUBLE[], q.qv::DOUBLE[]), 6) AS score FROM embeddings e JOIN q ON e.label <> q.label)
+SELECT query_id, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM s) WHERE r <= 10
+""")
+def vector_index_exact(t) -> DataFrame:
+    """The ten nearest vectors of other labels for the first vector of each label, through the index: cells that can't hold a better row are not read."""
+    first = ranked(t.embeddings, ["label"], [F.col("vec_id")], "r").where("r = 1").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"), "label")
+    return VectorIndex.build(t.embeddings).search(first, 10, exact=True, apart="label")
+
+
+@query()
+def vector_index_search(t) -> DataFrame:
+    """The ten nearest vectors of every twentieth vector, itself among them, in the cells nearest to it."""
+    asked = t.embeddings.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    return VectorIndex.build(t.embeddings).search(asked, 10)
+
+
 @query()
 def hash_embeddings(t) -> DataFrame:
     """Hash embeddings of all documents."""

@@ -1,18 +1,30 @@
-"""Lineage cuts for iterative plans, in the folder that the cluster shares."""
+"""Lineage cuts for iterative plans, and tables between steps, in the folder that the cluster shares."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint to the session's shared folder. Without one, a local folder is set where the master is local; on a cluster ValueError is raised."""
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
+def shared_root(spark: SparkSession) -> str:
+    """The session's shared folder. Without one, a local folder is set where the master is local; on a cluster ValueError is raised."""
+    if not (root := spark.sparkContext.getCheckpointDir()):
         folder, master = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.master
         if not folder and not (master == "local" or master.startswith("local[")):
             raise ValueError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
         spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="storyloom-"))
+        root = spark.sparkContext.getCheckpointDir()
+    return root.rstrip("/")
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Checkpoint to the session's shared folder (``shared_root``)."""
+    shared_root(df.sparkSession)
     return df.checkpoint(eager=True)
