@@ -1,7 +1,8 @@
 """Graph operators on node and edge frames.
 
 Components iterate to a fixpoint with each round written through the session's checkpoint folder. Greedy acyclic
-selection and the search for cycles are sequential by definition: they run for each connected component and each project.
+selection is sequential by definition: it runs for each strongly connected component, since no other edge can close a cycle. The
+search for cycles runs for each project.
 The first-in-first-out topological order runs for each project in one task, and level by level over all tasks for
 projects too large for one.
 """
@@ -14,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.scratch import cut_lineage
+from ..sources.scratch import cut_lineage, written
 from .ranking import place_in
 
 
@@ -109,6 +110,49 @@ def cyclic_nodes(edges: DataFrame, source: str = "source", target: str = "target
     return live.select(*own, F.col("s").alias("node")).unionByName(live.select(*own, F.col("t").alias("node"))).distinct()
 
 
+def _furthest(links: DataFrame, labels: DataFrame) -> DataFrame:
+    """``node, label``: the greatest label of a node from which each is reached along ``links`` (s, t), its own at least.
+
+    A round takes the greatest label of the nodes before, then that label's own label, which halves long paths.
+    """
+    labels = written(labels)
+    while True:
+        near = links.join(labels.select(F.col("node").alias("s"), "label"), "s").groupBy(F.col("t").alias("node")).agg(F.max("label").alias("__in"))
+        step = labels.join(near, "node", "left").select("node", F.col("label").alias("__was"), F.greatest("label", "__in").alias("label"))
+        jump = labels.select(F.col("node").alias("__up"), F.col("label").alias("__far"))
+        new = step.join(jump, F.col("label.node") == F.col("__up")).select("node", F.greatest("label", "__far").alias("label"), "__was")
+        new = written(new)
+        labels, settled = new.select("node", "label"), new.where("label <> __was").isEmpty()
+        if settled:
+            return labels
+
+
+def strong_components(edges: DataFrame, source: str = "source", target: str = "target") -> DataFrame:
+    """``node, component``: the nodes on cycles of two or more nodes, with the least node of those that they reach and are reached from.
+
+    Each round gives every node the greatest label that reaches it and the greatest that it reaches among nodes of the
+    same; where both are one label, its component is found, and of the rest only edges between nodes equal in both labels
+    stay. Labels are hashes, so that chains fall apart at once. Self-loops, repeats and edges with a null end don't count.
+    """
+    links = written(edges.select(F.col(source).alias("s"), F.col(target).alias("t")).where("s <> t").distinct())
+    found = None
+    while not links.isEmpty():
+        nodes = links.select(F.explode(F.array("s", "t")).alias("node")).distinct()
+        ahead = _furthest(links, nodes.select("node", F.struct(F.xxhash64("node").alias("hash"), "node").alias("label")))
+        of = lambda labels, end: labels.select(F.col("node").alias(end), F.col("label").alias(f"__{end}"))
+        inner = written(links.join(of(ahead, "s"), "s").join(of(ahead, "t"), "t").where("__s = __t").select("s", "t"))
+        back = _furthest(inner.select(F.col("t").alias("s"), F.col("s").alias("t")), nodes.select("node", F.struct(F.xxhash64("node").alias("hash"), "node").alias("label")))
+        both = written(ahead.join(back.withColumnRenamed("label", "back"), "node"))
+        done = both.where("label = back").select("node", F.col("label.node").alias("root"))
+        found = done if found is None else found.unionByName(done)
+        left = both.where("label <> back").select("node", F.struct("label", "back").alias("label"))
+        links = written(inner.join(of(left, "s"), "s").join(of(left, "t"), "t").where("__s = __t").select("s", "t"))
+    if found is None:
+        return links.select(F.col("s").alias("node"), F.col("s").alias("component"))
+    groups = found.groupBy("root").agg(F.min("node").alias("component"), F.count("*").alias("__n")).where("__n > 1")
+    return found.join(groups, "root").select("node", "component")
+
+
 def first_cycles(links: list[tuple[str, str]]) -> list[list[str]]:
     """The cycles that a depth-first walk closes, from node to node in sorted order: each as its nodes from the one it comes back to."""
     after: dict[str, list[str]] = defaultdict(list)
@@ -195,18 +239,26 @@ class GrowingOrder:
 
 
 def select_acyclic(edges: DataFrame, blocked: DataFrame | None = None, by: str | None = None) -> DataFrame:
-    """Greedy acyclic subset: ``component, relation_id, selected, skip_reason``, one group for each connected component, or for each value of ``by`` if edges lie within these.
+    """Greedy acyclic subset: ``component, relation_id, selected, skip_reason``, ``component`` being the connected component, or the value of ``by`` if edges lie within these.
 
     Edges go by falling confidence, then source (model before scene before discourse order), observed before inferred,
-    then id; one that would close a cycle is skipped, so weak priors never cancel strong evidence.
+    then id; one that would close a cycle is skipped, so weak priors never cancel strong evidence. Edges between
+    different strongly connected components can't close one; only those within one meet in a task.
     """
-    usable = edges.where(F.col("usable_for_ordering") & F.col("relation_type").isin(*ORDERING))
+    usable = written(edges.where(F.col("usable_for_ordering") & F.col("relation_type").isin(*ORDERING)))
     blocked = usable.select("relation_id").limit(0) if blocked is None else blocked.select("relation_id").distinct()
     if by:
         labelled = usable.withColumn("component", F.col(by).cast("string"))
     else:
         labelled = usable.join(components(usable, "source_event_id", "target_event_id").withColumnRenamed("node", "source_event_id"), "source_event_id")
-    rows = labelled.join(blocked.withColumn("blocked", F.lit(True)), "relation_id", "left")
+    rows = written(labelled.join(blocked.withColumn("blocked", F.lit(True)), "relation_id", "left"))
+    s, t = F.col("source_event_id"), F.col("target_event_id")
+    reason = F.when(F.col("blocked"), "hard_conflict").when(s == t, "self_edge")
+    open_ = rows.where(F.col("blocked").isNull() & (s != t))
+    strong = written(strong_components(open_, "source_event_id", "target_event_id"))
+    end = lambda name: strong.select(F.col("node").alias(f"{name}_event_id"), F.col("component").alias(f"__{name}"))
+    marked = rows.join(end("source"), "source_event_id", "left").join(end("target"), "target_event_id", "left").withColumn("skip_reason", reason)
+    marked = marked.withColumn("__group", F.when(F.col("skip_reason").isNull() & (F.col("__source") == F.col("__target")), F.col("__source")))
 
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.assign(p=pdf["source"].map(PRIORITY).fillna(0), w=pdf["is_inferred"].fillna(False).astype(bool), c=pdf["confidence"].fillna(0.0))
@@ -214,13 +266,14 @@ def select_acyclic(edges: DataFrame, blocked: DataFrame | None = None, by: str |
         graph = GrowingOrder()
         out = []
         for r in pdf.itertuples(index=False):
-            s, t = r.source_event_id, r.target_event_id
-            reason = "hard_conflict" if r.blocked is True else "self_edge" if s == t else None if graph.add(s, t) else "would_create_cycle"
-            out.append((r.component, r.relation_id, reason is None, reason))
+            kept = graph.add(r.source_event_id, r.target_event_id)
+            out.append((r.component, r.relation_id, kept, None if kept else "would_create_cycle"))
         return pd.DataFrame(out, columns=["component", "relation_id", "selected", "skip_reason"])
 
-    fields = ["component", "relation_id", "source_event_id", "target_event_id", "confidence", "source", "is_inferred", "blocked"]
-    return rows.select(F.col("component").cast("string"), *fields[1:]).groupBy("component").applyInPandas(pick, SELECTED)
+    fields = ["relation_id", "source_event_id", "target_event_id", "confidence", "source", "is_inferred"]
+    plain = marked.where("__group IS NULL").select(F.col("component").cast("string"), "relation_id", F.col("skip_reason").isNull().alias("selected"), "skip_reason")
+    inner = marked.where("__group IS NOT NULL").select(F.col("component").cast("string"), *fields, "__group")
+    return plain.unionByName(inner.groupBy("component", "__group").applyInPandas(pick, SELECTED))
 
 
 #: Events and edges of a project up to which one task orders it.
@@ -237,6 +290,7 @@ def topological(events: DataFrame, edges: DataFrame, by: str, order: tuple[str,
     own = events.select(F.col(by).alias("__by"), "event_id")
     links = edges.select("source_event_id", "target_event_id").distinct().where("source_event_id <> target_event_id")
     links = links.join(own.select(F.col("__by").alias(by), F.col("event_id").alias("source_event_id")), "source_event_id").join(own.select(F.col("__by").alias(by), F.col("event_id").alias("target_event_id")), [by, "target_event_id"]).select(by, "source_event_id", "target_event_id")
+    links = cut_lineage(links)
     sizes = nodes.select(by).unionByName(links.select(by)).groupBy(by).agg(F.count("*").alias("__n")).where(F.col("__n") > one_task).select(by)
     large = cut_lineage(sizes)
     if large.isEmpty():

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.graphs import components, cycle_conflicts, cyclic_nodes, degrees, normalized_edges, pair_conflicts, select_acyclic, topological
+from ..operators.graphs import components, cycle_conflicts, cyclic_nodes, degrees, normalized_edges, pair_conflicts, select_acyclic, strong_components, topological
 from ..operators.social import beat_sequences, merged_effects, pressure_edges
 from ..operators.timeline import buckets, discourse_priors, graph_counts, match_bounds, match_memories, match_score, scene_priors
+from ..sources.scratch import cut_lineage
 from .registry import query
 
 
@@ -112,7 +113,7 @@ def timeline_buckets(t) -> DataFrame:
 
 def _chosen(t) -> tuple[DataFrame, DataFrame]:
     """Ordering edges with the verdict of the greedy choice, those in conflict blocked."""
-    edges = _edges(t).where("relation_type <> 'same_time'")
+    edges = cut_lineage(_edges(t).where("relation_type <> 'same_time'"))
     conflicts = pair_conflicts(edges).select(F.explode("relation_ids").alias("relation_id"))
     return edges, select_acyclic(edges, conflicts, by="user_id")
 
@@ -149,6 +150,17 @@ def cycle_members(t) -> DataFrame:
     return cyclic_nodes(edges, "source_event_id", "target_event_id")
 
 
+@query(f"""
+WITH RECURSIVE {_REL}, h AS (SELECT DISTINCT s, t FROM n WHERE why IS NULL AND k <> 'same_time' AND s <> t),
+w AS (SELECT s, t FROM h UNION SELECT w.s, h.t FROM w JOIN h ON h.s = w.t)
+SELECT w.s AS node, min(w.t) AS component FROM w JOIN w AS v ON v.s = w.t AND v.t = w.s WHERE w.s IN (SELECT s FROM w WHERE s = t) GROUP BY w.s
+""")
+def cycle_components(t) -> DataFrame:
+    """Events that lie on a cycle of any usable ordering edges, with the least event of those on cycles with it."""
+    edges = _edges(t).where("usable_for_ordering AND relation_type <> 'same_time'")
+    return strong_components(edges, "source_event_id", "target_event_id")
+
+
 @query()
 def memory_event_match(t) -> DataFrame:
     """Turns as memories against all turns of their conversation as events, by their whole texts."""

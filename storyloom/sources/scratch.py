@@ -28,3 +28,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Checkpoint to the session's shared folder (``shared_root``)."""
     shared_root(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame, name: str = "rows") -> DataFrame:
+    """Write to the shared folder and read back: lineage is cut, and the planner knows the size. A checkpoint keeps the estimates of its plan, which multiply in loops of joins."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
