@@ -199,6 +199,8 @@ def cycle_conflicts(edges: DataFrame, by: str, hard: float = 0.75) -> DataFrame:
     return strong.groupBy(by).applyInPandas(walk, f"{by} {edges.schema[by].dataType.simpleString()}, type string, ids array<string>")
 
 
+#: Events and edges of a project up to which one task orders it, or chooses among its edges.
+ONE_TASK = 1_000_000
 SELECTED = "component string, relation_id string, selected boolean, skip_reason string"
 PRIORITY = {"llm": 3, "scene_block_prior": 2, "discourse_prior": 1}
 
@@ -238,12 +240,13 @@ class GrowingOrder:
         return True
 
 
-def select_acyclic(edges: DataFrame, blocked: DataFrame | None = None, by: str | None = None) -> DataFrame:
+def select_acyclic(edges: DataFrame, blocked: DataFrame | None = None, by: str | None = None, one_task: int = ONE_TASK) -> DataFrame:
     """Greedy acyclic subset: ``component, relation_id, selected, skip_reason``, ``component`` being the connected component, or the value of ``by`` if edges lie within these.
 
     Edges go by falling confidence, then source (model before scene before discourse order), observed before inferred,
     then id; one that would close a cycle is skipped, so weak priors never cancel strong evidence. Edges between
-    different strongly connected components can't close one; only those within one meet in a task.
+    different strongly connected components can't close one: of groups of more than ``one_task`` edges only those
+    within one meet in a task.
     """
     usable = written(edges.where(F.col("usable_for_ordering") & F.col("relation_type").isin(*ORDERING)))
     blocked = usable.select("relation_id").limit(0) if blocked is None else blocked.select("relation_id").distinct()
@@ -254,11 +257,23 @@ def select_acyclic(edges: DataFrame, blocked: DataFrame | None = None, by: str |
     rows = written(labelled.join(blocked.withColumn("blocked", F.lit(True)), "relation_id", "left"))
     s, t = F.col("source_event_id"), F.col("target_event_id")
     reason = F.when(F.col("blocked"), "hard_conflict").when(s == t, "self_edge")
-    open_ = rows.where(F.col("blocked").isNull() & (s != t))
+    own = rows.withColumn("skip_reason", reason)
+    sizes = rows.groupBy("component").agg(F.count("*").alias("__n")).where(F.col("__n") > one_task).select("component")
+    large = cut_lineage(sizes)
+    if large.isEmpty():
+        return _greedy(own.withColumn("__group", F.when(F.col("skip_reason").isNull(), F.col("component").cast("string"))))
+    small = own.join(large, "component", "left_anti").withColumn("__group", F.when(F.col("skip_reason").isNull(), F.col("component").cast("string")))
+    own = own.join(large, "component", "left_semi")
+    open_ = own.where("skip_reason IS NULL")
     strong = written(strong_components(open_, "source_event_id", "target_event_id"))
     end = lambda name: strong.select(F.col("node").alias(f"{name}_event_id"), F.col("component").alias(f"__{name}"))
-    marked = rows.join(end("source"), "source_event_id", "left").join(end("target"), "target_event_id", "left").withColumn("skip_reason", reason)
-    marked = marked.withColumn("__group", F.when(F.col("skip_reason").isNull() & (F.col("__source") == F.col("__target")), F.col("__source")))
+    marked = own.join(end("source"), "source_event_id", "left").join(end("target"), "target_event_id", "left")
+    within = F.when(F.col("skip_reason").isNull() & (F.col("__source") == F.col("__target")), F.col("__source").cast("string"))
+    return _greedy(small).unionByName(_greedy(marked.withColumn("__group", within)))
+
+
+def _greedy(marked: DataFrame) -> DataFrame:
+    """The choice in each ``__group`` of a component; edges without one are selected unless they have a reason."""
 
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.assign(p=pdf["source"].map(PRIORITY).fillna(0), w=pdf["is_inferred"].fillna(False).astype(bool), c=pdf["confidence"].fillna(0.0))
@@ -276,10 +291,6 @@ def select_acyclic(edges: DataFrame, blocked: DataFrame | None = None, by: str |
     return plain.unionByName(inner.groupBy("component", "__group").applyInPandas(pick, SELECTED))
 
 
-#: Events and edges of a project up to which one task orders it.
-ONE_TASK = 1_000_000
-
-
 def topological(events: DataFrame, edges: DataFrame, by: str, order: tuple[str, ...] = ("source_record_id", "discourse_index", "event_id"), one_task: int = ONE_TASK) -> DataFrame:
     """``by, event_id, timeline_rank``: Kahn's order with a first-in-first-out queue, one graph per ``by``.
 
