@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.asof import state_as_of
 from ..operators.context import active_patches, conflicts, external_links, history, promote, reconcile, status_history, timeline_claims
 from ..operators.prefix import blocked_units, commit_order, operations, snapshots, state_at, visible_to, world_model
 from .registry import query
@@ -64,6 +65,17 @@ def prefix_state(t) -> DataFrame:
     return state_at(t.events, ["user_id", "event_type"], half, [F.col("event_id")], "event_id").select("user_id", "event_type", "event_id", "value")
 
 
+@query("""
+SELECT a.user_id, a.event_id AS bound, s.event_id AS seen_id, s.event_type AS seen_type, s.value AS seen_value
+FROM (SELECT user_id, event_id FROM events WHERE event_type = 'purchase') a ASOF LEFT JOIN (SELECT * FROM events WHERE event_type <> 'purchase') s ON a.user_id = s.user_id AND a.event_id >= s.event_id
+""")
+def states_at_bounds(t) -> DataFrame:
+    """What a user last did before each of their purchases: the state of many keys at many bounds."""
+    done = t.events.where("event_type <> 'purchase'").select("user_id", F.col("event_id").alias("seen_id"), F.col("event_type").alias("seen_type"), F.col("value").alias("seen_value"))
+    asked = t.events.where("event_type = 'purchase'").select("user_id", F.col("event_id").alias("bound"))
+    return state_as_of(done, asked, ["user_id"], "seen_id", "bound", ["seen_id", "seen_type", "seen_value"])
+
+
 @query("""
 WITH seen AS (SELECT DISTINCT conv_id FROM conversations WHERE role = 'system' AND turn <= 2), hidden AS (SELECT conv_id, turn FROM conversations WHERE length(text) > 600)
 SELECT conv_id, turn FROM conversations c WHERE turn <= 2 AND conv_id IN (SELECT conv_id FROM seen) AND NOT EXISTS (SELECT 1 FROM hidden h WHERE h.conv_id = c.conv_id AND h.turn = c.turn)
