@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.asof import state_as_of
 from ..operators.context import active_patches, conflicts, external_links, history, promote, reconcile, status_history, timeline_claims
 from ..operators.prefix import blocked_units, commit_order, operations, snapshots, state_at, visible_to, world_model
+from ..sources.scratch import shared_path
+from ..sources.versions import VersionedTable
 from .registry import query
 from .retrieval_queries import _context_docs
 
@@ -76,6 +80,22 @@ def states_at_bounds(t) -> DataFrame:
     return state_as_of(done, asked, ["user_id"], "seen_id", "bound", ["seen_id", "seen_type", "seen_value"])
 
 
+@query("""
+WITH b AS (SELECT max(event_id) AS m FROM events), r AS (SELECT user_id, event_type, event_id, value, CASE WHEN event_id <= m // 3 THEN 0 WHEN event_id <= 2 * (m // 3) THEN 1 ELSE 2 END AS batch FROM events, b),
+n AS (SELECT v.version, r.*, row_number() OVER (PARTITION BY v.version, user_id, event_type ORDER BY event_id DESC) AS n FROM r, (SELECT unnest([0, 1, 2]) AS version) v WHERE batch <= v.version AND (batch < 2 OR user_id % 10 = 0))
+SELECT version::INT AS version, user_id, event_type, event_id, value FROM n WHERE n = 1
+""")
+def versioned_upserts(t) -> DataFrame:
+    """The log's thirds as upserts by user and type, the last one of every tenth user only; the table as it was after each."""
+    third = t.events.agg(F.floor(F.max("event_id") / 3)).first()[0] or 0
+    table = VersionedTable(t.spark, shared_path(t.spark, "states"), ["user_id", "event_type"])
+    rows = t.events.select("user_id", "event_type", "event_id", "value")
+    for batch in (F.col("event_id") <= third, (F.col("event_id") > third) & (F.col("event_id") <= 2 * third), (F.col("event_id") > 2 * third) & (F.col("user_id") % 10 == 0)):
+        table.upsert(rows.where(batch), "event_id")
+    reads = [table.read(v).select(F.lit(v).alias("version"), "user_id", "event_type", "event_id", "value") for v in table.versions()]
+    return reduce(DataFrame.unionByName, reads)
+
+
 @query("""
 WITH seen AS (SELECT DISTINCT conv_id FROM conversations WHERE role = 'system' AND turn <= 2), hidden AS (SELECT conv_id, turn FROM conversations WHERE length(text) > 600)
 SELECT conv_id, turn FROM conversations c WHERE turn <= 2 AND conv_id IN (SELECT conv_id FROM seen) AND NOT EXISTS (SELECT 1 FROM hidden h WHERE h.conv_id = c.conv_id AND h.turn = c.turn)

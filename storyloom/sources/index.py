@@ -1,8 +1,7 @@
 """Search indexes as tables: documents with their vectors, written by upserts.
 
-An index is a Parquet folder of versions; a reader takes the newest. An upsert writes the rows that stay and those that
-are new or changed as the next version, so that a failed one leaves the last version whole. Batching is Spark's: vectors
-are computed partition by partition.
+An index is a versioned table (``versions.VersionedTable``): an upsert rewrites the buckets of the documents that it brings, and a
+failed one leaves the last version whole. Batching is Spark's: vectors are computed partition by partition.
 """
 
 from __future__ import annotations
@@ -15,35 +14,27 @@ from pyspark.sql import functions as F
 from ..functions.similarity import hash_embedding
 from ..functions.text import retrieval_tokens, text_of
 from ..operators.ranking import last_wins
+from .versions import VersionedTable
 
 #: Statuses of context documents that are indexed (fixed values).
 INDEXED = ("active", "canonical", "tentative")
 
 
-def _versions(spark: SparkSession, path: str) -> list[str]:
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(folder):
-        return []
-    done = [s.getPath() for s in fs.listStatus(folder) if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
-    return sorted(p.getName() for p in done)
+def read_index(spark: SparkSession, path: str, version: int | None = None) -> DataFrame | None:
+    """The index as of a version (the newest); None if there is none."""
+    return VersionedTable(spark, path, []).read(version)
 
 
-def read_index(spark: SparkSession, path: str) -> DataFrame | None:
-    """The index's newest version; None if there is none."""
-    versions = _versions(spark, path)
-    return spark.read.parquet(f"{path}/{versions[-1]}") if versions else None
-
-
-def upsert_index(docs: DataFrame, path: str, key: str = "doc_id", text: Column | str = "text", embed: Callable[[Column], Column] | None = None, reset: bool = False, sequence: str | Column | None = None) -> DataFrame:
+def upsert_index(docs: DataFrame, path: str, key: str = "doc_id", text: Column | str = "text", embed: Callable[[Column], Column] | None = None, reset: bool = False, sequence: str | Column | None = None, buckets: int = 64) -> DataFrame:
     """Insert or replace documents in the index at ``path`` and return its new state; ``reset`` starts anew.
 
     ``embed``: tokens to a vector (hash embeddings if not given). Rows whose text is already indexed under their key keep their
-    vector. Of rows of equal key the last by ``sequence`` counts (by text, if none is given).
+    vector. ``buckets``: of a new index. Of rows of equal key the last by ``sequence`` counts (by text, if none is given).
     """
     spark = docs.sparkSession
     new = last_wins(docs.withColumn("__text", text_of(text)), [key], F.col("__text") if sequence is None else sequence).withColumn("text_sha", F.sha2("__text", 256))
-    old = None if reset else read_index(spark, path)
+    table = VersionedTable(spark, path, [key], buckets)
+    old = None if reset else table.read()
     vector = (embed or hash_embedding())(retrieval_tokens("__text")).alias("embedding")
     if old is None:
         out = new.select(*docs.columns, "text_sha", vector)
@@ -51,12 +42,12 @@ def upsert_index(docs: DataFrame, path: str, key: str = "doc_id", text: Column |
         known = old.select(key, "text_sha", "embedding")
         same = new.join(known, [key, "text_sha"]).select(*docs.columns, "text_sha", "embedding")
         changed = new.join(known.select(key, "text_sha"), [key, "text_sha"], "left_anti").select(*docs.columns, "text_sha", vector)
-        out = same.unionByName(changed).unionByName(old.join(new.select(key), key, "left_anti"), allowMissingColumns=True)
-    n = len(_versions(spark, path))
-    mode = "overwrite" if reset else "errorifexists"
-    target = f"{path}/v{n:06d}"
-    out.write.mode(mode).parquet(target)
-    return spark.read.parquet(target)
+        out = same.unionByName(changed)
+    if reset:
+        table.replace(out, "text_sha")
+    else:
+        table.upsert(out, "text_sha")
+    return table.read()
 
 
 def context_index(documents: DataFrame, path: str, project: str | None = None, reset: bool = False) -> DataFrame:
