@@ -14,7 +14,8 @@ from ..functions import vocab
 from ..functions.rules import status_rank
 from ..functions.similarity import cosine
 from ..functions.text import context_tokens, order_before, text_of, token_set
-from .ranking import STATED_ROWS, first_wins, stated, stated_blocks, top_per
+from . import postings
+from .ranking import first_wins, stated, stated_blocks, top_per
 
 
 def before(df: DataFrame, order: str, scene_id: str | None = None, bound: int | None = None, keep_null: bool = False) -> DataFrame:
@@ -42,17 +43,19 @@ def entity_memories(links: DataFrame, memories: DataFrame, entity: Column, bound
 
 
 def _overlaps(rows: DataFrame, tokens: Column, queries: DataFrame, query_tokens: Column, keep: Sequence[str]) -> DataFrame:
-    """``__row, keep, __id, __nd, __nq, __n``: how many distinct tokens every row shares with every query (column ``__id``).
+    """``keep, __id, __nd, __nq, __n``: how many distinct tokens every row shares with every query (column ``__id``).
 
-    Tokens of rows meet the queries' inverted index in an equi-join and are counted by row and query, so a pair costs its
-    common tokens only, and only its key columns are shuffled. A row counts by its place in the scan, so that rows that
-    are alike stay apart.
+    A row's tokens are looked up in the queries' inverted index where the row is read, so pairs leave the scan counted. An
+    index beyond ``postings.fits`` meets the tokens in an equi-join, and pairs are counted by row and query; a row counts by
+    its place in the scan there, so that rows that are alike stay apart.
     """
     q = queries.select("__id", query_tokens.alias("__q")).distinct()
-    index = q.select("__id", F.size("__q").alias("__nq"), F.explode("__q").alias("__t"))
+    index = q.select("__id", F.size("__q").cast("long").alias("__nq"), F.explode("__q").alias("__t"))
+    if postings.fits(index):
+        return postings.count_common(rows.select(*keep, tokens.alias("__d")), index, keep)
     own = rows.select(F.monotonically_increasing_id().alias("__row"), *keep, tokens.alias("__d"))
     each = own.select("__row", *keep, F.size("__d").alias("__nd"), F.explode("__d").alias("__t"))
-    return each.join(stated(index, 10 * STATED_ROWS), "__t").groupBy("__row", *keep, "__nd", "__id", "__nq").agg(F.count("*").cast("double").alias("__n"))
+    return each.join(index, "__t").groupBy("__row", *keep, "__nd", "__id", "__nq").agg(F.count("*").cast("double").alias("__n")).drop("__row")
 
 
 def lexical(docs: DataFrame, queries: DataFrame, text: str = "text", query: str = "query", on: Column | None = None, key: str = "doc_id", keep: Sequence[str] = ()) -> DataFrame:
