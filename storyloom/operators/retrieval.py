@@ -207,12 +207,16 @@ def chunk_support(contributions: DataFrame, chunk: str = "chunk_id", kind: str =
 def bind(items: DataFrame, entities: DataFrame, score: Column, k: int, key: str = "fact_id") -> DataFrame:
     """Facts or properties of matched entities, by entity id or cluster id, the k best of each binding.
 
-    Two equi-joins and a dedupe stand for the OR.
+    The k best of an entity are among its own k best and the k best of its cluster, so items are cut to k an entity and k
+    a cluster before they meet the entities in two equi-joins, which stand for the OR. Of items with one key the best counts.
     """
-    one = items.join(entities.select(F.col("entity_id").alias("source_local_entity_id"), F.col("entity_id").alias("bound_to")), "source_local_entity_id")
-    two = items.join(entities.select("cluster_id", F.col("entity_id").alias("bound_to")).where("cluster_id IS NOT NULL"), "cluster_id")
-    both = one.unionByName(two).dropDuplicates([key, "bound_to"]).withColumn("score", score)
-    return top_per(both, ["bound_to"], [F.col("score").desc(), F.col(key).desc()], k)
+    best = [F.col("score").desc(), F.col(key).desc()]
+    scored = items.withColumn("score", score)
+    cut = lambda by: top_per(first_wins(scored.where(F.col(by).isNotNull()), [by, key], best), [by], best, k).drop("rank")
+    bound = entities.select("entity_id", "cluster_id").distinct()
+    one = cut("source_local_entity_id").join(bound.select(F.col("entity_id").alias("source_local_entity_id"), F.col("entity_id").alias("bound_to")).distinct(), "source_local_entity_id")
+    two = cut("cluster_id").join(bound.select("cluster_id", F.col("entity_id").alias("bound_to")), "cluster_id")
+    return top_per(first_wins(one.unionByName(two), ["bound_to", key], best), ["bound_to"], best, k)
 
 
 def adaptive_memories(links: DataFrame, score: Column, by: str | Sequence[str] = "entity_id", all_up_to: int = 50, k: int = 12, order: Sequence[Column] = ()) -> DataFrame:
