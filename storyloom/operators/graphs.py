@@ -10,6 +10,7 @@ projects too large for one.
 from __future__ import annotations
 
 from collections import defaultdict, deque
+from collections.abc import Iterable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -19,6 +20,19 @@ from ..sources.scratch import cut_lineage, written
 from .ranking import place_in
 
 
+#: Events and edges of a project up to which one task orders it, chooses among its edges, or walks them.
+ONE_TASK = 1_000_000
+
+
+#: Rows of groups that are handed to Python together: a call of it costs more than a small group's rows.
+TOGETHER = 20_000
+
+
+def together(group: Column, rows: int) -> Column:
+    """A key that deals groups, by a hash of their own, to sets of about ``TOGETHER`` rows of all; a group is never parted."""
+    return F.pmod(F.xxhash64(group), F.lit(-(-rows // TOGETHER) or 1)).alias("__set")
+
+
 def undirected(edges: DataFrame, source: str = "source", target: str = "target") -> DataFrame:
     """Every edge both ways, without self-loops and repeats."""
     a = edges.select(F.col(source).alias("node"), F.col(target).alias("other"))
@@ -127,15 +141,78 @@ def _furthest(links: DataFrame, labels: DataFrame) -> DataFrame:
             return labels
 
 
-def strong_components(edges: DataFrame, source: str = "source", target: str = "target") -> DataFrame:
+def strong_components(edges: DataFrame, source: str = "source", target: str = "target", by: str | None = None, one_task: int = ONE_TASK) -> DataFrame:
     """``node, component``: the nodes on cycles of two or more nodes, with the least node of those that they reach and are reached from.
 
-    Each round gives every node the greatest label that reaches it and the greatest that it reaches among nodes of the
-    same; where both are one label, its component is found, and of the rest only edges between nodes equal in both labels
-    stay. Labels are hashes, so that chains fall apart at once. Self-loops, repeats and edges with a null end don't count.
+    With ``by``, of which a node has one value, groups of at most ``one_task`` edges are walked after one shuffle, many small
+    ones at a time. Edges of larger groups, and all without ``by``, go in rounds: each gives every node the greatest label
+    that reaches it and the greatest that it reaches among nodes of the same; where both are one label, its component is
+    found, and of the rest only edges between nodes equal in both labels stay. Labels are hashes, so that chains fall apart
+    at once. Self-loops, repeats and edges with a null end don't count.
     """
-    links = written(edges.select(F.col(source).alias("s"), F.col(target).alias("t")).where("s <> t").distinct())
-    found = None
+    links = edges.select(F.col(source).alias("s"), F.col(target).alias("t"), *([F.xxhash64(by).alias("__g")] if by else [])).where("s <> t")
+    if not by:
+        return _strong_by_rounds(links.distinct())
+    links = written(links)
+    large = cut_lineage(links.groupBy("__g").agg(F.count("*").alias("__n")).where(F.col("__n") > one_task).select("__g"))
+    if large.isEmpty():
+        return _strong_by_task(links)
+    return _strong_by_task(links.join(large, "__g", "left_anti")).unionByName(_strong_by_rounds(links.join(large, "__g", "left_semi").select("s", "t").distinct()))
+
+
+def _strong_by_task(links: DataFrame) -> DataFrame:
+    """Strong components of the links (s, t) of groups ``__g``, which no link leaves, so that groups can be walked together."""
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = [(n, least) for group in strong_groups(zip(pdf["s"], pdf["t"])) if len(group) > 1 for least in [min(group)] for n in group]
+        return pd.DataFrame(rows, columns=["node", "component"])
+
+    kind = links.schema["s"].dataType.simpleString()
+    return links.groupBy(together(F.col("__g"), links.count())).applyInPandas(walk, f"node {kind}, component {kind}")
+
+
+def strong_groups(links: Iterable[tuple]) -> list[list]:
+    """The strongly connected components of a graph, those of one node among them, by one depth-first walk."""
+    after: dict = defaultdict(list)
+    for s, t in links:
+        after[s].append(t)
+    number: dict = {}
+    low: dict = {}
+    held: list = []
+    inside: set = set()
+    out = []
+    for root in list(after):
+        if root in number:
+            continue
+        number[root] = low[root] = len(number)
+        held.append(root)
+        inside.add(root)
+        todo = [(root, iter(after[root]))]
+        while todo:
+            node, rest = todo[-1]
+            t = next(rest, None)
+            if t is None:
+                todo.pop()
+                if todo:
+                    low[todo[-1][0]] = min(low[todo[-1][0]], low[node])
+                if low[node] == number[node]:
+                    group = [held.pop()]
+                    while group[-1] != node:
+                        group.append(held.pop())
+                    inside.difference_update(group)
+                    out.append(group)
+            elif t not in number:
+                number[t] = low[t] = len(number)
+                held.append(t)
+                inside.add(t)
+                todo.append((t, iter(after.get(t, ()))))
+            elif t in inside:
+                low[node] = min(low[node], number[t])
+    return out
+
+
+def _strong_by_rounds(links: DataFrame) -> DataFrame:
+    links, found = written(links), None
     while not links.isEmpty():
         nodes = links.select(F.explode(F.array("s", "t")).alias("node")).distinct()
         ahead = _furthest(links, nodes.select("node", F.struct(F.xxhash64("node").alias("hash"), "node").alias("label")))
@@ -199,8 +276,6 @@ def cycle_conflicts(edges: DataFrame, by: str, hard: float = 0.75) -> DataFrame:
     return strong.groupBy(by).applyInPandas(walk, f"{by} {edges.schema[by].dataType.simpleString()}, type string, ids array<string>")
 
 
-#: Events and edges of a project up to which one task orders it, or chooses among its edges.
-ONE_TASK = 1_000_000
 SELECTED = "component string, relation_id string, selected boolean, skip_reason string"
 PRIORITY = {"llm": 3, "scene_block_prior": 2, "discourse_prior": 1}
 

@@ -158,7 +158,7 @@ SELECT w.s AS node, min(w.t) AS component FROM w JOIN w AS v ON v.s = w.t AND v.
 def cycle_components(t) -> DataFrame:
     """Events that lie on a cycle of any usable ordering edges, with the least event of those on cycles with it."""
     edges = _edges(t).where("usable_for_ordering AND relation_type <> 'same_time'")
-    return strong_components(edges, "source_event_id", "target_event_id")
+    return strong_components(edges, "source_event_id", "target_event_id", "user_id")
 
 
 @query()

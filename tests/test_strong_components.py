@@ -51,3 +51,18 @@ def test_projects_that_share_ids_choose_apart(spark):
 
 
 WANT = {("p", "a"): (True, None), ("p", "c"): (True, None), ("p", "d"): (False, "would_create_cycle"), ("q", "b"): (True, None), ("q", "e"): (False, "self_edge"), ("q", "f"): (False, "hard_conflict")}
+
+
+def test_components_of_groups_take_one_table_unless_a_group_is_large(spark, monkeypatch):
+    r = random.Random(6)
+    links = [(f"{g}-{r.randrange(9)}", f"{g}-{r.randrange(9)}", g) for g in ["a", "b", "c", None] for _ in range(14)] + [(f"d-{i}", f"d-{(i + 1) % 40}", "d") for i in range(40)]
+    df = spark.createDataFrame([*links, *links[:5], ("a-0", None, "a")], "source string, target string, project string")
+    tables, write = [], graphs.written
+    monkeypatch.setattr(graphs, "written", lambda rows: tables.append(1) or write(rows))
+    for most, packed in ((1_000_000, 20_000), (1_000_000, 1), (30, 20_000)):
+        tables.clear()
+        monkeypatch.setattr(graphs, "TOGETHER", packed)
+        got = graphs.strong_components(df, by="project", one_task=most).collect()
+        assert {x.node: x.component for x in got} == brute([e[:2] for e in links if e[0] != e[1]])
+        assert len(tables) == 1 or most == 30
+    assert graphs.strong_components(df.limit(0), by="project").collect() == []
