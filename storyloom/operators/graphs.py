@@ -258,7 +258,7 @@ def first_cycles(links: list[tuple[str, str]]) -> list[list[str]]:
 
 
 def cycle_conflicts(edges: DataFrame, by: str, hard: float = 0.75) -> DataFrame:
-    """Cycles of any length among usable edges of enough confidence, one walk for each project: ``by, type, ids``.
+    """Cycles of any length among usable edges of enough confidence, a walk for each project, of many small ones in one call: ``by, type, ids``.
 
     ``ids`` is the cycle's path from the node it closes at; of cycles with the same nodes the first stays. They name no
     relations, so they block none. Edges within a project only.
@@ -266,14 +266,20 @@ def cycle_conflicts(edges: DataFrame, by: str, hard: float = 0.75) -> DataFrame:
     strong = edges.where(F.col("usable_for_ordering") & F.col("relation_type").isin(*ORDERING) & (F.col("confidence") >= hard)).select(by, F.col("source_event_id").cast("string").alias("s"), F.col("target_event_id").cast("string").alias("t")).distinct()
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        seen, rows = set(), []
-        for path in first_cycles(list(zip(pdf["s"], pdf["t"]))):
-            if (ids := tuple(sorted(path))) not in seen:
-                seen.add(ids)
-                rows.append((pdf[by].iloc[0], "cycle", path))
-        return pd.DataFrame(rows, columns=[by, "type", "ids"])
-
-    return strong.groupBy(by).applyInPandas(walk, f"{by} {edges.schema[by].dataType.simpleString()}, type string, ids array<string>")
+        links, rows = defaultdict(list), []
+        for group, s, t in zip(pdf["__g"], pdf["s"], pdf["t"]):
+            links[group].append((s, t))
+        for group, own in links.items():
+            seen = set()
+            for path in first_cycles(own):
+                if (ids := tuple(sorted(path))) not in seen:
+                    seen.add(ids)
+                    rows.append((group, "cycle", path))
+        return pd.DataFrame(rows, columns=["__g", "type", "ids"])
+
+    strong = written(strong.withColumn("__g", F.col(by).cast("string")).drop(by))
+    found = strong.groupBy(together(F.col("__g"), strong.count())).applyInPandas(walk, "__g string, type string, ids array<string>")
+    return found.select(F.col("__g").cast(edges.schema[by].dataType).alias(by), "type", "ids")
 
 
 SELECTED = "component string, relation_id string, selected boolean, skip_reason string"
@@ -323,7 +329,8 @@ def select_acyclic(edges: DataFrame, blocked: DataFrame | None = None, by: str |
     different strongly connected components can't close one: of groups of more than ``one_task`` edges only those
     within one meet in a task.
     """
-    usable = written(edges.where(F.col("usable_for_ordering") & F.col("relation_type").isin(*ORDERING)))
+    usable = edges.where(F.col("usable_for_ordering") & F.col("relation_type").isin(*ORDERING))
+    usable = usable if by else written(usable)
     blocked = usable.select("relation_id").limit(0) if blocked is None else blocked.select("relation_id").distinct()
     if by:
         labelled = usable.withColumn("component", F.col(by).cast("string"))
@@ -336,7 +343,7 @@ def select_acyclic(edges: DataFrame, blocked: DataFrame | None = None, by: str |
     sizes = rows.groupBy("component").agg(F.count("*").alias("__n")).where(F.col("__n") > one_task).select("component")
     large = cut_lineage(sizes)
     if large.isEmpty():
-        return _greedy(own.withColumn("__group", F.when(F.col("skip_reason").isNull(), F.col("component").cast("string"))))
+        return _greedy(own.withColumn("__group", F.when(F.col("skip_reason").isNull(), F.col("component").cast("string"))), rows.count())
     small = own.join(large, "component", "left_anti").withColumn("__group", F.when(F.col("skip_reason").isNull(), F.col("component").cast("string")))
     own = own.join(large, "component", "left_semi")
     open_ = own.where("skip_reason IS NULL")
@@ -344,26 +351,26 @@ def select_acyclic(edges: DataFrame, blocked: DataFrame | None = None, by: str |
     end = lambda name: strong.select(F.col("node").alias(f"{name}_event_id"), F.col("component").alias(f"__{name}"))
     marked = own.join(end("source"), "source_event_id", "left").join(end("target"), "target_event_id", "left")
     within = F.when(F.col("skip_reason").isNull() & (F.col("__source") == F.col("__target")), F.col("__source").cast("string"))
-    return _greedy(small).unionByName(_greedy(marked.withColumn("__group", within)))
+    return _greedy(small, rows.count()).unionByName(_greedy(marked.withColumn("__group", within), rows.count()))
 
 
-def _greedy(marked: DataFrame) -> DataFrame:
-    """The choice in each ``__group`` of a component; edges without one are selected unless they have a reason."""
+def _greedy(marked: DataFrame, size: int) -> DataFrame:
+    """The choice in each ``__group`` of a component, of about ``size`` edges in all; edges without one are selected unless they have a reason."""
 
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.assign(p=pdf["source"].map(PRIORITY).fillna(0), w=pdf["is_inferred"].fillna(False).astype(bool), c=pdf["confidence"].fillna(0.0))
         pdf = pdf.sort_values(["c", "p", "w", "relation_id"], ascending=[False, False, True, True])
-        graph = GrowingOrder()
+        graphs = defaultdict(GrowingOrder)
         out = []
-        for r in pdf.itertuples(index=False):
-            kept = graph.add(r.source_event_id, r.target_event_id)
-            out.append((r.component, r.relation_id, kept, None if kept else "would_create_cycle"))
+        for component, group, relation, s, t in zip(*(pdf[c] for c in ("component", "__group", "relation_id", "source_event_id", "target_event_id"))):
+            kept = graphs[component, group].add(s, t)
+            out.append((component, relation, kept, None if kept else "would_create_cycle"))
         return pd.DataFrame(out, columns=["component", "relation_id", "selected", "skip_reason"])
 
     fields = ["relation_id", "source_event_id", "target_event_id", "confidence", "source", "is_inferred"]
     plain = marked.where("__group IS NULL").select(F.col("component").cast("string"), "relation_id", F.col("skip_reason").isNull().alias("selected"), "skip_reason")
     inner = marked.where("__group IS NOT NULL").select(F.col("component").cast("string"), *fields, "__group")
-    return plain.unionByName(inner.groupBy("component", "__group").applyInPandas(pick, SELECTED))
+    return plain.unionByName(inner.groupBy(together(F.struct("component", "__group"), size)).applyInPandas(pick, SELECTED))
 
 
 def topological(events: DataFrame, edges: DataFrame, by: str, order: tuple[str, ...] = ("source_record_id", "discourse_index", "event_id"), one_task: int = ONE_TASK) -> DataFrame:
@@ -377,40 +384,53 @@ def topological(events: DataFrame, edges: DataFrame, by: str, order: tuple[str,
     links = edges.select("source_event_id", "target_event_id").distinct().where("source_event_id <> target_event_id")
     links = links.join(own.select(F.col("__by").alias(by), F.col("event_id").alias("source_event_id")), "source_event_id").join(own.select(F.col("__by").alias(by), F.col("event_id").alias("target_event_id")), [by, "target_event_id"]).select(by, "source_event_id", "target_event_id")
     links = cut_lineage(links)
-    sizes = nodes.select(by).unionByName(links.select(by)).groupBy(by).agg(F.count("*").alias("__n")).where(F.col("__n") > one_task).select(by)
-    large = cut_lineage(sizes)
+    sizes = cut_lineage(nodes.select(by).unionByName(links.select(by)).groupBy(by).agg(F.count("*").alias("__n")))
+    large = sizes.where(F.col("__n") > one_task).select(by)
+    size = sizes.agg(F.coalesce(F.sum("__n"), F.lit(0))).first()[0]
     if large.isEmpty():
-        return _ordered_by_task(nodes, links, by, order)
+        return _ordered_by_task(nodes, links, by, order, size)
     apart = lambda df, how: df.join(large, by, how)
-    return _ordered_by_task(apart(nodes, "left_anti"), apart(links, "left_anti"), by, order).unionByName(_ordered_by_level(apart(nodes, "left_semi"), apart(links, "left_semi"), by, order))
+    return _ordered_by_task(apart(nodes, "left_anti"), apart(links, "left_anti"), by, order, size).unionByName(_ordered_by_level(apart(nodes, "left_semi"), apart(links, "left_semi"), by, order))
 
 
-def _ordered_by_task(nodes: DataFrame, links: DataFrame, by: str, order: tuple[str, ...]) -> DataFrame:
+def _ordered_by_task(nodes: DataFrame, links: DataFrame, by: str, order: tuple[str, ...], size: int) -> DataFrame:
     rows = nodes.withColumn("t", F.lit(None).cast("string"))
     ends = links.select(by, *(F.lit(None).cast(nodes.schema[c].dataType).alias(c) if c != "event_id" else F.col("source_event_id").alias(c) for c in order), F.col("target_event_id").alias("t"))
+    dealt = rows.unionByName(ends).withColumn("__g", F.col(by).cast("string")).drop(by)
 
     def sort(pdf: pd.DataFrame) -> pd.DataFrame:
+        events, ends = defaultdict(list), defaultdict(list)
         own = pdf[pdf["t"].isna()].sort_values(list(order))
-        ids = own["event_id"].tolist()
-        place = {e: i for i, e in enumerate(ids)}
-        after: dict[str, list[str]] = defaultdict(list)
-        waits = dict.fromkeys(ids, 0)
-        for s, t in pdf[pdf["t"].notna()][["event_id", "t"]].itertuples(index=False):
-            after[s].append(t)
-            waits[t] += 1
-        queue, out = deque(e for e in ids if not waits[e]), []
-        while queue:
-            e = queue.popleft()
-            out.append(e)
-            for t in sorted(after[e], key=place.get):
-                waits[t] -= 1
-                if not waits[t]:
-                    queue.append(t)
-        done = set(out)
-        out += [e for e in ids if e not in done]
-        return pd.DataFrame({by: own[by].iloc[0], "event_id": out, "timeline_rank": range(1, len(out) + 1)})
-
-    return rows.unionByName(ends).groupBy(by).applyInPandas(sort, f"{by} {nodes.schema[by].dataType.simpleString()}, event_id string, timeline_rank int")
+        for group, e in zip(own["__g"], own["event_id"]):
+            events[group].append(e)
+        linked = pdf[pdf["t"].notna()]
+        for group, s, t in zip(linked["__g"], linked["event_id"], linked["t"]):
+            ends[group].append((s, t))
+        out = [(group, e, i) for group, ids in events.items() for i, e in enumerate(first_in_first_out(ids, ends[group]), 1)]
+        return pd.DataFrame(out, columns=["__g", "event_id", "timeline_rank"])
+
+    sorted_ = dealt.groupBy(together(F.col("__g"), size)).applyInPandas(sort, "__g string, event_id string, timeline_rank int")
+    return sorted_.select(F.col("__g").cast(nodes.schema[by].dataType).alias(by), "event_id", "timeline_rank")
+
+
+def first_in_first_out(ids: list, links: Iterable[tuple]) -> list:
+    """Kahn's order of ``ids`` with a queue; those on or behind cycles come last, as they stood."""
+    place = {e: i for i, e in enumerate(ids)}
+    after: dict = defaultdict(list)
+    waits = dict.fromkeys(ids, 0)
+    for s, t in links:
+        after[s].append(t)
+        waits[t] += 1
+    queue, out = deque(e for e in ids if not waits[e]), []
+    while queue:
+        e = queue.popleft()
+        out.append(e)
+        for t in sorted(after[e], key=place.get):
+            waits[t] -= 1
+            if not waits[t]:
+                queue.append(t)
+    done = set(out)
+    return out + [e for e in ids if e not in done]
 
 
 def _ordered_by_level(nodes: DataFrame, links: DataFrame, by: str, order: tuple[str, ...]) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from storyloom.operators import retrieval
+from storyloom.operators import graphs, retrieval
 
 
 def test_binding_scores_items_and_not_pairs(spark):
@@ -25,3 +25,23 @@ def test_binding_scores_items_and_not_pairs(spark):
         want |= {(e, f, place) for place, (_, f) in enumerate(sorted(own, reverse=True)[:k], 1)}
     assert sorted(map(tuple, got)) == sorted(want)
     assert scored.value <= 10 * len(items)  # there are some 20,000 pairs
+
+
+def test_small_projects_are_handed_over_together(spark, monkeypatch):
+    projects = range(30)
+    events = spark.createDataFrame([(p, f"{p}e{i}", "r", i) for p in projects for i in range(4)], "project int, event_id string, source_record_id string, discourse_index int")
+    schema = "relation_id string, source_event_id string, target_event_id string, relation_type string, confidence double, source string, is_inferred boolean, project int, usable_for_ordering boolean"
+    row = lambda p, s, t, c: (f"{p}:{s}{t}", f"{p}e{s}", f"{p}e{t}", "before", c, "llm", False, p, True)
+    # an even project has 3 > 2 > 1 and a weak edge back, an odd one 1 > 2 and a weak edge back
+    edges = spark.createDataFrame([r for p in projects for r in ([row(p, 3, 2, 0.9), row(p, 2, 1, 0.9), row(p, 1, 3, 0.8)] if p % 2 == 0 else [row(p, 1, 2, 0.9), row(p, 2, 1, 0.8)])], schema)
+    for most in (20_000, 1):
+        monkeypatch.setattr(graphs, "TOGETHER", most)
+        verdicts = graphs.select_acyclic(edges, by="project")
+        assert sorted(x.relation_id for x in verdicts.where("NOT selected").collect()) == sorted(f"{p}:{'13' if p % 2 == 0 else '21'}" for p in projects)
+        order = graphs.topological(events, edges.where("confidence > 0.85"), "project")
+        got = {(x.project, x.event_id): x.timeline_rank for x in order.collect()}
+        assert got == {(p, f"{p}e{e}"): i for p in projects for i, e in enumerate((0, 3, 2, 1) if p % 2 == 0 else (0, 1, 3, 2), 1)}
+        cycles = graphs.cycle_conflicts(edges, "project")
+        assert sorted((x.project, sorted(x.ids)) for x in cycles.collect()) == [(p, [f"{p}e{i}" for i in ((1, 2, 3) if p % 2 == 0 else (1, 2))]) for p in projects]
+        for df in (verdicts, order, cycles):
+            assert "__set" in next(line for line in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if "FlatMapGroupsInPandas" in line)
