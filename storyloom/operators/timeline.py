@@ -61,10 +61,15 @@ def discourse_priors(events: DataFrame, scene: str, order: list[Column], sort_ke
     return paired.select(F.col(scene).alias("scene_id"), *_edge("discourse_prior", F.col(scene), F.col("__scene"), F.col(event), F.col("__next"), confidence))
 
 
+def bucket_components(order: DataFrame, symmetric: DataFrame) -> DataFrame:
+    """``order`` with the ``component`` of each event over same-time edges: its bucket, not yet numbered."""
+    labels = components(symmetric, "source_event_id", "target_event_id", order.select(F.col("event_id").alias("node")))
+    return order.join(labels.withColumnRenamed("node", "event_id"), "event_id")
+
+
 def buckets(order: DataFrame, symmetric: DataFrame, by: str | None = None) -> DataFrame:
     """``timeline_bucket, event_id, timeline_rank`` (and ``by``): components over same-time edges, numbered by their first member's rank (within a project)."""
-    labels = components(symmetric, "source_event_id", "target_event_id", order.select(F.col("event_id").alias("node")))
-    rows = order.join(labels.withColumnRenamed("node", "event_id"), "event_id")
+    rows = bucket_components(order, symmetric)
     own = [by] if by else []
     first = rows.groupBy(*own, "component").agg(F.min("timeline_rank").alias("first"))
     first = place_in(first, by, ["first", "component"], "n") if by else numbered(first, ["first", "component"], "n")

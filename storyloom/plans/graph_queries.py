@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..operators.graphs import components, cycle_conflicts, cyclic_nodes, degrees, normalized_edges, pair_conflicts, select_acyclic, strong_components, topological
 from ..operators.social import beat_sequences, merged_effects, pressure_edges
-from ..operators.timeline import buckets, discourse_priors, graph_counts, match_bounds, match_memories, match_score, scene_priors
-from ..sources.scratch import cut_lineage
+from ..operators.timeline import bucket_components, buckets, discourse_priors, graph_counts, match_bounds, match_memories, match_score, scene_priors
+from ..sources.scratch import written
 from .registry import query
 
 
@@ -111,9 +111,9 @@ def timeline_buckets(t) -> DataFrame:
     return buckets(order, same, "user_id").select("user_id", "timeline_bucket", "event_id")
 
 
-def _chosen(t) -> tuple[DataFrame, DataFrame]:
+def _chosen(every: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Ordering edges with the verdict of the greedy choice, those in conflict blocked."""
-    edges = cut_lineage(_edges(t).where("relation_type <> 'same_time'"))
+    edges = every.where("relation_type <> 'same_time'")
     conflicts = pair_conflicts(edges).select(F.explode("relation_ids").alias("relation_id"))
     return edges, select_acyclic(edges, conflicts, by="user_id")
 
@@ -121,21 +121,22 @@ def _chosen(t) -> tuple[DataFrame, DataFrame]:
 @query()
 def timeline_order(t) -> DataFrame:
     """The story order of every user's events over the greedily chosen acyclic edges."""
-    edges, verdicts = _chosen(t)
+    edges, verdicts = _chosen(written(_edges(t).where("relation_type <> 'same_time'")))
     return topological(_events(t), edges.join(verdicts.where("selected").select("relation_id"), "relation_id"), "user_id")
 
 
 @query()
 def timeline_counts(t) -> DataFrame:
     """The counts of the whole timeline graph."""
-    edges, verdicts = _chosen(t)
-    relations = _edges(t).join(verdicts.select("relation_id", "selected"), "relation_id", "left")
+    every = written(_edges(t))
+    edges, verdicts = _chosen(every)
+    relations = every.join(verdicts.select("relation_id", "selected"), "relation_id", "left")
     track = F.try_element_at(F.create_map(*map(F.lit, ("view", "context", "click", "forecast", "purchase", "plot", "signup", "memory"))), F.col("event_type"))
-    same = _edges(t).where("usable_for_ordering AND relation_type = 'same_time' AND confidence >= 0.75")
+    same = every.where("usable_for_ordering AND relation_type = 'same_time' AND confidence >= 0.75")
     found = pair_conflicts(edges).select("type").unionByName(cycle_conflicts(edges, "user_id").select("type"))
     order = _events(t).select("event_id", "user_id", F.col("discourse_index").alias("timeline_rank"))
-    numbered_buckets = buckets(order, same, "user_id").select(F.concat_ws(":", "user_id", "timeline_bucket").alias("timeline_bucket"))
-    return graph_counts(t.events.select("user_id").distinct(), t.events.select(track.alias("event_track")), relations, found, numbered_buckets)
+    own = bucket_components(order, same).select(F.concat_ws(":", "user_id", "component").alias("timeline_bucket"))  # as many as are numbered
+    return graph_counts(t.events.select("user_id").distinct(), t.events.select(track.alias("event_track")), relations, found, own)
 
 
 @query(f"""
