@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -11,10 +12,41 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
+from ..sources.scratch import small_batches
+
 #: Rows and bytes of tokens of an inverted index that every task may hold.
 INDEX_ROWS, INDEX_BYTES = 200_000, 16 << 20
 #: Postings that are expanded at a time; one row has ``INDEX_ROWS`` at most.
-AT_ONCE = 1_000_000
+AT_ONCE = 250_000
+
+
+@dataclass(frozen=True)
+class Best:
+    """The first ``k`` rows of each query and of each value of ``by``, by falling score, then by ``key``; keys must be unique if equal ones count once.
+
+    ``score`` of common tokens, a query's tokens, a row's tokens and a batch's column by name is the score before it is rounded to ``digits``.
+    """
+
+    k: int
+    by: tuple[str, ...]
+    key: str
+    score: Callable[[np.ndarray, np.ndarray, np.ndarray, Callable[[str], np.ndarray]], np.ndarray]
+    digits: int
+
+
+def may_be_best(best: Best, group: np.ndarray, score: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Places of the rows that may be among the first of their group: no k rows are before them whatever the rounding.
+
+    Before a row are those whose score is greater by more than the rounding, and those of the very same score and a lesser key.
+    """
+    order = np.lexsort((key, -score, group))
+    g, s = group[order], score[order]
+    at = np.arange(len(order))
+    turn = np.concatenate(([True], g[1:] != g[:-1]))[: len(order)]
+    start = lambda new: np.maximum.accumulate(np.where(new, at, 0))
+    gap = np.concatenate(([0.0], s[:-1] - s[1:]))[: len(order)]
+    sure = start(turn | (gap > 10.0**-best.digits)) - start(turn)
+    return np.sort(order[sure + at - start(turn | (gap != 0)) < best.k])
 
 
 def fits(index: DataFrame) -> bool:
@@ -30,12 +62,14 @@ def _groups(costs: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
     yield from zip(cuts, cuts[1:])
 
 
-def count_common(rows: DataFrame, index: DataFrame, keep: Sequence[str]) -> DataFrame:
+def count_common(rows: DataFrame, index: DataFrame, keep: Sequence[str], best: Best | None = None) -> DataFrame:
     """``keep, __nd, __id, __nq, __n`` for rows with distinct tokens ``__d``: how many each shares with every query of ``index``, if any.
 
-    A batch's tokens are looked up at once, their posting lists are laid end to end and counted by row and query.
+    A batch's tokens are looked up at once, their posting lists are laid end to end and counted by row and query. With ``best``
+    only pairs leave that may be among the best of all rows.
     """
     spark, most = rows.sparkSession, AT_ONCE
+    small_batches(spark)
     known = index.groupBy("__t").agg(F.collect_list(F.struct("__id", "__nq")).alias("__p")).orderBy("__t").collect()  # behind fits()
     lists = [[(p["__id"], p["__nq"]) for p in r["__p"]] for r in known]
     ids = sorted({p for one in lists for p in one})
@@ -49,6 +83,7 @@ def count_common(rows: DataFrame, index: DataFrame, keep: Sequence[str]) -> Data
         tokens, starts, postings, queries = shared.value
         vocabulary = pa.array(tokens, pa.string())
         for batch in batches:
+            codes = {c: pc.rank(batch.column(batch.schema.get_field_index(c)), "ascending", null_placement="at_start", tiebreaker="dense").to_numpy().astype(np.int64) for c in (*best.by, best.key)} if best else {}
             lists = batch.column(batch.schema.get_field_index("__d"))
             sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
             flat = lists.flatten()
@@ -66,6 +101,13 @@ def count_common(rows: DataFrame, index: DataFrame, keep: Sequence[str]) -> Data
                 pairs = np.repeat(owner[part], each[part]) * len(queries) + postings[first + np.arange(n)]
                 pairs, common = np.unique(pairs, return_counts=True)
                 row, query = pairs // len(queries), pairs % len(queries)
+                if best:
+                    group = query
+                    for c in best.by:
+                        group = group * (len(sizes) + 1) + codes[c][row]
+                    own = best.score(common.astype(float), queries[query, 1], sizes[row], lambda c: batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False)[row])
+                    stay = may_be_best(best, group, own, codes[best.key][row])
+                    row, query, common = row[stay], query[stay], common[stay]
                 kept = [batch.column(i).take(pa.array(row)) for i in range(len(keep))]
                 yield pa.RecordBatch.from_arrays([*kept, pa.array(sizes[row]), pa.array(queries[query, 0]), pa.array(queries[query, 1]), pa.array(common.astype(float))], names=[*keep, "__nd", "__id", "__nq", "__n"])
 

@@ -24,6 +24,17 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Bytes of an Arrow batch of texts, and Spark's own default of that setting.
+BATCH_BYTES, DEFAULT_BYTES = 4 << 20, "67108864b"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the session's Arrow batches by bytes where that bound is at its default; a bound that the user has set stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name) == DEFAULT_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Checkpoint to the session's shared folder (``shared_root``)."""
     shared_root(df.sparkSession)
