@@ -29,7 +29,7 @@ def _queries(t) -> DataFrame:
 
 def _hits(t, k: int = 10) -> DataFrame:
     """The best documents for every benchmark text, with ranks from 1."""
-    scored = lexical(t.documents, _queries(t), keep=("source", "lang", "n_chars")).drop("query")
+    scored = lexical(t.documents, _queries(t), keep=("source", "lang", "n_chars"), k=k).drop("query")
     return top_per(scored, ["item_id"], [F.col("score").desc(), F.col("doc_id").asc()], k)
 
 
@@ -152,7 +152,7 @@ def fusion_multi_pass(t) -> DataFrame:
     """Up to three passes of every benchmark text (itself, its names, itself with its topics) fused: replaced by better hits, raised by repeats."""
     limits = budget("standard")
     texts = pass_texts(t.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("query")), limits)
-    best = top_per(lexical(t.documents, texts), ["query_id", "pass_no"], [F.col("score").desc(), F.col("doc_id").asc()], limits["top_k"])
+    best = top_per(lexical(t.documents, texts, k=limits["top_k"]), ["query_id", "pass_no"], [F.col("score").desc(), F.col("doc_id").asc()], limits["top_k"])
     fused = fuse(best.withColumn("rank", F.col("rank") - 1), "doc_id", limits["top_k"] * limits["multiplier"], by=("query_id",))
     return fused.select(F.col("query_id").alias("item_id"), "doc_id", "score", F.size("passes").cast("long").alias("passes"))
 
