@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import UNIT, col, text_of, unit_count
+from ..sources.scratch import small_batches
 
 SEGMENT_END = r"\n\s*\n+|\n+|[。！？!?；;]\s*"
 # Separators from strong to weak.
@@ -105,6 +106,7 @@ def chunk_units(units: DataFrame, content: str = "content", unit_id: str = "scen
     """
     if most < 1:
         raise ValueError("a chunk has at least one unit")
+    small_batches(units.sparkSession)
 
     @F.pandas_udf("array<string>")
     def cut(texts: pd.Series) -> pd.Series:

@@ -1,8 +1,9 @@
 """Work that grows with the input: what is counted here grew with its square, or with a whole batch, before."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from storyloom.operators import graphs, retrieval
+from storyloom.operators import chunking, graphs, postings, ranking, retrieval
 
 
 def test_binding_scores_items_and_not_pairs(spark):
@@ -45,3 +46,39 @@ def test_small_projects_are_handed_over_together(spark, monkeypatch):
         assert sorted((x.project, sorted(x.ids)) for x in cycles.collect()) == [(p, [f"{p}e{i}" for i in ((1, 2, 3) if p % 2 == 0 else (1, 2))]) for p in projects]
         for df in (verdicts, order, cycles):
             assert "__set" in next(line for line in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if "FlatMapGroupsInPandas" in line)
+
+
+def test_pairs_that_cant_be_among_the_best_stay_at_the_scan(spark):
+    r = np.random.default_rng(3)
+    group, key = r.integers(0, 3, 400), r.permutation(400)
+    score = np.round(r.choice([1.0, 2.0, 2.4, 3.0], 400) + r.choice([0.0, 3e-7, 6e-7, 0.2], 400), 9)
+    stay = set(postings.may_be_best(postings.Best(4, (), "k", None, 6), group, score, key).tolist())
+    for digits in (6, 7):  # whatever the rounding does to scores that are near
+        best = {g: sorted((i for i in range(400) if group[i] == g), key=lambda i: (-round(score[i], digits), key[i]))[:4] for g in range(3)}
+        assert set().union(*best.values()) <= stay
+    assert len(stay) < 100
+    docs = spark.createDataFrame([(i, "abc"[i % 3], " ".join(f"w{(i * 7 + j) % 23}" for j in range(i % 9 + 1))) for i in range(600)], "doc_id int, source string, text string").coalesce(1)
+    asked = spark.createDataFrame([(i, f"w{i} w{i + 1} w{i + 9}") for i in range(10)], "item_id int, query string")
+    order = [F.col("score").desc(), F.col("doc_id").asc()]
+    every, some = (retrieval.lexical(docs, asked, keep=("source",), **cut) for cut in ({}, {"k": 3, "by": ("source",)}))
+    best = lambda df: sorted(map(tuple, ranking.top_per(df, ["item_id", "source"], order, 3).select("item_id", "source", "rank", "doc_id", "score").collect()))
+    assert best(every) == best(some) and some.count() < every.count() / 3
+
+
+def test_repeated_keys_count_once_after_the_cut(spark):
+    docs = spark.createDataFrame([(i // 2, "w1 w2 w3" if i % 2 else "w1", "ab"[i % 2]) for i in range(40)], "vector_id int, content string, vector_namespace string")
+    asked = spark.createDataFrame([(1, "w1 w2 w3")], "query_id int, query string")
+    got = retrieval.namespace_top(docs, asked, 3, {"a": 0.5}).collect()
+    assert sorted((x.vector_namespace, x.vector_id, x.score) for x in got) == [("b", i, 3.0) for i in range(3)]
+
+
+def test_searches_and_chunks_bound_their_batches(spark):
+    name, old = "spark.sql.execution.arrow.maxBytesPerBatch", spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    docs = spark.createDataFrame([(1, "a b c")], "doc_id int, text string")
+    try:
+        for run in (lambda: retrieval.lexical(docs, docs.selectExpr("1 AS item_id", "text AS query")), lambda: chunking.chunk_units(docs, "text", "doc_id")):
+            spark.conf.set(name, "67108864b")
+            run()
+            assert spark.conf.get(name) == str(4 << 20)
+    finally:
+        spark.conf.set(name, old)
