@@ -40,7 +40,7 @@ SELECT item_id, source, rank, doc_id, score FROM (SELECT *, row_number() OVER (P
 """)
 def minimum_slice(t) -> DataFrame:
     """Per benchmark text and source, the best three documents."""
-    scored = lexical(t.documents, t.benchmark.select("item_id", F.col("text").alias("query")), keep=("source",))
+    scored = lexical(t.documents, t.benchmark.select("item_id", F.col("text").alias("query")), keep=("source",), k=3, by=("source",))
     return top_per(scored, ["item_id", "source"], [F.col("score").desc(), F.col("doc_id").asc()], 3).select("item_id", "source", F.col("rank").cast("long").alias("rank"), "doc_id", "score")
 
 
