@@ -1,6 +1,7 @@
 """Graph operators on node and edge frames.
 
-Components iterate to a fixpoint with each round written through the session's checkpoint folder. Greedy acyclic
+Components contract blocks of edges where they are read; what this leaves iterates to a fixpoint with each round written
+through the session's checkpoint folder. Greedy acyclic
 selection is sequential by definition: it runs for each strongly connected component, since no other edge can close a cycle. The
 search for cycles runs for each project.
 The first-in-first-out topological order runs for each project in one task, and level by level over all tasks for
@@ -10,11 +11,15 @@ projects too large for one.
 from __future__ import annotations
 
 from collections import defaultdict, deque
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..sources.scratch import cut_lineage, written
 from .ranking import place_in
@@ -56,12 +61,71 @@ def one_hop(edges: DataFrame, nodes: DataFrame, source: str = "source", target:
     return marked.where("__s IS NOT NULL OR __t IS NOT NULL").withColumn("is_between_matched", F.col("__s").isNotNull() & F.col("__t").isNotNull()).drop("__s", "__t")
 
 
-def components(edges: DataFrame, source: str = "source", target: str = "target", nodes: DataFrame | None = None) -> DataFrame:
-    """``node, component``: the least node of each component; ``nodes`` adds those without edges.
+#: Edges that one call contracts at a time.
+BLOCK_EDGES = 1 << 20
+#: Types of nodes whose order is the same in Spark and in Arrow.
+CONTRACTED = (T.StringType(), T.LongType(), T.IntegerType(), T.ShortType(), T.ByteType())
+
 
-    Each round takes the least label among neighbours and then the label's own label, which halves long paths.
+def _stars(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    """The nodes of a block of edges, each with the least that it reaches along edges of the block."""
+    ends = pa.Table.from_batches(batches)
+    coded = pa.chunked_array([c for name in ("node", "other") for c in ends[name].chunks]).combine_chunks().dictionary_encode()
+    order = pc.sort_indices(coded.dictionary)
+    place = np.empty(len(order), np.int64)
+    place[order.to_numpy()] = np.arange(len(order))
+    at = place[coded.indices.to_numpy()]
+    a, b, low = at[: len(ends)], at[len(ends) :], np.arange(len(order))
+    while True:
+        x, y = low[a], low[b]
+        apart = x != y
+        if not apart.any():
+            break
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(low, np.maximum(x, y), np.minimum(x, y))
+        while ((up := low[low]) != low).any():
+            low = up
+    names = coded.dictionary.take(order)
+    return pa.RecordBatch.from_arrays([names, names.take(pa.array(low))], names=["node", "root"])
+
+
+def _contracted(batches: Iterable[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= most:
+            yield _stars(held)
+            held, n = [], 0
+    if n:
+        yield _stars(held)
+
+
+def _by_blocks(pairs: DataFrame) -> DataFrame:
+    """``node, component`` of edges (node, other): blocks of edges become stars where they are read, and only stars are shuffled.
+
+    A node of several stars puts their centres together. These edges are contracted in turn, while they become fewer by
+    far, and otherwise left to ``_by_rounds``.
     """
-    links = cut_lineage(undirected(edges, source, target))
+    most = BLOCK_EDGES
+    kind = pairs.schema["node"].dataType.simpleString()
+    stars = pairs.mapInArrow(lambda batches: _contracted(batches, most), f"node {kind}, root {kind}")
+    own = Window.partitionBy("node").orderBy("root")
+    held = written(stars.select("node", "root", F.first("root").over(own).alias("low"), (F.row_number().over(own) == 1).alias("first")))
+    labels, between = held.where("first").select("node", F.col("root").alias("component")), held.where("root <> low").select(F.col("root").alias("node"), F.col("low").alias("other"))
+    if not (n := between.count()):
+        return labels
+    if n <= most:
+        centres = _by_blocks(between.repartition(1))  # one block
+    else:
+        centres = _by_blocks(between) if 4 * n <= held.count() else _by_rounds(between)
+    up = centres.select(F.col("node").alias("component"), F.col("component").alias("up"))
+    return labels.join(up, "component", "left").select("node", F.coalesce("up", "component").alias("component"))
+
+
+def _by_rounds(pairs: DataFrame) -> DataFrame:
+    """``node, component`` of edges (node, other). Each round takes the least label among neighbours and then the label's own label, which halves long paths."""
+    links = cut_lineage(undirected(pairs, "node", "other"))
     labels = cut_lineage(links.groupBy("node").agg(F.least(F.min("other"), F.first("node")).alias("component")))
     while True:
         near = links.join(labels.withColumnRenamed("node", "other"), "other").groupBy("node").agg(F.min("component").alias("low"))
@@ -70,7 +134,17 @@ def components(edges: DataFrame, source: str = "source", target: str = "target",
         new = cut_lineage(jump.select("node", F.least("component", F.coalesce("up", "component")).alias("component"), "was"))
         labels, moved = new.drop("was"), new.where("component <> was").isEmpty()
         if moved:
-            break
+            return labels
+
+
+def components(edges: DataFrame, source: str = "source", target: str = "target", nodes: DataFrame | None = None) -> DataFrame:
+    """``node, component``: the least node of each component; ``nodes`` adds those without edges.
+
+    Repeated edges and self-loops may stay in ``edges``. Strings and whole numbers are contracted by blocks, other nodes go by rounds.
+    """
+    pairs = edges.select(F.col(source).alias("node"), F.col(target).alias("other")).where("node <> other")
+    kinds = [f.dataType for f in pairs.schema.fields]
+    labels = _by_blocks(pairs) if kinds[0] == kinds[1] and kinds[0] in CONTRACTED else _by_rounds(pairs)
     if nodes is None:
         return labels
     return nodes.select("node").distinct().join(labels, "node", "left").select("node", F.coalesce("component", "node").alias("component"))

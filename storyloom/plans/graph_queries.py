@@ -88,7 +88,7 @@ SELECT node, label AS component FROM cc
 """)
 def connected_groups(t) -> DataFrame:
     """Components of suppliers and orders."""
-    return components(t.lineitem.select(F.concat(F.lit("s"), "l_suppkey").alias("source"), F.concat(F.lit("o"), "l_orderkey").alias("target")).distinct())
+    return components(t.lineitem.select(F.concat(F.lit("s"), "l_suppkey").alias("source"), F.concat(F.lit("o"), "l_orderkey").alias("target")))
 
 
 @query("""

@@ -82,3 +82,44 @@ def test_searches_and_chunks_bound_their_batches(spark):
             assert spark.conf.get(name) == str(4 << 20)
     finally:
         spark.conf.set(name, old)
+
+
+def test_components_shuffle_nodes_and_not_edges(spark, monkeypatch):
+    """A dense graph: no table that is written or shuffled has as many rows as it has edges."""
+    edges = [(f"s{(i * 7 + j) % 20 + 20 * (i % 3)}", f"o{i}") for i in range(300) for j in range(20)]
+    df = spark.createDataFrame(edges + edges[:50] + [("o1", "o1"), (None, "o2")], "source string, target string").repartition(2)
+    rows = []
+    for name in ("written", "cut_lineage"):
+        monkeypatch.setattr(graphs, name, lambda x, own=getattr(graphs, name): rows.append((y := own(x)).count()) or y)
+    want = brute_components(edges)
+    assert {x.node: x.component for x in graphs.components(df).collect()} == want and len(set(want.values())) == 3
+    assert max(rows) < len(edges) / 4
+
+
+def brute_components(edges):
+    low = {n: n for e in edges for n in e}
+    while any(low[a] != low[b] for a, b in edges):
+        for a, b in edges:
+            low[a] = low[b] = min(low[a], low[b])
+    return low
+
+
+def test_components_of_blocks_of_any_size(spark, monkeypatch):
+    """Long paths, stars and a random graph in blocks of few edges: centres are contracted again, or go by rounds."""
+    r, rounds = np.random.default_rng(5), []
+    monkeypatch.setattr(graphs, "_by_rounds", lambda pairs, own=graphs._by_rounds: rounds.append(1) or own(pairs))
+    path, mixed = [(i, i + 1) for i in range(20)], [(int(x), int(y)) for x, y in r.integers(0, 80, (70, 2))] + [(200 + i % 3, 300 + i) for i in range(30)]
+    size, old = "spark.sql.execution.arrow.maxRecordsPerBatch", spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set(size, "1")
+        for edges, most, kind, f in ((path, 1, "long", int), (mixed, 7, "string", "n{}é".format), (mixed, 1000, "int", int)):
+            monkeypatch.setattr(graphs, "BLOCK_EDGES", most)
+            df = spark.createDataFrame([(f(a), f(b)) for a, b in edges], f"source {kind}, target {kind}").repartition(3)
+            assert {x.node: x.component for x in graphs.components(df).collect()} == brute_components([(f(a), f(b)) for a, b in edges if a != b])
+    finally:
+        spark.conf.set(size, old)
+    assert rounds  # single edges in their order are not contracted
+    df = spark.createDataFrame([], "source string, target string")
+    assert graphs.components(df).collect() == []
+    dates = spark.sql("SELECT DATE'2020-01-01' AS source, DATE'2020-01-02' AS target")
+    assert len({x.component for x in graphs.components(dates).collect()}) == 1
