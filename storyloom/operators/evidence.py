@@ -140,6 +140,8 @@ def best_window(evidence: str, source: str, least: float = 0.0) -> tuple[float,
         if whole >= len(key) - slack and (best is None or forward.ratio() > best[0]):
             best = (forward.ratio(), at, at + whole)
     for size in range(max(1, len(key) - slack), min(len(text), len(key) + slack) + 1):
+        if 2 * min(size, len(key)) / (size + len(key)) < max(least, best[0] if best else 0.0):
+            continue  # were all of the shorter one shared
         have = Counter(text[:size])
         shared = sum((have & wanted).values())
         for at in range(len(text) - size + 1):

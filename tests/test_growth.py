@@ -1,9 +1,10 @@
 """Work that grows with the input: what is counted here grew with its square, or with a whole batch, before."""
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from storyloom.operators import chunking, graphs, postings, ranking, retrieval
+from storyloom.operators import automaton, chunking, evidence, graphs, near_quotes, postings, ranking, retrieval
 
 
 def test_binding_scores_items_and_not_pairs(spark):
@@ -123,3 +124,36 @@ def test_components_of_blocks_of_any_size(spark, monkeypatch):
     assert graphs.components(df).collect() == []
     dates = spark.sql("SELECT DATE'2020-01-01' AS source, DATE'2020-01-02' AS target")
     assert len({x.component for x in graphs.components(dates).collect()}) == 1
+
+
+def test_only_stretches_that_may_match_are_searched(monkeypatch):
+    """Texts of a quote's own syllables, in another order: its pieces and short runs stand there, the quote doesn't."""
+    r = np.random.default_rng(11)
+    syllables = ["ra", "ción", "os", "ga", "lle", "ta", "ñez", "do", "as", "mi"]
+    prose = lambda n: " ".join("".join(r.choice(syllables, 3)) for _ in range(n))
+    quotes = [(i, prose(30)) for i in range(12)]
+    texts = [prose(400) for _ in range(12)]
+    texts[3] = texts[3][:500] + quotes[5][1].replace("ga", "gx", 1) + texts[3][500:]
+    texts[8] = "İ" + quotes[7][1].replace("ta", "İ", 1).upper()
+    strings, state = near_quotes._prepared(quotes, 0.94)
+    batch = pa.RecordBatch.from_pydict({"h": list(range(12)), "g": list(range(12)), "text": texts})
+    found = near_quotes._found(state, automaton.automaton(strings), batch, 0.94).to_pylist()
+    assert {(x["h"], x["quote"]) for x in found} == {(3, 5), (8, 7)}
+    for x in found:
+        whole, part = evidence.best_window(dict(quotes)[x["quote"]], texts[x["h"]]), evidence.best_window(dict(quotes)[x["quote"]], x["part"], 0.94)
+        assert whole[0] >= 0.94 and part == (whole[0], whole[1] - x["begin"], whole[2] - x["begin"])
+
+
+def test_common_bounds_every_window():
+    r = np.random.default_rng(2)
+    for _ in range(60):
+        quote, text = ("".join(r.choice(list("abcé"), n)) for n in r.integers(1, 30, 2))
+        best = evidence.best_window(quote, text)
+        most = near_quotes.common(near_quotes.masks(quote), len(quote), text)
+        table = [[0] * (len(text) + 1) for _ in range(len(quote) + 1)]
+        for i, x in enumerate(quote):
+            for j, y in enumerate(text):
+                table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
+        assert most == table[-1][-1]
+        for least in (0.5, 0.8, 0.94, 1.0):
+            assert best is None or best[0] < least or most >= near_quotes.in_common(len(quote), least)
