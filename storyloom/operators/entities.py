@@ -12,6 +12,7 @@ from ..functions import vocab
 from ..functions.rules import entity_type, is_deictic
 from ..functions.similarity import ratio, shared_letters
 from ..functions.text import CJK, alias_key, code_tokens, embedded_code, match_key, name_key, name_variants, text_of, words_key
+from ..sources.scratch import written
 from .automaton import scan, shards
 from .graphs import components
 from .ranking import first_wins, place_in, stated_blocks, top_per
@@ -137,11 +138,21 @@ def _names_in(state: None, automaton, batch: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(found, pa.int32())], names=["__h", "__g", "__n"])
 
 
+#: Texts, and bytes of them all, that every name may be held against.
+FEW_TEXTS, FEW_BYTES = 64, 1 << 16
+
+
+def few_texts(keyed: DataFrame) -> DataFrame | None:
+    """Texts as the broadcast side of a comparison with every name, if they are at most ``FEW_TEXTS`` of ``FEW_BYTES``."""
+    n, size = keyed.limit(FEW_TEXTS + 1).agg(F.count("*"), F.coalesce(F.sum(F.octet_length("__t")), F.lit(0))).first()
+    return F.broadcast(keyed) if n <= FEW_TEXTS and size <= FEW_BYTES else None
+
+
 def known_in_text(texts: DataFrame, aliases: DataFrame, text: str = "text", key: str = "entity_id") -> DataFrame:
     """Entities whose alias (two characters or more, by letters and digits) or code occurs in a text: all columns of ``texts``, ``key, alias``.
 
     All aliases are looked up in one scan of the texts by an automaton (several, if they are many); only hashes of rows and
-    numbers of strings leave it. A code meets the texts that hold it in an equi-join. A row has each pair once; a
+    numbers of strings leave it. Where names need several and texts are few, every name is held against the texts instead. A code meets the texts that hold it in an equi-join. A row has each pair once; a
     repeated row has its pairs each time.
     """
     columns = texts.columns
@@ -150,7 +161,12 @@ def known_in_text(texts: DataFrame, aliases: DataFrame, text: str = "text", key:
     coded = t.select("__h", "__g", F.explode(F.array_distinct(code_tokens(text))).alias("__c")).join(a.select(key, "alias", F.explode(F.array_distinct("__ac")).alias("__c")), "__c")
     found = coded.select("__h", "__g", key, "alias")
     keyed = t.select("__h", "__g", match_key(text).alias("__t"))
-    for shard in shards(a.select("__a").distinct(), F.octet_length("__a")):
+    names = written(a.select("__a").distinct())
+    pieces = shards(names, F.octet_length("__a"))
+    if len(pieces) > 1 and (few := few_texts(keyed)) is not None:
+        held = names.join(few, F.contains("__t", F.col("__a")))
+        found, pieces = found.unionByName(held.join(a, "__a").select("__h", "__g", key, "alias")), []
+    for shard in pieces:
         strings = [r[0] for r in shard.collect()]  # bounded in bytes
         if not strings:
             continue

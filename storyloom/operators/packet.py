@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import text_of, token_set
+from ..sources.scratch import written
 from .entities import known_in_text
 from .ranking import first_wins, reference_labels, top_per
 from .retrieval import adaptive_memories, known_to, lexical, merge_hits, profile_memories
@@ -47,7 +48,7 @@ def related_scenes(queries: DataFrame, docs: DataFrame, k: int = 5) -> DataFrame
     The k best hits of each kind are merged by scene. ``docs``: doc_id, doc_type, scene_id, scene_order, text.
     """
     some = docs.where(F.col("doc_type").isin("scene_summary", "stated_fact"))
-    hits = lexical(some, queries.select("query_id", "query", "bound"), on=F.col("scene_order") < F.col("bound"), keep=("doc_type", "scene_id", "scene_order"))
+    hits = lexical(some, queries.select("query_id", "query", "bound"), below=("scene_order", "bound"), keep=("doc_type", "scene_id", "scene_order"), k=k, by=("doc_type",))
     best = top_per(hits, ["query_id", "doc_type"], [F.col("score").desc(), F.col("doc_id").asc()], k)
     merged = merge_hits(best, ["query_id", "scene_id"])
     return top_per(merged, ["query_id"], [F.col("best_score").desc(), F.col("first_rank").asc(), F.col("scene_id").asc()], k)
@@ -56,16 +57,21 @@ def related_scenes(queries: DataFrame, docs: DataFrame, k: int = 5) -> DataFrame
 def global_memories(queries: DataFrame, memories: DataFrame, k: int = 8) -> DataFrame:
     """Memories before the bound that hold everywhere: of the 3k best hits of all memories, the k best of those scopes."""
     rows = memories.select(F.col("memory_id").alias("doc_id"), "scene_order", "memory_temporal_scope", F.col("summary").alias("text"))
-    hits = lexical(rows, queries.select("query_id", "query", "bound"), on=F.col("scene_order") < F.col("bound"), keep=("scene_order", "memory_temporal_scope"))
+    hits = lexical(rows, queries.select("query_id", "query", "bound"), below=("scene_order", "bound"), keep=("scene_order", "memory_temporal_scope"), k=max(3 * k, 1))
     order = [F.col("score").desc(), F.col("doc_id").asc()]
     near = top_per(hits, ["query_id"], order, max(3 * k, 1), "place")
     kept = top_per(near.where(F.col("memory_temporal_scope").isin(*GLOBAL_SCOPES)), ["query_id"], order, k, "memory_rank")
     return kept.select("query_id", F.col("doc_id").alias("memory_id"), "score", "memory_rank")
 
 
+def _of(matched: DataFrame, rows: DataFrame, end: str) -> DataFrame:
+    """Rows of matched entities: a semi join, which Spark takes below the grouping of ``rows``."""
+    return rows.join(matched.select(F.col("entity_id").alias(end)).distinct(), end, "left_semi")
+
+
 def entity_memories(matched: DataFrame, links: DataFrame, memories: DataFrame, limits: PacketLimits = PacketLimits()) -> DataFrame:
     """Memories of the matched entities before the bound: all of an entity with few, else those with the most words in common with the query."""
-    own = matched.select("query_id", "query", "bound", "entity_rank", "entity_id", "canonical_name").join(links.select("entity_id", "memory_id").distinct(), "entity_id")
+    own = matched.select("query_id", "query", "bound", "entity_rank", "entity_id", "canonical_name").join(_of(matched, links.select("entity_id", "memory_id"), "entity_id").distinct(), "entity_id")
     rows = own.join(memories.select("memory_id", "scene_id", "scene_order", "sequence_index", "summary", "memory_temporal_scope"), "memory_id").where(F.col("scene_order") < F.col("bound"))
     words = token_set(F.concat_ws("\n", "query", "canonical_name"))
     score = F.size(F.array_intersect(words, token_set("summary")))
@@ -79,7 +85,7 @@ def one_hop_relations(matched: DataFrame, relations: DataFrame) -> DataFrame:
 
     ``relations``: relation_id, source_entity_id, target_entity_id, relation_type, last_order. Two equi-joins stand for the OR.
     """
-    ends = [matched.select("query_id", "bound", F.col("entity_id").alias(f"{e}_entity_id")).join(relations, f"{e}_entity_id").withColumn("end", F.lit(e)) for e in ("source", "target")]
+    ends = [matched.select("query_id", "bound", F.col("entity_id").alias(f"{e}_entity_id")).join(_of(matched, relations, f"{e}_entity_id"), f"{e}_entity_id").withColumn("end", F.lit(e)) for e in ("source", "target")]
     columns = ["query_id", "bound", "end", *relations.columns]
     both = ends[0].select(*columns).unionByName(ends[1].select(*columns)).where(F.col("last_order") < F.col("bound"))
     return both.groupBy("query_id", *relations.columns).agg((F.count_distinct("end") == 2).alias("is_between_matched"))
@@ -121,7 +127,7 @@ def memory_packet(queries: DataFrame, world: Mapping[str, DataFrame], limits: Pa
     ``world``: entities, aliases, links, memories, relations, documents. Memories are labelled M1, M2 and so on in the order
     of first use: by entity, then by place; memories that hold everywhere follow.
     """
-    matched = matched_entities(queries, world["entities"], world["aliases"])
+    matched = written(matched_entities(queries, world["entities"], world["aliases"]))  # every part starts from these few rows
     own = entity_memories(matched, world["links"], world["memories"], limits)
     everywhere = global_memories(queries, world["memories"], limits.global_memories)
     uses = own.select("query_id", "entity_id", "entity_rank", "memory_id", "memory_rank", "strategy").unionByName(

@@ -34,6 +34,14 @@ class Best:
     digits: int
 
 
+@dataclass(frozen=True)
+class Below:
+    """A row is visible to a query if the row's ``column`` is less than the query's bound; ``bounds``: ``__id, __bound``."""
+
+    column: str
+    bounds: DataFrame
+
+
 def may_be_best(best: Best, group: np.ndarray, score: np.ndarray, key: np.ndarray) -> np.ndarray:
     """Places of the rows that may be among the first of their group: no k rows are before them whatever the rounding.
 
@@ -62,11 +70,15 @@ def _groups(costs: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
     yield from zip(cuts, cuts[1:])
 
 
-def count_common(rows: DataFrame, index: DataFrame, keep: Sequence[str], best: Best | None = None) -> DataFrame:
+def _true(mask: pa.Array) -> np.ndarray:
+    return pc.fill_null(mask, False).to_numpy(zero_copy_only=False).astype(bool)
+
+
+def count_common(rows: DataFrame, index: DataFrame, keep: Sequence[str], best: Best | None = None, below: Below | None = None) -> DataFrame:
     """``keep, __nd, __id, __nq, __n`` for rows with distinct tokens ``__d``: how many each shares with every query of ``index``, if any.
 
     A batch's tokens are looked up at once, their posting lists are laid end to end and counted by row and query. With ``best``
-    only pairs leave that may be among the best of all rows.
+    only pairs leave that may be among the best of all rows. With ``below`` only rows that a query may see count for it.
     """
     spark, most = rows.sparkSession, AT_ONCE
     small_batches(spark)
@@ -77,10 +89,14 @@ def count_common(rows: DataFrame, index: DataFrame, keep: Sequence[str], best: B
     tokens = [r["__t"] for r in known]
     starts = np.concatenate(([0], np.cumsum([len(one) for one in lists], dtype=np.int64)))
     postings = np.array([number[p] for one in lists for p in one], dtype=np.int64)
-    shared = spark.sparkContext.broadcast((tokens, starts, postings, np.array(ids, dtype=np.int64).reshape(-1, 2)))
+    bound = dict(map(tuple, below.bounds.collect())) if below else {}  # a query's id tells its bound; behind fits(), but for queries without tokens
+    bounds = [bound.get(i) for i, _ in ids]
+    column, last = below.column if below else None, max((x for x in bounds if x is not None), default=None)
+    shared = spark.sparkContext.broadcast((tokens, starts, postings, np.array(ids, dtype=np.int64).reshape(-1, 2), bounds))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, starts, postings, queries = shared.value
+        tokens, starts, postings, queries, bounds = shared.value
+        bounds = pa.array(bounds)
         vocabulary = pa.array(tokens, pa.string())
         for batch in batches:
             codes = {c: pc.rank(batch.column(batch.schema.get_field_index(c)), "ascending", null_placement="at_start", tiebreaker="dense").to_numpy().astype(np.int64) for c in (*best.by, best.key)} if best else {}
@@ -88,8 +104,12 @@ def count_common(rows: DataFrame, index: DataFrame, keep: Sequence[str], best: B
             sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
             flat = lists.flatten()
             places = pc.fill_null(pc.index_in(flat.cast(pa.string()), value_set=vocabulary), -1).to_numpy(zero_copy_only=False).astype(np.int64)
-            owner = np.repeat(np.arange(len(sizes)), sizes)[places >= 0]
-            places = places[places >= 0]
+            known = places >= 0
+            if column:
+                value = batch.column(batch.schema.get_field_index(column))
+                known &= np.repeat(_true(pc.less(value, last)) if last is not None else np.zeros(len(sizes), bool), sizes)
+            owner = np.repeat(np.arange(len(sizes)), sizes)[known]
+            places = places[known]
             each = starts[places + 1] - starts[places]
             costs = np.bincount(owner, weights=each, minlength=len(sizes)).astype(np.int64)
             upto = np.searchsorted(owner, np.arange(len(sizes) + 1))
@@ -101,6 +121,9 @@ def count_common(rows: DataFrame, index: DataFrame, keep: Sequence[str], best: B
                 pairs = np.repeat(owner[part], each[part]) * len(queries) + postings[first + np.arange(n)]
                 pairs, common = np.unique(pairs, return_counts=True)
                 row, query = pairs // len(queries), pairs % len(queries)
+                if column:
+                    seen = _true(pc.less(value.take(pa.array(row)), bounds.take(pa.array(query))))
+                    row, query, common = row[seen], query[seen], common[seen]
                 if best:
                     group = query
                     for c in best.by:

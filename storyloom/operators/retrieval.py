@@ -42,7 +42,7 @@ def entity_memories(links: DataFrame, memories: DataFrame, entity: Column, bound
     return near.join(memories if bound is None else memories.where(bound), "memory_id")
 
 
-def _overlaps(rows: DataFrame, tokens: Column, queries: DataFrame, query_tokens: Column, keep: Sequence[str], best: postings.Best | None = None) -> DataFrame:
+def _overlaps(rows: DataFrame, tokens: Column, queries: DataFrame, query_tokens: Column, keep: Sequence[str], best: postings.Best | None = None, below: tuple[str, str] | None = None) -> DataFrame:
     """``keep, __id, __nd, __nq, __n``: how many distinct tokens every row shares with every query (column ``__id``).
 
     A row's tokens are looked up in the queries' inverted index where the row is read, so pairs leave the scan counted. An
@@ -52,25 +52,29 @@ def _overlaps(rows: DataFrame, tokens: Column, queries: DataFrame, query_tokens:
     q = queries.select("__id", query_tokens.alias("__q")).distinct()
     index = q.select("__id", F.size("__q").cast("long").alias("__nq"), F.explode("__q").alias("__t"))
     if postings.fits(index):
-        return postings.count_common(rows.select(*keep, tokens.alias("__d")), index, keep, best)
+        visible = postings.Below(below[0], queries.select("__id", F.col(below[1]).alias("__bound")).distinct()) if below else None
+        return postings.count_common(rows.select(*keep, tokens.alias("__d")), index, keep, best, visible)
     own = rows.select(F.monotonically_increasing_id().alias("__row"), *keep, tokens.alias("__d"))
     each = own.select("__row", *keep, F.size("__d").alias("__nd"), F.explode("__d").alias("__t"))
     return each.join(index, "__t").groupBy("__row", *keep, "__nd", "__id", "__nq").agg(F.count("*").cast("double").alias("__n")).drop("__row")
 
 
-def lexical(docs: DataFrame, queries: DataFrame, text: str = "text", query: str = "query", on: Column | None = None, key: str = "doc_id", keep: Sequence[str] = (), k: int | None = None, by: Sequence[str] = ()) -> DataFrame:
+def lexical(docs: DataFrame, queries: DataFrame, text: str = "text", query: str = "query", on: Column | None = None, key: str = "doc_id", keep: Sequence[str] = (), k: int | None = None, by: Sequence[str] = (), below: tuple[str, str] | None = None) -> DataFrame:
     """Scores of texts for a short list of queries by token overlap, coverage and density; pairs without overlap go.
 
     The result has ``key``, the columns of ``keep``, all columns of ``queries`` and ``score``; a row of ``docs`` is scored once,
     also where its key or text is repeated. Callers rank these rows first and fetch other columns for what is left. A caller
     that takes the first ``k`` by score and key for each query, and each value of ``by`` (columns of ``keep``), says so: others
-    may be left out at the scan, but with ``on`` none are.
+    may be left out at the scan, but with ``on`` none are. ``below`` names a column of ``keep`` and one of ``queries`` that must be
+    greater: a condition that the scan itself can check.
     """
-    q = queries.withColumn("__id", F.xxhash64(query))
+    q = queries.withColumn("__id", F.xxhash64(query, *(below or ())[1:]))
     best = postings.Best(k, tuple(by), key, lambda n, nq, nd, _: n + n / nq + n / nd, 6) if k and on is None else None
-    counts = _overlaps(docs, token_set(text), q, token_set(query), [key, *keep], best)
+    counts = _overlaps(docs, token_set(text), q, token_set(query), [key, *keep], best, below)
     scored = counts.select(key, *keep, "__id", F.round(F.col("__n") + F.col("__n") / F.col("__nq") + F.col("__n") / F.col("__nd"), 6).alias("score"))
     out = scored.join(stated(q), "__id").drop("__id")
+    if below:
+        out = out.where(F.col(below[0]) < F.col(below[1]))
     return out if on is None else out.where(on)
 
 

@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from storyloom.operators import automaton, chunking, evidence, graphs, near_quotes, postings, ranking, retrieval
+from storyloom.operators import automaton, chunking, entities, evidence, graphs, near_quotes, packet, postings, ranking, retrieval
 
 
 def test_binding_scores_items_and_not_pairs(spark):
@@ -157,3 +157,39 @@ def test_common_bounds_every_window():
         assert most == table[-1][-1]
         for least in (0.5, 0.8, 0.94, 1.0):
             assert best is None or best[0] < least or most >= near_quotes.in_common(len(quote), least)
+
+
+def test_a_packets_memories_are_cut_at_the_scan(spark, monkeypatch):
+    """Queries with bounds of their own, also of equal texts: what leaves the scan doesn't grow with the memories that share a word."""
+    memories = [(f"m{i:04d}", None if i % 97 == 0 else i, ["durable_state", "temporal_episode", "atemporal_fact"][i % 3], " ".join(f"w{(i * 7 + j) % 13}" for j in range(i % 5 + 1))) for i in range(900)]
+    queries = [(1, "w1 w2 w3", 500), (2, "w1 w2 w3", 40), (3, "w4 w5 zz", 900), (4, "w6", None), (5, "", 900), (6, "w4", 0)]
+    left = []
+    monkeypatch.setattr(postings, "count_common", lambda *a, own=postings.count_common: left.append((x := own(*a)).count()) or x)
+    df = spark.createDataFrame(memories, "memory_id string, scene_order int, memory_temporal_scope string, summary string").coalesce(1)
+    got = packet.global_memories(spark.createDataFrame(queries, "query_id int, query string, bound int"), df, 8).collect()
+    want = set()
+    for q, text, bound in queries:
+        hits, asked = [], set(text.split())
+        for m, at, scope, summary in memories:
+            own = set(summary.split())
+            if bound is not None and at is not None and at < bound and (n := len(asked & own)):
+                hits.append((-round(n + n / len(asked) + n / len(own), 6), m, scope))
+        near = [(s, m) for s, m, scope in sorted(hits)[:24] if scope != "temporal_episode"]
+        want |= {(q, m, -s, place) for place, (s, m) in enumerate(near[:8], 1)}
+    assert {tuple(x) for x in got} == want and {x.query_id for x in got} == {1, 2, 3}
+    assert left and max(left) < 150
+
+
+def test_many_names_meet_few_texts_in_one_pass(spark, monkeypatch):
+    names = [(f"e{i}", f"Name{i} of-{i % 7}") for i in range(120)] + [("x", "é"), ("y", None), ("n7", "NAME7 of 0")]
+    texts = [(i, f"here is name{i * 5} OF {i * 5 % 7} and name{i}of{(i + 1) % 7}") for i in range(20)] + [(30, None), (31, ""), (0, "name7 of 0")]
+    t, a = spark.createDataFrame(texts, "t int, text string"), spark.createDataFrame(names, "entity_id string, alias string")
+    found = lambda: sorted(map(tuple, entities.known_in_text(t, a).select("t", "entity_id", "alias").collect()))
+    want, scans = found(), []
+    assert len(want) > 20
+    monkeypatch.setattr(automaton, "SHARD_BYTES", 64)
+    monkeypatch.setattr(entities, "scan", lambda *a, own=entities.scan: scans.append(1) or own(*a))
+    assert found() == want and not scans
+    monkeypatch.setattr(entities, "FEW_TEXTS", 3)
+    monkeypatch.setattr(automaton, "SHARD_BYTES", 800)
+    assert found() == want and 1 < len(scans) < 9
